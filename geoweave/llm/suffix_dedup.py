@@ -34,7 +34,6 @@ OFFSETS = 16
 SAMPLED_PER_BUCKET, SAMPLED_PER_TASK, SAMPLE_SHARE = 64, 512, 0.02
 KEYS = [f"t{i}" for i in range(TOKENS)] + ["gram", "stretch"]
 PLACE = np.dtype([("row", "<i8"), ("a", "<i4"), ("s", "<i4"), ("e", "<i4")])
-SUFFIX_SCHEMA = "bucket int, " + ", ".join(f"{k} long" for k in KEYS) + ", who binary"
 
 
 def _tokens(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -87,13 +86,15 @@ def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _suffix_batches(splitters: np.ndarray | None, window: int, gram: int):
+def place_batches(find, names: list[str], splitters: np.ndarray | None):
+    """Rows of (bucket, keys, places) from find(row_ids, texts), alike ones of a batch in one row; a sample if there are no splitters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = 0
         for b in batches:
             if splitters is None and given >= SAMPLED_PER_TASK:
                 continue
-            keys, places = suffixes(b[ROW_ID].to_numpy(), b["text"], window, gram)
+            keys, places = find(b[ROW_ID].to_numpy(), b["text"])
             if not len(places):
                 continue
             order = np.lexsort(keys[::-1]) if splitters is not None else np.random.default_rng(7).permutation(len(places))[: SAMPLED_PER_TASK - given]
@@ -107,7 +108,7 @@ def _suffix_batches(splitters: np.ndarray | None, window: int, gram: int):
                 who = [raw[i * size : j * size] for i, j in zip(first.tolist(), [*first[1:].tolist(), len(places)])]
                 bucket = locate(splitters, [k[first] for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), *(pa.array(k[first]) for k in keys), pa.array(who, pa.binary())], names=["bucket", *KEYS, "who"]
+                [pa.array(bucket), *(pa.array(k[first]) for k in keys), pa.array(who, pa.binary())], names=["bucket", *names, "who"]
             )
 
     return run
@@ -123,49 +124,58 @@ def locate(splitters: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def choose_splitters(texts: DataFrame, buckets: int, window: int, gram: int) -> np.ndarray:
+def place_schema(names: list[str]) -> str:
+    return "bucket int, " + ", ".join(f"{k} long" for k in names) + ", who binary"
+
+
+def choose_splitters(texts: DataFrame, buckets: int, find, names: list[str]) -> np.ndarray:
     """Splitters from a sample of at most SAMPLED_PER_BUCKET suffixes for each bucket."""
-    sample = texts.sample(SAMPLE_SHARE, seed=11).mapInArrow(_suffix_batches(None, window, gram), SUFFIX_SCHEMA).select(*KEYS)
+    sample = texts.sample(SAMPLE_SHARE, seed=11).mapInArrow(place_batches(find, names, None), place_schema(names)).select(*names)
     most = SAMPLED_PER_BUCKET * buckets
-    got = sample.orderBy(F.xxhash64(*KEYS)).limit(most).toPandas().to_numpy(dtype=np.int64)
+    got = sample.orderBy(F.xxhash64(*names)).limit(most).toPandas().to_numpy(dtype=np.int64)
     if len(got) < 2:
-        return np.zeros((0, len(KEYS)), np.int64)
+        return np.zeros((0, len(names)), np.int64)
     got = got[np.lexsort(got.T[::-1])]
     return np.unique(got[np.linspace(0, len(got), buckets + 1).astype(int)[1:-1]], axis=0)
 
 
-def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    keys = [t[k].to_numpy() for k in KEYS]
-    who = t["who"].combine_chunks().to_pylist()
-    order = multikey_sort(keys)
-    keys = [k[order] for k in keys]
-    new_gram = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys[:-1]], axis=0)))
-    new = new_gram | np.concatenate(([True], keys[-1][1:] != keys[-1][:-1]))
-    stretch = np.cumsum(new) - 1  # number of the class of equal stretches
-    members = np.array([len(who[i]) // PLACE.itemsize for i in order])
-    in_class = np.bincount(stretch, weights=members).astype(np.int64)
-    gram_of = np.cumsum(new_gram)[new] - 1  # of each class
-    classes = np.bincount(gram_of)
-    edge = np.zeros(len(classes), bool)
-    edge[[0, -1]] = True
-    open_ = (classes[gram_of] > 1) | edge[gram_of]  # other stretches share the leading part, or may do so elsewhere
-    named = mix64(sum(k.view(np.uint64) * np.uint64(2 * i + 0x5851F42D4C957F2D) for i, k in enumerate(keys[:-1])))
-    wanted = np.flatnonzero((in_class[stretch] > 1) | open_[stretch])
-    if not len(wanted):
-        return
-    places = np.frombuffer(b"".join([who[i] for i in order[wanted].tolist()]), PLACE)
-    of = np.repeat(wanted, members[wanted])
-    settled = in_class[stretch[of]] > 1
-    compare = open_[stretch[of]] & np.concatenate(([True], stretch[of][1:] != stretch[of][:-1]))  # one of each class
-    use = settled | compare
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(x[use]) for x in (*(np.ascontiguousarray(places[c]) for c in PLACE.names), named[of].view(np.int64), settled, compare)],
-        names=[ROW_ID, "a", "s", "e", "anchor", "settled", "compare"],
-    )
+def sort_bucket(names: list[str]):
+    """Sort a bucket, and tell repeats from the rest; the last key stands for the whole stretch, the others for its leading part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        keys = [t[k].to_numpy() for k in names]
+        who = t["who"].combine_chunks().to_pylist()
+        order = multikey_sort(keys)
+        keys = [k[order] for k in keys]
+        new_gram = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys[:-1]], axis=0)))
+        new = new_gram | np.concatenate(([True], keys[-1][1:] != keys[-1][:-1]))
+        stretch = np.cumsum(new) - 1  # number of the class of equal stretches
+        members = np.array([len(who[i]) // PLACE.itemsize for i in order])
+        in_class = np.bincount(stretch, weights=members).astype(np.int64)
+        gram_of = np.cumsum(new_gram)[new] - 1  # of each class
+        classes = np.bincount(gram_of)
+        edge = np.zeros(len(classes), bool)
+        edge[[0, -1]] = True
+        open_ = (classes[gram_of] > 1) | edge[gram_of]  # other stretches share the leading part, or may do so elsewhere
+        named = mix64(sum(k.view(np.uint64) * np.uint64(2 * i + 0x5851F42D4C957F2D) for i, k in enumerate(keys[:-1])))
+        wanted = np.flatnonzero((in_class[stretch] > 1) | open_[stretch])
+        if not len(wanted):
+            return
+        places = np.frombuffer(b"".join([who[i] for i in order[wanted].tolist()]), PLACE)
+        of = np.repeat(wanted, members[wanted])
+        settled = in_class[stretch[of]] > 1
+        compare = open_[stretch[of]] & np.concatenate(([True], stretch[of][1:] != stretch[of][:-1]))  # one of each class
+        use = settled | compare
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[use]) for x in (*(np.ascontiguousarray(places[c]) for c in PLACE.names), named[of].view(np.int64), settled, compare)],
+            names=[ROW_ID, "a", "s", "e", "anchor", "settled", "compare"],
+        )
+
+    return run
 
 
 def _hash_windows(window: int):
@@ -210,15 +220,18 @@ def _hash_windows(window: int):
     return run
 
 
-def repeated_runs(hashes: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, first and last position of runs of windows whose hash occurs at least twice."""
-    lens = np.array([len(x) // 8 for x in hashes])
-    flat = np.frombuffer(b"".join(hashes), np.uint64)
+def repeated_runs(flat: np.ndarray, lens: np.ndarray, starts: np.ndarray, valid: np.ndarray | None = None):
+    """Rows, first and last position of runs of (valid) windows whose hash occurs at least twice.
+
+    flat: the hashes of all rows one after another; lens, starts: of each row.
+    """
     order = np.argsort(flat)
     same = flat[order][1:] == flat[order][:-1]
     twice = np.zeros(len(flat), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
+    if valid is not None:
+        twice &= valid
     row = np.repeat(np.arange(len(lens)), lens)
     first_of = np.cumsum(lens) - lens
     gaps = np.zeros(len(flat) + len(lens), bool)  # a gap after each row keeps runs within rows
@@ -235,8 +248,8 @@ def _match_windows(window: int):
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        ids = t[ROW_ID].to_numpy()
-        r, first, last = repeated_runs(t["h"].to_pylist(), t["p"].to_numpy())
+        ids, h = t[ROW_ID].to_numpy(), t["h"].to_pylist()
+        r, first, last = repeated_runs(np.frombuffer(b"".join(h), np.uint64), np.array([len(x) // 8 for x in h]), t["p"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(first), pa.array(last + window)], names=[ROW_ID, "first", "end"])
 
     return run
@@ -270,26 +283,37 @@ CUT_COLUMNS = ["cut_bytes", "cut_spans", "cut_sha", "cut_bounds", "cut_text"]
 CUT_SCHEMA = f"{ROW_ID} long, cut_bytes long, cut_spans long, cut_sha string, cut_bounds array<long>, cut_text string"
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(row, spans): per row of texts (columns ROW_ID, text) with repeats, the spans of bytes to remove, unmerged."""
-    spark = texts.sparkSession
-    buckets = shuffle_partitions(spark)
-    splitters = choose_splitters(texts, buckets, window, gram)
-    found = materialize(
-        texts.mapInArrow(_suffix_batches(splitters, window, gram), SUFFIX_SCHEMA)
+def find_repeats(texts: DataFrame, find, names: list[str]) -> DataFrame:
+    """(row, a, s, e, anchor, settled, compare) of all stretches whose leading part occurs elsewhere."""
+    buckets = shuffle_partitions(texts.sparkSession)
+    splitters = choose_splitters(texts, buckets, find, names)
+    return materialize(
+        texts.mapInArrow(place_batches(find, names, splitters), place_schema(names))
         .repartitionById(buckets, F.col("bucket"))
-        .mapInArrow(_sort_bucket, f"{ROW_ID} long, a int, s int, e int, anchor long, settled boolean, compare boolean"),
+        .mapInArrow(sort_bucket(names), f"{ROW_ID} long, a int, s int, e int, anchor long, settled boolean, compare boolean"),
         "repeats",
     )
-    todo = found.where("compare").groupBy(ROW_ID).agg(F.collect_list(F.struct("a", "s", "e", "anchor")).alias("todo"))
+
+
+def to_compare(found: DataFrame) -> DataFrame:
+    return found.where("compare").groupBy(ROW_ID).agg(F.collect_list(F.struct("a", "s", "e", "anchor")).alias("todo"))
+
+
+def all_spans(found: DataFrame, checked: DataFrame, window: int) -> DataFrame:
+    settled = found.where("settled").select(ROW_ID, F.col("s").cast("long").alias("first"), (F.col("e") + window).cast("long").alias("end"))
+    return settled.unionByName(checked).groupBy(ROW_ID).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+
+
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(row, spans): per row of texts (columns ROW_ID, text) with repeats, the spans of bytes to remove, unmerged."""
+    found = find_repeats(texts, lambda ids, col: suffixes(ids, col, window, gram), KEYS)
     checked = (
-        texts.join(todo, ROW_ID)
+        texts.join(to_compare(found), ROW_ID)
         .mapInArrow(_hash_windows(window), f"group long, {ROW_ID} long, p long, h binary")
-        .repartition(buckets, "group")
+        .repartition(shuffle_partitions(texts.sparkSession), "group")
         .mapInArrow(_match_windows(window), f"{ROW_ID} long, first long, end long")
     )
-    settled = found.where("settled").select(ROW_ID, F.col("s").cast("long").alias("first"), (F.col("e") + window).cast("long").alias("end"))
-    return settled.unionByName(checked).groupBy(ROW_ID).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    return all_spans(found, checked, window)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int | None = None, texts_out: bool = False) -> DataFrame:
