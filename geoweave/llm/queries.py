@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoweave.llm import phrase_dedup, quality_rules, simhash, suffix_dedup
+from geoweave.llm import phrase_dedup, quality_rules, simhash, suffix_dedup, toxicity
 from geoweave.llm.common import table
 
 
@@ -15,6 +16,13 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (toxicity.fold("doc_id", 4) == 2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
