@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import phrase_dedup, quality_rules, simhash, suffix_dedup, toxicity
+from geoweave.llm import language_id, phrase_dedup, quality_rules, simhash, suffix_dedup, toxicity
 from geoweave.llm.common import table
 
 
@@ -35,6 +35,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(toxicity.fold("doc_id", 3) == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return phrase_dedup.remove_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
