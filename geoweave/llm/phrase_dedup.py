@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from geoweave.llm.anchors import Rolling, find_anchors, merge_spans, segments, word_codes, word_spans
 from geoweave.llm.common import ROW_ID, chunks_of, mix64, shuffle_partitions, text_bytes, with_row_id
 from geoweave.llm.quality_rules import words_of
-from geoweave.llm.suffix_dedup import PLACE, all_spans, find_repeats, repeated_runs, to_compare
+from geoweave.llm.suffix_dedup import PLACE, all_spans, find_repeats, packed, repeated_runs, to_compare
 
 WINDOW, PHRASE = 35, 6
 KEYS = ["gram", "stretch"]
 #: Offsets of a window to its phrase that are compared in one group; bytes that are split into words at once.
-OFFSETS, BYTES = 10, 1 << 22
+OFFSETS, BYTES = 10, 1 << 20
 
 
 def phrases(row_ids: np.ndarray, texts, window: int = WINDOW, gram: int = PHRASE) -> tuple[list[np.ndarray], np.ndarray]:
@@ -61,29 +61,30 @@ def phrases(row_ids: np.ndarray, texts, window: int = WINDOW, gram: int = PHRASE
 
 
 def _deal_out(window: int, gram: int):
+    def rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+        todo, ids = b["todo"], b[ROW_ID].to_pylist()
+        flat, offs = todo.flatten(), todo.offsets.to_numpy() - todo.offsets[0].as_py()
+        a, s, e, key = (flat.field(c).to_numpy() for c in ("a", "s", "e", "anchor"))
+        for r in range(b.num_rows):
+            words = b["text"][r].as_py().encode("utf-8").split()
+            which = slice(offs[r], offs[r + 1])
+            for at, p, last, k in zip(a[which].tolist(), s[which].tolist(), e[which].tolist(), key[which].tolist()):
+                phrase = b" ".join(words[at : at + gram])
+                while p <= last:
+                    group = (at - p) // OFFSETS
+                    m = min(last, at - group * OFFSETS) + 1
+                    yield (k * 31 + group) & (2**64 - 1), ids[r], p, phrase, b" ".join(words[p : m - 1 + window])
+                    p = m
+
+    def pack(group, ids, p, phrase, passage) -> pa.RecordBatch:
+        named = mix64(np.array(group, dtype=np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(named), pa.array(ids, pa.int64()), pa.array(p, pa.int64()), pa.array(phrase, pa.binary()), pa.array(passage, pa.binary())],
+            names=["shard", ROW_ID, "p", "phrase", "passage"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            todo, out = b["todo"], [[] for _ in range(5)]
-            flat, offs = todo.flatten(), todo.offsets.to_numpy() - todo.offsets[0].as_py()
-            a, s, e, key = (flat.field(c).to_pylist() for c in ("a", "s", "e", "anchor"))
-            ids = b[ROW_ID].to_pylist()
-            for r, text in enumerate(b["text"].to_pylist()):
-                words = text.encode("utf-8").split()
-                for q in range(offs[r], offs[r + 1]):
-                    p, phrase = s[q], b" ".join(words[a[q] : a[q] + gram])
-                    while p <= e[q]:
-                        group = (a[q] - p) // OFFSETS
-                        m = min(e[q], a[q] - group * OFFSETS) + 1
-                        for o, v in zip(out, ((key[q] * 31 + group) & (2**64 - 1), ids[r], p, phrase, b" ".join(words[p : m - 1 + window]))):
-                            o.append(v)
-                        p = m
-            group = mix64(np.array(out[0], dtype=np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())],
-                names=["shard", ROW_ID, "p", "phrase", "passage"],
-            )
+        yield from packed((row for b in batches if b.num_rows for row in rows(b)), pack)
 
     return run
 

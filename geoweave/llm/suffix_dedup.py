@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.anchors import BYTE_CODES, Rolling, find_anchors, merge_spans, runs, segments
+from geoweave.llm.anchors import BYTE_CODES, CHUNK, Rolling, find_anchors, merge_spans, runs, segments
 from geoweave.llm.common import ROW_ID, materialize, mix64, shuffle_partitions, text_bytes, with_row_id
 
 WINDOW, GRAM, TOKENS = 400, 64, 3
@@ -178,48 +178,60 @@ def sort_bucket(names: list[str]):
     return run
 
 
+#: Bytes of window hashes or passages that a task gathers before it hands them on.
+FLUSH = 1 << 22
+
+
 def _hash_windows(window: int):
+    def rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+        data, starts, ends = text_bytes(b["text"])
+        ids, todo = b[ROW_ID].to_numpy(), b["todo"]
+        flat, offs = todo.flatten(), todo.offsets.to_numpy() - todo.offsets[0].as_py()
+        a, s, e, key = (flat.field(c).to_numpy() for c in ("a", "s", "e", "anchor"))
+        for r in range(b.num_rows):
+            text = data[starts[r] : ends[r]]
+            which = slice(offs[r], offs[r + 1])
+            order = np.argsort(s[which], kind="stable")
+            aa, ss, ee, kk = (x[which][order].astype(np.int64) for x in (a, s, e, key))
+            i = 0
+            while i < len(ss):  # near stretches of a text are hashed together
+                j = i + 1
+                while j < len(ss) and ss[j] <= ee[j - 1] + 8 * window and ss[j] - ss[i] < CHUNK:
+                    j += 1
+                lo, hi = int(ss[i]), int(ee[i:j].max()) + window
+                h = mix64(Rolling(BYTE_CODES[text[lo:hi]]).all(window))
+                for q in range(i, j):
+                    p = int(ss[q])
+                    while p <= ee[q]:
+                        group = int(aa[q] - p) // OFFSETS
+                        m = min(int(ee[q]), int(aa[q]) - group * OFFSETS) + 1
+                        yield (int(kk[q]) * 31 + group) & (2**64 - 1), int(ids[r]), p, h[p - lo : m - lo].tobytes()
+                        p = m
+                i = j
+
+    def pack(group, ids, p, h) -> pa.RecordBatch:
+        named = mix64(np.array(group, dtype=np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(named), pa.array(ids, pa.int64()), pa.array(p, pa.int64()), pa.array(h, pa.binary())], names=["group", ROW_ID, "p", "h"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, starts, ends = text_bytes(b["text"])
-            ids = b[ROW_ID].to_numpy()
-            todo = b["todo"]
-            if not b.num_rows:
-                continue
-            flat, offs = todo.flatten(), todo.offsets.to_numpy() - todo.offsets[0].as_py()
-            a, s, e, key = (flat.field(c).to_numpy() for c in ("a", "s", "e", "anchor"))
-            out = [[] for _ in range(4)]
-            for r in range(b.num_rows):
-                text = data[starts[r] : ends[r]]
-                which = slice(offs[r], offs[r + 1])
-                order = np.argsort(s[which], kind="stable")
-                aa, ss, ee, kk = (x[which][order].astype(np.int64) for x in (a, s, e, key))
-                i = 0
-                while i < len(ss):  # near stretches of a text are hashed together
-                    j = i + 1
-                    while j < len(ss) and ss[j] <= ee[j - 1] + 8 * window and ss[j] - ss[i] < 1 << 22:
-                        j += 1
-                    lo, hi = int(ss[i]), int(ee[i:j].max()) + window
-                    h = mix64(Rolling(BYTE_CODES[text[lo:hi]]).all(window))
-                    for q in range(i, j):
-                        p = int(ss[q])
-                        while p <= ee[q]:
-                            group = int(aa[q] - p) // OFFSETS
-                            m = min(int(ee[q]), int(aa[q]) - group * OFFSETS) + 1
-                            out[0].append(int(kk[q]) * 31 + group)
-                            out[1].append(ids[r])
-                            out[2].append(p)
-                            out[3].append(h[p - lo : m - lo].tobytes())
-                            p = m
-                    i = j
-            group = mix64(np.array([x & (2**64 - 1) for x in out[0]], dtype=np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["group", ROW_ID, "p", "h"]
-            )
+        yield from packed((row for b in batches if b.num_rows for row in rows(b)), pack)
 
     return run
 
 
+def packed(rows: Iterator[tuple], pack) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last field, of bytes, adds up to about FLUSH."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1]) + 64
+        if size >= FLUSH:
+            yield pack(*zip(*out))
+            out, size = [], 0
+    if out:
+        yield pack(*zip(*out))
+
+
 def repeated_runs(flat: np.ndarray, lens: np.ndarray, starts: np.ndarray, valid: np.ndarray | None = None):
     """Rows, first and last position of runs of (valid) windows whose hash occurs at least twice.
 
