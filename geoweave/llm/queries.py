@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import language_id, phrase_dedup, quality_rules, simhash, suffix_dedup, toxicity
+from geoweave.llm import language_id, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from geoweave.llm.common import table
 
 
@@ -23,6 +23,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = sentencepiece_codec.MODEL_PATH) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_codec.encode(docs, sentencepiece_codec.load(model_path), with_ids=False)
+    return out.select("doc_id", "n_tokens", "n_byte_pieces", "ids_sha256", "round_trip")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
