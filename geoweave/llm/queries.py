@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import language_id, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from geoweave.llm import embedding_dedup, language_id, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from geoweave.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_dedup.near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(toxicity.fold("doc_id", 3) == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
