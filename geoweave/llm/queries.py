@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import embedding_dedup, language_id, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
+from geoweave.llm import embedding_dedup, language_id, mixing, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
 from geoweave.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc_archive.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc_archive.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
