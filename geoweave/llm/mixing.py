@@ -18,7 +18,7 @@ from geoweave.llm.quality_rules import SYMBOLS, words_of
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent on a value's present share that gives its target share; 1 keeps it, 0 makes all equal.
 TEMPERATURE = {"source": 0.7, "lang": 0.6, "topic": 0.9}
-KEEP_SHARE, ROUNDS, TOLERANCE, SEED = 0.8, 40, 1e-4, 20
+KEEP_SHARE, ROUNDS, TOLERANCE, SEED = 0.8, 40, 1e-3, 20
 
 
 def topic_of(text: Column, n_tokens: Column) -> Column:
@@ -55,22 +55,22 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS, to
 
     Goals that contradict each other are met as far as the last round gets.
     """
-    cur = cells.withColumn("w", F.col("t").cast("double"))
-    previous = None
+    cur = cells.withColumns({"w": F.col("t").cast("double"), "off": F.lit(0.0)})
+    written = None
     for _ in range(rounds):
-        nxt = cur.withColumn("before", F.col("w"))
-        for d in goals:
-            factor = nxt.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d], d).select(d, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("f"))
-            nxt = nxt.join(factor, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        cur = materialize(nxt, "rake")
-        off = cur.agg(F.max(F.abs(F.col("w") - F.col("before")) / F.greatest("before", F.lit(1e-12)))).first()[0]
-        if previous is not None:
-            release(previous)
-        previous = cur
-        cur = cur.drop("before")
-        if off is None or off < tolerance:
+        worst = 0.0
+        for d in goals:  # each step is cut, else the plan would double with every factor
+            factor = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0)
+            sums = cur.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d], d).select(d, factor.alias("f"))
+            step = cur.drop("off").join(sums, d).withColumns({"w": F.col("w") * F.col("f"), "off": F.abs(F.col("f") - 1)}).drop("f")
+            cur = materialize(step, "rake")
+            worst = max(worst, cur.agg(F.max(F.when(F.col("t") > 0, F.col("off")))).first()[0] or 0.0)
+            if written is not None:
+                release(written)
+            written = cur
+        if worst < tolerance:
             break
-    return cur
+    return cur.drop("off")
 
 
 def calibrate(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -108,7 +108,7 @@ def mix(
     rows = rows.withColumn("topic", topic_of(F.col(text), F.col("n_tokens")))
     keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "topic": F.col("topic")}
     cells = materialize(rows.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.sum("n_tokens").cast("double").alias("t")), "cells")
-    goals = {d: targets(cells, d, temperature.get(d, 1.0), (shares or {}).get(d)) for d in DIMENSIONS}
+    goals = {d: materialize(targets(cells, d, temperature.get(d, 1.0), (shares or {}).get(d)), "goals") for d in DIMENSIONS}
     rates = materialize(calibrate(rake(cells, goals), keep_share), "rates")
     rates = rates.select(*[F.col(d).alias(f"__gw_{d}") for d in DIMENSIONS], F.col("p").alias("probability"))
     on = [keys[d] == F.col(f"__gw_{d}") for d in DIMENSIONS]
