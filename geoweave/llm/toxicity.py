@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from geoweave.llm.common import materialize
+
 #: Insults that need no label to be known, words of reporting, and quotation marks.
 INSULTS = "idiot moron stupid scum trash loser clown pathetic worthless disgusting imbecile dumb filthy vermin retard bastard".split()
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word words term terms phrase insult insults slur slurs reads read titled dictionary".split())
@@ -223,14 +225,18 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[list[s
     return known, [s for s in stems if not any(t.startswith(s) for t in known)]
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Learn lexicon and weights from at most about max_rows rows of train with a label of 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
+    """Learn lexicon and weights from the texts of at most about max_rows rows of labels (id_col, label).
 
-    With no labelled rows, or labels of one kind only, the score is a constant.
+    The labels are sampled before any text is read, and go to the documents by broadcast: their number is
+    bounded by max_rows. Rows without a label are left out; of several labels of an id the greatest
+    counts. With no labelled document, or labels of one kind only, the score is a constant.
     """
-    rows = train.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"))
-    n = rows.count()
-    sample = rows.sample(min(1.0, max_rows / n), seed=5) if n > max_rows else rows
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("toxic"))
+    n = marks.count()
+    share = min(1.0, max_rows / max(n, 1))
+    chosen = marks.where(F.xxhash64(F.lit("toxicity"), id_col).bitwiseAND(F.lit(0xFFFFFF)) < int(share * 0x1000000)) if share < 1 else marks
+    sample = materialize(docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select("text", "toxic"), "labelled")
     terms, stems = learn_lexicon(sample)
     auto = sample.sparkSession.sparkContext.broadcast(build_automaton(terms, stems))
 
