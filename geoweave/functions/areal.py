@@ -38,10 +38,12 @@ def next_point(r: Column, i: Column) -> Column:
     return F.get(r, (i + 1) % F.size(r))
 
 
+@V.bound
 def segments(r: Column) -> Column:
     return F.transform(r, lambda p, i: F.struct(p.alias("p"), next_point(r, i).alias("q")))
 
 
+@V.bound
 def ring_from_points(points: Column) -> Column:
     """Drop repeated vertices, the closing one included; the first of equals stays."""
     return F.filter(points, lambda p, i: F.forall(F.slice(points, 1, i), lambda q: ~V.equals(p, q)))
@@ -51,6 +53,7 @@ def _sum(items: Column, f: Callable[[Column], Column]) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
 
 
+@V.bound
 def signed_area(r: Column) -> Column:
     return _sum(segments(r), lambda s: V.cross(s["p"], s["q"])) * 0.5
 
@@ -59,6 +62,7 @@ def ring_area(r: Column) -> Column:
     return F.abs(signed_area(r))
 
 
+@V.bound
 def polygon_area(p: Column) -> Column:
     return ring_area(p["boundary"]) - _sum(p["holes"], ring_area)
 
@@ -67,27 +71,30 @@ def multi_area(m: Column) -> Column:
     return _sum(m, polygon_area)
 
 
+@V.bound
 def ring_centroid(r: Column) -> Column:
     """Mean of the vertices."""
-    return V.point(_sum(r, lambda p: p["x"]) / F.size(r), _sum(r, lambda p: p["y"]) / F.size(r))
+    return V.raw(_sum(r, lambda p: p["x"]) / F.size(r), _sum(r, lambda p: p["y"]) / F.size(r))
 
 
 def _weighted(parts: Column, area: Callable, centre: Callable) -> tuple[Column, Column, Column]:
     return _sum(parts, area), _sum(parts, lambda r: centre(r)["x"] * area(r)), _sum(parts, lambda r: centre(r)["y"] * area(r))
 
 
+@V.bound
 def polygon_centroid(p: Column) -> Column:
     """Vertex means of the rings weighted by area, holes counting negative."""
-    b, a = ring_centroid(p["boundary"]), ring_area(p["boundary"])
-    h, hx, hy = _weighted(p["holes"], ring_area, ring_centroid)
-    return V.point((b["x"] * a - hx) / (a - h), (b["y"] * a - hy) / (a - h))
+    mean = V.bound(lambda b, a, h, hx, hy: V.raw((b["x"] * a - hx) / (a - h), (b["y"] * a - hy) / (a - h)))
+    return mean(ring_centroid(p["boundary"]), ring_area(p["boundary"]), *_weighted(p["holes"], ring_area, ring_centroid))
 
 
+@V.bound
 def multi_centroid(m: Column) -> Column:
     a, x, y = _weighted(m, polygon_area, polygon_centroid)
-    return V.point(x / a, y / a)
+    return V.raw(x / a, y / a)
 
 
+@V.bound
 def ring_box(r: Column) -> Column:
     xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
     return rectangle(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
@@ -101,6 +108,7 @@ def rectangle(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     return F.struct(xmin.alias("xmin"), ymin.alias("ymin"), xmax.alias("xmax"), ymax.alias("ymax"))
 
 
+@V.bound
 def scale_rectangle(r: Column, f: V.Num) -> Column:
     """Each side moves out by the extent times f - 1; factors of zero and less change nothing."""
     k = F.when(V._c(f) <= 0, F.lit(0.0)).otherwise(V._c(f) - 1)
@@ -108,6 +116,7 @@ def scale_rectangle(r: Column, f: V.Num) -> Column:
     return rectangle(r["xmin"] - dx, r["ymin"] - dy, r["xmax"] + dx, r["ymax"] + dy)
 
 
+@V.bound
 def overlap(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
@@ -116,6 +125,7 @@ def rectangle_contains(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmin"]) & (a["xmax"] >= b["xmax"]) & (a["ymin"] <= b["ymin"]) & (a["ymax"] >= b["ymax"])
 
 
+@V.bound
 def _crossings(r: Column, p: Column) -> Column:
     """Edges that a ray to the right of p meets; an edge owns its upper end only."""
     def meets(s: Column) -> Column:
@@ -127,11 +137,13 @@ def _crossings(r: Column, p: Column) -> Column:
     return F.size(F.filter(segments(r), meets))
 
 
+@V.bound
 def ring_location(r: Column, p: Column) -> Column:
     on = F.exists(segments(r), lambda s: N.contains(s, p))
     return F.when(on, BOUNDARY).when(_crossings(r, p) % 2 == 1, INSIDE).otherwise(OUTSIDE)
 
 
+@V.bound
 def polygon_location(g: Column, p: Column) -> Column:
     """Inside a hole is outside; the border of a hole is inside."""
     in_hole = F.exists(g["holes"], lambda h: ring_location(h, p) == INSIDE)
@@ -150,6 +162,7 @@ def multi_outside(m: Column, p: Column) -> Column:
     return F.forall(m, lambda g: polygon_location(g, p) == OUTSIDE)
 
 
+@V.bound
 def ring_intersections(r: Column, s: Column) -> Column:
     """Distinct points that the ring's edges and a segment have in common."""
     found = F.transform(segments(r), lambda e: N.segment_intersection(e, s))
@@ -157,22 +170,24 @@ def ring_intersections(r: Column, s: Column) -> Column:
     return F.array_sort(F.array_distinct(rounded))
 
 
+@V.bound
 def polygon_intersections(g: Column, s: Column) -> Column:
     holes = F.flatten(F.transform(g["holes"], lambda h: ring_intersections(h, s)))
     return F.array_sort(F.array_distinct(F.concat(ring_intersections(g["boundary"], s), holes)))
 
 
+@V.bound
 def is_valid_ring(r: Column) -> Column:
     """At least three edges, none of length zero, and edges that meet only at shared ends."""
-    n = F.size(r)
-    segs = segments(r)
+    return _chained(segments(r), F.size(r))
 
+
+@V.bound
+def _chained(segs: Column, n: Column) -> Column:
     def clash(i: Column, j: Column) -> Column:
-        a, b = F.get(segs, i), F.get(segs, j)
         beside = (j == i + 1) | ((i == 0) & (j == n - 1))
-        apart = N.touches(a, b) | N.intersects(a, b)
-        folded = N.has_overlay(a, b)
-        return F.when(beside, folded).otherwise(apart)
+        wrong = V.bound(lambda a, b, near: F.when(near, N.has_overlay(a, b)).otherwise(N.touches(a, b) | N.intersects(a, b)))
+        return wrong(F.get(segs, i), F.get(segs, j), beside)
 
     pairs = lambda i: F.exists(F.sequence(F.least(i + 1, n - 1), n - 1), lambda j: (j > i) & clash(i, j))
     simple = ~F.exists(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), pairs)
@@ -187,13 +202,17 @@ def to_simple(p: Column) -> Column:
     return polygon(p["boundary"])
 
 
+@V.bound
 def canonical_ring(r: Column) -> Column:
     """Eight decimals, from the least vertex on, towards its lesser neighbour: equal for equal rings."""
     q = F.transform(r, lambda p: F.struct(F.round(p["x"], 8).alias("x"), F.round(p["y"], 8).alias("y")))
-    turn = lambda a: F.concat(F.slice(a, F.array_position(a, F.array_min(a)).cast("int"), F.size(a)), F.slice(a, 1, F.array_position(a, F.array_min(a)).cast("int") - 1))
-    return F.when(F.size(r) == 0, q).otherwise(F.least(turn(q), turn(F.reverse(q))))
+    at = V.bound(lambda a, k: F.concat(F.slice(a, k, F.size(a)), F.slice(a, 1, k - 1)))
+    turn = V.bound(lambda a: at(a, F.array_position(a, F.array_min(a)).cast("int")))
+    least = V.bound(lambda a: F.when(F.size(a) == 0, a).otherwise(F.array_min(F.array(turn(a), turn(F.reverse(a))))))
+    return least(q)
 
 
+@V.bound
 def canonical_polygon(p: Column) -> Column:
     return F.struct(canonical_ring(p["boundary"]).alias("boundary"), F.array_sort(F.transform(p["holes"], canonical_ring)).alias("holes"))
 
@@ -211,6 +230,7 @@ def ring_text(r: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(r, V.text), ","), F.lit("]"))
 
 
+@V.bound
 def polygon_text(p: Column) -> Column:
     holes = F.array_join(F.transform(p["holes"], ring_text), ",")
     return F.concat(F.lit("{"), ring_text(p["boundary"]), F.when(F.size(p["holes"]) > 0, F.concat(F.lit(","), holes)).otherwise(""), F.lit("}"))

@@ -62,15 +62,18 @@ def direction(s: Column) -> Column:
     return V.subtract(s["q"], s["p"])
 
 
+@V.bound
 def is_vertical(ln: Column) -> Column:
     return V.close(ln["p"]["x"], ln["q"]["x"])
 
 
+@V.bound
 def slope(ln: Column) -> Column:
     dx = ln["q"]["x"] - ln["p"]["x"]
     return F.when(is_vertical(ln), F.lit(MAX_DOUBLE)).otherwise((ln["q"]["y"] - ln["p"]["y"]) / dx)
 
 
+@V.bound
 def y_intercept(ln: Column) -> Column:
     return F.when(is_vertical(ln), F.lit(None).cast("double")).otherwise(ln["p"]["y"] - slope(ln) * ln["p"]["x"])
 
@@ -84,10 +87,12 @@ def _along(base: Column, way: Column, p: Column) -> tuple[Column, Column]:
     return on, F.when(flat, ly).otherwise(lx)
 
 
+@V.bound
 def line_contains(ln: Column, p: Column) -> Column:
     return _along(ln["p"], direction(ln), p)[0]
 
 
+@V.bound
 def side_of(ln: Column, p: Column) -> Column:
     """Positive left of the line from p to q, negative right of it."""
     return V.cross(direction(ln), V.subtract(p, ln["p"]))
@@ -101,19 +106,23 @@ def is_right(ln: Column, p: Column) -> Column:
     return side_of(ln, p) < 0
 
 
+@V.bound
 def lines_equal(a: Column, b: Column) -> Column:
     return line_contains(a, b["p"]) & line_contains(a, b["q"])
 
 
+@V.bound
 def ray_contains(r: Column, p: Column) -> Column:
     on, at = _along(r["o"], r["d"], p)
     return V.equals(r["o"], p) | (on & (at > 0))
 
 
+@V.bound
 def rays_equal(a: Column, b: Column) -> Column:
     return V.equals(a["o"], b["o"]) & V.equals(V.normalize(a["d"]), V.normalize(b["d"]))
 
 
+@V.bound
 def segment_length(s: Column) -> Column:
     return V.distance(s["p"], s["q"])
 
@@ -126,6 +135,7 @@ def flip(s: Column) -> Column:
     return segment(s["q"], s["p"])
 
 
+@V.bound
 def endpoint(s: Column, side: str) -> Column:
     """upper, lower, left or right endpoint; the other axis decides ties."""
     p, q = s["p"], s["q"]
@@ -135,6 +145,7 @@ def endpoint(s: Column, side: str) -> Column:
     return F.when(first, p).otherwise(q)
 
 
+@V.bound
 def contains(s: Column, p: Column) -> Column:
     on, at = _along(s["p"], direction(s), p)
     point_like = V.equals(s["p"], s["q"])
@@ -149,11 +160,13 @@ def contains_segment(s: Column, t: Column) -> Column:
     return contains(s, t["p"]) & contains(s, t["q"])
 
 
+@V.bound
 def touches(s: Column, t: Column) -> Column:
     """An endpoint of one lies on the other."""
     return contains(s, t["p"]) | contains(s, t["q"]) | contains(t, s["p"]) | contains(t, s["q"])
 
 
+@V.bound
 def has_overlay(s: Column, t: Column) -> Column:
     """Parallel, and more than a point in common."""
     shared = F.array_distinct(
@@ -164,57 +177,80 @@ def has_overlay(s: Column, t: Column) -> Column:
     return V.is_parallel(direction(s), direction(t)) & (F.size(shared) > 1)
 
 
+@V.bound
 def canonical(s: Column) -> Column:
     return F.struct(F.least(s["p"], s["q"]).alias("p"), F.greatest(s["p"], s["q"]).alias("q"))
 
 
+@V.bound
 def segments_equal(a: Column, b: Column) -> Column:
     return (V.equals(a["p"], b["p"]) & V.equals(a["q"], b["q"])) | (V.equals(a["p"], b["q"]) & V.equals(a["q"], b["p"]))
 
 
+@V.bound
 def closest_on_segment(s: Column, p: Column) -> Column:
-    d = direction(s)
+    return _at(s, direction(s), p)
+
+
+@V.bound
+def _at(s: Column, d: Column, p: Column) -> Column:
     size = V.dot(d, d)
-    t = F.when(size == 0, F.lit(0.0)).otherwise(V.dot(V.subtract(p, s["p"]), d) / F.when(size == 0, 1.0).otherwise(size))
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-    return V.point(s["p"]["x"] + t * d["x"], s["p"]["y"] + t * d["y"])
+    share = V.dot(V.subtract(p, s["p"]), d) / F.when(size == 0, 1.0).otherwise(size)
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(size == 0, F.lit(0.0)).otherwise(share)))
+    return V.raw(s["p"]["x"] + t * d["x"], s["p"]["y"] + t * d["y"])
 
 
+@V.bound
 def point_distance(s: Column, p: Column) -> Column:
-    return V.distance(closest_on_segment(s, p), p)
+    return _measured(closest_on_segment(s, p), p)["d"]
 
 
+@V.bound
 def segment_distance(s: Column, t: Column) -> Column:
     """Least of the four endpoint distances; segments that cross are not at distance zero."""
     return F.least(point_distance(s, t["p"]), point_distance(s, t["q"]), point_distance(t, s["p"]), point_distance(t, s["q"]))
 
 
+@V.bound
 def closest_points(s: Column, t: Column) -> Column:
     """STRUCT<d, a, b>: the pair of least distance between an endpoint and the other segment."""
     pairs = [(closest_on_segment(s, t["p"]), t["p"]), (closest_on_segment(s, t["q"]), t["q"]), (s["p"], closest_on_segment(t, s["p"])), (s["q"], closest_on_segment(t, s["q"]))]
-    return F.array_min(F.array(*[F.struct(V.distance(a, b).alias("d"), a.alias("a"), b.alias("b")) for a, b in pairs]))
+    return F.array_min(F.array(*[_measured(a, b) for a, b in pairs]))
+
 
+@V.bound
+def _measured(a: Column, b: Column) -> Column:
+    return F.struct(V.distance(a, b).alias("d"), a.alias("a"), b.alias("b"))
 
+
+@V.bound
 def are_parallel(a: Column, b: Column) -> Column:
     return V.is_parallel(direction(a), direction(b))
 
 
+@V.bound
 def line_intersection(a: Column, b: Column) -> Column:
     """Common point of two lines; null for parallel ones, equal ones included."""
-    da, db = direction(a), direction(b)
+    return _meet(a, direction(a), b, direction(b))
+
+
+@V.bound
+def _meet(a: Column, da: Column, b: Column, db: Column) -> Column:
     det = V.cross(da, db)
-    t = V.cross(V.subtract(b["p"], a["p"]), db) / F.when(F.abs(det) < EPSILON, None).otherwise(det)
-    return F.when(t.isNotNull(), V.point(a["p"]["x"] + t * da["x"], a["p"]["y"] + t * da["y"]))
+    share = V.cross(V.subtract(b["p"], a["p"]), db) / F.when(F.abs(det) < EPSILON, None).otherwise(det)
+    return V.bound(lambda t, a, da: F.when(t.isNotNull(), V.raw(a["p"]["x"] + t * da["x"], a["p"]["y"] + t * da["y"])))(share, a, da)
 
 
+@V.bound
 def segment_intersection(a: Column, b: Column) -> Column:
-    p = line_intersection(a, b)
-    return F.when(p.isNotNull() & contains(a, p) & contains(b, p), p)
+    on_both = V.bound(lambda p, s, t: F.when(p.isNotNull() & contains(s, p) & contains(t, p), p))
+    return on_both(line_intersection(a, b), a, b)
 
 
+@V.bound
 def ray_segment_intersection(r: Column, s: Column) -> Column:
-    p = line_intersection(ray_line(r), s)
-    return F.when(p.isNotNull() & ray_contains(r, p) & contains(s, p), p)
+    on_both = V.bound(lambda p, o, t: F.when(p.isNotNull() & ray_contains(o, p) & contains(t, p), p))
+    return on_both(line_intersection(ray_line(r), s), r, s)
 
 
 def intersects(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from math import pi
 
 from pyspark.sql import Column
@@ -26,26 +27,47 @@ def point(x: Num, y: Num) -> Column:
     return F.struct(snap(x).alias("x"), snap(y).alias("y"))
 
 
+def raw(x: Column, y: Column) -> Column:
+    """A point from computed components; snapping is left to constructed points, and comparisons are tolerant."""
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def bound(f):
+    """Evaluate the column arguments of f once: a lambda binds them, so nested calls do not multiply the expression."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        cols = [a for a in args if isinstance(a, Column)]
+
+        def body(v: Column) -> Column:
+            at = iter(range(len(cols)))
+            return f(*[v[f"c{next(at)}"] if isinstance(a, Column) else a for a in args], **kwargs)
+
+        return F.get(F.transform(F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])), body), F.lit(0))
+
+    return run
+
+
 def add(a: Column, b: Column) -> Column:
-    return point(a["x"] + b["x"], a["y"] + b["y"])
+    return raw(a["x"] + b["x"], a["y"] + b["y"])
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return point(a["x"] - b["x"], a["y"] - b["y"])
+    return raw(a["x"] - b["x"], a["y"] - b["y"])
 
 
 def negate(a: Column) -> Column:
-    return point(-a["x"], -a["y"])
+    return raw(-a["x"], -a["y"])
 
 
 def scale(a: Column, s: Num) -> Column:
-    return point(a["x"] * _c(s), a["y"] * _c(s))
+    return raw(a["x"] * _c(s), a["y"] * _c(s))
 
 
 def divide(a: Column, s: Num) -> Column:
     """Division by zero leaves the vector as it is."""
     d = F.when(_c(s) == 0, F.lit(1.0)).otherwise(_c(s))
-    return point(a["x"] / d, a["y"] / d)
+    return raw(a["x"] / d, a["y"] / d)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,9 +96,10 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def orthogonal(a: Column) -> Column:
-    return point(a["y"], -a["x"])
+    return raw(a["y"], -a["x"])
 
 
+@bound
 def normalize(a: Column) -> Column:
     return divide(a, length(a))
 
@@ -149,7 +172,3 @@ def angle_subtract(a: Column, b: Num, full: float = 2 * pi) -> Column:
 def cantor_pair(x: Column, y: Column) -> Column:
     s = x.cast("long") + y.cast("long")
     return F.floor((s * (s + 1)) / 2).cast("long") + y.cast("long")
-
-
-def cantor_pair_exact(x: str, y: str) -> Column:
-    return F.expr(f"(({x} + {y} + 1) * ({x} + {y})) div 2 + {y}")

@@ -16,7 +16,7 @@ def degree_centrality(graph: Graph) -> DataFrame:
 
 def _with_ends(graph: Graph, columns: list[str]) -> DataFrame:
     side = lambda end: graph.nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
-    return graph.both().select("src", "dst").join(side("src"), "src").join(side("dst"), "dst")
+    return graph.both().join(side("src"), "src").join(side("dst"), "dst")
 
 
 def _measure(graph: Graph, columns: list[str], value, name: str) -> DataFrame:
@@ -24,13 +24,12 @@ def _measure(graph: Graph, columns: list[str], value, name: str) -> DataFrame:
     return graph.nodes.select("id").join(m, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def mean_local_significance(graph: Graph, area: str = "area", x: str = "x", y: str = "y", log: bool = False) -> DataFrame:
-    """Mean of area * area / squared distance over the neighbours; infinite at distance zero."""
-    dx, dy = F.col(f"src_{x}") - F.col(f"dst_{x}"), F.col(f"src_{y}") - F.col(f"dst_{y}")
-    d2 = dx * dx + dy * dy
+def mean_local_significance(graph: Graph, area: str = "area", distance: str = "distance", log: bool = False) -> DataFrame:
+    """Mean of area * area / squared distance over the neighbours; infinite at distance zero. Edges carry the distance."""
+    d2 = F.col(distance) * F.col(distance)
     each = F.when(d2 == 0, F.lit(float("inf"))).otherwise(F.col(f"src_{area}") * F.col(f"dst_{area}") / F.when(d2 == 0, 1.0).otherwise(d2))
     value = F.log10(F.avg(each)) if log else F.avg(each)
-    return _measure(graph, [area, x, y], value, "MeanLocSig")
+    return _measure(graph, [area], value, "MeanLocSig")
 
 
 def smaller_neighbours_ratio(graph: Graph, area: str = "area") -> DataFrame:

@@ -5,15 +5,572 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from geoweave.functions import areal as A
+from geoweave.functions import geodesy, kernels, predicates
+from geoweave.functions import linear as N
+from geoweave.functions import vectors as V
+from geoweave.operators import centrality, layers, spatial_join
+from geoweave.operators import graph_algorithms as GA
+from geoweave.operators.graph import Graph, edge_text
+from geoweave.plans import layers_from_tables as T
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["k15_polygon_graph_degree"](spark, sf_dir)
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
 
+    return keep
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k15_polygon_graph_degree(spark, sf_dir)
+
+
+def r6(c, places: int = 6):
+    """Rounded, without negative zero."""
+    return F.round(c, places) + F.lit(0.0)
+
+
+def big(c):
+    return c.cast("long")
+
+
+# --- vectors and angles ------------------------------------------------------------------------
+
+
+@query(f"""WITH {T.VECTORS} SELECT id, round(ax+bx,6)+0.0 AS add_x, round(ay+by_,6)+0.0 AS add_y, round(ax-bx,6)+0.0 AS sub_x, round(-ay,6)+0.0 AS neg_y,
+  round(ax*3,6)+0.0 AS mul_x, round(ax/4,6)+0.0 AS div_x, round(ax,6)+0.0 AS div0_x, round(ax*bx+ay*by_,6)+0.0 AS dot, round(ax*by_-ay*bx,6)+0.0 AS cross_z,
+  round(sqrt(ax*ax+ay*ay),6)+0.0 AS len, round(sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)),6)+0.0 AS dist, round(ay,6)+0.0 AS ortho_x, round(-ax,6)+0.0 AS ortho_y,
+  round(ax/sqrt(ax*ax+ay*ay),6)+0.0 AS norm_x, printf('(%f,%f)', round(ax,3)+0.0, round(ay,3)+0.0) AS txt FROM vecs""")
+def v1_v8_vector_arithmetic(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    rounded = V.raw(r6(a["x"], 3), r6(a["y"], 3))
+    return T.vectors(spark, sf).select(
+        "id", r6(V.add(a, b)["x"]).alias("add_x"), r6(V.add(a, b)["y"]).alias("add_y"), r6(V.subtract(a, b)["x"]).alias("sub_x"), r6(V.negate(a)["y"]).alias("neg_y"),
+        r6(V.scale(a, 3)["x"]).alias("mul_x"), r6(V.divide(a, 4)["x"]).alias("div_x"), r6(V.divide(a, 0)["x"]).alias("div0_x"), r6(V.dot(a, b)).alias("dot"),
+        r6(V.cross(a, b)).alias("cross_z"), r6(V.length(a)).alias("len"), r6(V.distance(a, b)).alias("dist"), r6(V.orthogonal(a)["x"]).alias("ortho_x"),
+        r6(V.orthogonal(a)["y"]).alias("ortho_y"), r6(V.normalize(a)["x"]).alias("norm_x"), V.text(rounded).alias("txt"),
+    )
+
+
+@query(f"""WITH {T.VECTORS}, w AS (SELECT id, atan2(ay-by_, ax-bx) AS t, ax*10 AS v FROM vecs)
+  SELECT id, round(t+0.5 - 2*pi()*floor((t+0.5)/(2*pi())),6)+0.0 AS angle, round(degrees(t - 2*pi()*floor(t/(2*pi()))),5)+0.0 AS deg,
+  round(sin(t),6)+0.0 AS sin_t, round(cos(t),6)+0.0 AS cos_t, round(v-3*floor(v/3),6)+0.0 AS range_v,
+  round((v-pi()) - 2*pi()*floor((v-pi())/(2*pi())) - pi(),6)+0.0 AS range_lb, round((t+2) - 2*pi()*floor((t+2)/(2*pi())),6)+0.0 AS plus, round((t-2) - 2*pi()*floor((t-2)/(2*pi())),6)+0.0 AS minus FROM w""")
+def v6_v15_angles(spark, sf):
+    pi = 3.141592653589793
+    rows = T.vectors(spark, sf).withColumn("t", V.angle_to(F.col("a"), F.col("b"))).withColumn("v", F.col("a.x") * 10)
+    t = F.col("t")
+    return rows.select(
+        "id", r6(V.angle_to(F.col("a"), F.col("b"), 0.5)).alias("angle"), r6(V.to_degrees(t), 5).alias("deg"), r6(F.sin(t)).alias("sin_t"), r6(F.cos(t)).alias("cos_t"),
+        r6(V.normalize_range(F.col("v"), 3)).alias("range_v"), r6(V.normalize_range(F.col("v"), pi, -pi)).alias("range_lb"),
+        r6(V.angle_add(t, 2.0)).alias("plus"), r6(V.angle_subtract(t, 2.0)).alias("minus"),
+    )
+
+
+@query(f"""WITH {T.SITES} SELECT id, x*2-y*1=0 AS parallel, x*1+y*2=0 AS orthogonal, x=100 AND y=100 AS equal, CASE WHEN x=250 THEN y<250 ELSE x<250 END AS before_xy,
+  CASE WHEN y=250 THEN x<250 ELSE y<250 END AS before_yx, cast(((x+y)*(x+y+1))//2+y AS bigint) AS cantor FROM sites""")
+def v3_v16_relations(spark, sf):
+    p = V.point(F.col("x"), F.col("y"))
+    q = V.point(250.0, 250.0)
+    return T.sites(spark, sf).select(
+        "id", V.is_parallel(p, V.point(1.0, 2.0)).alias("parallel"), V.is_orthogonal(p, V.point(1.0, 2.0)).alias("orthogonal"), V.equals(p, V.point(100.0, 100.0)).alias("equal"),
+        V.before_xy(p, q).alias("before_xy"), V.before_yx(p, q).alias("before_yx"), V.cantor_pair(F.col("x"), F.col("y")).alias("cantor"),
+    )
+
+
+# --- lines, rays, segments ---------------------------------------------------------------------
+
+
+@query(f"""WITH {T.PARCELS}, q AS (SELECT id, xmin AS px, ymin AS py, xmax AS qx, ymax AS qy, (xmin+xmax)/2 AS mx, (ymin+ymax)/2 AS my FROM parcels)
+  SELECT id, round((qy-py)/(qx-px),6)+0.0 AS slope, round(py-(qy-py)/(qx-px)*px,6)+0.0 AS intercept, false AS vertical, 1.7976931348623157e308 AS v_slope,
+  true AS has_middle, false AS has_corner, (qx-px)*(py+1-py)-(qy-py)*(px-px)>0 AS is_left, true AS ray_has_end, false AS ray_has_back, true AS same_line FROM q""")
+def n1_n8_lines_and_rays(spark, sf):
+    b = F.col("box")
+    p, q = V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymax"])
+    ln, mid = N.line(p, q), V.point((b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2)
+    r = N.ray(p, V.subtract(q, p))
+    return T.parcels(spark, sf).select(
+        "id", r6(N.slope(ln)).alias("slope"), r6(N.y_intercept(ln)).alias("intercept"), N.is_vertical(ln).alias("vertical"), N.slope(N.vertical_line(3.0)).alias("v_slope"),
+        N.line_contains(ln, mid).alias("has_middle"), N.line_contains(ln, V.point(b["xmin"], b["ymax"])).alias("has_corner"), N.is_left(ln, V.point(b["xmin"], b["ymin"] + 1)).alias("is_left"),
+        N.ray_contains(r, q).alias("ray_has_end"), N.ray_contains(N.ray_opposite(r), q).alias("ray_has_back"), N.lines_equal(ln, N.line(q, mid)).alias("same_line"),
+    )
+
+
+@query(f"""WITH {T.PARCELS} SELECT id, round(sqrt(w*w+h*h),6)+0.0 AS len, xmax AS upper_x, xmin AS left_x, true AS has_middle, true AS flipped_equal, true AS touches_side,
+  round(abs(w*h)/sqrt(w*w+h*h),6)+0.0 AS corner_dist, round(sqrt(9+16),6)+0.0 AS beyond, round(least(w,h)/2,6)+0.0 AS cross_dist, true AS overlay FROM parcels""")
+def n9_n15_segments(spark, sf):
+    b = F.col("box")
+    p, q = V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymax"])
+    s = N.segment(p, q)
+    mx, my = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
+    flat, steep = N.segment(V.point(b["xmin"], my), V.point(b["xmax"], my)), N.segment(V.point(mx, b["ymin"]), V.point(mx, b["ymax"]))
+    return T.parcels(spark, sf).select(
+        "id", r6(N.segment_length(s)).alias("len"), N.endpoint(s, "upper")["x"].alias("upper_x"), N.endpoint(s, "left")["x"].alias("left_x"), N.contains(s, V.point(mx, my)).alias("has_middle"),
+        N.segments_equal(s, N.flip(s)).alias("flipped_equal"), N.touches(s, N.segment(q, V.point(b["xmin"], b["ymax"]))).alias("touches_side"), r6(N.point_distance(s, V.point(b["xmin"], b["ymax"]))).alias("corner_dist"),
+        r6(N.point_distance(flat, V.point(b["xmax"] + 3, my + 4))).alias("beyond"), r6(N.segment_distance(flat, steep)).alias("cross_dist"), N.has_overlay(s, N.segment(V.point(mx, my), q)).alias("overlay"),
+    )
+
+
+@query(f"""WITH {T.PARCELS} SELECT id, round((xmin+xmax)/2,6)+0.0 AS ix, round((ymin+ymax)/2,6)+0.0 AS iy, CAST(NULL AS double) AS par_x, true AS crossing, false AS apart,
+  round(xmin+w/2,6)+0.0 AS ray_x, round(h/2,6)+0.0 AS close_d FROM parcels""")
+def n16_n19_intersections(spark, sf):
+    b = F.col("box")
+    mx = (b["xmin"] + b["xmax"]) / 2
+    d1, d2 = N.segment(V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymax"])), N.segment(V.point(b["xmin"], b["ymax"]), V.point(b["xmax"], b["ymin"]))
+    bottom, top = N.segment(V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymin"])), N.segment(V.point(b["xmin"], b["ymax"]), V.point(b["xmax"], b["ymax"]))
+    centre = V.point(mx, (b["ymin"] + b["ymax"]) / 2)
+    return T.parcels(spark, sf).select(
+        "id", r6(N.segment_intersection(d1, d2)["x"]).alias("ix"), r6(N.segment_intersection(d1, d2)["y"]).alias("iy"), N.line_intersection(bottom, top)["x"].alias("par_x"),
+        N.intersects(d1, d2).alias("crossing"), N.intersects(bottom, top).alias("apart"), r6(N.ray_segment_intersection(N.ray_towards(centre, "up"), top)["x"]).alias("ray_x"),
+        r6(N.closest_points(N.segment(centre, centre), top)["d"]).alias("close_d"),
+    )
+
+
+# --- areal geometry ----------------------------------------------------------------------------
+
+_SHOELACE = "0.5*abs(list_sum(list_transform(range(1,len({r})+1), lambda i: {r}[i].x*{r}[i%len({r})+1].y-{r}[i%len({r})+1].x*{r}[i].y)))"
+_MEAN = "list_sum(list_transform({r}, lambda p: p.{c}))/len({r})"
+
+
+@query(f"""WITH {T.LOTS}, m AS (SELECT *, {_SHOELACE.format(r='ring')} AS ra, coalesce({_SHOELACE.format(r='hole')},0) AS ha, {_MEAN.format(r='ring', c='x')} AS cx, {_MEAN.format(r='ring', c='y')} AS cy,
+    coalesce({_MEAN.format(r='hole', c='x')},0) AS hx, list_min(list_transform(ring, lambda p: p.x)) AS xmin, list_max(list_transform(ring, lambda p: p.x)) AS xmax,
+    list_min(list_transform(ring, lambda p: p.y)) AS ymin, list_max(list_transform(ring, lambda p: p.y)) AS ymax FROM lots)
+  SELECT id, round(ra,6)+0.0 AS ring_area, round(ra-ha,6)+0.0 AS area, round(cx,6)+0.0 AS ring_cx, round((cx*ra-hx*ha)/(ra-ha),6)+0.0 AS cx, xmin, ymin, xmax, ymax,
+  round(xmin-(xmax-xmin)*0.5,6)+0.0 AS scaled_xmin, round(ymax+(ymax-ymin)*0.5,6)+0.0 AS scaled_ymax, xmin AS kept_xmin, round(2*(ra-ha),6)+0.0 AS multi_area,
+  round((cx*ra-hx*ha)/(ra-ha)+50,6)+0.0 AS multi_cx, hole IS NULL AS simple, true AS valid, cast(len(ring) AS bigint) AS n_segments FROM m""")
+def a1_a12_measures(spark, sf):
+    g = F.col("geom")
+    b = A.ring_box(g["boundary"])
+    moved = F.transform(g["boundary"], lambda p: V.point(p["x"] + 100, p["y"]))
+    moved_holes = F.transform(g["holes"], lambda r: F.transform(r, lambda p: V.point(p["x"] + 100, p["y"])))
+    both = F.array(g, F.struct(moved.alias("boundary"), moved_holes.alias("holes")))
+    return T.lots(spark, sf).select(
+        "id", r6(A.ring_area(g["boundary"])).alias("ring_area"), r6(A.polygon_area(g)).alias("area"), r6(A.ring_centroid(g["boundary"])["x"]).alias("ring_cx"),
+        r6(A.polygon_centroid(g)["x"]).alias("cx"), b["xmin"].alias("xmin"), b["ymin"].alias("ymin"), b["xmax"].alias("xmax"), b["ymax"].alias("ymax"),
+        r6(A.scale_rectangle(b, 1.5)["xmin"]).alias("scaled_xmin"), r6(A.scale_rectangle(b, 1.5)["ymax"]).alias("scaled_ymax"), A.scale_rectangle(b, -1)["xmin"].alias("kept_xmin"),
+        r6(A.multi_area(both)).alias("multi_area"), r6(A.multi_centroid(both)["x"]).alias("multi_cx"), A.is_simple(g).alias("simple"), A.is_valid_ring(g["boundary"]).alias("valid"),
+        big(F.size(A.segments(g["boundary"]))).alias("n_segments"),
+    )
+
+
+@query(f"""WITH {T.LOTS} SELECT id, CASE WHEN kind=3 THEN 'OUTSIDE' WHEN kind=1 THEN 'BOUNDARY' ELSE 'INSIDE' END AS centre, CASE WHEN kind=2 THEN 'OUTSIDE' ELSE 'BOUNDARY' END AS corner,
+  'OUTSIDE' AS far, CASE WHEN kind=3 THEN 'INSIDE' WHEN kind=1 THEN 'INSIDE' ELSE 'INSIDE' END AS hole_edge, kind<>3 AS multi_has_centre, true AS multi_far_out,
+  cast(CASE kind WHEN 3 THEN 4 ELSE 2 END AS bigint) AS n_cuts FROM lots""")
+def a13_a18_point_location(spark, sf):
+    g, x, y, s = F.col("geom"), F.col("x"), F.col("y"), F.col("s")
+    at = lambda dx, dy: V.point(x + dx * s, y + dy * s)
+    cut = N.segment(V.point(x - 1, y + s * 0.375), V.point(x + s + 1, y + s * 0.375))
+    return T.lots(spark, sf).select(
+        "id", A.polygon_location(g, at(0.5, 0.5)).alias("centre"), A.polygon_location(g, at(0, 0)).alias("corner"), A.polygon_location(g, at(3, 3)).alias("far"),
+        A.polygon_location(g, at(0.25, 0.375)).alias("hole_edge"), A.multi_contains_point(F.array(g), at(0.5, 0.5)).alias("multi_has_centre"),
+        A.multi_outside(F.array(g), at(3, 3)).alias("multi_far_out"), big(F.size(A.polygon_intersections(g, cut))).alias("n_cuts"),
+    )
+
+
+@query(f"""WITH {T.LOTS} SELECT id, true AS turned_equal, true AS reversed_equal, true AS same_id, cast(len(ring) AS bigint) AS n_clean,
+  '[' || array_to_string(list_transform(ring, lambda p: printf('(%f,%f)', p.x, p.y)), ',') || ']' AS txt, cast(1 AS bigint) AS parts, cast(0 AS bigint) AS left_parts FROM lots""")
+def a2_a37_canonical_forms(spark, sf):
+    r = F.col("geom.boundary")
+    turned = F.concat(F.slice(r, 2, 10), F.slice(r, 1, 1))
+    closed = F.concat(r, F.slice(r, 1, 1), F.slice(r, 1, 1))
+    multi = A.promote(F.col("geom"))
+    return T.lots(spark, sf).select(
+        "id", (A.canonical_ring(turned) == A.canonical_ring(r)).alias("turned_equal"), (A.canonical_ring(F.reverse(r)) == A.canonical_ring(r)).alias("reversed_equal"),
+        (A.geometry_id(A.canonical_ring(turned)) == A.geometry_id(A.canonical_ring(r))).alias("same_id"), big(F.size(A.ring_from_points(closed))).alias("n_clean"), A.ring_text(r).alias("txt"),
+        big(F.size(multi)).alias("parts"), big(F.size(A.remove_part(multi, F.col("geom")))).alias("left_parts"),
+    )
+
+
+_BOX_PAIRS = """pairs AS (SELECT a.id AS a, b.id AS b, a.xmin AS ax0, a.ymin AS ay0, a.xmax AS ax1, a.ymax AS ay1, b.xmin AS bx0, b.ymin AS by0, b.xmax AS bx1, b.ymax AS by1
+  FROM parcels a JOIN parcels b ON a.id < b.id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax)"""
+
+
+@query(f"""WITH {T.PARCELS}, {_BOX_PAIRS}, k AS (SELECT *, ax0<=bx0 AND bx1<=ax1 AND ay0<=by0 AND by1<=ay1 AS a_has_b, bx0<=ax0 AND ax1<=bx1 AND by0<=ay0 AND ay1<=by1 AS b_has_a,
+    least(ax1,bx1)>greatest(ax0,bx0) AND least(ay1,by1)>greatest(ay0,by0) AS inner_ FROM pairs)
+  SELECT a, b, a_has_b AS a_contains_b, inner_ AND NOT a_has_b AND NOT b_has_a AS crosses, NOT inner_ AS touches, CASE WHEN a_has_b THEN -1.0 WHEN NOT inner_ THEN 0.0 ELSE -1.0 END AS distance FROM k""")
+def a22_a27_polygon_predicates(spark, sf):
+    """Exact predicates on the pairs of boxes that meet."""
+    rows = spatial_join.box_pairs(T.parcels(spark, sf).select("id", "box"))
+    box = lambda c: A.polygon(A.box_ring(c["xmin"], c["ymin"], c["xmax"], c["ymax"]))
+    p, q = box(F.col("a_box")), box(F.col("b_box"))
+    from pyspark.sql.types import DoubleType
+
+    two = lambda k, t=None: kernels.pair_udf(k, "polygon", "polygon", t)(p, q)
+    return rows.select(
+        "a", "b", two(kernels.polygon_contains).alias("a_contains_b"), two(kernels.polygon_crosses).alias("crosses"), two(kernels.polygon_touches).alias("touches"), (two(kernels.polygon_distance, DoubleType()) + 0.0).alias("distance")
+    )
+
+
+@query(f"""WITH {T.PARCELS} SELECT a.id AS a, b.id AS b, round(sqrt(power(greatest(0,a.xmin-b.xmax,b.xmin-a.xmax),2)+power(greatest(0,a.ymin-b.ymax,b.ymin-a.ymax),2)),6)+0.0 AS d
+  FROM parcels a JOIN parcels b ON b.id = a.id + 1 WHERE greatest(a.xmin-b.xmax,b.xmin-a.xmax,a.ymin-b.ymax,b.ymin-a.ymax) > 0""")
+def a28_a31_shape_distance(spark, sf):
+    rows = T.parcels(spark, sf).select("id", "box", A.polygon(A.box_ring(F.col("box.xmin"), F.col("box.ymin"), F.col("box.xmax"), F.col("box.ymax"))).alias("geom"))
+    pairs = rows.select(F.col("id").alias("a"), F.col("box").alias("a_box"), F.col("geom").alias("a_geom")).join(rows.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("box").alias("b_box"), F.col("geom").alias("b_geom")), "a")
+    apart = pairs.where(~A.overlap(F.col("a_box"), F.col("b_box")))
+    return apart.select("a", "b", r6(kernels.closest_udf()(F.col("a_geom"), F.col("b_geom"))["d"]).alias("d"))
+
+
+@query(f"""WITH {T.LOTS} SELECT id, cast(CASE kind WHEN 1 THEN 3 ELSE 4 END AS bigint) AS hull_points, round(CASE kind WHEN 1 THEN s*s/2 WHEN 2 THEN s*s/2 ELSE s*s END,6)+0.0 AS hull_area, true AS valid,
+  true AS multi_valid, kind IN (0,3) AS has_top, kind IN (0,3) AS box_like FROM lots""")
+def a17_a38_validity_and_hull(spark, sf):
+    import numpy as np
+
+    g = F.col("geom")
+    hull = kernels.points_udf(lambda p: kernels.convex_hull(np.concatenate(p)), "polygon")(g)
+    top = kernels.unary_udf(lambda p: kernels.ring_contains_segment(p[0], np.array([[p[0][:, 0].min(), p[0][:, 1].max()], p[0].max(axis=0)])), "polygon")
+    rows = T.lots(spark, sf).withColumn("hull", hull).withColumn("valid", kernels.unary_udf(kernels.polygon_valid, "polygon")(g))
+    rows = rows.withColumn("multi_valid", kernels.unary_udf(kernels.multi_valid, "multi")(F.array(g))).withColumn("has_top", top(g))
+    return rows.select("id", big(F.size("hull")).alias("hull_points"), r6(A.ring_area(F.col("hull"))).alias("hull_area"), "valid", "multi_valid", "has_top", (F.col("kind") % 3 == 0).alias("box_like"))
+
+
+# --- spatial joins -----------------------------------------------------------------------------
+
+_SCALED = """scaled AS (SELECT id, xmin-w AS xmin, ymin-h AS ymin, xmax+w AS xmax, ymax+h AS ymax, xmin AS px0, ymin AS py0, xmax AS px1, ymax AS py1, area FROM parcels)"""
+_NEAR = """near AS (SELECT a, b, d, rk FROM (SELECT a.id AS a, b.id AS b, sqrt(power(greatest(0,a.px0-b.px1,b.px0-a.px1),2)+power(greatest(0,a.py0-b.py1,b.py0-a.py1),2)) AS d,
+    row_number() OVER (PARTITION BY a.id ORDER BY sqrt(power(greatest(0,a.px0-b.px1,b.px0-a.px1),2)+power(greatest(0,a.py0-b.py1,b.py0-a.py1),2)), b.id) AS rk
+  FROM scaled a JOIN scaled b ON a.id <> b.id AND (a.ymin > b.ymin OR (a.ymin = b.ymin AND a.id < b.id)) AND a.ymin < b.ymax AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND b.ymin <= a.ymax) WHERE rk <= 5)"""
+
+
+def polygon_graph(spark, sf) -> Graph:
+    p = T.parcels(spark, sf)
+    near = spatial_join.neighbours_by_box(p, 2.0, 5)
+    return Graph.of_edges(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes=p.select("id", "area", F.col("x0").alias("x"), F.col("y0").alias("y")))
+
+
+@query(f"WITH {T.PARCELS}, {_SCALED}, {_NEAR} SELECT a, b, round(d,6)+0.0 AS distance, cast(rk AS bigint) AS rank FROM near")
+def j3_j6_polygon_neighbours(spark, sf):
+    return spatial_join.neighbours_by_box(T.parcels(spark, sf), 2.0, 5).select("a", "b", r6(F.col("distance")).alias("distance"), big(F.col("rank")).alias("rank"))
+
+
+@query(f"""WITH {T.PARCELS}, {_SCALED}, {_NEAR}, ends AS (SELECT a AS id FROM near UNION ALL SELECT b FROM near)
+  SELECT p.id, count(e.id) AS degree FROM parcels p LEFT JOIN ends e ON p.id = e.id GROUP BY p.id""")
+def k15_polygon_graph_degree(spark, sf):
+    """Degree of each parcel in the graph of scaled boxes."""
+    return polygon_graph(spark, sf).degrees()
+
+
+@query(f"""WITH {T.PARCELS}, big_ AS (SELECT * FROM parcels WHERE area >= 4) SELECT id, area FROM big_ p WHERE NOT EXISTS (SELECT 1 FROM big_ q WHERE q.id <> p.id
+   AND (q.ymax > p.ymax OR (q.ymax = p.ymax AND q.area > p.area) OR (q.ymax = p.ymax AND q.area = p.area AND q.id < p.id)) AND q.ymin <= p.ymax AND q.xmin <= p.xmin AND p.xmax <= q.xmax AND q.ymin <= p.ymin AND p.ymax <= q.ymax)""")
+def j2_mutual_filter(spark, sf):
+    box = lambda g: A.ring_box(g["boundary"])
+    layer = T.parcels(spark, sf).select("id", "area", A.polygon(A.box_ring(F.col("box.xmin"), F.col("box.ymin"), F.col("box.xmax"), F.col("box.ymax"))).alias("geom"))
+    return spatial_join.mutual_filter(layer, lambda g: A.polygon_area(g) >= 4, lambda p, q: ~A.rectangle_contains(box(q), box(p))).select("id", "area")
+
+
+@query(f"""WITH {T.SITES}, pts AS (SELECT min(id) AS id, x, y FROM sites GROUP BY x, y), r AS (SELECT a.id, b.id AS neighbour, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d,
+  row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.id) AS rk FROM pts a JOIN pts b ON a.id <> b.id)
+  SELECT id, neighbour, round(d,6)+0.0 AS distance, cast(rk AS bigint) AS rank FROM r WHERE rk <= 3""")
+def j7_j9_all_nearest_points(spark, sf):
+    pts = T.sites(spark, sf).select("id", V.point(F.col("x"), F.col("y")).alias("p"))
+    return spatial_join.all_nearest(pts, 3).select("id", "neighbour", r6(F.col("distance")).alias("distance"), big(F.col("rank")).alias("rank"))
+
+
+@query(f"""WITH {T.SITES}, q AS (SELECT n_nationkey AS qid, cast(n_nationkey*20 AS double) AS qx, cast(n_nationkey*20 AS double) AS qy FROM nation), r AS (SELECT qid, id,
+  sqrt((qx-x)*(qx-x)+(qy-y)*(qy-y)) AS d, row_number() OVER (PARTITION BY qid ORDER BY sqrt((qx-x)*(qx-x)+(qy-y)*(qy-y)), id) AS rk FROM q, sites WHERE NOT (qx=x AND qy=y))
+  SELECT cast(qid AS bigint) AS qid, id, round(d,6)+0.0 AS distance FROM r WHERE rk <= 2""")
+def j8_nearest_of_queries(spark, sf):
+    q = T.read(spark, sf, "nation").selectExpr("n_nationkey AS qid", "cast(n_nationkey*20 AS double) AS qx", "cast(n_nationkey*20 AS double) AS qy")
+    return spatial_join.nearest_of(q, T.sites(spark, sf), 2).select(big(F.col("qid")).alias("qid"), "id", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH {T.PARCELS}, prim AS (SELECT min(xmin) x0, min(ymin) y0, max(xmax) x1, max(ymax) y1 FROM parcels WHERE x0 < 300 AND y0 < 300)
+  SELECT id FROM parcels, prim WHERE prim.x0-20 <= xmax AND xmin <= prim.x1+20 AND prim.y0-20 <= ymax AND ymin <= prim.y1+20""")
+def j10_restrict_to_range(spark, sf):
+    p = T.parcels(spark, sf)
+    return spatial_join.restrict_to_range(p, "box", p.where("x0 < 300 AND y0 < 300"), "box", 20.0).select("id")
+
+
+def _tiles(spark, sf):
+    return T.read(spark, sf, "nation").selectExpr("concat('tile_', n_nationkey % 5, '_', -(n_nationkey div 5), '.shp') AS file")
+
+
+_TILE_SQL = "t AS (SELECT concat('tile_', n_nationkey % 5, '_', -(n_nationkey // 5), '.shp') AS file, n_nationkey % 5 AS x, -(n_nationkey // 5) AS y FROM nation)"
+
+
+@query(f"""WITH {_TILE_SQL} SELECT 'TILES' AS rule, a.file AS a, b.file AS b FROM t a JOIN t b ON a.file <> b.file AND sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)) <= 1.5
+  UNION ALL SELECT 'WSF', a.file, b.file FROM t a JOIN t b ON a.file <> b.file AND abs(a.x-b.x) <= 2 AND abs(a.y-b.y) <= 2
+  UNION ALL SELECT 'CHEBYSHEV', a.file, b.file FROM t a JOIN t b ON greatest(abs(a.x-b.x),abs(a.y-b.y)) = 1""")
+def j11_j12_adjacent_tiles(spark, sf):
+    parts = [spatial_join.adjacent_tiles(_tiles(spark, sf), r).select(F.lit(r).alias("rule"), "a", "b") for r in ("TILES", "WSF", "CHEBYSHEV")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# --- graphs ------------------------------------------------------------------------------------
+
+
+def supply_graph(spark, sf) -> Graph:
+    return Graph.of_edges(T.supply(spark, sf))
+
+
+_COMPONENTS = f"""WITH RECURSIVE {T.SUPPLY}, both_ AS (SELECT src, dst FROM supply UNION SELECT dst, src FROM supply), ids AS (SELECT DISTINCT src AS id FROM both_),
+  reach AS (SELECT id, id AS seen FROM ids UNION SELECT r.id, b.dst FROM reach r JOIN both_ b ON r.seen = b.src), comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"""
+
+
+@query(f"{_COMPONENTS} SELECT id, component FROM comp")
+def r23_connected_components(spark, sf):
+    return GA.connected_components(supply_graph(spark, sf))
+
+
+@query(f"""{_COMPONENTS} SELECT component AS id, cast(sum(abs(id)) AS bigint) AS id_sum, count(*) AS parts, string_agg(cast(id AS varchar), ',' ORDER BY id) AS members FROM comp GROUP BY component""")
+def r25_contraction_nodes(spark, sf):
+    """One node for each component, with the sum of its ids and a fold of them in order."""
+    g = supply_graph(spark, sf)
+    g = Graph(g.nodes.withColumn("n", F.abs("id")).withColumn("s", F.col("id").cast("string")), g.edges)
+    joined = GA.fold("id", "s", F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit(","), x)))
+    out = GA.contract(g, None, [GA.id_sum("n").alias("id_sum"), F.count("*").alias("parts"), joined.alias("members")])
+    return out.nodes.select("id", "id_sum", "parts", "members")
+
+
+@query(f"""WITH {T.PARCELS}, {_SCALED}, {_NEAR}, e AS (SELECT DISTINCT least(a,b) AS src, greatest(a,b) AS dst FROM near), lab AS (SELECT id, id//4 AS c FROM parcels)
+  SELECT DISTINCT least(x.c,y.c) AS src, greatest(x.c,y.c) AS dst FROM e JOIN lab x ON x.id = src JOIN lab y ON y.id = dst WHERE x.c <> y.c""")
+def r25_contraction_edges(spark, sf):
+    g = polygon_graph(spark, sf)
+    labels = g.nodes.select("id", F.expr("id div 4").alias("component"))
+    return GA.contract(g, None, [F.count("*").alias("n")], labels).edges.select("src", "dst")
+
+
+@query(f"""WITH {T.PARCELS}, {_SCALED}, {_NEAR}, both_ AS (SELECT a AS s, b AS t, d FROM near UNION ALL SELECT b, a, d FROM near)
+  SELECT p.id, count(t) AS degree, round(coalesce(avg(CASE WHEN d=0 THEN 'inf'::double ELSE p.area*q.area/(d*d) END),0),4)+0.0 AS mls, round(coalesce(avg(CASE WHEN p.area>q.area THEN 1.0 ELSE 0.0 END),0),6)+0.0 AS smaller
+  FROM parcels p LEFT JOIN both_ ON p.id = s LEFT JOIN parcels q ON q.id = t GROUP BY p.id""")
+def g1_g4_centralities(spark, sf):
+    p = T.parcels(spark, sf)
+    near = spatial_join.neighbours_by_box(p, 2.0, 5).select(F.col("a").alias("src"), F.col("b").alias("dst"), "distance")
+    g = Graph.of_edges(near, nodes=p.select("id", "area"))
+    m = centrality.apply_measures(g, ["DegreeCentralityMeasure", "MeanLocalSignificance", "SmallerNeighboursRatio"])
+    return m.select("id", F.col("DegreeCent").alias("degree"), r6(F.col("MeanLocSig"), 4).alias("mls"), r6(F.col("SmallNeigh")).alias("smaller"))
+
+
+@query(f"""WITH {T.SUPPLY}, e AS (SELECT src, dst FROM supply WHERE dst % 2 = 0 AND src <> -1 UNION SELECT -2, 3), ids AS (SELECT src AS id FROM e UNION SELECT dst FROM e UNION SELECT id FROM (SELECT src AS id FROM supply UNION SELECT dst FROM supply) WHERE id <> -1 UNION SELECT 3)
+  SELECT id, (SELECT count(*) FROM e WHERE dst = ids.id) AS in_degree, (SELECT count(*) FROM e WHERE src = ids.id) AS out_degree, id NOT IN (SELECT dst FROM e) AS is_root FROM ids""")
+def r1_r16_graph_edits(spark, sf):
+    """Directed graph: drop odd edges, drop node -1, add an edge; then degrees and roots."""
+    g = Graph.of_edges(T.supply(spark, sf), directed=True)
+    g = g.remove_edges(g.edges.where("dst % 2 <> 0")).remove_nodes(spark.createDataFrame([(-1,)], "id long"))
+    g = g.add_edges(spark.createDataFrame([(-2, 3), (-2, 3)], "src long, dst long"))
+    roots = g.roots().select("id", F.lit(True).alias("is_root"))
+    out = g.in_degrees().join(g.out_degrees(), "id").join(roots, "id", "left")
+    return out.select("id", "in_degree", "out_degree", F.coalesce("is_root", F.lit(False)).alias("is_root"))
+
+
+@query(f"""WITH {T.SUPPLY}, e AS (SELECT DISTINCT least(src,dst) AS src, greatest(src,dst) AS dst FROM supply) SELECT src, dst, cast(CASE WHEN dst % 6 = 0 THEN 100 ELSE dst - src END AS double) AS weight,
+  '(' || src || ')-(' || dst || ')' AS txt, dst % 6 = 0 AS listed FROM e""")
+def r12_r14_weighted_edges(spark, sf):
+    g = supply_graph(spark, sf)
+    given = g.edges.where("dst % 6 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(100.0).alias("weight"))
+    w = g.weighted((F.col("dst") - F.col("src")).cast("double"), given)
+    listed = g.contains_edges(g.edges.select("src", "dst")).select("src", "dst").join(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("listed")), ["src", "dst"], "left")
+    return w.edges.join(listed, ["src", "dst"]).select("src", "dst", "weight", edge_text(F.col("src"), F.col("dst"), False).alias("txt"), F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey*3+1)%25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey+5)%25 FROM nation),
+  b AS (SELECT src, dst FROM e WHERE src<>dst), walk AS (SELECT 0 AS id, 0 AS hops, [0] AS path UNION ALL SELECT b.dst, hops+1, list_append(path, b.dst) FROM walk JOIN b ON walk.id = b.src WHERE hops < 8 AND NOT list_contains(path, b.dst))
+  SELECT cast(id AS bigint) AS id, cast(min(hops) AS bigint) AS hops, array_to_string(min_by(path, [hops::int] || path), '>') AS path, cast(min(hops) AS bigint) AS n_edges FROM walk GROUP BY id""")
+def r18_r22_shortest_paths(spark, sf):
+    n = T.read(spark, sf, "nation")
+    e = n.selectExpr("cast(n_nationkey AS bigint) AS src", "cast((n_nationkey*3+1)%25 AS bigint) AS dst").union(n.selectExpr("cast(n_nationkey AS bigint)", "cast((n_nationkey+5)%25 AS bigint)"))
+    paths = GA.path_edges(GA.shortest_paths(Graph.of_edges(e, directed=True), 0))
+    return paths.select("id", big(F.col("hops")).alias("hops"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), big(F.size("edges")).alias("n_edges"))
+
+
+@query("SELECT * FROM (VALUES (0::bigint,1::bigint,2::bigint,true),(1,2,3,true),(2,3,1,false),(3,4,4,false),(4,3,4,true),(5,4,1,false)) AS t(step, src, dst, taken)")
+def r15_acyclic_insertion(spark, sf):
+    pairs = [(1, 2), (2, 3), (3, 1), (4, 4), (3, 4), (4, 1)]
+    g = Graph.of_edges(spark.createDataFrame([], "src long, dst long"), directed=True)
+    _, taken = GA.add_acyclic(g, pairs)
+    return spark.createDataFrame([(i, s, d, t) for i, ((s, d), t) in enumerate(zip(pairs, taken))], "step long, src long, dst long, taken boolean")
+
+
+@query(f"""{_COMPONENTS}, f AS (SELECT id, component, 'f' || (abs(id)%3) AS file FROM comp WHERE id > 0), per AS (SELECT component, count(DISTINCT file) AS nf, count(DISTINCT id) AS nodes, min(file) AS file FROM f GROUP BY component),
+  single AS (SELECT *, count(*) OVER (PARTITION BY file) AS n, row_number() OVER (PARTITION BY file ORDER BY component)-1 AS k FROM per WHERE nf = 1), pl AS (SELECT *, ceil(n/4.0) AS parts FROM single)
+  SELECT file || '#' || cast(least(floor(k/floor(n/parts)), parts-1) AS int) AS workload, count(*) AS components, cast(sum(nodes) AS bigint) AS nodes FROM pl GROUP BY 1
+  UNION ALL SELECT 'component#' || component, 1, nodes FROM per WHERE nf > 1""")
+def g13_pack_workloads(spark, sf):
+    c = GA.connected_components(supply_graph(spark, sf)).where("id > 0").withColumn("file", F.concat(F.lit("f"), (F.abs("id") % 3).cast("string")))
+    return GA.pack_workloads(c.select("component", "file", "id"), 4).select("workload", big(F.size("components")).alias("components"), "nodes")
+
+
+# --- layers ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {T.PARCELS}, c AS (SELECT *, x0+w/2 AS cx, y0+h/2 AS cy FROM parcels), b AS (SELECT min(cx) x0, min(cy) y0, max(cx) x1, max(cy) y1 FROM c)
+  SELECT cast(least(3, floor((cx-b.x0)/(b.x1-b.x0)*4)) AS bigint) AS tx, cast(least(3, floor((cy-b.y0)/(b.y1-b.y0)*4)) AS bigint) AS ty, count(*) AS n, cast(sum(id) AS bigint) AS ids FROM c, b GROUP BY 1, 2""")
+def l11_k1_split_tiles(spark, sf):
+    p = T.parcels(spark, sf).withColumn("cx", F.col("x0") + F.col("w") / 2).withColumn("cy", F.col("y0") + F.col("h") / 2)
+    box = p.agg(F.min("cx").alias("xmin"), F.min("cy").alias("ymin"), F.max("cx").alias("xmax"), F.max("cy").alias("ymax"))
+    return layers.split(p, 3, F.col("cx"), F.col("cy"), box).groupBy(big(F.col("tx")).alias("tx"), big(F.col("ty")).alias("ty")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"""WITH {T.PARCELS} SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n FROM parcels""")
+def l12_g8_common_box(spark, sf):
+    return layers.common_box(T.parcels(spark, sf))
+
+
+@query(f"""WITH {T.LOTS}, a AS (SELECT * FROM lots WHERE id % 2 = 0), b AS (SELECT * FROM lots WHERE id % 3 = 0)
+  SELECT 'shared' AS part, count(*) AS n, cast(sum(id) AS bigint) AS ids, cast(NULL AS bigint) AS marks FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.ring = a.ring AND b.hole IS NOT DISTINCT FROM a.hole)
+  UNION ALL SELECT 'rest', count(*), cast(sum(id) AS bigint), cast(NULL AS bigint) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ring = a.ring AND b.hole IS NOT DISTINCT FROM a.hole)
+  UNION ALL SELECT 'merged', (SELECT count(*) FROM a) + (SELECT count(*) FROM b), cast((SELECT sum(id) FROM a) + (SELECT sum(id) FROM b) AS bigint), cast((SELECT count(*) FROM b) * 7 AS bigint)""")
+def l1_l10_layer_edits(spark, sf):
+    lots = T.lots(spark, sf).select("id", "geom")
+    a, b, key = lots.where("id % 2 = 0"), lots.where("id % 3 = 0"), A.canonical_polygon(F.col("geom"))
+    marked = layers.add_attribute(layers.add_field(b, "mark", "integer"), "mark", F.lit(7))
+    merged = layers.merge(a, marked)
+    sums = lambda df, name, mark=F.lit(None): df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(mark).cast("long").alias("marks"))
+    out = sums(layers.contains_geometry(a, b, key), "shared").union(sums(layers.remove_geometry(a, b, key), "rest"))
+    return out.union(sums(merged, "merged", F.col("mark")))
+
+
+@query(f"""WITH {T.PARCELS}, o AS (SELECT id, area, row_number() OVER (ORDER BY area, id) AS rn, count(*) OVER () AS n FROM parcels),
+  b AS (SELECT max(CASE WHEN rn = floor(n*0.5) THEN area END) b1, max(CASE WHEN rn = floor(n*0.75) THEN area END) b2, max(CASE WHEN rn = floor(n*0.9375) THEN area END) b3, max(CASE WHEN rn = floor(n*0.99609375) THEN area END) b4, max(CASE WHEN rn = n THEN area END) b5 FROM o)
+  SELECT CASE WHEN area < b1 THEN 0 WHEN area < b2 THEN 1 WHEN area < b3 THEN 2 WHEN area < b4 THEN 3 WHEN area < b5 THEN 4 END::bigint AS class, count(*) AS n FROM parcels, b WHERE area < b5 GROUP BY 1""")
+def g14_area_classes(spark, sf):
+    """Areas by the bounds at 1/2, 3/4, 15/16, 255/256 and all of their order; the greatest area has no class."""
+    p = T.parcels(spark, sf).select("id", "area")
+    sizes = p.groupBy("area").agg(F.count("*").alias("k"))  # bounds come from the counts of each area, not of each row
+    from pyspark.sql import Window
+
+    run = F.sum("k").over(Window.orderBy("area"))
+    ranked = sizes.withColumn("upto", run).withColumn("all", F.sum("k").over(Window.partitionBy()))
+    at = lambda f: F.min(F.when(F.col("upto") >= F.floor(F.col("all") * f), F.col("area")))
+    b = ranked.agg(*[at(f).alias(f"b{i}") for i, f in enumerate((0.5, 0.75, 0.9375, 0.99609375, 1.0))])
+    label = F.coalesce(*[F.when(F.col("area") < F.col(f"b{i}"), i) for i in range(5)])
+    return p.join(F.broadcast(b)).withColumn("class", big(label)).where("class is not null").groupBy("class").agg(F.count("*").alias("n"))
+
+
+# --- geodesy and domain filters ----------------------------------------------------------------
+
+_GEO = f"{T.SITES}, geo AS (SELECT id, x/503*20-10 AS lon, y/509*20+40 AS lat FROM sites)"
+_DIST = """d AS (SELECT id, lon, lat, power(sin(radians(g)),2)*power(cos(radians(l)),2)+power(cos(radians(f)),2)*power(sin(radians(l)),2) AS s,
+  power(cos(radians(g)),2)*power(cos(radians(l)),2)+power(sin(radians(f)),2)*power(sin(radians(l)),2) AS c, f, g FROM (SELECT id, lon, lat, (lat+52)/2 AS f, (lat-52)/2 AS g, (lon-13.4)/2 AS l FROM geo)),
+  e AS (SELECT *, atan(sqrt(s/c)) AS w FROM d), h AS (SELECT *, sqrt(s*c)/w AS t FROM e)"""
+
+
+@query(f"""WITH {_GEO}, {_DIST} SELECT id, round(2*w*6378137,3)+0.0 AS plain, round(2*w*6378137*(1+(1/298.257223563)*((3*t-1)/(2*c))*power(sin(radians(f)),2)*power(cos(radians(g)),2)
+  -(1/298.257223563)*((3*t+1)/(2*s))*power(cos(radians(f)),2)*power(sin(radians(g)),2)),3)+0.0 AS exact FROM h""")
+def p1_geodesic_distance(spark, sf):
+    p = V.point(F.col("x") / 503 * 20 - 10, F.col("y") / 509 * 20 + 40)
+    q = V.point(13.4, 52.0)
+    return T.sites(spark, sf).select("id", r6(geodesy.wgs84_distance(p, q, False), 3).alias("plain"), r6(geodesy.wgs84_distance(p, q), 3).alias("exact"))
+
+
+@query(f"""WITH {T.PARCELS} SELECT id, w*h >= 20 AND h < 5 AS both_, w*h >= 20 OR h < 2 AS either, true AS none_and, false AS none_or, w*h >= 12 AS large FROM parcels""")
+def p8_p12_composed_filters(spark, sf):
+    large, flat = lambda r: F.col("w") * F.col("h") >= r, lambda r: F.col("h") < r
+    x = F.lit(0)
+    return T.parcels(spark, sf).select(
+        "id", predicates.all_of(lambda _: large(20), lambda _: flat(5))(x).alias("both_"), predicates.any_of(lambda _: large(20), lambda _: flat(2))(x).alias("either"),
+        predicates.all_of()(x).alias("none_and"), predicates.any_of()(x).alias("none_or"), large(12).alias("large"),
+    )
+
+
+def geographic_lots(spark, sf) -> DataFrame:
+    """Lots as polygons of some hundred metres around 10 degrees east, 48 north."""
+    lon, lat = lambda p: 10 + p["x"] / 10000, lambda p: 48 + p["y"] / 10000
+    turn = lambda r: F.transform(r, lambda p: V.point(lon(p), lat(p)))
+    g = F.struct(turn(F.col("geom.boundary")).alias("boundary"), F.transform(F.col("geom.holes"), turn).alias("holes"))
+    return T.lots(spark, sf).select("id", g.alias("geom"))
+
+
+@query()
+def p2_p6_metric_areas(spark, sf):
+    """Approximate and projected square metres of geographic polygons."""
+    from pyspark.sql.types import DoubleType
+
+    g = F.col("geom")
+    rows = geographic_lots(spark, sf).withColumn("projected", kernels.unary_udf(geodesy.projected_area, "polygon", DoubleType())(g))
+    return rows.select("id", r6(predicates.approx_area(g), 1).alias("approx"), r6(F.col("projected"), 1).alias("projected"), predicates.approx_area_filter(5000.0)(g).alias("large"))
+
+
+# --- attribute rules ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {T.PARCELS}, v AS (SELECT id, id%7 AS grp, area, CASE WHEN id%3=0 THEN NULL ELSE (id%100)/100.0 END AS imp, CASE WHEN id%5=0 THEN NULL ELSE cast(id%50 AS double) END AS pop FROM parcels)
+  SELECT cast(grp AS bigint) AS grp, round(sum(area),6)+0.0 AS area, round(sum(imp*area)/sum(area),6)+0.0 AS imp, round(sum(pop),6)+0.0 AS pop,
+  round(sum(CASE WHEN imp IS NULL THEN area ELSE area*imp END + CASE WHEN pop IS NULL THEN 0 ELSE area*pop/10 END),4)+0.0 AS value FROM v GROUP BY grp""")
+def y2_y7_merge_attributes(spark, sf):
+    v = T.parcels(spark, sf).selectExpr("id", "id%7 AS grp", "area", "CASE WHEN id%3=0 THEN NULL ELSE cast((id%100)/100.0 AS double) END AS imp", "CASE WHEN id%5=0 THEN NULL ELSE cast(id%50 AS double) END AS pop")
+    merged = centrality.merge_attributes(v, "grp")
+    value = v.groupBy("grp").agg(F.sum(centrality.settlement_value(F.col("area"), F.col("imp"), F.col("pop"), 10.0)).alias("value"))
+    return merged.join(value, "grp").select(big(F.col("grp")).alias("grp"), r6(F.col("area")).alias("area"), r6(F.col("imp")).alias("imp"), r6(F.col("pop")).alias("pop"), r6(F.col("value"), 4).alias("value"))
+
+
+@query(f"""WITH {T.PARCELS}, {_SCALED}, {_NEAR}, both_ AS (SELECT a AS s, b AS t, d FROM near WHERE d > 0 UNION ALL SELECT b, a, d FROM near WHERE d > 0), r AS (SELECT s, t, q.area/d AS rel, row_number() OVER (PARTITION BY s ORDER BY q.area/d DESC, t) AS rk FROM both_ JOIN parcels q ON q.id = t)
+  SELECT s AS src, t AS dst, round(rel,6)+0.0 AS relevance FROM r WHERE rk <= 3""")
+def y3_relevant_neighbours(spark, sf):
+    """At most three neighbours of each node, by their value over the distance."""
+    p = T.parcels(spark, sf)
+    near = spatial_join.neighbours_by_box(p, 2.0, 5).select(F.col("a").alias("src"), F.col("b").alias("dst"), "distance").where("distance > 0")
+    both = Graph.of_edges(near, nodes=p.select("id")).both().join(p.select(F.col("id").alias("dst"), F.col("area").alias("value")), "dst")
+    ranked = spatial_join.top_k(both.withColumn("relevance", F.col("value") / F.col("distance")), ["src"], [F.desc("relevance"), F.col("dst")], 3)
+    return ranked.select("src", "dst", r6(F.col("relevance")).alias("relevance"))
+
+
+# --- text, files, windows ----------------------------------------------------------------------
+
+
+@query(f"""WITH {_TILE_SQL} SELECT file, cast(x AS bigint) AS x, cast(y AS bigint) AS y, 'SHP' AS type, 'tile_' || x AS stem, cast(abs(y) AS varchar) || '.shp' AS tail FROM t""")
+def f1_f4_file_names(spark, sf):
+    from geoweave.sources.files import file_type
+
+    f = F.col("file")
+    c = spatial_join.tile_coordinates(f)
+    return _tiles(spark, sf).select("file", big(c["x"]).alias("x"), big(c["y"]).alias("y"), file_type(f).alias("type"), F.substring_index(f, "_", 2).alias("stem"), F.regexp_replace(F.substring_index(f, "_", -1), "^-", "").alias("tail"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value),4)+0.0 AS total FROM events GROUP BY 1, 2")
+def t1_windowed_events(spark, sf):
+    from geoweave.streaming.tiles import windowed_counts
+
+    return windowed_counts(T.read(spark, sf, "events")).select("start", "event_type", "n", r6(F.col("total"), 4).alias("total"))
+
+
+# --- sources and workflows ---------------------------------------------------------------------
+
+
+@query()
+def s7_raster_regions(spark, sf):
+    """A raster from the parts, polygonised: regions of equal value with their outlines."""
+    from geoweave.sources.raster import polygonise
+
+    cells = T.read(spark, sf, "part").selectExpr("cast(p_partkey div 40 AS int) AS row", "cast(p_partkey % 40 AS int) AS col", "cast(p_size % 3 AS int) AS val")
+    return polygonise(cells).select("pixel_val", "region", big(F.size("rings")).alias("n_rings"), r6(A.ring_area(F.get("rings", F.lit(0)))).alias("outer_area"))
+
+
+@query(f"""WITH {T.LOTS} SELECT id, round(CASE kind WHEN 0 THEN s*s WHEN 3 THEN s*s*0.75 ELSE s*s/2 END,6)+0.0 AS area FROM lots""")
+def s15_wkb_round_trip(spark, sf):
+    from geoweave.sources import wkb
+
+    back = wkb.polygon_from_wkb(wkb.polygon_to_wkb(F.col("geom")))
+    return T.lots(spark, sf).withColumn("back", back).select("id", r6(A.polygon_area(F.col("back"))).alias("area"))
+
+
+@query()
+def k2_k7_settlement_workflow(spark, sf):
+    """All stages on geographic polygons: filter, neighbours, components, contraction, analysis."""
+    from geoweave.plans import workflow
+    from geoweave.plans.config import WorkflowConfig
+
+    near = lambda d: {"name": "DistanceBiPredicate", "maxDistanceMeters": d}
+    config = WorkflowConfig(
+        unary_filters=[{"name": "ApproxAreaFilter", "requiredArea": 2000.0}], binary_filters=[{"name": "InsidePolygonFilter"}], max_distance_meters=200.0, max_neighbours=3,
+        neighbouring_predicates=[near(200.0)], contraction_predicates=[near(60.0)], centrality_measures=["DegreeCentralityMeasure", "MeanLocalSignificance", "SmallerNeighboursRatio"],
+    )
+    out = workflow.run([geographic_lots(spark, sf).select("geom")], config)
+    return out.analysed.select("id", "FISHNET_ID", "parts", F.round("area", 9).alias("area"), "DegreeCent", F.round("MeanLocSig", 6).alias("MeanLocSig"), F.round("SmallNeigh", 6).alias("SmallNeigh"))

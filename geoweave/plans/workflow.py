@@ -84,10 +84,13 @@ def contraction_stage(filtered: DataFrame, edges: DataFrame, config: WorkflowCon
 
 
 def analysis_stage(graph: Graph, config: WorkflowConfig) -> DataFrame:
-    """Nodes with the fields of the measures asked for."""
-    shaped = graph.nodes.withColumn("area", A.multi_area(F.col("geom"))).withColumn("centre", A.multi_centroid(F.col("geom")))
-    shaped = shaped.withColumn("x", F.col("centre.x")).withColumn("y", F.col("centre.y")).drop("centre")
-    return centrality.apply_measures(replace(graph, nodes=cut(shaped, "shapes")), config.centrality_measures)
+    """Nodes with the fields of the measures asked for; distances are those of the shapes."""
+    nodes = cut(graph.nodes.withColumn("area", A.multi_area(F.col("geom"))), "shapes")
+    side = lambda end: nodes.select(F.col("id").alias(end), F.col("geom").alias(f"{end}_geom"))
+    ends = graph.edges.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst")
+    gap = kernels.closest_udf("multi", "multi")(F.col("src_geom"), F.col("dst_geom"))
+    edges = cut(ends.select("src", "dst", gap["d"].alias("distance")), "distances")
+    return centrality.apply_measures(Graph(nodes, edges, graph.directed), config.centrality_measures)
 
 
 def edge_shape(closest: Column) -> Column:
