@@ -114,7 +114,7 @@ def contract(graph: Graph, predicate: Column | None, reduce: list[Column], compo
 def id_sum(id_col: str = "id") -> Column:
     """Sum of ids as unsigned 64-bit numbers, below 10^18."""
     total = F.sum(F.col(id_col).cast("decimal(20,0)"))
-    return ((total % F.lit(2**64).cast("decimal(20,0)")) % F.lit(ID_MODULUS).cast("decimal(20,0)")).cast("long")
+    return ((total % F.lit(str(2**64)).cast("decimal(20,0)")) % F.lit(str(ID_MODULUS)).cast("decimal(20,0)")).cast("long")
 
 
 def fold(order: str, value: str, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:

@@ -47,7 +47,11 @@ def box_pairs(boxes: DataFrame, id_col: str = "id", box_col: str = "box") -> Dat
         & (F.col("cx") == corner("xmin"))
         & (F.col("cy") == corner("ymin"))
     )
-    return met.select("a", "b", "a_box", "b_box")
+    return met.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(F.col("a") < F.col("b"), F.col("a_box")).otherwise(F.col("b_box")).alias("a_box"),
+        F.when(F.col("a") < F.col("b"), F.col("b_box")).otherwise(F.col("a_box")).alias("b_box"),
+    )
 
 
 def sweep_candidates(boxes: DataFrame, id_col: str = "id", box_col: str = "box") -> DataFrame:
@@ -171,9 +175,10 @@ def nearest_of(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
 
 def restrict_to_range(rows: DataFrame, box_col: str, primary: DataFrame, primary_box: str, d: float) -> DataFrame:
     """Rows whose box is within d of the common box of another layer; that box is one row."""
-    b = primary.select(F.col(primary_box).alias("b")).agg(F.min("b.xmin").alias("x0"), F.min("b.ymin").alias("y0"), F.max("b.xmax").alias("x1"), F.max("b.ymax").alias("y1"))
-    wide = F.struct((F.col("x0") - d).alias("xmin"), (F.col("y0") - d).alias("ymin"), (F.col("x1") + d).alias("xmax"), (F.col("y1") + d).alias("ymax"))
-    return rows.join(F.broadcast(b), A.overlap(F.col(box_col), wide)).drop("x0", "y0", "x1", "y1")
+    b = primary.select(F.col(primary_box).alias("b"))
+    edges = (F.min("b.xmin") - d).alias("xmin"), (F.min("b.ymin") - d).alias("ymin"), (F.max("b.xmax") + d).alias("xmax"), (F.max("b.ymax") + d).alias("ymax")
+    wide = b.agg(*edges).select(F.struct("xmin", "ymin", "xmax", "ymax").alias("__range"))
+    return rows.join(F.broadcast(wide), A.overlap(F.col(box_col), F.col("__range"))).drop("__range")
 
 
 TILE_PATTERN = r"^(.+)_(-?\d+)_(-?\d+)\..+$"
