@@ -17,15 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import DataType, DoubleType, FloatType, IntegerType, LongType, Row, ShortType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, LongType, Row, ShortType, StringType, StructField, StructType
 
 from geoweave.functions import kernels
-from geoweave.sources.wkb import POLYGON_DDL, as_struct, clean_polygon
+from geoweave.sources.wkb import as_struct, clean_polygon
 
 #: Fixed values of the format: magic number, version, polygon shape type, WGS 84 description.
 FILE_CODE, VERSION, POLYGON_TYPE = 9994, 1000, 5
 WGS84_PRJ = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
-POLYGON_TYPE_SQL = StructType.fromDDL(POLYGON_DDL)
+_RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+POLYGON_TYPE_SQL = StructType([StructField("boundary", _RING), StructField("holes", ArrayType(_RING))])
 
 
 @dataclass
@@ -225,8 +226,6 @@ class ShapefileSource(DataSource):
     def schema(self) -> StructType:
         """Fields of the first file, and geom."""
         fields, _ = read_table(list_files(self.options["path"])[0][:-4] + ".dbf")
-        from pyspark.sql.types import ArrayType
-
         geom = ArrayType(POLYGON_TYPE_SQL) if self.options.get("geometry") == "multi" else POLYGON_TYPE_SQL
         return StructType([StructField(f.name, f.type) for f in fields] + [StructField("geom", geom)])
 
