@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Plan nodes that give the same rows in the same order each time, whatever columns are read.
+NARROW = re.compile(r"(Project|Filter|Relation|LocalRelation|LogicalRDD|RelationV2|DataSourceV2\w*|Range|Scan)\b")
+
+
+def is_repeatable(df: DataFrame) -> bool:
+    """Whether df is a table scan, or narrow operations over one, so that row numbers come out alike each time."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    return all(NARROW.match(re.sub(r"^[\s:+\-'!]*", "", x)) for x in lines)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add a unique row number that does not depend on any column's values.
 
-    Rows may repeat and ids may be null, so joins back to the input go by this column. It is
-    stable as long as the input is a table scan (or narrow operations over one), which is what
-    every registered query and every pipeline stage passes in.
+    Rows may repeat and ids may be null, so joins back to the input go by this column. Anything but
+    a scan (a shuffle may order rows differently each time) is written to the shared folder first.
     """
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    numbered = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    return numbered if is_repeatable(df) else materialize(numbered, "numbered")
 
 
 def shared_dir(spark: SparkSession) -> str:
