@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Rows that the model may see, at most about so many; words that it may keep.
 MAX_ROWS, MAX_WORDS, MIN_COUNT = 20_000, 80_000, 2
-GRAM, SMOOTH, CACHE = 4, 0.5, 400_000
+GRAM, SMOOTH, CACHE, BATCH = 4, 0.5, 400_000, 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -76,39 +76,70 @@ def build(counts: pd.DataFrame, totals: dict[str, int]) -> Model:
 
 
 class _Known(dict):
-    """Word -> row of the score table; new words are scored once, and the table starts anew when it is full."""
+    """Word -> row of the score table (log frequencies, then shares); new words of a batch are scored together."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.scores = model, np.zeros((1024, 2 * len(model.langs)))
+        self.model, n = model, len(model.langs)
+        self.rows = {g: i for i, g in enumerate(model.grams)}
+        self.grams = np.array(list(model.grams.values())).reshape(-1, n) if n else np.zeros((0, 0))
+        self.scores = np.zeros((0, 2 * n))
 
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.scores):
-            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        s = self.model.word_scores(word)
-        e = np.exp(s - s.max()) if len(s) else s
-        self.scores[k] = np.concatenate((s, e / e.sum() if len(e) else e))
-        self[word] = k
-        return k
+    def grams_of(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of the word that are known."""
+        padded = f" {word[:200]} "
+        for n in range(min(GRAM, len(padded)), 0, -1):
+            found = [g for i in range(len(padded) - n + 1) if (g := self.rows.get(padded[i : i + n])) is not None]
+            if found:
+                return found
+        return []
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > CACHE:
+            self.clear()
+            self.scores = self.scores[:0]
+        new = list(words - self.keys())
+        if not new:
+            return
+        scores = np.zeros((len(new), len(self.model.langs)))
+        flat: list[int] = []
+        at, sizes = [], []
+        for k, w in enumerate(new):
+            known = self.model.words.get(w)
+            if known is not None:
+                scores[k] = known
+            elif found := self.grams_of(w):
+                flat += found
+                at.append(k)
+                sizes.append(len(found))
+        if at:
+            first = np.cumsum(sizes) - sizes
+            scores[at] = np.add.reduceat(self.grams[flat], first, axis=0) / np.array(sizes)[:, None]
+        share = np.exp(scores - scores.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        self.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+        self.scores = np.concatenate((self.scores, np.concatenate((scores, share), axis=1)))
 
 
 def predict(model: Model, texts: list[str | None], known: _Known | None = None) -> list[tuple[str, float]]:
     """(language, score) of each text; the score is the mean share of its words' weight that goes to the language."""
     known, out, n = known if known is not None else _Known(model), [], len(model.langs)
-    for t in texts:
-        words = LETTERS.findall(t.lower()) if t else []
-        if not words or not n:
-            out.append((UNKNOWN, 0.0))
-            continue
-        sums = np.zeros(2 * n)
-        for i in range(0, len(words), 100_000):
-            rows = [known[w] for w in words[i : i + 100_000]]
-            sums += known.scores[rows].sum(axis=0)
-            if len(known) > CACHE:
-                known.clear()
-        best = int(np.argmax(sums[:n]))
-        out.append((model.langs[best], float(min(1.0, sums[n + best] / len(words)))))
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size < BATCH):
+            size += len(texts[j] or "")
+            j += 1
+        split = [LETTERS.findall(t.lower()) if t and n else [] for t in texts[i:j]]
+        known.learn(set().union(*split))
+        for words in split:
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            sums = known.scores[list(map(known.__getitem__, words))].sum(axis=0)
+            best = int(np.argmax(sums[:n]))
+            out.append((model.langs[best], float(min(1.0, sums[n + best] / len(words)))))
+        i = j
     return out
 
 

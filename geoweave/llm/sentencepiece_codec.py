@@ -74,6 +74,8 @@ class Vocabulary:
         hashes = np.array([hash_points(np.array([list(map(ord, self.pieces[i]))], np.uint32))[0, -1] for i in usable], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(usable, np.int32)[order]
+        self.maybe = np.zeros(1 << 20, bool)  # a filter before the search: the keys' leading bits
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         least, most = (float(f(self.scores[[i for i in usable if self.types[i] == NORMAL]])) if any(self.types[i] == NORMAL for i in usable) else 0.0 for f in (np.min, np.max))
         value = self.scores.astype(np.float64).copy()
         for i in usable:
@@ -131,9 +133,13 @@ def viterbi(vocab: Vocabulary, points: np.ndarray) -> list[np.ndarray]:
     for j in range(1, n + 1):
         i = np.arange(max(0, j - width), j)
         h = prefix[:, j, None] - prefix[:, i] * power[j - i]
-        at = np.searchsorted(vocab.keys, h)
-        at[at == len(vocab.keys)] = 0
-        hit = vocab.keys[at] == h
+        hit = vocab.maybe[(h >> np.uint64(44)).astype(np.int64)]
+        probes = h[hit]
+        found = np.searchsorted(vocab.keys, probes)
+        found[found == len(vocab.keys)] = 0
+        at = np.zeros(h.shape, np.int64)
+        at[hit] = found
+        hit[hit] = vocab.keys[found] == probes
         total = best[:, i] + np.where(hit, vocab.value[at], -np.inf)
         lone = ~hit[:, -1]
         total[lone, -1] = best[lone, j - 1] + vocab.unknown_value
