@@ -118,8 +118,11 @@ def hash_points(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(vocab: Vocabulary, points: np.ndarray) -> list[np.ndarray]:
-    """Best segmentation of each row of code points (all of one length); unknown letters are -1 - code point."""
+def viterbi(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best segmentations of the rows of code points (all of one length), one after another, and their lengths.
+
+    Unknown letters are -1 - code point.
+    """
     m, n = points.shape
     width = vocab.longest
     prefix = hash_points(points)
@@ -146,7 +149,7 @@ def viterbi(vocab: Vocabulary, points: np.ndarray) -> list[np.ndarray]:
         k = np.argmax(total, axis=1)  # the first of equals: the longest last piece
         best[:, j], back[:, j] = total[rows, k], i[k]
         piece[:, j] = np.where(hit[rows, k], vocab.ids[at[rows, k]], -1 - points[:, j - 1].astype(np.int64))
-    out = np.zeros((m, n), np.int64)
+    out = np.zeros((m, n), np.int32)
     taken = np.zeros((m, n), bool)
     pos = np.full(m, n)
     live = rows
@@ -156,48 +159,68 @@ def viterbi(vocab: Vocabulary, points: np.ndarray) -> list[np.ndarray]:
         out[live, q], taken[live, q] = piece[live, p], True
         pos[live] = q
         live = live[q > 0]
-    return [o[t] for o, t in zip(out, taken)]
+    return out[taken], taken.sum(axis=1)
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of units that it has met, up to CACHE of them."""
+    """Encodes texts; keeps the ids of units that it has met, up to about CACHE of them."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
-
-    def _spell(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids) or ids.min() >= 0:
-            return ids.astype(np.int32)
-        out: list[int] = []
-        for x in ids.tolist():
-            if x >= 0:
-                out.append(x)
-            elif len(self.vocab.bytes) == 256:
-                out += [self.vocab.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.vocab.unknown)
-        return np.array(out, np.int32)
+        self.vocab = vocab
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # unit -> its place in first and size
+        self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _spell(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replace unknown letters by byte pieces, or by the unknown piece."""
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, sizes
+        whole = len(self.vocab.bytes) == 256
+        spelled = [[self.vocab.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")] if whole else [self.vocab.unknown] for x in ids[odd].tolist()]
+        more = np.zeros(len(ids), np.int64)
+        more[odd] = [len(x) - 1 for x in spelled]
+        out = np.repeat(ids, more + 1)
+        at = odd + np.cumsum(more[odd]) - more[odd]
+        for k, x in zip(at.tolist(), spelled):
+            out[k : k + len(x)] = x
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return out, sizes + np.bincount(row, weights=more, minlength=len(sizes)).astype(np.int64)
 
     def _learn(self, units: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for u in units:
             by_length.setdefault(len(u), []).append(u)
+        flat, sizes = [self.flat], [self.size]
         for n, group in by_length.items():
             step = max(1, CELLS // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-                self.known.update(zip(part, map(self._spell, viterbi(self.vocab, points))))
+                ids, size = self._spell(*viterbi(self.vocab, points))
+                self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+                flat.append(ids)
+                sizes.append(size)
+        self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
-            self.known.clear()
+            self._forget()
         mark = SPACE if self.vocab.add_prefix else ""
         split = [self.vocab.unit.findall(mark + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set().union(*split) - self.known.keys() if split else set()
-        self._learn(new)
-        get = self.known.__getitem__
-        return [np.concatenate(list(map(get, u))) if u else np.zeros(0, np.int32) for u in split]
+        if new:
+            self._learn(new)
+        out = []
+        for units in split:
+            k = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            size = self.size[k]
+            before = np.cumsum(size) - size
+            out.append(self.flat[np.repeat(self.first[k] - before, size) + np.arange(int(size.sum()))])
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         spelled = self.vocab.spelled
