@@ -36,7 +36,7 @@ def outline(rows: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
         while True:
             options = ahead[at]
             turn = lambda b: came[0] * (b[1] - at[1]) - came[1] * (b[0] - at[0])  # noqa: E731, B023
-            b = options[0] if len(options) == 1 else min(options, key=turn)  # at a corner touch, keep to the own side
+            b = options[0] if len(options) == 1 else max(options, key=turn)  # cells that touch at a corner keep rings of their own
             options.remove(b)
             if not options:
                 del ahead[at]
