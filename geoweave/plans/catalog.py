@@ -573,4 +573,4 @@ def k2_k7_settlement_workflow(spark, sf):
         neighbouring_predicates=[near(200.0)], contraction_predicates=[near(60.0)], centrality_measures=["DegreeCentralityMeasure", "MeanLocalSignificance", "SmallerNeighboursRatio"],
     )
     out = workflow.run([geographic_lots(spark, sf).select("geom")], config)
-    return out.analysed.select("id", "FISHNET_ID", "parts", F.round("area", 9).alias("area"), "DegreeCent", F.round("MeanLocSig", 6).alias("MeanLocSig"), F.round("SmallNeigh", 6).alias("SmallNeigh"))
+    return out.analysed.select("id", "FEATURE_ID", "parts", F.round("area", 9).alias("area"), "DegreeCent", F.round("MeanLocSig", 6).alias("MeanLocSig"), F.round("SmallNeigh", 6).alias("SmallNeigh"))

@@ -45,7 +45,7 @@ class WorkflowConfig:
         return cls(**out)
 
 
-def africapolis() -> WorkflowConfig:
+def urban_clusters() -> WorkflowConfig:
     """Settlement clusters: links and merges up to 200 m, five neighbours, areas from 5,000 square metres on."""
     near = {"name": "DistanceBiPredicate", "maxDistanceMeters": 200.0}
     return WorkflowConfig(

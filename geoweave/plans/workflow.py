@@ -38,13 +38,13 @@ class Result:
 
 
 def filter_stage(polygons: DataFrame, config: WorkflowConfig) -> DataFrame:
-    """Polygons that pass all filters, with FISHNET_ID; equal geometries are one feature."""
-    named = polygons.withColumn("FISHNET_ID", A.geometry_id(A.canonical_polygon(F.col("geom")))).dropDuplicates(["FISHNET_ID"])
+    """Polygons that pass all filters, with FEATURE_ID; equal geometries are one feature."""
+    named = polygons.withColumn("FEATURE_ID", A.geometry_id(A.canonical_polygon(F.col("geom")))).dropDuplicates(["FEATURE_ID"])
     unary = predicates.all_of(*map(predicates.unary_filter, config.unary_filters))
     if not config.binary_filters:
         return named.where(unary(F.col("geom")))
     binary = predicates.all_of(*map(predicates.binary_filter, config.binary_filters))
-    return spatial_join.mutual_filter(named, unary, binary, "FISHNET_ID", "geom")
+    return spatial_join.mutual_filter(named, unary, binary, "FEATURE_ID", "geom")
 
 
 def buffered_box(distance: float, crs: str):
@@ -68,7 +68,7 @@ def neighbour_stage(filtered: DataFrame, config: WorkflowConfig) -> DataFrame:
     wanted = [predicates.neighbour_predicate(c, config.crs) for c in config.neighbouring_predicates]
     wanted = wanted or [predicates.distance_predicate(config.max_distance_meters, config.crs)]
     found = spatial_join.neighbours(
-        filtered, buffered_box(config.max_distance_meters / 2, config.crs), predicates.all_of(*wanted), config.max_neighbours, "FISHNET_ID", "geom"
+        filtered, buffered_box(config.max_distance_meters / 2, config.crs), predicates.all_of(*wanted), config.max_neighbours, "FEATURE_ID", "geom"
     )
     return found.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "closest").dropDuplicates(["src", "dst"])
 
@@ -77,9 +77,9 @@ def contraction_stage(filtered: DataFrame, edges: DataFrame, config: WorkflowCon
     """Component labels, and the graph of multi-polygons."""
     rules = [predicates.neighbour_predicate(c, config.crs) for c in config.contraction_predicates]
     mergeable = predicates.any_of(*rules)(F.col("closest"))
-    graph = Graph(filtered.select(F.col("FISHNET_ID").alias("id"), "geom"), edges)
+    graph = Graph(filtered.select(F.col("FEATURE_ID").alias("id"), "geom"), edges)
     labels = cut(connected_components(graph, mergeable), "components")
-    merged = contract(graph, None, [id_sum().alias("FISHNET_ID"), F.sort_array(F.collect_list("geom")).alias("geom"), F.count("*").alias("parts")], labels)
+    merged = contract(graph, None, [id_sum().alias("FEATURE_ID"), F.sort_array(F.collect_list("geom")).alias("geom"), F.count("*").alias("parts")], labels)
     return labels, merged
 
 

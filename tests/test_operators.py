@@ -149,7 +149,7 @@ def test_layer_fields(spark):
 
 def test_workflow_merges_close_squares(spark):
     from geoweave.plans import workflow
-    from geoweave.plans.config import WorkflowConfig, africapolis
+    from geoweave.plans.config import WorkflowConfig, urban_clusters
 
     step = 0.001  # about 74 m by 111 m here
     named = {"a": box((10.0, 48.0 + step), (10.0 + step, 48.0)), "b": box((10.0 + 1.3 * step, 48.0 + step), (10.0 + 2.3 * step, 48.0)), "c": box((10.0 + 5 * step, 48.0 + step), (10.0 + 6 * step, 48.0))}
@@ -158,7 +158,7 @@ def test_workflow_merges_close_squares(spark):
     out = workflow.run([polygons(spark, named).select("geom")], config)
     rows = sorted((r.parts, r.DegreeCent) for r in out.analysed.collect())
     assert rows == [(1, 1), (2, 1)] and out.edge_shapes.count() == 1 and config.extra == {"executor": "x"}
-    assert africapolis().max_neighbours == 5
+    assert urban_clusters().max_neighbours == 5
 
 
 def test_streamed_tiles(spark, tmp_path):
