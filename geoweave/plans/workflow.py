@@ -93,21 +93,32 @@ def analysis_stage(graph: Graph, config: WorkflowConfig) -> DataFrame:
     return centrality.apply_measures(Graph(nodes, edges, graph.directed), config.centrality_measures)
 
 
+@V.bound
 def edge_shape(closest: Column) -> Column:
     """A thin rectangle around the segment of STRUCT<d, a, b>, clockwise; null where shapes touch."""
     s = N.segment(closest["a"], closest["b"])
-    side = V.scale(V.normalize(V.orthogonal(N.direction(s))), EDGE_WIDTH / 2)
-    corners = F.array(V.add(s["p"], side), V.add(s["q"], side), V.subtract(s["q"], side), V.subtract(s["p"], side))
-    middle = V.point((s["p"]["x"] + s["q"]["x"]) / 2, (s["p"]["y"] + s["q"]["y"]) / 2)
-    turned = F.reverse(F.array_sort(F.transform(corners, lambda c: F.struct(V.angle_to(c, middle).alias("w"), c.alias("c")))))
-    return F.when(V.distance(s["p"], s["q"]) > 0, F.transform(turned, lambda t: t["c"]))
+    return _thin(s, V.scale(V.normalize(V.orthogonal(N.direction(s))), EDGE_WIDTH / 2))
 
 
+@V.bound
+def _thin(s: Column, side: Column) -> Column:
+    p, q = s["p"], s["q"]
+    corners = F.array(V.add(p, side), V.add(q, side), V.subtract(q, side), V.subtract(p, side))
+    return _clockwise(corners, V.raw((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2), V.distance(p, q) > 0)
+
+
+@V.bound
+def _clockwise(corners: Column, middle: Column, apart: Column) -> Column:
+    placed = F.transform(corners, lambda c: F.struct(V.angle_to(c, middle).alias("w"), c.alias("c")))
+    return F.when(apart, F.transform(F.reverse(F.array_sort(placed)), lambda t: t["c"]))
+
+
+@V.bound
 def nearest_parts(a: Column, b: Column) -> Column:
     """STRUCT<p, q>: of two multi-polygons the parts with the closest centroids."""
-    pairs = F.flatten(F.transform(a, lambda p, i: F.transform(b, lambda q, j: F.struct(V.distance(A.polygon_centroid(p), A.polygon_centroid(q)).alias("d"), i.alias("i"), j.alias("j")))))
-    best = F.array_min(pairs)
-    return F.struct(F.get(a, best["i"]).alias("p"), F.get(b, best["j"]).alias("q"))
+    pairs = F.flatten(F.transform(a, lambda p, i: F.transform(b, lambda q, j: F.struct(V.bound(V.distance)(A.polygon_centroid(p), A.polygon_centroid(q)).alias("d"), i.alias("i"), j.alias("j")))))
+    pick = V.bound(lambda best, x, y: F.struct(F.get(x, best["i"]).alias("p"), F.get(y, best["j"]).alias("q")))
+    return pick(F.array_min(pairs), a, b)
 
 
 def edge_layer(graph: Graph) -> DataFrame:
