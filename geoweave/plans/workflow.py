@@ -124,7 +124,8 @@ def nearest_parts(a: Column, b: Column) -> Column:
 def edge_layer(graph: Graph) -> DataFrame:
     side = lambda end: graph.nodes.select(F.col("id").alias(end), F.col("geom").alias(f"{end}_geom"))
     pairs = graph.edges.join(side("src"), "src").join(side("dst"), "dst").withColumn("near", nearest_parts(F.col("src_geom"), F.col("dst_geom")))
-    closest = pairs.withColumn("closest", kernels.closest_udf()(F.col("near.p"), F.col("near.q")))
+    near = cut(pairs.select("src", "dst", "near"), "near-parts")
+    closest = cut(near.select("src", "dst", kernels.closest_udf()(F.col("near.p"), F.col("near.q")).alias("closest")), "closest")
     return closest.select("src", "dst", edge_shape(F.col("closest")).alias("ring")).where("ring is not null").select("src", "dst", A.polygon(F.col("ring")).alias("geom"))
 
 
