@@ -19,8 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: piece types, the space mark, what an unknown letter costs below the least score.
@@ -248,23 +250,28 @@ def encode(docs: DataFrame, vocab: Vocabulary, text: str = "text", with_ids: boo
     with the names of result columns are replaced; an empty table gives an empty result.
     """
     new = ["n_tokens", "n_byte_pieces", "ids_sha256", "round_trip", *["token_ids"] * with_ids]
-    keep = [c for c in docs.columns if c not in (*new, "__gw_ids")]
+    keep = docs.select(*[c for c in docs.columns if c not in new])
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    kind = "n_tokens long, n_byte_pieces long, ids_sha256 string, round_trip boolean" + ", token_ids array<int>" * with_ids
+    kinds = [LongType(), LongType(), StringType(), BooleanType(), *[ArrayType(IntegerType())] * with_ids]
+    schema = StructType([*keep.schema.fields, *(StructField(n, k) for n, k in zip(new, kinds))])
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         is_byte = shared.value.types == BYTE
-        for texts in batches:
-            texts, rows = texts.tolist(), []
-            for i, j in _slices(texts):
-                for t, ids in zip(texts[i:j], encoder.encode(texts[i:j])):
-                    row = (len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), encoder.decode(ids) == (t or ""))
-                    rows.append((*row, ids) if with_ids else row)
-            yield pd.DataFrame(rows, columns=new)
-
-    return docs.select(*keep, run(F.col(text)).alias("__gw_ids")).select(*keep, "__gw_ids.*")
+        for b in batches:
+            texts = b[text].to_pylist()
+            for i, j in _slices(texts):  # results leave in small batches: ids take more room than their texts
+                found = encoder.encode(texts[i:j])
+                sizes = np.array([len(x) for x in found])
+                digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found]
+                same = [encoder.decode(x) == (t or "") for t, x in zip(texts[i:j], found)]
+                cols = [pa.array(sizes, pa.int64()), pa.array([int(is_byte[x].sum()) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                if with_ids:
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, *cols], names=[*b.schema.names, *new])
+
+    return keep.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, ids: str = "token_ids") -> DataFrame:
