@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoweave.llm.common import ROW_ID, materialize, with_row_id
+from geoweave.llm.common import ROW_ID, materialize, mix64, with_row_id
 from geoweave.llm.components import star_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
@@ -29,25 +29,43 @@ BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
 SLICE, WALK = 1 << 15, 1 << 18
 #: A bucket above this many fingerprints is dealt out as pairs of its parts.
 PART = 4096
+#: Bands of min-hashes that propose pairs of shingle sets (of similarity 0.8, all but 6 in 100,000); a group of more sets is
+#: dealt out as pairs of its parts.
+BANDS, ROWS, PART_SETS = 32, 6, 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority of the bits of the XXH64 of each word shingle; 0 without words."""
+def digests(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle as rows of 8 bytes, in slices; a shorter text is one shingle, nothing without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - shingle + 1
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
     if n <= 1:
-        return int.from_bytes(xxhash.xxh64_digest(joined, SEED), "big")
+        yield np.frombuffer(digest(joined, SEED), np.uint8).reshape(1, 8)
+        return
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
-    digest, counts = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
     for k in range(0, n, SLICE):
         m = min(n, k + SLICE)
         got = b"".join([digest(joined[s : e - 1], SEED) for s, e in zip(starts[k:m], ends[k + shingle - 1 : m + shingle - 1])])
-        counts += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        yield np.frombuffer(got, np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority of the bits of the XXH64 of each word shingle; 0 without words."""
+    n, counts = 0, np.zeros(BITS, np.int64)
+    for d in digests(text, shingle):
+        n += len(d)
+        counts += np.unpackbits(d, axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the word shingles, in order."""
+    got = [d.reshape(-1).view(np.uint64) for d in digests(text, shingle)]
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
 
 
 @F.pandas_udf(LongType())
@@ -239,3 +257,113 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", budget
     named = fps.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
     winners = named.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("me").alias("me")).select(F.col("me.low_row").alias(ROW_ID))
     return with_row_id(docs).join(winners, ROW_ID, "left_semi").select(*columns)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of its ROWS min-hashes; two sets share it with probability similarity ** ROWS."""
+    draw = np.random.default_rng(SEED)
+    by, plus = (draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 512):
+        low = np.minimum(low, (hashes[k : k + 512, None] * by + plus).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in low.reshape(BANDS, ROWS).T:
+        out = mix64(out * np.uint64(0x5851F42D4C957F2D) + x)
+    return out.view(np.int64)
+
+
+def _sketch(shingle: int):
+    @F.pandas_udf("same binary, bands array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+        return pd.DataFrame({"same": same, "bands": [band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]})
+
+    return run
+
+
+def similar_classes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Position of the first set that each set is connected to by pairs of Jaccard similarity >= similarity.
+
+    Every set that is reached is compared with all that are not reached yet, so no pair is left out.
+    """
+    sizes = np.array([len(x) for x in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    label, left, mark = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(names), bool)
+    words = flat  # of the sets that are left
+    while len(left) > 1:
+        root, todo = left[0], [left[0]]
+        left, words = left[1:], words[sizes[left[0]] :]
+        while todo and len(left):
+            x = todo.pop()
+            mine = flat[first[x] : first[x] + sizes[x]]
+            mark[mine] = True
+            n = sizes[left]
+            shared = np.add.reduceat(mark[words].astype(np.int64), np.cumsum(n) - n)
+            mark[mine] = False
+            near = shared * (1 + similarity) >= similarity * (n + sizes[x]) - 1e-9
+            if near.any():
+                label[left[near]] = root
+                todo += left[near].tolist()
+                words, left = words[np.repeat(~near, n)], left[~near]
+    return label
+
+
+def _link_sets(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b["key"].to_numpy(), b["node"].to_numpy(), b["hashes"].to_pylist()) for b in batches if b.num_rows]
+        if not got:
+            return
+        key, node = (np.concatenate(x) for x in list(zip(*got))[:2])
+        sets = [h for x in got for h in x[2]]
+        order = np.lexsort((node, key))
+        cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if hi - lo > 1:
+                at = order[lo:hi]
+                label = similar_classes([np.frombuffer(sets[i], np.uint64) for i in at.tolist()], similarity)
+                linked = label != np.arange(len(label))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[linked]]), pa.array(node[at[label[linked]]])], names=["u", "v"])
+
+    return run
+
+
+def link_sets(texts: DataFrame, bands: DataFrame, shingle: int, similarity: float, part: int = PART_SETS) -> DataFrame:
+    """Edges (u, v) that connect the nodes whose shingle sets have at least the given Jaccard similarity.
+
+    texts: (node, text); bands: (node, key), a row per band. Nodes that share a key are connected to the
+    least of them; inside what that connects, all pairs are checked on their whole sets. A group of
+    more than `part` sets is split into parts, and each pair of parts is checked by itself.
+    """
+    low = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
+    near = star_components(bands.join(low, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
+    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
+    dealt = near.join(sizes, "component").select("node", "component", F.ceil(F.col("n") / part).cast("int").alias("g"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).tobytes() for t in texts])
+
+    sets = texts.join(dealt, "node").withColumn("hashes", hashes("text")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    keyed = sets.where("g = 1 OR mine <> other").select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "hashes")
+    return keyed.repartition("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, part: int = PART_SETS) -> DataFrame:
+    """docs without all but one row of each component of pairs with Jaccard similarity >= similarity.
+
+    Similarity is that of the sets of word shingles (a shorter text is one shingle; texts without words are
+    alike). Pairs are proposed by bands of min-hashes and checked on their whole sets. The row that stays is chosen
+    as in keep_one.
+    """
+    rows = with_row_id(docs)
+    me = F.struct(F.col(id_col).isNull().alias("low_null"), F.col(id_col).alias("low_id"), F.col(ROW_ID).alias("low_row"))
+    marked = rows.select(_sketch(shingle)(F.col(text)).alias("s"), me.alias("me"))
+    sets = materialize(marked.groupBy("s.same").agg(F.min("me").alias("me"), F.first("s.bands").alias("bands")), "sets")
+    bands = sets.select(F.col("me.low_row").alias("node"), F.explode("bands").alias("key"))
+    edges = link_sets(rows.select(F.col(ROW_ID).alias("node"), F.col(text).alias("text")), bands, shingle, similarity, part)
+    named = sets.select("me", F.col("me.low_row").alias("node")).join(star_components(edges), "node", "left")
+    winners = named.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("me").alias("me")).select(F.col("me.low_row").alias(ROW_ID))
+    return rows.join(winners, ROW_ID, "left_semi").select(*docs.columns)

@@ -99,6 +99,29 @@ def test_simhash_equals_brute_force(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_equals_brute_force_on_shingle_sets(spark):
+    import corpus_pipeline
+
+    rows = [(i, prose(150)) for i in range(20)]
+    for i in range(60):  # copies with some words changed or cut off, on both sides of the threshold
+        w = rows[i % 20][1].split()
+        for at in rng.choice(140, i % 5, replace=False):
+            w[at] = "changed"
+        rows.append((100 + i, " ".join(w[: len(w) - 7 * (i % 4)])))
+    rows += [(200, "two words"), (201, "Two  words"), (202, None), (203, ""), (None, rows[0][1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    near = lambda a, b: a == b or (a and b and len(a & b) >= 0.8 * len(a | b))
+    edge = [[j for j, b in enumerate(sets) if near(a, b)] for a in sets]
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in e) for e in edge]
+    want = {min((r[0] for r, c in zip(rows, label) if c == k and r[0] is not None), default=None) for k in set(label)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(want) < len(rows) and len(set(label)) < len({x.doc_id for x in simhash.keep_one(df).collect()})
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(want)
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(df, part=3).collect()) == sorted(want)
+
+
 def test_trie_join_finds_all_pairs_in_split_buckets(spark):
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(k)) ^ (np.uint64(1) << np.uint64(k // 2)) for k in range(3, 60)]))
