@@ -18,24 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Plan nodes that give the same rows in the same order each time, whatever columns are read.
-NARROW = re.compile(r"(Project|Filter|Relation|LocalRelation|LogicalRDD|RelationV2|DataSourceV2\w*|Range|Scan)\b")
+#: Plan nodes over one table of files that leave its rows as they are, or fewer of them.
+NARROW = re.compile(r"(Project|Filter|Relation)\b")
+#: Bits of a row number that count the rows of a file.
+FILE_ROWS = 40
 
 
-def is_repeatable(df: DataFrame) -> bool:
-    """Whether df is a table scan, or narrow operations over one, so that row numbers come out alike each time."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
-    return all(NARROW.match(re.sub(r"^[\s:+\-'!]*", "", x)) for x in lines)
+def counts_file_rows(df: DataFrame) -> bool:
+    """Whether df is narrow operations over files whose format tells the place of each row."""
+    plan = df._jdf.queryExecution()
+    lines = plan.optimizedPlan().toString().strip().split("\n")
+    hidden = plan.analyzed().metadataOutput()
+    told = any(hidden.apply(i).name() == "_metadata" and "row_index" in hidden.apply(i).dataType().json() for i in range(hidden.size()))
+    return told and all(NARROW.match(re.sub(r"^[\s:+\-'!]*", "", x)) for x in lines)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Add a unique row number that does not depend on any column's values.
+    """Add a unique row number that depends neither on any column's values nor on how the scan is split into tasks.
 
-    Rows may repeat and ids may be null, so joins back to the input go by this column. Anything but
-    a scan (a shuffle may order rows differently each time) is written to the shared folder first.
+    Rows may repeat and ids may be null, so joins back to the input go by this column. A row of a file is
+    numbered by its file and its place in it; anything else (a shuffle may order rows differently each
+    time) is written to the shared folder first.
     """
-    numbered = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    return numbered if is_repeatable(df) else materialize(numbered, "numbered")
+    if not counts_file_rows(df):
+        return materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "numbered")
+    path, at = (df.metadataColumn("_metadata")[c] for c in ("file_path", "row_index"))
+    found = sorted(r[0] for r in df.select(path.alias("path")).distinct().collect())
+    if len(found) < 2:
+        return df.withColumn(ROW_ID, at)
+    files = df.sparkSession.createDataFrame([(x, i << FILE_ROWS) for i, x in enumerate(found)], "__gw_path string, __gw_file long")
+    placed = df.select("*", path.alias("__gw_path"), at.alias("__gw_at")).join(F.broadcast(files), "__gw_path")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__gw_file") + F.col("__gw_at")).alias(ROW_ID))
 
 
 def shared_dir(spark: SparkSession) -> str:

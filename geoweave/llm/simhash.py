@@ -250,13 +250,14 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", budget
     component has no other, and then one of them does.
     """
     columns = docs.columns
-    marked = with_row_id(docs).withColumn("__gw_fp", fingerprint_udf(F.col(text)))
+    numbered = with_row_id(docs)
+    marked = numbered.withColumn("__gw_fp", fingerprint_udf(F.col(text)))
     rows = marked.select("__gw_fp", F.struct(F.col(id_col).isNull().alias("low_null"), F.col(id_col).alias("low_id"), F.col(ROW_ID).alias("low_row")).alias("me"))
     fps = materialize(rows.groupBy(F.col("__gw_fp").alias("fp")).agg(F.min("me").alias("me")), "fps")
     parts = star_components(link_fingerprints(fps.select("fp"), budget))
     named = fps.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
     winners = named.groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("me").alias("me")).select(F.col("me.low_row").alias(ROW_ID))
-    return with_row_id(docs).join(winners, ROW_ID, "left_semi").select(*columns)
+    return numbered.join(winners, ROW_ID, "left_semi").select(*columns)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:

@@ -39,6 +39,19 @@ def key(r):
     return (r.doc_id is None, r.doc_id, r.text or "")
 
 
+def test_row_ids_do_not_depend_on_the_splits_of_a_scan(spark, tmp_path):
+    from geoweave.llm.common import ROW_ID, with_row_id
+
+    spark.range(3000).select("id", F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("text")).repartition(3).write.parquet(f"{tmp_path}/t")
+    rows, seen, conf = with_row_id(spark.read.parquet(f"{tmp_path}/t").where("id <> 7").select(F.struct("id").alias("doc"), "text")), [], "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(conf)
+    for size in (usual, "1000"):
+        spark.conf.set(conf, size)
+        seen.append({r.id: r[1] for r in rows.select("doc.id", ROW_ID).collect()})
+    spark.conf.set(conf, usual)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 2999
+
+
 def test_suffix_dedup_equals_brute_force(docs, spark):
     window = 200
     got = sorted(suffix_dedup.remove_repeats(docs, window=window, texts_out=True).collect(), key=key)
