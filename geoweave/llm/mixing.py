@@ -1,10 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells of source, language and topic. The token counts of the cells are raked to
-the target share of each source, language and topic in turn until they settle; a cell's rate is its
-raked over its present tokens. One factor then scales the rates to the token budget, rates
-above one being capped at one and the rest raised for it, and each document is kept with its cell's
-probability by a hash of its own content.
+the target share of each source, language and topic in turn until they settle. No cell can give more
+tokens than it has, so the raking is bounded: cells at their bound count with it, and the others are raked to
+what the targets leave. A value whose target is above all its tokens gives all of them, and the other values
+of its dimension share what is missing. Each document is kept with its cell's probability by a hash of its own
+content; report() sets expected shares beside the targets.
 """
 
 from __future__ import annotations
@@ -50,19 +51,55 @@ def targets(cells: DataFrame, dimension: str, temperature: float, shares: dict[s
     return part.join(F.broadcast(sums)).select(dimension, (share * F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _fit_factor(df: DataFrame, weight: str, cap: str, total: float, start: float = 1.0) -> float:
+    """The factor of the weights at which they add up to total, each of them being at most its cap."""
+    factor = start
+    for _ in range(60):
+        r = df.agg(
+            F.sum(F.when(F.col(weight) * factor >= F.col(cap), F.col(cap)).otherwise(0.0)).alias("full"),
+            F.sum(F.when(F.col(weight) * factor >= F.col(cap), 0.0).otherwise(F.col(weight))).alias("rest"),
+        ).first()
+        if not r.rest:
+            break
+        before, factor = factor, max(0.0, total - r.full) / r.rest
+        if abs(factor - before) <= 1e-9 * before:
+            break
+    return factor
+
+
+def reachable(cells: DataFrame, goals: DataFrame, dimension: str, keep_share: float) -> DataFrame:
+    """(dimension, target, pinned): the goals, none above what the value's tokens allow; pinned where it needs them all."""
+    have = cells.groupBy(dimension).agg((F.sum("t") / max(keep_share, 1e-9)).alias("cap"))
+    both = materialize(goals.join(have, dimension), "goals")
+    total = both.agg(F.sum("target")).first()[0] or 0.0
+    raised = F.col("target") * _fit_factor(both, "target", "cap", total)
+    return materialize(both.select(dimension, F.least(raised, F.col("cap")).alias("target"), (raised >= F.col("cap")).alias("pinned")), "goals")
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, keep_share: float = 0.0) -> DataFrame:
     """cells with w: tokens t raked to the goals of all dimensions. Marginal sums are combined before the shuffle.
 
-    Goals that contradict each other are met as far as the last round gets.
+    A cell counts with at most t / keep_share: w may be greater, and is least(w, t / keep_share) then. Cells of a pinned value
+    stay at their bound. Goals that contradict each other are met as far as the last round gets.
     """
-    cur = cells.withColumns({"w": F.col("t").cast("double"), "off": F.lit(0.0)})
+    cap = F.col("t") / max(keep_share, 1e-9)
+    cur = cells.withColumns({"w": F.col("t").cast("double"), "off": F.lit(0.0), "bound": F.lit(False)})
+    for d in goals:
+        if "pinned" in goals[d].columns:
+            cur = cur.join(goals[d].select(d, "pinned"), d).withColumn("bound", F.col("bound") | F.col("pinned")).drop("pinned")
     written = None
     for _ in range(rounds):
         worst = 0.0
         for d in goals:  # each step is cut, else the plan would double with every factor
-            factor = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0)
-            sums = cur.groupBy(d).agg(F.sum("w").alias("s")).join(goals[d], d).select(d, factor.alias("f"))
-            step = cur.drop("off").join(sums, d).withColumns({"w": F.col("w") * F.col("f"), "off": F.abs(F.col("f") - 1)}).drop("f")
+            full = F.col("bound") | (F.col("w") >= cap)
+            sums = cur.groupBy(d).agg(
+                F.sum(F.when(full, cap).otherwise(F.col("w"))).alias("s"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("free")
+            ).join(goals[d].select(d, "target"), d)
+            ratio = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0)
+            left = F.col("target") - (F.col("s") - F.col("free"))
+            factor = F.when((F.col("free") > 0) & (left > 0), left / F.col("free")).otherwise(ratio)
+            sums = sums.select(d, factor.alias("f"), F.abs(ratio - 1).alias("miss"))
+            step = cur.drop("off").join(sums, d).withColumns({"w": F.col("w") * F.col("f"), "off": F.col("miss")}).drop("f", "miss")
             cur = materialize(step, "rake")
             worst = max(worst, cur.agg(F.max(F.when(F.col("t") > 0, F.col("off")))).first()[0] or 0.0)
             if written is not None:
@@ -70,27 +107,37 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS, to
             written = cur
         if worst < tolerance:
             break
-    return cur.drop("off")
+    return cur.withColumn("w", F.when(F.col("bound"), cap).otherwise(F.least(F.col("w"), cap))).drop("off", "bound")
 
 
 def calibrate(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     """raked with p: the probability of each cell, so that the expected tokens are keep_share of all."""
     total = raked.agg(F.sum("t").alias("t")).first()[0] or 0
-    budget, factor = keep_share * total, keep_share
-    for _ in range(30):
-        r = raked.agg(
-            F.sum(F.when(F.col("w") * factor >= F.col("t"), F.col("t")).otherwise(0.0)).alias("full"),
-            F.sum(F.when(F.col("w") * factor >= F.col("t"), 0.0).otherwise(F.col("w"))).alias("rest"),
-        ).first()
-        if not r.rest:
-            break
-        new = max(0.0, budget - r.full) / r.rest
-        if new <= factor * (1 + 1e-9):
-            break
-        factor = new
+    factor = _fit_factor(raked, "w", "t", keep_share * total, keep_share)
     return raked.withColumn("p", F.when(F.col("t") > 0, F.least(F.lit(1.0), F.col("w") * factor / F.col("t"))).otherwise(F.lit(keep_share)))
 
 
+def report(
+    mixed: DataFrame, source: str = "source", lang: str = "lang",
+    shares: dict[str, dict[str, float]] | None = None, temperature: dict[str, float] = TEMPERATURE,
+) -> DataFrame:
+    """(dimension, value, target, most, expected) of what mix() gave: target share, greatest share that the value's
+    tokens allow at the tokens expected in all, and expected share."""
+    keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "topic": F.col("topic")}
+    kept = F.sum(F.col("n_tokens") * F.col("probability"))
+    cells = materialize(mixed.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.sum("n_tokens").cast("double").alias("t"), kept.alias("x")), "cells")
+    all_t, all_x = cells.agg(F.sum("t"), F.sum("x")).first()
+    out = None
+    for d in DIMENSIONS:
+        have = cells.groupBy(d).agg(F.sum("t").alias("t"), F.sum("x").alias("x"))
+        part = targets(cells, d, temperature.get(d, 1.0), (shares or {}).get(d)).join(have, d).select(
+            F.lit(d).alias("dimension"), F.col(d).alias("value"), (F.col("target") / (all_t or 1.0)).alias("target"),
+            F.least(F.lit(1.0), F.col("t") / (all_x or 1.0)).alias("most"), (F.col("x") / (all_x or 1.0)).alias("expected"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", id_col: str = "doc_id",
     shares: dict[str, dict[str, float]] | None = None, temperature: dict[str, float] = TEMPERATURE, keep_share: float = KEEP_SHARE, seed: int = SEED,
@@ -109,7 +156,8 @@ def mix(
     keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "topic": F.col("topic")}
     cells = materialize(rows.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.sum("n_tokens").cast("double").alias("t")), "cells")
     goals = {d: materialize(targets(cells, d, temperature.get(d, 1.0), (shares or {}).get(d)), "goals") for d in DIMENSIONS}
-    rates = materialize(calibrate(rake(cells, goals), keep_share), "rates")
+    goals = {d: reachable(cells, g, d, keep_share) for d, g in goals.items()}
+    rates = materialize(calibrate(rake(cells, goals, keep_share=keep_share), keep_share), "rates")
     rates = rates.select(*[F.col(d).alias(f"__gw_{d}") for d in DIMENSIONS], F.col("p").alias("probability"))
     on = [keys[d] == F.col(f"__gw_{d}") for d in DIMENSIONS]
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)), 11) * F.lit(2.0**-53)

@@ -243,6 +243,26 @@ def test_mixing_meets_the_targets(docs, spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_meets_all_targets_that_can_be_met_at_the_registered_share(spark):
+    kinds = [(s, x) for s, n in (("a", 12), ("b", 4), ("c", 2)) for x in ["en"] * n + ["de"] * (n // 2) + ["es"] * max(1, n // 6)]
+    rows = [(i, prose(30 + i % 60), *kinds[i % len(kinds)][::-1]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df).cache()
+    shares = mixing.report(got).collect()
+    total, kept = got.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability"))).first()
+    assert kept == pytest.approx(mixing.KEEP_SHARE * total, rel=2e-3)
+    for d in mixing.DIMENSIONS:
+        part = [r for r in shares if r.dimension == d]
+        low = [r for r in part if r.target >= r.most]
+        scarce = {r.value for r in low}
+        for _ in part:  # values that cannot reach their target give all; the others divide the rest in proportion
+            k = (1 - sum(r.most for r in part if r.value in scarce)) / sum(r.target for r in part if r.value not in scarce)
+            scarce |= {r.value for r in part if r.target * k >= r.most}
+        for r in part:
+            assert r.expected == pytest.approx(r.most if r.value in scarce else k * r.target, abs=0.004), r
+    assert any(r.target > r.most for r in shares)
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "u", "abc"), (2, "u", "abc"), (2, "v", "abc"), (None, "u\nx", None), (4, None, ""), (5, "q", "é" * 5000), *((10 + i, "w", prose(40)) for i in range(50))]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
