@@ -2,7 +2,7 @@
 
 Each document gets the base counts (words, symbols, repeated lines, repeated 8-word windows). Then
 its normalised lines are hashed, the distinct documents of a host that hold a line are counted, lines
-above the host's limit are removed, and a document that keeps too little of its text is rejected.
+in more than a few of them are removed, however large the host is, and a document that keeps too little of its text is rejected.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from geoweave.llm.common import ROW_ID, with_row_id
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A line is boilerplate above both limits; a document is depleted below the share kept.
-LINE_DOCS, LINE_SHARE, MIN_KEPT = 100, 0.01, 0.5
+#: A line is boilerplate in more documents of its host; a document is depleted below the share kept.
+LINE_DOCS, MIN_KEPT = 5, 0.5
 
 
 def words_of(text: Column) -> Column:
@@ -89,17 +89,13 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
     return docs.select(ROW_ID, F.coalesce(F.col(host), F.lit("")).alias("host"), lines.alias("lines"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, h, n_docs) of lines that more documents of the host hold than its limit allows."""
+def frequent_lines(lines: DataFrame, min_docs: int = LINE_DOCS) -> DataFrame:
+    """(host, h, n_docs) of lines that more than min_docs documents of the host hold."""
     each = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    count = each.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = lines.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return count.join(hosts, "host").where(F.col("n_docs") > share * F.col("host_docs")).select("host", "h", "n_docs")
+    return each.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
 
 
-def apply_rules(
-    docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = LINE_DOCS, share: float = LINE_SHARE, min_kept: float = MIN_KEPT
-) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = LINE_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
     """Every row of docs with the base counts, removed_chars, base_failed and kept.
 
     A line counts once per document. Null texts count as empty (and fail the base rules), a null
@@ -109,7 +105,7 @@ def apply_rules(
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars", ROW_ID)
     rows = with_row_id(docs.select(*[c for c in docs.columns if c not in new]))
     lines = line_table(rows, text, host)
-    frequent = frequent_lines(lines, min_docs, share)
+    frequent = frequent_lines(lines, min_docs)
     removed = (
         lines.select(ROW_ID, "host", F.explode("lines").alias("l"))
         .select(ROW_ID, "host", F.col("l.h").alias("h"), F.col("l.c").alias("c"))

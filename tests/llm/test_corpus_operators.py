@@ -177,6 +177,18 @@ def test_quality_rules_equal_brute_force(docs):
     assert quality_rules.apply_rules(docs.limit(0)).count() == 0
 
 
+def test_line_limit_fires_by_default_on_hosts_of_every_size(spark):
+    line = "the same footer that a few pages hold"
+    rows = [(i, (line + "\n" if i < 6 else "") + prose(30), "small") for i in range(12)]
+    rows += [(1000 + i, (line + "\n" if i < 6 else "") + prose(30), "large") for i in range(1500)]
+    rows += [(5000 + i, (line + "\n" if i < 5 else "") + prose(30), "few") for i in range(12)]
+    rows.append((9000, "\n".join([line] * 9) + "\n" + " ".join(WORDS[:12]), "small"))
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    size = len(line.replace(" ", ""))
+    assert {i for i, r in got.items() if r.removed_chars} == {*range(6), *range(1000, 1006), 9000}
+    assert got[0].removed_chars == size and got[9000].removed_chars == 9 * size and not got[9000].kept
+
+
 def test_toxicity_learns_terms_typos_and_quotation(spark):
     rows, labels = [], []
     for i in range(300):
