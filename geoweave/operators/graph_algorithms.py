@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,17 +54,22 @@ def _tie_lesser(pairs: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("src"), "dst")).distinct()
 
 
-def shortest_paths(graph: Graph, start, predicate: Column | None = None, goal=None, max_hops: int = 1000) -> DataFrame:
-    """(id, hops, path): a path of fewest edges from start to each node it reaches; of equals the least array."""
+def shortest_paths(graph: Graph, start, predicate: Column | None = None, goal=None, max_hops: int | None = None) -> DataFrame:
+    """(id, hops, path): a path of fewest edges from start to each node it reaches; of equals the least array.
+
+    Nodes beyond max_hops are an error, not left out.
+    """
     both = graph.both() if predicate is None else graph.both().where(predicate)
     steps = cut(both.select("src", "dst").where("src <> dst").distinct(), "steps")
     here = graph.nodes.where(F.col("id") == start).select("id", F.lit(0).alias("hops"), F.array("id").alias("path"))
     found = frontier = cut(here, "reached")
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         reach = frontier.select(F.col("id").alias("src"), "path").join(steps, "src").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
         frontier = cut(reach.groupBy("dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")).select(F.col("dst").alias("id"), F.lit(hop).alias("hops"), "path"), "frontier")
         if frontier.isEmpty():
             break
+        if max_hops is not None and hop > max_hops:
+            raise RuntimeError(f"paths go on beyond {max_hops} hops")
         found = cut(found.unionByName(frontier), "reached")
         if goal is not None and not frontier.where(F.col("id") == goal).isEmpty():
             break

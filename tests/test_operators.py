@@ -176,3 +176,12 @@ def test_hull_and_outline():
     pts = np.random.default_rng(2).random((50, 2))
     hull = kernels.convex_hull(pts)
     assert (kernels.locate(pts, hull) != kernels.OUT).all()
+
+
+def test_shortest_paths_do_not_end_silently_at_a_bound(spark):
+    nodes = spark.range(1, 6).select("id")
+    g = Graph(nodes, spark.createDataFrame([(i, i + 1) for i in range(1, 5)], "src long, dst long"), False)
+    with pytest.raises(RuntimeError):
+        GA.shortest_paths(g, 1, max_hops=3)
+    for most in (4, None):
+        assert sorted((r.id, r.hops) for r in GA.shortest_paths(g, 1, max_hops=most).collect()) == [(i, i - 1) for i in range(1, 6)]
