@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A folder of this machine serves where driver and
+    executors are one process and none is set, as in tests; on a cluster an unset folder is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="geoweave-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -20,4 +24,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/geoweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gw_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing reads it any more."""
+    path = getattr(df, "_gw_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
