@@ -132,6 +132,55 @@ def word_codes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64(r.at(first, end - first) + (end - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def multikey_quicksort(word, lo: np.ndarray, hi: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the strings of each segment [lo, hi) of 0 .. n-1; strings are of `depth` words, word(items, levels) gives them.
+
+    Each segment is cut in three around the median of three of its words at its level: lesser and greater
+    words go on at that level, equal ones at the next. All segments advance together. Returns the order and,
+    for each place, how many leading words its string shares with that of the place before (-1 at a segment's start).
+    """
+    n = int(hi[-1]) if len(hi) else 0
+    order, shared = np.arange(n), np.full(n, -1, np.int32)
+    level = np.zeros(len(lo), np.int64)
+    while True:
+        live = hi - lo > 1
+        lo, hi, level = lo[live], hi[live], level[live]
+        same = level == depth  # wholly equal strings
+        if same.any():
+            size = hi[same] - lo[same]
+            at = np.repeat(lo[same] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            keep = np.ones(len(at), bool)
+            keep[np.cumsum(size) - size] = False
+            shared[at[keep]] = depth
+            lo, hi, level = lo[~same], hi[~same], level[~same]
+        if not len(lo):
+            return order, shared
+        size = hi - lo
+        first = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(lo)), size)
+        pos = lo[seg] - first[seg] + np.arange(len(seg))
+        items = order[pos]
+        v = word(items, level[seg])
+        pivot = _middle(v[first], v[first + size // 2], v[first + size - 1])
+        kind = (v >= pivot[seg]).astype(np.int8) + (v > pivot[seg])
+        counts = np.bincount(3 * seg + kind, minlength=3 * len(lo)).reshape(-1, 3)
+        start = lo[:, None] + np.cumsum(counts, axis=1) - counts
+        for k in range(3):
+            mine = kind == k
+            rank = np.cumsum(mine) - 1
+            before = np.concatenate(([0], np.cumsum(mine)))[first]
+            order[(start[seg, k] + rank - before[seg])[mine]] = items[mine]
+        for k in (1, 2):  # neighbours on either side of a cut differ in the word at this level
+            cut = (counts[:, k] > 0) & (start[:, k] > lo)
+            shared[start[cut, k]] = level[cut]
+        lo, hi = start.reshape(-1), (start + counts).reshape(-1)
+        level = (level[:, None] + np.array([0, 1, 0])).reshape(-1)
+
+
+def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

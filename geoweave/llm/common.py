@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweave.operators.storage import cut as materialize
+from geoweave.operators.storage import release  # noqa: F401  for the operators
+
 ROW_ID = "__gw_row"
 
 
@@ -51,35 +53,40 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__gw_file") + F.col("__gw_at")).alias(ROW_ID))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own if unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gw-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
+#: Bytes of input for one shuffle partition, at most, and of one slice of a sorted partition.
+PARTITION_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/geoweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._gw_path = path
-    return out
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """As many partitions as the session says, and more where the input's files are large for that."""
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(size // PARTITION_BYTES, 1 << 17))
 
-def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_gw_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches that are sorted by key: about `most` bytes each, or one group.
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    So a task holds a slice of its partition only, and of a group as much as the group has.
+    """
+    held, size, limit = [], 0, most
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size < limit:
+            continue
+        t = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(t[key].to_numpy(), t[key][-1].as_py(), "left"))
+        if cut:
+            yield t.slice(0, cut)
+            held, limit = t.slice(cut).to_batches(), most
+            size = sum(x.nbytes for x in held)
+        else:  # one group so far: look again when it has doubled
+            limit = 2 * size
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,15 +1,17 @@
 """Removal of repeated passages of words with sharded Aho-Corasick automata.
 
 1. Each document's words are hashed; each window of `window` words is filed under its anchor phrase
-   (see anchors.py). Phrases that occur twice are recurring; stretches of windows that occur as a
-   whole twice are confirmed recurring passages and settled.
-2. For the other stretches around a recurring phrase, the documents are read again and their words
-   are dealt out to shards by phrase (and by offset, so a popular phrase is many groups).
-3. Each shard compiles one automaton over its recurring phrases, streams the text that came to it,
-   and locates every occurrence; the windows around the occurrences that start twice are removed.
-
-A shard's automaton holds only the phrases that were dealt to it, so its size follows the partition
-size, not the corpus.
+   (see anchors.py). The stretch of windows of one anchor is a passage. Places of phrases that recur are written down
+   with the class of their passage (equal passages are one class); this is only a filter by hash.
+2. One passage of each class is read from its document and goes to the shard of its phrase. A shard confirms phrases:
+   those whose own words are there at least twice. It compiles an automaton over the confirmed phrases, streams its passages
+   through it, and locates every occurrence. Only windows that hold an occurrence are compared; those
+   that are in two passages, or in one that has copies, recur. Without automata nothing would be removed.
+3. What recurs in a passage recurs in all documents that have a passage of its class.
+
+A shard streams groups of phrases sorted by key, and compiles one automaton for each slice of them, so its memory
+follows the slice, not the corpus. Classes that the sample of step 1 holds twice send one place of each batch to their shard.
+A phrase with very many unlike passages has its windows counted one by one, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -23,21 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.anchors import Rolling, find_anchors, merge_spans, segments, word_codes, word_spans
-from geoweave.llm.common import ROW_ID, chunks_of, mix64, shuffle_partitions, text_bytes, with_row_id
-from geoweave.llm.quality_rules import words_of
-from geoweave.llm.suffix_dedup import PLACE, all_spans, find_repeats, packed, repeated_runs, to_compare
+from geoweave.llm.anchors import Rolling, find_anchors, merge_spans, runs, segments, word_codes, word_spans
+from geoweave.llm.common import ROW_ID, chunks_of, materialize, mix64, shuffle_partitions, text_bytes, whole_groups, with_row_id
+from geoweave.llm.suffix_dedup import CLASS, MANY, PLACE, alike, content_keys, packed, place_batches, place_schema, repeated_classes, sample_keys
 
 WINDOW, PHRASE = 35, 6
-KEYS = ["gram", "stretch"]
-#: Offsets of a window to its phrase that are compared in one group; bytes that are split into words at once.
-OFFSETS, BYTES = 10, 1 << 20
+KEYS = ["gram", *CLASS]
+#: Bytes that are split into words at once.
+BYTES = 1 << 20
 
 
 def phrases(row_ids: np.ndarray, texts, window: int = WINDOW, gram: int = PHRASE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes and places (in words) of all anchor phrases of a batch of texts."""
+    """Keys and places (in words) of all anchor phrases of a batch of texts."""
     data, starts, ends = text_bytes(texts)
-    keys, places = [[], []], []
+    keys, places = [[] for _ in KEYS], []
     for i, j in chunks_of(starts, ends, BYTES):
         at = int(starts[i])
         part = data[at : int(ends[j - 1])]
@@ -48,40 +49,99 @@ def phrases(row_ids: np.ndarray, texts, window: int = WINDOW, gram: int = PHRASE
             row, a, p, q, g = find_anchors(roll, s, e, window, gram)
             if not len(a):
                 continue
-            shape = ((a - p).astype(np.uint64) << np.uint64(32)) | (q - p).astype(np.uint64)
-            keys[0].append(mix64(g).view(np.int64))
-            keys[1].append(mix64(roll.at(p, q - p + window) + mix64(shape)).view(np.int64))
+            raw = memoryview(codes[lo:hi].tobytes())
+            top, bottom = content_keys(raw[8 * x : 8 * y] for x, y in zip(p.tolist(), (q + window).tolist()))
+            bottom = bottom ^ mix64((a - p).astype(np.uint64) + np.uint64(1)).view(np.int64)  # and where the phrase is
+            for k, v in zip(keys, (mix64(g).view(np.int64), top, bottom)):
+                k.append(v)
             found = np.zeros(len(a), PLACE)
             base = lo - low[rows[row]]
             found["row"], found["a"], found["s"], found["e"] = row_ids[i + rows[row]], a + base, p + base, q + base
             places.append(found)
     if not places:
-        return [np.zeros(0, np.int64)] * 2, np.zeros(0, PLACE)
+        return [np.zeros(0, np.int64) for _ in KEYS], np.zeros(0, PLACE)
     return [np.concatenate(k) for k in keys], np.concatenate(places)
 
 
-def _deal_out(window: int, gram: int):
-    def rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-        todo, ids = b["todo"], b[ROW_ID].to_pylist()
-        flat, offs = todo.flatten(), todo.offsets.to_numpy() - todo.offsets[0].as_py()
-        a, s, e, key = (flat.field(c).to_numpy() for c in ("a", "s", "e", "anchor"))
-        for r in range(b.num_rows):
-            words = b["text"][r].as_py().encode("utf-8").split()
-            which = slice(offs[r], offs[r + 1])
-            for at, p, last, k in zip(a[which].tolist(), s[which].tolist(), e[which].tolist(), key[which].tolist()):
-                phrase = b" ".join(words[at : at + gram])
-                while p <= last:
-                    group = (at - p) // OFFSETS
-                    m = min(last, at - group * OFFSETS) + 1
-                    yield (k * 31 + group) & (2**64 - 1), ids[r], p, phrase, b" ".join(words[p : m - 1 + window])
-                    p = m
-
-    def pack(group, ids, p, phrase, passage) -> pa.RecordBatch:
-        named = mix64(np.array(group, dtype=np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(named), pa.array(ids, pa.int64()), pa.array(p, pa.int64()), pa.array(phrase, pa.binary()), pa.array(passage, pa.binary())],
-            names=["shard", ROW_ID, "p", "phrase", "passage"],
-        )
+FOUND = f"{ROW_ID} long, a int, s int, e int, high long, low long, gram long, twice boolean, many boolean"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _recurring(known: set[tuple[int, int]], many: int):
+    """Places of phrases that are in a bucket at least twice; gram is null but for one place of each class.
+
+    twice: the class has copies; many: too many classes have the phrase.
+    """
+
+    def rows(who: list[bytes], keys: list[np.ndarray], gram, twice, lots) -> pa.RecordBatch:
+        places = np.frombuffer(b"".join(who), PLACE)
+        of = np.repeat(np.arange(len(who)), [len(x) // PLACE.itemsize for x in who])
+        columns = [pa.array(np.ascontiguousarray(places[c])) for c in PLACE.names] + [pa.array(k[of]) for k in keys[1:]]
+        one = np.concatenate(([True], of[1:] != of[:-1])) & gram[of]
+        columns.append(pa.array(keys[0][of], mask=~one))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(twice[of]), pa.array(lots[of])], names=FOUND_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            sure = b["known"].to_numpy(zero_copy_only=False)
+            if sure.any():
+                t = b.filter(pa.array(sure))
+                no = np.zeros(t.num_rows, bool)
+                yield rows(t["who"].to_pylist(), [t[k].to_numpy() for k in KEYS], no, ~no, no)
+            if not sure.all():
+                parts.append(b.filter(pa.array(~sure)))
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        keys = [t[k].to_numpy() for k in KEYS]
+        order, first = alike(keys)
+        keys = [k[order] for k in keys]
+        who = t["who"].combine_chunks().take(pa.array(order)).to_pylist()
+        members = np.array([len(x) // PLACE.itemsize for x in who])
+        new = np.zeros(len(who), bool)
+        new[first] = True
+        new_gram = np.concatenate(([True], keys[0][1:] != keys[0][:-1]))
+        of_class, of_gram = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
+        copies = np.bincount(of_class, weights=members)[of_class] > 1
+        if known:
+            copies |= np.fromiter((x in known for x in zip(keys[1].tolist(), keys[2].tolist())), bool, len(who))
+        classes = np.bincount(of_gram[first])[of_gram]
+        wanted = np.flatnonzero(copies | (classes > 1))
+        if len(wanted):
+            yield rows([who[i] for i in wanted.tolist()], [k[wanted] for k in keys], new[wanted], copies[wanted], classes[wanted] >= many)
+
+    return run
+
+
+def find_passages(texts: DataFrame, window: int, gram: int, many: int = MANY) -> DataFrame:
+    """Places of all passages whose phrase's hash occurs elsewhere, as FOUND."""
+    buckets = shuffle_partitions(texts)
+    find = lambda ids, col: phrases(ids, col, window, gram)
+    known = repeated_classes(sample_keys(texts, buckets, find, KEYS))
+    place = lambda keys: (keys[0].view(np.uint64) >> np.uint64(34)).astype(np.int32)
+    placed = texts.mapInArrow(place_batches(find, KEYS, place, known), place_schema(KEYS))
+    return materialize(placed.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(_recurring(known, many), FOUND), "recurring")
+
+
+def _words(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(words, row's todo as lists) of each row of a batch."""
+    for text, todo in zip(b["text"], b["todo"]):
+        yield text.as_py().encode("utf-8").split(), todo.as_py()
+
+
+PASSAGE = "gram long, high long, low long, at int, twice boolean, passage binary"
+
+
+def _send_passages(window: int):
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for words, todo in _words(b):
+            for x in todo:
+                yield x["gram"], x["high"], x["low"], x["a"] - x["s"], x["twice"], b" ".join(words[x["s"] : x["e"] + window])
+
+    def pack(*columns) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in PASSAGE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed((row for b in batches if b.num_rows for row in rows(b)), pack)
@@ -89,110 +149,159 @@ def _deal_out(window: int, gram: int):
     return run
 
 
+def confirm(phrases: list[bytes], weights: list[int]) -> set[bytes]:
+    """The phrases that are there at least twice, word by word."""
+    seen: dict[bytes, int] = {}
+    for x, n in zip(phrases, weights):
+        seen[x] = seen.get(x, 0) + n
+    return {x for x, n in seen.items() if n > 1}
+
+
 def compile_automaton(found: set[bytes]) -> ahocorasick.Automaton:
-    """An automaton over phrases, each with a space before and after it; values are word counts."""
+    """An automaton over phrases, each with a space before and after it; values are their lengths with these.
+
+    Bytes stand for themselves as letters, so places in a text are places in its UTF-8.
+    """
     out = ahocorasick.Automaton()
     for x in found:
-        s = x.decode("utf-8")
-        out.add_word(f" {s} ", s.count(" ") + 1)
-    out.make_automaton()
+        out.add_word(f" {x.decode('latin-1')} ", len(x) + 2)
+    if found:
+        out.make_automaton()
     return out
 
 
-def occurrences(automaton: ahocorasick.Automaton, passage: str) -> list[tuple[int, int]]:
-    """(first word, words) of every occurrence of a phrase in a passage of words joined by one space."""
-    text, out, seen, at = f" {passage} ", [], 0, 0
-    for end, n in automaton.iter(text):
-        seen, at = seen + text.count(" ", at, end), end  # spaces before the closing one
-        out.append((seen - n, n))
+def occurrences(automaton: ahocorasick.Automaton, text: bytes) -> np.ndarray:
+    """Place of the first byte of every occurrence of a phrase in texts of words joined by one space, a space on either side."""
+    if not len(automaton):
+        return np.zeros(0, np.int64)
+    return np.array([end - n + 2 for end, n in automaton.iter(text.decode("latin-1"))], np.int64)
+
+
+def _match_passages(window: int, gram: int):
+    """Spans of words (of a passage of each class) that recur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "gram"):
+            passages, twice, at = t["passage"].to_pylist(), t["twice"].to_numpy(), t["at"].to_numpy()
+            sizes = np.array([len(x) for x in passages])
+            joined = b"\n".join([b" %b " % x for x in passages])
+            starts = np.cumsum(sizes + 3) - sizes - 2
+            data = np.frombuffer(joined, np.uint8)
+            first, end, low, high = word_spans(data, starts, starts + sizes)
+            heads, tails = first[low + at].tolist(), end[low + at + gram - 1].tolist()
+            automaton = compile_automaton(confirm([joined[i:j] for i, j in zip(heads, tails)], (1 + twice).tolist()))
+            hit = np.searchsorted(first, occurrences(automaton, joined))
+            lens = high - low - window + 1
+            of = np.searchsorted(low, hit, "right") - 1
+            a, z = np.maximum(low[of], hit + gram - window), np.minimum(low[of] + lens[of], hit + 1)
+            holds = np.zeros(len(first) + 1, np.int64)  # windows that hold an occurrence
+            some = a < z
+            np.add.at(holds, a[some], 1)
+            np.add.at(holds, z[some], -1)
+            row = np.repeat(np.arange(len(passages)), lens)
+            index = np.arange(len(row)) + (low - np.cumsum(lens) + lens)[row]
+            looked = np.cumsum(holds)[index] > 0
+            row, index = row[looked], index[looked]
+            flags = np.zeros(len(first) + len(low) + 1, bool)
+            again = recurs(data, first, end, index, window, twice[row])
+            flags[(index + row)[again]] = True  # a gap after each passage keeps runs within passages
+            i, j = runs(flags)
+            r = np.searchsorted(low + np.arange(len(low)), i, "right") - 1
+            base = low[r] + r
+            yield pa.RecordBatch.from_arrays([pa.array(t["high"].to_numpy()[r]), pa.array(t["low"].to_numpy()[r]), pa.array(i - base), pa.array(j - base - 1 + window)], names=["high", "low", "first", "end"])
+
+    return run
+
+
+def recurs(data: np.ndarray, first: np.ndarray, end: np.ndarray, index: np.ndarray, window: int, twice: np.ndarray) -> np.ndarray:
+    """Whether each window (from word index on) is there twice, or in a passage with copies; by two hashes of its words."""
+    if not len(index):
+        return np.zeros(0, bool)
+    codes = word_codes(data, first, end)
+    one, two = Rolling(codes).at(index, window), Rolling(mix64(codes + np.uint64(1))).at(index, window)
+    order = np.lexsort((two, one))
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    out = twice.copy()
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
     return out
 
 
-def _match_passages(window: int):
+WINDOWS = "h1 long, h2 long, high long, low long, p int, weight int"
+
+
+def _count_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        passages = t["passage"].to_pylist()
-        automaton = compile_automaton(set(t["phrase"].to_pylist()))
-        sizes = np.array([len(x) for x in passages])
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        data = np.frombuffer(b" ".join(passages) + b" ", np.uint8)
-        first, end, low, high = word_spans(data, starts, starts + sizes)
-        hashes = Rolling(word_codes(data, first, end)).all(window)
-        lens = high - low - window + 1
-        index = np.concatenate([np.arange(i, i + n) for i, n in zip(low.tolist(), lens.tolist())])
-        covered = np.zeros(len(first) + 1, np.int32)  # windows that hold an occurrence
-        for i, n, x in zip(low.tolist(), lens.tolist(), passages):
-            for j, k in occurrences(automaton, x.decode("utf-8")):
-                a, z = i + max(0, j + k - window), i + min(n, j + 1)
-                if a < z:
-                    covered[a] += 1
-                    covered[z] -= 1
-        valid = np.cumsum(covered)[index] > 0
-        r, p, q = repeated_runs(hashes[index], lens, t["p"].to_numpy(), valid)
-        yield pa.RecordBatch.from_arrays([pa.array(t[ROW_ID].to_numpy()[r]), pa.array(p), pa.array(q + window)], names=[ROW_ID, "first", "end"])
+        for b in batches:
+            for words, todo in _words(b):
+                for x in todo:
+                    n = x["e"] - x["s"] + 1
+                    h1, h2 = content_keys(b" ".join(words[p : p + window]) for p in range(x["s"], x["e"] + 1))
+                    fill = lambda v, t: pa.array(np.full(n, v, t))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), fill(x["high"], np.int64), fill(x["low"], np.int64), pa.array(np.arange(n, dtype=np.int32)), fill(1 + x["twice"], np.int32)], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
     return run
 
 
-CUT_COLUMNS = ["cut_words", "cut_sha", "cut_bounds", "cut_text"]
-CUT_SCHEMA = f"{ROW_ID} long, cut_words long, cut_sha string, cut_bounds array<long>, cut_text string"
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = PHRASE, many: int = MANY) -> DataFrame:
+    """(row, spans): per row of texts (columns ROW_ID, text) with repeats, the spans of words to remove, unmerged."""
+    found = find_passages(texts, window, gram, many)
+    todo = lambda rows: rows.groupBy(ROW_ID).agg(F.collect_list(F.struct("a", "s", "e", "gram", "high", "low", "twice")).alias("todo"))
+    one = found.where("gram is not null")
+    sent = texts.join(todo(one.where("not many")), ROW_ID).mapInArrow(_send_passages(window), PASSAGE)
+    sent = sent.repartition(shuffle_partitions(texts), "gram").sortWithinPartitions("gram")
+    of_class = sent.mapInArrow(_match_passages(window, gram), "high long, low long, first long, end long")
+    if not one.where("many").isEmpty():
+        windows = materialize(texts.join(todo(one.where("many")), ROW_ID).mapInArrow(_count_windows(window), WINDOWS), "windows")
+        again = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
+        of_class = of_class.unionByName(windows.join(again, ["h1", "h2"]).select("high", "low", F.col("p").cast("long").alias("first"), (F.col("p") + window).cast("long").alias("end")))
+    spans = found.select(ROW_ID, "s", "high", "low").join(of_class, ["high", "low"])
+    return spans.groupBy(ROW_ID).agg(F.collect_list(F.struct((F.col("s") + F.col("first")).alias("first"), (F.col("s") + F.col("end")).alias("end"))).alias("spans"))
+
+
+NEW = ["n_words", "n_removed", "kept_sha256", "spans", "kept_text"]
+NEW_TYPES = ["long", "long", "string", "array<long>", "string"]
 
 
-def _cut_words(with_text: bool):
+def _cut_words(keep: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            spans, out = b["spans"], [[] for _ in range(4)]
-            flat, offs = spans.flatten(), spans.offsets.to_numpy() - spans.offsets[0].as_py()
+            spans, out = b["__gw_spans"], [[] for _ in range(5)]
+            flat, offs = spans.flatten(), np.concatenate(([0], np.cumsum(np.array(spans.value_lengths().fill_null(0)))))
             first, end = flat.field("first").to_numpy(), flat.field("end").to_numpy()
-            for r, text in enumerate(b["text"].to_pylist()):
-                words = text.encode("utf-8").split()
-                f, e = merge_spans(first[offs[r] : offs[r + 1]], end[offs[r] : offs[r + 1]])
-                cuts = np.stack((f, e), axis=1).reshape(-1)
-                kept = b" ".join([w for i, j in np.concatenate(([0], cuts, [len(words)])).reshape(-1, 2).tolist() for w in words[i:j]])
-                for o, v in zip(out, (int((e - f).sum()), hashlib.sha256(kept).hexdigest(), cuts, kept.decode("utf-8") if with_text else None)):
+            for r, text in enumerate(b["__gw_text"]):
+                words = (text.as_py() or "").encode("utf-8").split()
+                n, gone, cuts = len(words), 0, []
+                if offs[r] < offs[r + 1]:
+                    f, e = merge_spans(first[offs[r] : offs[r + 1]], end[offs[r] : offs[r + 1]])
+                    gone, cuts = int((e - f).sum()), np.stack((f, e), axis=1).reshape(-1).tolist()
+                    words = [w for i, j in zip([0, *cuts[1::2]], [*cuts[::2], n]) for w in words[i:j]]
+                kept = b" ".join(words)
+                for o, v in zip(out, (n, gone, hashlib.sha256(kept).hexdigest(), cuts, kept.decode("utf-8") if with_text else None)):
                     o.append(v)
-            types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([b[ROW_ID], *(pa.array(o, t) for o, t in zip(out, types))], names=[ROW_ID, *CUT_COLUMNS])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
+            names = NEW[: 4 + with_text]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(o, t) for o, t, _ in zip(out, types, names))], names=[*keep, *names])
 
     return run
 
 
-def remove_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int | None = None, texts_out: bool = False) -> DataFrame:
+def remove_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int | None = None, texts_out: bool = False, many: int = MANY) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256 and spans; with texts_out, kept_text too.
 
     Every word covered by a run of `window` words that also starts anywhere else in the column is
     removed; runs are judged on the input. spans lists first and end word of each removed run, flat; kept_text
-    joins the kept words by one space. Null texts have no words, shorter texts lose nothing, repeated rows
-    are repeats of each other, an empty table gives an empty result, and columns of docs with the
+    joins the kept words by one space. Null texts have no words, shorter texts lose nothing, texts of any length are read whole,
+    repeated rows are repeats of each other, an empty table gives an empty result, and columns of docs with the
     names of result columns are replaced.
     """
     gram = gram or max(1, min(PHRASE, window // 3))
-    new = ("n_words", "n_removed", "kept_sha256", "spans", "kept_text", "__gw_sha", ROW_ID, *CUT_COLUMNS)
-    rows = with_row_id(docs.select(*[c for c in docs.columns if c not in new]))
+    keep = [c for c in docs.columns if c not in (*NEW, ROW_ID)]
+    rows = with_row_id(docs.select(*keep))
     texts = rows.where(F.octet_length(text) >= 2 * window - 1).select(ROW_ID, F.col(text).alias("text"))
-    found = find_repeats(texts, lambda ids, col: phrases(ids, col, window, gram), KEYS)
-    checked = (
-        texts.join(to_compare(found), ROW_ID)
-        .mapInArrow(_deal_out(window, gram), f"shard long, {ROW_ID} long, p long, phrase binary, passage binary")
-        .repartition(shuffle_partitions(docs.sparkSession), "shard")
-        .mapInArrow(_match_passages(window), f"{ROW_ID} long, first long, end long")
-    )
-    cut = texts.join(all_spans(found, checked, window), ROW_ID).mapInArrow(_cut_words(texts_out), CUT_SCHEMA)
-    words = words_of(F.coalesce(F.col(text), F.lit("")))
-    joined = F.array_join(words, " ")
-    base = rows.withColumns({"n_words": F.size(words).cast("long"), "__gw_sha": F.sha2(joined.cast("binary"), 256)})
-    out = base.join(cut, ROW_ID, "left").withColumns(
-        {
-            "n_removed": F.coalesce("cut_words", F.lit(0).cast("long")),
-            "kept_sha256": F.coalesce("cut_sha", "__gw_sha"),
-            "spans": F.coalesce("cut_bounds", F.array().cast("array<long>")),
-        }
-    )
-    if texts_out:
-        out = out.withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("cut_text")).otherwise(joined))
-    return out.drop(ROW_ID, "__gw_sha", *CUT_COLUMNS)
+    joined = rows.join(repeated_spans(texts, window, gram, many), ROW_ID, "left")
+    given = joined.select(*keep, F.col(text).alias("__gw_text"), F.col("spans").alias("__gw_spans"))
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in zip(NEW[: 4 + texts_out], NEW_TYPES))])
+    return given.mapInArrow(_cut_words(keep, texts_out), schema)

@@ -13,7 +13,7 @@ from geoweave.llm.common import table
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeats(docs, texts_out=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return phrase_dedup.remove_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return phrase_dedup.remove_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
