@@ -60,7 +60,8 @@ PARTITION_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
 def shuffle_partitions(df: DataFrame) -> int:
     """As many partitions as the session says, and more where the input's files are large for that."""
     spark, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(x for x in sizes if x < 1 << 60)  # what is not from files says the greatest size there is
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(size // PARTITION_BYTES, 1 << 17))
 
 
