@@ -248,24 +248,61 @@ def test_line_limit_fires_by_default_on_hosts_of_every_size(spark):
     assert got[0].removed_chars == size and got[9000].removed_chars == 9 * size and not got[9000].kept
 
 
-def test_toxicity_learns_terms_typos_and_quotation(spark):
-    rows, labels = [], []
-    for i in range(300):
-        bad = i % 3 == 0
-        rows.append((i, prose(20) + (" you idiot zorgblat " if bad else " ") + prose(10)))
-        labels.append((i, int(bad)))
-    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+def labelled(spark, n=300):
+    rows = [(i, prose(20) + (" you idiot zorgblat " if i % 3 == 0 else " ") + prose(10)) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+
+
+def test_levenshtein_automata_meet_the_lexicon():
+    entries = [("chlla", True), ("idiot", False), ("worthless", False)]
+    points = np.frombuffer("idiot idjot idiots idot idxxt chllagu chxlagu worthles".encode("utf-32-le"), np.uint32)
+    want = [3, 4, 4, 4, 0, 1, 2, 6]
+    assert toxicity.scan_words(toxicity.build_automata(entries), points)[2].tolist() == want
+    one_by_one = [toxicity.build_automaton([e], k) for k, e in enumerate(entries)]
+    assert toxicity.scan_words(one_by_one, points)[2].tolist() == want
+
+    def edits(a, b):  # brute force
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            d, old = [i + 1], d
+            for j, y in enumerate(b):
+                d.append(min(old[j] + (x != y), old[j + 1] + 1, d[j] + 1))
+        return d[-1]
+
+    many = ["".join(rng.choice(list("abcd"), rng.integers(3, 9))) for _ in range(60)]
+    words = many[:20] + [w[:2] + "x" + w[3:] for w in many[:20]] + ["".join(rng.choice(list("abcdx"), rng.integers(1, 10))) for _ in range(400)]
+    auto = toxicity.build_automata([(w, False) for w in sorted(set(many))])
+    got = toxicity.scan_words(auto, np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32))[2]
+    for w, k in zip(words, got.tolist()):
+        near = [edits(w, m) for m in set(many) if edits(w, m) <= toxicity.edits_for(len(m))]
+        assert (k > 0) == bool(near) and (k == 0 or (k - 1) % 2 == min(near))
+
+
+def test_toxicity_tells_abuse_and_typos_from_quotation(spark):
+    d, y = labelled(spark)
     model = toxicity.fit(d, y)
-    assert "zorgblat" in model.terms or any("zorgblat".startswith(s) for s in model.stems)
-    auto = toxicity.build_automaton(["idiot", "worthless"], ["chlla"])
-    kinds = lambda t: toxicity.scan_words(auto, np.frombuffer(t.encode("utf-32-le"), np.uint32))[2].tolist()
-    assert kinds("idiot idjot idiots idot idxxt chllagu chxlagu worthles") == [1, 2, 2, 2, 0, 3, 4, 2]
-    f = toxicity.features(auto, ['he said "idiot" to them', "you idiot", None, "", "idiot " * 5000])
-    assert f[0][5] > 0 and f[0][1] == 0 and f[1][1] > 0 and f[1][6] > 0 and not f[2].any() and not f[3].any() and f[4][1] > 0
-    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([(1, "you idiot zorgblat", 9), (2, prose(9), 9), (3, None, 9)], "doc_id long, text string, score int"), model).collect()}
-    assert got[1].predicted == 1 and got[2].predicted == 0 and got[3].predicted == 0 and 0 <= got[3].score <= 1
+    assert ("zorgblat", False) in model.entries or any(stem and "zorgblat".startswith(s) for s, stem in model.entries)
+    calm = prose(18)
+    cases = {
+        "you idiot": 1, calm + " idiot": 1, f"{calm} you idjot": 1, f"{calm} wortless {prose(4)}": 1, "you zorgblat": 1,
+        f'he said "idiot" to them {calm}': 0, f"the word 'idiot' is in the dictionary {calm}": 0, f"don't you idiot, it's {calm}": 1,
+        calm: 0, "": 0, "12 34": 0, f"{prose(3000)} idiot": 1,
+    }
+    rows = [(k, t, 9) for k, t in enumerate(cases)] + [(99, None, 9), (0, "you idiot", 9)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score int"), model).collect()
+    assert all(0 <= r.score <= 1 for r in got) and len(got) == len(rows)
+    assert {r.text: r.predicted for r in got} == {**cases, None: 0}
+    assert toxicity.score(d.limit(0), model).count() == 0
     constant = toxicity.fit(d, y.limit(0))
     assert {r.predicted for r in toxicity.score(d, constant).collect()} == {0}
+    assert toxicity.fit(d.limit(0), y).base == 0
+
+
+def test_toxicity_needs_its_automata(spark, monkeypatch):
+    d, y = labelled(spark, 90)
+    model = toxicity.fit(d, y)
+    held = [toxicity.scores(model, toxicity.build_automata(model.entries), ["you idjot"])[0], toxicity.scores(model, toxicity.build_automata([]), ["you idjot"])[0]]
+    assert held[0] >= 0.3 > held[1]
 
 
 def test_sentencepiece_equals_the_library_and_round_trips(spark):
