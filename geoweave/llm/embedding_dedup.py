@@ -1,8 +1,10 @@
 """Near-duplicate embeddings with a pivot-permutation index.
 
 A vector is described by its nearest pivots, in order of nearness, and filed in the inverted list of
-each of them. Two vectors of a list are candidates if they share enough of their nearest pivots; a
-pair is looked at only in the list of the smallest pivot that both have, so it counts once. Candidates
+some of them: of two vectors that share SHARED of their NEAREST pivots, the smallest shared pivot is among the
+first NEAREST - SHARED + 1 of each in the order of pivots, so only these lists are kept. Two vectors of a list are
+candidates if they share enough pivots; a pair is looked at only in the list of the smallest pivot that both have,
+so it counts once. Candidates
 are verified by their cosine in double precision. Long lists are dealt out as pairs of parts; pairs
 never leave a task, only counts of links and one edge per linked vector.
 """
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import ROW_ID, materialize, with_row_id
+from geoweave.llm.common import ROW_ID, materialize, whole_groups, with_row_id
 from geoweave.llm.components import star_components
 from geoweave.llm.simhash import spread
 
@@ -71,10 +73,10 @@ def _describe(pivots: np.ndarray, nearest: int):
 
 def _verify(cosine: float, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
+        for t in whole_groups(batches, "key"):
+            yield verify(t.combine_chunks())
+
+    def verify(t: pa.Table) -> pa.RecordBatch:
         key, side = t["key"].to_numpy(), t["side"].to_numpy()
         t = t.take(pa.array(np.lexsort((side, key))))
         key, side, pivot, rep, mult = (t[c].to_numpy() for c in ("key", "side", "pivot", "rep", "mult"))
@@ -111,7 +113,7 @@ def _verify(cosine: float, shared: int):
                         links += np.bincount(j, weights=mult[i], minlength=len(key)).astype(np.int64)
                         spread(label, i, j)
         got = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(rep[got]), pa.array(rep[label[got]]), pa.array(links[got])], names=["rep", "to", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(rep[got]), pa.array(rep[label[got]]), pa.array(links[got])], names=["rep", "to", "links"])
 
     return run
 
@@ -134,9 +136,9 @@ def near_duplicates(
     groups = materialize(
         good.groupBy("label", "vec").agg(F.min(ROW_ID).alias("rep"), F.count("*").alias("mult"), F.min("id").alias("low")), "vectors"
     )
-    found, edges = None, None
+    found, edges, exact = None, None, rows.schema[vec].dataType.simpleString() == "array<float>"
     for size, n in [(r.size, r.n) for r in groups.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).collect()]:
-        got = _search(groups.where(F.size("vec") == size), n, cosine, nearest, shared, part)
+        got = _search(groups.where(F.size("vec") == size), n, cosine, nearest, shared, part, exact)
         found = got if found is None else found.unionByName(got)
     if found is None:
         found = base.sparkSession.createDataFrame([], "rep long, to long, links long")
@@ -154,21 +156,26 @@ def near_duplicates(
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))).drop(ROW_ID)
 
 
-def _search(groups: DataFrame, n: int, cosine: float, nearest: int, shared: int, part: int) -> DataFrame:
+def _search(groups: DataFrame, n: int, cosine: float, nearest: int, shared: int, part: int, exact_in_floats: bool) -> DataFrame:
     pivots = groups.sparkSession.sparkContext.broadcast(choose_pivots(groups, n)).value
-    described = groups.select("label", "rep", "mult", "vec").mapInArrow(
-        _describe(pivots, min(nearest, max(len(pivots), 1))), f"label {groups.schema['label'].dataType.simpleString()}, rep long, mult long, vec array<double>, pivots array<int>"
+    nearest = min(nearest, max(len(pivots), 1))
+    shared = min(shared, nearest)
+    kind = groups.schema["label"].dataType.simpleString()
+    slim = groups.withColumn("vec", F.col("vec").cast("array<float>")) if exact_in_floats else groups
+    described = materialize(
+        slim.select("label", "rep", "mult", "vec").mapInArrow(_describe(pivots, nearest), f"label {kind}, rep long, mult long, vec {slim.schema['vec'].dataType.simpleString()}, pivots array<int>"), "described"
     )
-    filed = described.withColumn("pivot", F.explode("pivots"))
+    # lists are dealt out by their lengths without the vectors, which are fetched once for each part they are in
+    filed = described.select("label", "rep", F.explode(F.slice(F.array_sort("pivots"), 1, nearest - shared + 1)).alias("pivot"))
     sizes = filed.groupBy("label", "pivot").agg(F.count("*").alias("n")).where("n > 1").withColumn("g", F.ceil(F.col("n") / part).cast("int"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
     dealt = (
         filed.join(sizes, ["label", "pivot"])
-        .withColumn("mine", mine)
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .select(
             F.xxhash64("label", "pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-            (F.col("mine") > F.col("other")).cast("int").alias("side"), "pivot", "rep", "mult", "vec", "pivots",
+            (F.col("mine") > F.col("other")).cast("int").alias("side"), "pivot", "rep",
         )
     )
-    return dealt.repartition("key").mapInArrow(_verify(cosine, min(shared, max(len(pivots), 1))), "rep long, to long, links long")
+    sent = dealt.join(described.drop("label"), "rep").repartition("key").sortWithinPartitions("key")
+    return sent.mapInArrow(_verify(cosine, shared), "rep long, to long, links long")

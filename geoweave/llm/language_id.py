@@ -7,71 +7,82 @@ scored by the longest character n-grams of it that are known: 4-grams first, and
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the model may see, at most about so many; words that it may keep.
-MAX_ROWS, MAX_WORDS, MIN_COUNT = 20_000, 80_000, 2
+#: Rows that the model may see, at most about so many; a word of fewer training rows' texts is left to its n-grams.
+MAX_ROWS, MIN_COUNT = 20_000, 2
 GRAM, SMOOTH, CACHE, BATCH = 4, 0.5, 400_000, 1 << 20
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
+    """Rows of log frequencies in each language, of words and of n-grams."""
+
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log frequency of the word in each language, or of its longest known n-grams."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded = f" {word[:200]} "
+    words: dict[str, int] = field(default_factory=dict)
+    word_rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    grams: dict[str, int] = field(default_factory=dict)
+    gram_rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+    def grams_of(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of the word that are known."""
+        padded = f" {word} "
         for n in range(min(GRAM, len(padded)), 0, -1):
-            found = [g for g in (self.grams.get(padded[i : i + n]) for i in range(len(padded) - n + 1)) if g is not None]
+            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+                return found
+        return []
+
 
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> Model:
+    """Count words and n-grams per language over at most about max_rows rows with text and lang.
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """Count words and n-grams per language over at most about max_rows rows with text and lang."""
+    Rows are drawn by a hash of their content, so the model does not depend on how the table is partitioned; rows that
+    repeat are drawn together. An empty table gives a model without languages.
+    """
     rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     n = rows.count()
-    sample = rows.sample(min(1.0, max_rows / n), seed=3) if n > max_rows else rows
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    counts = words.where(F.length("w") <= 60).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    kept = counts.where((F.col("n") >= MIN_COUNT) | F.lit(n < 2000)).orderBy(F.desc("n"), "w", "lang").limit(max_words).toPandas()
+    drawn = F.xxhash64(F.lit("language"), "text").bitwiseAND(F.lit(0xFFFFFF)) < int(max_rows / max(n, 1) * 0x1000000)
+    words = (rows.where(drawn) if n > max_rows else rows).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    kept = counts.where(F.col("n") >= MIN_COUNT).orderBy("w", "lang").toPandas()
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return build(kept, totals)
 
 
+def _table(names: list[str], langs: np.ndarray, weights: np.ndarray, n: int) -> tuple[dict[str, int], np.ndarray]:
+    """Row number of each name, and the weights summed by name and language."""
+    codes, known = pd.factorize(np.array(names, dtype=object))
+    sums = np.zeros((len(known), n))
+    np.add.at(sums, (codes, langs), weights)
+    return {x: i for i, x in enumerate(known)}, sums
+
+
 def build(counts: pd.DataFrame, totals: dict[str, int]) -> Model:
     """Log frequencies from counts (lang, w, n) and the words of each language."""
     langs = sorted(totals)
     at = {x: i for i, x in enumerate(langs)}
-    by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    by_gram: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(GRAM + 1)]
-    for lang, w, n in counts.itertuples(index=False):
-        by_word[w][at[lang]] += n
-        padded, weight = f" {w} ", 1 + np.log(n)
-        for size in range(1, GRAM + 1):
-            for i in range(len(padded) - size + 1):
-                by_gram[size][padded[i : i + size]][at[lang]] += weight
+    lang, weight = np.array([at[x] for x in counts["lang"]], np.int64), counts["n"].to_numpy(dtype=float)
     total = np.array([totals[x] for x in langs], float)
-    model = Model(langs, {w: np.log((c + SMOOTH) / (total + SMOOTH * len(by_word))) for w, c in by_word.items()})
-    for grams in by_gram[1:]:
-        seen = sum(grams.values()) if grams else np.zeros(len(langs))
-        model.grams |= {g: np.log((c + SMOOTH) / (seen + SMOOTH * len(grams))) for g, c in grams.items()}
+    words, sums = _table(counts["w"].tolist(), lang, weight, len(langs))
+    model = Model(langs, words, np.log((sums + SMOOTH) / (total + SMOOTH * max(1, len(words)))))
+    rows = []
+    for size in range(1, GRAM + 1):
+        cut = [[p[i : i + size] for i in range(len(p) - size + 1)] for p in (f" {w} " for w in counts["w"])]
+        each = np.array([len(x) for x in cut], np.int64)
+        grams, sums = _table([g for x in cut for g in x], np.repeat(lang, each), np.repeat(1 + np.log(weight), each), len(langs))
+        model.grams.update(zip(grams, range(len(model.grams), len(model.grams) + len(grams))))
+        rows.append(np.log((sums + SMOOTH) / (sums.sum(axis=0) + SMOOTH * max(1, len(grams)))))
+    model.gram_rows = np.concatenate(rows)
     return model
 
 
@@ -80,19 +91,8 @@ class _Known(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, n = model, len(model.langs)
-        self.rows = {g: i for i, g in enumerate(model.grams)}
-        self.grams = np.array(list(model.grams.values())).reshape(-1, n) if n else np.zeros((0, 0))
-        self.scores = np.zeros((0, 2 * n))
-
-    def grams_of(self, word: str) -> list[int]:
-        """Rows of the longest n-grams of the word that are known."""
-        padded = f" {word[:200]} "
-        for n in range(min(GRAM, len(padded)), 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.rows.get(padded[i : i + n])) is not None]
-            if found:
-                return found
-        return []
+        self.model = model
+        self.scores = np.zeros((0, 2 * len(model.langs)))
 
     def learn(self, words: set[str]) -> None:
         if len(self) > CACHE:
@@ -107,14 +107,14 @@ class _Known(dict):
         for k, w in enumerate(new):
             known = self.model.words.get(w)
             if known is not None:
-                scores[k] = known
-            elif found := self.grams_of(w):
+                scores[k] = self.model.word_rows[known]
+            elif found := self.model.grams_of(w):
                 flat += found
                 at.append(k)
                 sizes.append(len(found))
         if at:
             first = np.cumsum(sizes) - sizes
-            scores[at] = np.add.reduceat(self.grams[flat], first, axis=0) / np.array(sizes)[:, None]
+            scores[at] = np.add.reduceat(self.model.gram_rows[flat], first, axis=0) / np.array(sizes)[:, None]
         share = np.exp(scores - scores.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         self.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
@@ -147,8 +147,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred and score.
 
     lang_pred is `und`, with score 0, if the text is null or has no letter, or if there was no
-    training row; ties go to the first language in order. Whole texts are scored, however long; columns
-    of docs with the names of result columns are replaced.
+    training row; ties go to the first language in order. Letters are those of Unicode's letter classes, so digits in any
+    form (½, Ⅷ, ①) are none. Whole texts and all n-grams of a word are scored, however long; repeated rows score alike; an
+    empty table gives an empty result; columns of docs with the names of result columns are replaced.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "__gw_lang")]
     shared = docs.sparkSession.sparkContext.broadcast(model)

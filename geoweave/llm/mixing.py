@@ -19,6 +19,8 @@ from geoweave.llm.quality_rules import SYMBOLS, words_of
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent on a value's present share that gives its target share; 1 keeps it, 0 makes all equal.
 TEMPERATURE = {"source": 0.7, "lang": 0.6, "topic": 0.9}
+#: Name of the null source and language among the cells.
+NULL = "\x00null"
 KEEP_SHARE, ROUNDS, TOLERANCE, SEED = 0.8, 40, 1e-3, 20
 
 
@@ -123,7 +125,7 @@ def report(
 ) -> DataFrame:
     """(dimension, value, target, most, expected) of what mix() gave: target share, greatest share that the value's
     tokens allow at the tokens expected in all, and expected share."""
-    keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "topic": F.col("topic")}
+    keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit(NULL)), "lang": F.coalesce(F.col(lang).cast("string"), F.lit(NULL)), "topic": F.col("topic")}
     kept = F.sum(F.col("n_tokens") * F.col("probability"))
     cells = materialize(mixed.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.sum("n_tokens").cast("double").alias("t"), kept.alias("x")), "cells")
     all_t, all_x = cells.agg(F.sum("t"), F.sum("x")).first()
@@ -145,7 +147,8 @@ def mix(
     """Every row of docs with topic, n_tokens, probability and kept.
 
     shares: target shares by dimension and value, where the temperature should not decide. Null sources
-    and languages are values of their own; texts without words (null ones too) have no tokens and are kept with
+    and languages are values of their own (NULL, apart from the empty string); texts of any length are counted whole; of equal
+    rates no tie has to be broken; texts without words (null ones too) have no tokens and are kept with
     probability keep_share if their cell has none; rows that repeat in id and text share their fate; an
     empty table gives an empty result; columns of docs with the names of result columns are replaced.
     """
@@ -153,7 +156,7 @@ def mix(
     words = F.size(words_of(F.coalesce(F.col(text), F.lit(""))))
     rows = docs.select(*[c for c in docs.columns if c not in new]).withColumn("n_tokens", words.cast("long"))
     rows = rows.withColumn("topic", topic_of(F.col(text), F.col("n_tokens")))
-    keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "topic": F.col("topic")}
+    keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit(NULL)), "lang": F.coalesce(F.col(lang).cast("string"), F.lit(NULL)), "topic": F.col("topic")}
     cells = materialize(rows.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.sum("n_tokens").cast("double").alias("t")), "cells")
     goals = {d: materialize(targets(cells, d, temperature.get(d, 1.0), (shares or {}).get(d)), "goals") for d in DIMENSIONS}
     goals = {d: reachable(cells, g, d, keep_share) for d, g in goals.items()}

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are linked when they differ in at most `budget` bits. The 64 bits are cut into
-`budget + 2` blocks; two fingerprints within the budget agree on at least two whole blocks, so a
-fingerprint is filed once for each pair of blocks, under the bits of that pair. Each such bucket
-is a subtrie: node pairs are walked together from its root, differing bits are added up, and a pair
+`budget + k` blocks; two fingerprints within the budget agree on at least k whole blocks, so a
+fingerprint is filed once for each choice of k blocks, under their bits; k grows with the number of fingerprints, so
+that buckets do not. Each bucket is a subtrie: node pairs are walked together from its root, differing bits are added up, and a pair
 is dropped as soon as it exceeds the budget. A bucket never emits its pairs: what leaves a task is
 one edge per fingerprint to the smallest one that it reaches inside the bucket.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoweave.llm.common import ROW_ID, materialize, mix64, with_row_id
+from geoweave.llm.common import ROW_ID, materialize, mix64, whole_groups, with_row_id
 from geoweave.llm.components import star_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
@@ -79,16 +79,26 @@ def blocks(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def bucket_keys(fp: str, budget: int) -> F.Column:
-    """The keys of all pairs of blocks, as an array column."""
-    cut = blocks(budget + 2)
-    part = lambda s, w: F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1))
-    return F.array(
-        *[
-            F.shiftleft(F.lit(k).cast("long"), 48).bitwiseOR(F.shiftleft(part(*cut[a]), cut[b][1])).bitwiseOR(part(*cut[b]))
-            for k, (a, b) in enumerate(combinations(range(len(cut)), 2))
-        ]
-    )
+def blocks_per_key(n: int, budget: int, part: int) -> int:
+    """The least number of blocks in a key under which n evenly spread fingerprints make buckets of at most `part`."""
+    k = 2
+    while k < 5 and n > part << (k * (BITS // (budget + k))):
+        k += 1
+    return k
+
+
+def bucket_keys(fp: str, budget: int, k: int = 2) -> F.Column:
+    """The keys of all choices of k blocks, as an array column; which choice it is makes them distinct."""
+    cut = blocks(budget + k)
+
+    def key(number: int, chosen: tuple[int, ...]) -> F.Column:
+        out = F.lit(0).cast("long")
+        for c in chosen:
+            shift, width = cut[c]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
+        return out.bitwiseOR(F.shiftleft(F.lit(number).cast("long"), 48))
+
+    return F.array(*[key(i, chosen) for i, chosen in enumerate(combinations(range(len(cut)), k))])
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -161,10 +171,10 @@ def spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 def _link_buckets(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b["key"].to_numpy(), b["fp"].to_numpy().view(np.uint64), b["side"].to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, fp, side = (np.concatenate(x) for x in zip(*got))
+        for t in whole_groups(batches, "key"):
+            yield link(t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy())
+
+    def link(key: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((fp, side, key))
         key, fp, side = key[order], fp[order], side[order]
         cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (side[1:] != side[:-1]))))
@@ -186,7 +196,7 @@ def _link_buckets(budget: int):
         linked = np.flatnonzero(label != np.arange(len(fp)))
         signed = fp.view(np.int64)
         pairs = np.unique(np.stack((signed[linked], signed[label[linked]]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     return run
 
@@ -197,7 +207,8 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART) ->
     A bucket of more than `part` fingerprints is split into parts, and each pair of parts is walked
     by itself, so no bucket has to fit one task.
     """
-    keyed = fps.select("fp", F.explode(bucket_keys("fp", budget)).alias("key"))
+    k = blocks_per_key(fps.count(), budget, part)
+    keyed = fps.select("fp", F.explode(bucket_keys("fp", budget, k)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     n_parts = F.ceil(F.col("n") / part).cast("int")
     dealt = (
@@ -211,14 +222,14 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART) ->
             "fp",
         )
     )
-    return dealt.repartition("key").mapInArrow(_link_buckets(budget), "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_buckets(budget), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """Every row of docs with fingerprint (16 hex digits), component_id and n_in_component.
 
     Null and empty texts and texts without words get fingerprint zero and are linked like any
-    other; shorter texts than a shingle count as one shingle. component_id is the smallest id
+    other; shorter texts than a shingle count as one shingle; texts of any length are hashed whole. component_id is the smallest id
     reachable through links, the row's own included (null ids are never the smallest; a component
     with null ids only gets null). Repeated rows are all returned. Columns of docs that bear the
     names of result columns are replaced. An empty table gives an empty result.
@@ -313,11 +324,10 @@ def similar_classes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 def _link_sets(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b["key"].to_numpy(), b["node"].to_numpy(), b["hashes"].to_pylist()) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, node = (np.concatenate(x) for x in list(zip(*got))[:2])
-        sets = [h for x in got for h in x[2]]
+        for t in whole_groups(batches, "key"):
+            yield from link(t["key"].to_numpy(), t["node"].to_numpy(), t["hashes"].to_pylist())
+
+    def link(key: np.ndarray, node: np.ndarray, sets: list[bytes]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((node, key))
         cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -349,7 +359,7 @@ def link_sets(texts: DataFrame, bands: DataFrame, shingle: int, similarity: floa
 
     sets = texts.join(dealt, "node").withColumn("hashes", hashes("text")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     keyed = sets.where("g = 1 OR mine <> other").select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "hashes")
-    return keyed.repartition("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
 
 
 def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, part: int = PART_SETS) -> DataFrame:

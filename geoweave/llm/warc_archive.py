@@ -38,7 +38,7 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def write_record(row_id, page_id, url: str | None, payload: bytes, sha1: str, refers_to, is_revisit: bool) -> bytes:
+def write_record(row_id, page_id, url: str | None, payload: bytes, sha1: str, refers_to, refers_to_row, is_revisit: bool) -> bytes:
     """One record: response with the payload, or revisit without it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if is_revisit else http + payload
@@ -54,7 +54,7 @@ def write_record(row_id, page_id, url: str | None, payload: bytes, sha1: str, re
         f"X-Payload-Length: {len(payload)}",
     ]
     if is_revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(f'page:{refers_to}')}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(f'row:{refers_to_row}')}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
@@ -109,7 +109,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([f"pages-{first}"]), pa.array([len(records)], pa.int64()), pa.array([build_archive(records)], pa.binary())], names=["archive", "n_records", "warc_zst"])
 
     for b in batches:
-        for row in b.select([ROW_ID, "page_id", "url", "payload", "sha1", "refers_to", "is_revisit"]).to_pylist():
+        for row in b.select([ROW_ID, "page_id", "url", "payload", "sha1", "refers_to", "refers_to_row", "is_revisit"]).to_pylist():
             first = row[ROW_ID] if first is None else first
             records.append(write_record(*row.values()))
             size += len(records[-1])
@@ -123,7 +123,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data in b["warc_zst"]:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(9)]
             for record in read_archive(data.as_py()):
                 fields, block = parse_record(record)
                 kind, said = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -131,19 +131,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and digest_of(payload) != said:
                     raise ValueError("a payload does not have its digest")
                 page, other = fields["X-Page-Id"], fields.get("X-Refers-To-Page", "")
-                row = (int(page) if page else None, fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), said, kind, int(other) if other else None, payload if kind == "response" else None)
+                row = (int(page) if page else None, fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), said, kind, int(other) if other else None, payload if kind == "response" else None, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"))
                 for o, v in zip(out, row):
                     o.append(v)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names=RECORD_NAMES)
 
 
-RECORD_NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORD_NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id", "refers_to_record"]
+RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_record string"
 
 
 def plan_records(pages: DataFrame, payload: str = "html", id_col: str = "page_id", url: str = "url", min_bytes: int = 0) -> DataFrame:
-    """One row per page: payload, sha1 (hex), is_revisit and refers_to.
+    """One row per page: payload, sha1 (hex), is_revisit, refers_to (a page) and refers_to_row (its row).
 
     Of pages with equal payloads of at least min_bytes, that with the largest id (of repeated ids the
     last row) is the response. Counts are combined before the shuffle, so a popular payload is one row per
@@ -158,15 +158,16 @@ def plan_records(pages: DataFrame, payload: str = "html", id_col: str = "page_id
         hashed.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max(me).alias("best"), F.count("*").alias("n")).where("n > 1").select("sha1", "best")
     )
     of_row = hashed.select(ROW_ID, "sha1", F.octet_length("payload").alias("size")).where(F.col("size") >= min_bytes).join(groups, "sha1")
-    others = of_row.where(F.col(ROW_ID) != F.col(f"best.{ROW_ID}")).select(ROW_ID, F.col("best.page_id").alias("refers_to"), F.lit(True).alias("is_revisit"))
+    others = of_row.where(F.col(ROW_ID) != F.col(f"best.{ROW_ID}")).select(ROW_ID, F.col("best.page_id").alias("refers_to"), F.col(f"best.{ROW_ID}").alias("refers_to_row"), F.lit(True).alias("is_revisit"))
     return hashed.join(others, ROW_ID, "left").withColumn("is_revisit", F.coalesce("is_revisit", F.lit(False)))
 
 
 def write_archives(pages: DataFrame, payload: str = "html", id_col: str = "page_id", url: str = "url", min_bytes: int = 0) -> DataFrame:
     """Table of archives (archive, n_records, warc_zst), written to the shared folder.
 
-    Null payloads are empty ones; null ids and URLs are written as empty fields; repeated rows give a
-    record each; an empty table gives no archive.
+    Ids must be integers; of the other columns only the URL is archived. Null payloads are empty ones; null ids and URLs
+    are written as empty fields (a null id is never preferred); repeated rows give a record each; payloads of any length are one
+    record; an empty table gives no archive.
     """
     planned = plan_records(pages, payload, id_col, url, min_bytes)
     return materialize(planned.mapInArrow(_write, "archive string, n_records long, warc_zst binary"), "archives")

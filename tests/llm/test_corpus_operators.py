@@ -3,9 +3,11 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -194,12 +196,14 @@ def test_near_duplicate_stage_equals_brute_force_on_shingle_sets(spark):
     assert sorted(r.doc_id for r in simhash.keep_one_similar(df, part=3).collect()) == sorted(want)
 
 
-def test_trie_join_finds_all_pairs_in_split_buckets(spark):
+def test_trie_join_finds_all_pairs_in_split_buckets(spark, monkeypatch):
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(k)) ^ (np.uint64(1) << np.uint64(k // 2)) for k in range(3, 60)]))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     want = {frozenset((a, b)) for a in fps.tolist() for b in fps.tolist() if a < b and (a ^ b).bit_count() <= 4}
-    for part in (4096, 7):
+    assert [simhash.blocks_per_key(n, 4, 4096) for n in (10, 1 << 31, 1 << 40)] == [2, 2, 4]
+    for part, k in ((4096, 2), (7, 2), (4096, 3)):
+        monkeypatch.setattr(simhash, "blocks_per_key", lambda *_, k=k: k)
         edges = [(r.u, r.v) for r in simhash.link_fingerprints(df, part=part).collect()]
         names = {int(x): int(y) for x, y in zip(fps.view(np.int64), fps)}
         root = {x: x for x in fps.tolist()}
@@ -380,6 +384,8 @@ def test_warc_round_trip(spark, tmp_path):
     want = collections.Counter((p, base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), len((h or "").encode())) for p, _, h in pages)
     assert collections.Counter((r.page_id, r.payload_digest, r.payload_bytes) for r in got) == want
     assert sorted((r.page_id or 0, r.refers_to) for r in got if r.record_type == "revisit") == [(0, 4), (1, 2), (2, 2)]
+    ids = {r.record_id: r.page_id for r in got if r.record_type == "response"}
+    assert len({r.record_id for r in got}) == len(pages) and all(ids[r.refers_to_record] == r.refers_to for r in got if r.record_type == "revisit")
     assert warc_archive.export(archives, str(tmp_path)) >= 1
     data = next(tmp_path.iterdir()).read_bytes()
     assert int.from_bytes(data[:4], "little") == warc_archive.SKIPPABLE_MAGIC
@@ -406,14 +412,43 @@ def test_language_id(spark):
     de, en = ["der die das und nicht ein ist mit auf für", "the and of to in is that for with on"]
     rows = [(i, " ".join(rng.choice((de if i % 2 else en).split(), 30)), "de" if i % 2 else "en") for i in range(60)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    texts = [(1, "der Hund und die Katze", "x"), (2, "the dog and that cat", "x"), (3, None, "x"), (4, "12 34 !", "x"), (5, "nichtig " * 30_000, "x"), (6, "", "x")]
+    texts = [(1, "der Hund und die Katze", "x"), (2, "the dog and that cat", "x"), (3, None, "x"), (4, "12 34 !", "x"), (5, "nichtig " * 30_000, "x"), (6, "", "x"), (7, "½ ² Ⅷ ①", "x"), (8, "nicht" * 20_000, "x"), (8, "nicht" * 20_000, "x")]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(texts, "doc_id long, text string, lang_pred string"), model).collect()}
-    assert [got[i].lang_pred for i in range(1, 7)] == ["de", "en", "und", "und", "de", "und"]
+    assert [got[i].lang_pred for i in range(1, 9)] == ["de", "en", "und", "und", "de", "und", "und", "de"]
     assert all(0 <= r.score <= 1 for r in got.values())
     empty = language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert language_id.predict(empty, ["the"]) == [("und", 0.0)]
 
 
+def test_language_scores_equal_brute_force():
+    counts = [("de", "nicht", 5), ("de", "haus", 3), ("en", "house", 4), ("en", "nicht", 1), ("de", "x" * 70, 2)]
+    model = language_id.build(pd.DataFrame(counts, columns=["lang", "w", "n"]), {"de": 10, "en": 6})
+    words = {"nicht": (5, 1), "haus": (3, 0), "house": (0, 4), "x" * 70: (2, 0)}
+
+    def slow(word):
+        if word in words:
+            return [math.log((c + 0.5) / (t + 0.5 * len(words))) for c, t in zip(words[word], (10, 6))]
+        for n in range(min(4, len(word) + 2), 0, -1):
+            table = collections.defaultdict(lambda: [0.0, 0.0])
+            for lang, w, c in counts:
+                p = f" {w} "
+                for i in range(len(p) - n + 1):
+                    table[p[i : i + n]][lang == "en"] += 1 + math.log(c)
+            sums = [sum(v[k] for v in table.values()) for k in (0, 1)]
+            p = f" {word} "
+            held = [table[p[i : i + n]] for i in range(len(p) - n + 1) if p[i : i + n] in table]
+            if held:
+                return [sum(math.log((v[k] + 0.5) / (sums[k] + 0.5 * len(table))) for v in held) / len(held) for k in (0, 1)]
+        return [0.0, 0.0]
+
+    for text in ("haus nicht unknown", "hous", "hauser " * 9 + "house", "x" * 300, "q"):
+        each = [slow(w) for w in text.split()]
+        best = int(sum(e[1] for e in each) > sum(e[0] for e in each))
+        share = sum(math.exp(e[best]) / (math.exp(e[0]) + math.exp(e[1])) for e in each) / len(each)
+        (lang, score), = language_id.predict(model, [text])
+        assert (lang, score) == (["de", "en"][best], pytest.approx(min(1.0, share)))
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
