@@ -33,7 +33,7 @@ from geoweave.llm.common import ROW_ID, materialize, mix64, shuffle_partitions,
 
 WINDOW, GRAM, TOKENS = 400, 64, 3
 #: An anchor with this many unlike stretches is not gathered.
-MANY = 1024
+MANY = 1 << 14
 #: At most so many sampled suffixes per bucket decide the splitters; a sampling task gives so many.
 SAMPLED_PER_BUCKET, SAMPLED_PER_TASK, SAMPLE_SHARE = 64, 512, 0.02
 KEYS = [f"t{i}" for i in range(TOKENS)] + ["gram", "high", "low"]
