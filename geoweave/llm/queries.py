@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import embedding_dedup, language_id, mixing, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
+from geoweave.llm import embedding_dedup, language_id, mixing, oracles, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
 from geoweave.llm.common import table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs, texts_out=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return phrase_dedup.remove_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return phrase_dedup.remove_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
