@@ -103,21 +103,69 @@ def ring_contains_segment(a: np.ndarray, seg: np.ndarray) -> bool:
     return not (segment_middles(seg, a) == OUT).any() if (seg[0] != seg[1]).any() else bool(locate(seg[:1], a)[0] != OUT)
 
 
+#: Pairs of vertex and edge above which rings are swept; vertices that are swept together.
+MANY_PAIRS, SWEPT = 10_000, 48
+
+
 def closest_points(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Least distance between the vertices of one ring and the edges of the other, and the two points."""
+    """Least distance between the vertices of one ring and the edges of the other, and the two points; large rings are swept."""
+    return (closest_points_swept if len(a) * len(b) > MANY_PAIRS else closest_points_of_all)(a, b)
+
+
+def _closer(best: tuple, points: np.ndarray, p: np.ndarray, q: np.ndarray, flip: bool) -> tuple:
+    d, foot = nearest_on_edges(points, p, q)
+    k, m = np.unravel_index(np.argmin(d), d.shape)
+    if d[k, m] >= best[0]:
+        return best
+    pair = (points[k], foot[k, m])
+    return (d[k, m], *(pair[::-1] if flip else pair))
+
+
+def closest_points_of_all(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Every vertex against every edge."""
     best = (np.inf, a[0], b[0])
     for flip, (u, v) in enumerate(((a, b), (b, a))):
         p, q = edges(v)
         step = max(1, BLOCK // len(v))
         for i in range(0, len(u), step):
-            d, foot = nearest_on_edges(u[i : i + step], p, q)
-            k, m = np.unravel_index(np.argmin(d), d.shape)
-            if d[k, m] < best[0]:
-                pair = (u[i + k], foot[k, m])
-                best = (d[k, m], *(pair[::-1] if flip else pair))
+            best = _closer(best, u[i : i + step], p, q, bool(flip))
     return float(np.sqrt(best[0])), best[1], best[2]
 
 
+def closest_points_swept(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The same by a sweep along the axis on which the rings are longer: a run of vertices meets the edges within the best distance so far."""
+    span = np.maximum(a.max(axis=0), b.max(axis=0)) - np.minimum(a.min(axis=0), b.min(axis=0))
+    axis, best = int(span[1] > span[0]), (np.inf, a[0], b[0])
+    for flip, (u, v) in enumerate(((a, b), (b, a))):
+        p, q = edges(v)
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        order = np.argsort(low[:, axis])
+        p, q, low, high = p[order], q[order], low[order], high[order]
+        reach = np.maximum.accumulate(high[:, axis])
+        u = u[np.argsort(u[:, axis])]
+        best = _closer(best, u[:: len(u) // 8 + 1], p, q, bool(flip))
+        starts = np.arange(0, len(u), SWEPT)
+        least, most = np.minimum.reduceat(u, starts), np.maximum.reduceat(u, starts)
+        apart = np.maximum(np.maximum(least - v.max(axis=0), v.min(axis=0) - most), 0)
+        for i in np.argsort((apart**2).sum(axis=1), kind="stable").tolist():  # the nearest runs first
+            d = np.sqrt(best[0])
+            s, e = np.searchsorted(reach, least[i, axis] - d), np.searchsorted(low[:, axis], most[i, axis] + d, "right")
+            gap = np.maximum(np.maximum(low[s:e] - most[i], least[i] - high[s:e]), 0)
+            near = s + np.flatnonzero((gap * gap).sum(axis=1) < best[0])
+            if len(near):
+                best = _closer(best, u[starts[i] : starts[i] + SWEPT], p[near], q[near], bool(flip))
+    return float(np.sqrt(best[0])), best[1], best[2]
+
+
+def polygon_contains_segment(a: list, seg: np.ndarray) -> bool:
+    """The boundary contains the segment and no hole crosses it."""
+    return ring_contains_segment(a[0], seg) and not any(ring_intersects_segment(h, seg) for h in a[1:])
+
+
+def multi_contains_segment(a: list, seg: np.ndarray) -> bool:
+    return any(polygon_contains_segment(p, seg) for p in a)
+
+
 def same_ring(a: np.ndarray, b: np.ndarray) -> bool:
     key = lambda r: sorted(map(tuple, np.round(r, 8).tolist()))
     return len(a) == len(b) and key(a) == key(b) and ring_contains(a, b) and ring_contains(b, a)
@@ -259,11 +307,12 @@ def _rings(value: list) -> list[np.ndarray]:
 
 
 _READ: dict[str, Callable] = {
+    "segment": lambda v: np.array(v, np.float64).reshape(-1, 2),
     "ring": lambda v: np.array(v, np.float64).reshape(-1, 2),
     "polygon": _rings,
     "multi": lambda v: [_rings(p) for p in v],
 }
-_FLAT = {"ring": flat_ring, "polygon": flat_polygon, "multi": flat_multi}
+_FLAT = {"segment": lambda s: F.array(s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"]), "ring": flat_ring, "polygon": flat_polygon, "multi": flat_multi}
 
 
 def pair_udf(kernel: Callable, left: str, right: str, kind=None) -> Callable[[Column, Column], Column]:

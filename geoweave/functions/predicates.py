@@ -70,7 +70,8 @@ def distance_predicate(limit: float, crs: str = "projected") -> Callable[[Column
 
 UNARY = {"ApproxAreaFilter": lambda c: approx_area_filter(float(c["requiredArea"])), "ProjectedAreaFilter": lambda c: projected_area_filter(float(c["requiredArea"]))}
 BINARY = {"InsidePolygonFilter": lambda c: inside_polygon_filter()}
-NEIGHBOUR = {"DistanceBiPredicate": lambda c, crs: distance_predicate(float(c["maxDistanceMeters"]), crs)}
+#: Configurations name the limit distance; maxDistanceMeters is read too.
+NEIGHBOUR = {"DistanceBiPredicate": lambda c, crs: distance_predicate(float(c["distance"] if "distance" in c else c["maxDistanceMeters"]), crs)}
 
 
 def unary_filter(config: dict) -> Callable[[Column], Column]:

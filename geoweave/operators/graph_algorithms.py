@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +82,39 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return paths.withColumn("edges", pairs)
 
 
+@dataclass
+class Search:
+    """What a search tells of: each hook gets a table, for all nodes or edges of a round at once.
+
+    on_open(id, hops, parent), on_edge(src, dst), on_close(id); stop(id, hops, parent) ends the search if it is true of newly
+    opened nodes. The search returns (id, status, hops, parent), status being closed, open (when it was stopped) or unknown.
+    """
+
+    on_open: Callable[[DataFrame], None] = lambda _: None
+    on_edge: Callable[[DataFrame], None] = lambda _: None
+    on_close: Callable[[DataFrame], None] = lambda _: None
+    stop: Callable[[DataFrame], bool] = lambda _: False
+
+    def run(self, graph: Graph, start, predicate: Column | None = None) -> DataFrame:
+        both = graph.both() if predicate is None else graph.both().where(predicate)
+        steps = cut(both.select("src", "dst").where("src <> dst").distinct(), "steps")
+        kind = graph.nodes.schema["id"].dataType
+        opened = cut(graph.nodes.where(F.col("id") == start).select("id", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent")), "opened")
+        closed = opened.limit(0)
+        for hop in count(1):
+            self.on_open(opened)
+            if opened.isEmpty() or self.stop(opened):
+                break
+            out = cut(opened.select(F.col("id").alias("src")).join(steps, "src"), "out")
+            self.on_edge(out)
+            self.on_close(opened.select("id"))
+            closed = cut(closed.unionByName(opened), "closed")
+            new = out.join(closed.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy("dst").agg(F.min("src").alias("parent"))
+            opened = cut(new.select(F.col("dst").alias("id"), F.lit(hop).alias("hops"), "parent"), "opened")
+        seen = closed.withColumn("status", F.lit("closed")).unionByName(opened.withColumn("status", F.lit("open")))
+        return graph.nodes.select("id").join(seen, "id", "left").select("id", F.coalesce("status", F.lit("unknown")).alias("status"), "hops", "parent")
+
+
 def depth_first_path(graph: Graph, start, goal) -> DataFrame:
     """Some path from start to goal; the shortest one is as good as any."""
     return shortest_paths(graph, start, goal=goal)
@@ -110,7 +143,7 @@ def contract(graph: Graph, predicate: Column | None, reduce: list[Column], compo
     Edges between different components are relabelled, and repeated ones are one. Nodes without
     neighbours are reduced alone. Labels are the least node ids.
     """
-    labels = connected_components(graph, predicate) if components is None else components
+    labels = connected_components(graph, predicate) if components is None else components  # of a written table: source and result may share a name
     nodes = graph.nodes.join(labels, "id").groupBy("component").agg(*reduce).withColumnRenamed("component", "id")
     ends = labels.select(F.col("id").alias("src"), F.col("component").alias("c1")), labels.select(F.col("id").alias("dst"), F.col("component").alias("c2"))
     e = graph.edges.join(ends[0], "src").join(ends[1], "dst").where("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst"))
@@ -148,3 +181,30 @@ def pack_workloads(components: DataFrame, most: int = 5000) -> DataFrame:
     one = packed.select(F.concat_ws("#", "file", "part").alias("workload"), F.array("file").alias("files"), "components", "nodes")
     many = per.where(F.size("files") > 1).select(F.concat(F.lit("component#"), F.col("component")).alias("workload"), "files", F.array("component").alias("components"), "nodes")
     return one.unionByName(many)
+
+
+def contract_to_fixed_point(graph: Graph, distance: Callable[[Graph], DataFrame], limit: float, reduce: list[Column]) -> Graph:
+    """Contract edges of at most `limit` until none is left; distance(graph) gives edges (src, dst, distance) of the present nodes."""
+    while True:
+        edges = cut(distance(graph), "distances")
+        near = edges.where(F.col("distance") <= limit)
+        if near.isEmpty():
+            return replace(graph, edges=edges)
+        labels = cut(connected_components(Graph(graph.nodes, near)), "components")
+        merged = contract(replace(graph, edges=edges), None, reduce, labels)
+        graph = replace(merged, nodes=cut(merged.nodes, "nodes"), edges=cut(merged.edges, "edges"))
+
+
+def component_tables(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components as nodes (component), and which node is part of which (id, component)."""
+    return labels.select("component").distinct(), labels.select("id", "component").distinct()
+
+
+def nodes_of_components(part_of: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(component, id) of the wanted components (component)."""
+    return part_of.join(wanted.select("component").distinct(), "component").select("component", "id")
+
+
+def files_of_components(part_of: DataFrame, stored: DataFrame) -> DataFrame:
+    """(component, file), each once: the files in which the nodes of a component (id, component) are stored (id, file)."""
+    return part_of.select("id", "component").join(stored.select("id", "file"), "id").select("component", "file").distinct()

@@ -173,6 +173,70 @@ def nearest_of(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
     return top_k(met.select("qid", "id", d.alias("distance")), ["qid"], [F.col("distance"), F.col("id")], k)
 
 
+def nearest_in_next_class(points: DataFrame, k: int = 1) -> DataFrame:
+    """(id, neighbour, distance, rank): for points (id, class, x, y) the k nearest ones of the next greater class that there is.
+
+    Classes are paired by a small table; points of a pair of classes meet in grid cells around the asking one, and who has not
+    found k within a cell's width goes on with cells of twice the width.
+    """
+    pts = cut(points.select("id", F.col("class").alias("c"), "x", "y"), "classed")
+    have = pts.select("c").distinct()
+    after = have.join(have.select(F.col("c").alias("n")), F.col("n") > F.col("c")).groupBy("c").agg(F.min("n").alias("n"))
+    todo = cut(pts.join(F.broadcast(after), "c").select("id", "x", "y", "n"), "asking")  # a row for each class
+    targets = cut(pts.groupBy(F.col("c").alias("n")).agg(F.count("*").alias("most")), "targets")
+    s = pts.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    reach = max((s.x1 or 0) - (s.x0 or 0), (s.y1 or 0) - (s.y0 or 0), 1e-9) if s.n else 1.0
+    width, done = reach / max(1.0, (s.n / (2.0 * k)) ** 0.5), None
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    todo = todo.join(F.broadcast(targets), "n").withColumn("most", F.least("most", F.lit(k)))
+    while True:
+        last = width > reach
+        at = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
+        asks = todo.select("id", "x", "y", "n", "most", steps.alias("o")).select("id", "x", "y", "n", "most", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
+        has = pts.select(F.col("id").alias("neighbour"), F.col("c").alias("n"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
+        d = F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
+        met = asks.join(has, ["n", "cx", "cy"]).select("id", "neighbour", "most", d.alias("distance"))
+        best = cut(top_k(met, ["id"], [F.col("distance"), F.col("neighbour")], k), "nearest")
+        sure = best.where((F.col("rank") == F.col("most")) & ((F.col("distance") <= width) | F.lit(last))).select("id")
+        part = best.join(sure, "id", "left_semi").select("id", "neighbour", "distance", "rank")
+        done = part if done is None else done.unionByName(part)
+        todo = cut(todo.join(sure, "id", "left_anti"), "todo")
+        if last or todo.isEmpty():
+            return done
+        width *= 2
+
+
+def attach_by_containment(polygons: DataFrame, sources: DataFrame) -> DataFrame:
+    """polygons (id, geom) with imp and pop of the sources (source, geom, area, imp, pop) that they contain.
+
+    imp is the mean weighted by area, pop the sum; null without sources. A source in several polygons counts for the least id.
+    """
+    boxes = lambda df, i: df.select(F.col(i).alias("id"), A.ring_box(F.col("geom")["boundary"]).alias("box"))
+    # ids of both sides in one id space: polygons are even, sources odd
+    both = boxes(polygons, "id").withColumn("id", F.col("id") * 2).unionByName(boxes(sources, "source").withColumn("id", F.col("id") * 2 + 1))
+    pairs = box_pairs(both).select("a", "b").where((F.col("a") + F.col("b")) % 2 != 0)
+    even = F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b"))
+    odd = F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a"))
+    met = pairs.select((even / 2).cast("long").alias("id"), ((odd - 1) / 2).cast("long").alias("source"))
+    exact = met.join(polygons.select("id", F.col("geom").alias("p")), "id").join(sources.withColumnRenamed("geom", "q"), "source")
+    inside = exact.where(kernels.pair_udf(kernels.polygon_contains, "polygon", "polygon")(F.col("p"), F.col("q")))
+    once = inside.groupBy("source").agg(F.min("id").alias("id"), F.first("area").alias("area"), F.first("imp").alias("imp"), F.first("pop").alias("pop"))
+    sums = once.groupBy("id").agg((F.sum(F.col("imp") * F.col("area")) / F.sum("area")).alias("imp"), F.sum("pop").alias("pop"))
+    return polygons.join(sums, "id", "left")
+
+
+ORDERS = {
+    "lexicographic": ["x", "y", "id"], "by_y": ["y", "x", "id"],  # points
+    "vertical": ["ymax desc", "id"], "horizontal": ["xmin", "xmax", "id"],  # boxes
+}
+
+
+def in_order(rows: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    """Points (x, y, id) or boxes (xmin, xmax, ymax, id) in a named order; of these the first `limit`, if given."""
+    out = rows.orderBy(*[F.expr(c.split()[0]).desc() if c.endswith(" desc") else F.col(c) for c in ORDERS[order]])
+    return out if limit is None else out.limit(limit)
+
+
 def restrict_to_range(rows: DataFrame, box_col: str, primary: DataFrame, primary_box: str, d: float) -> DataFrame:
     """Rows whose box is within d of the common box of another layer; that box is one row."""
     b = primary.select(F.col(primary_box).alias("b"))

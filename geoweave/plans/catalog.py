@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from geoweave.functions import areal as A
 from geoweave.functions import geodesy, kernels, predicates
@@ -14,6 +15,7 @@ from geoweave.functions import vectors as V
 from geoweave.operators import centrality, layers, spatial_join
 from geoweave.operators import graph_algorithms as GA
 from geoweave.operators.graph import Graph, edge_text
+from geoweave.plans import jobs
 from geoweave.plans import layers_from_tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,3 +576,108 @@ def k2_k7_settlement_workflow(spark, sf):
     )
     out = workflow.run([geographic_lots(spark, sf).select("geom")], config)
     return out.analysed.select("id", "FEATURE_ID", "parts", F.round("area", 9).alias("area"), "DegreeCent", F.round("MeanLocSig", 6).alias("MeanLocSig"), F.round("SmallNeigh", 6).alias("SmallNeigh"))
+
+
+# --- orders, jobs, searches, classes -------------------------------------------------------------
+
+
+@query(f"""WITH {T.SITES}, {T.PARCELS} SELECT * FROM (SELECT 'lexicographic' AS rule, id FROM sites ORDER BY x, y, id LIMIT 25) UNION ALL SELECT * FROM (SELECT 'by_y', id FROM sites ORDER BY y, x, id LIMIT 25)
+  UNION ALL SELECT * FROM (SELECT 'vertical', id FROM parcels ORDER BY ymax DESC, id LIMIT 25) UNION ALL SELECT * FROM (SELECT 'horizontal', id FROM parcels ORDER BY xmin, xmax, id LIMIT 25)""")
+def w3_w6_first_in_order(spark, sf):
+    points, boxes = T.sites(spark, sf), T.parcels(spark, sf).select("id", "box.*")
+    parts = [spatial_join.in_order(points if r in ("lexicographic", "by_y") else boxes, r, 25).select(F.lit(r).alias("rule"), "id") for r in spatial_join.ORDERS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("""WITH jobs AS (SELECT o_orderkey AS job, CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'RUNNABLE' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'RUNNING' ELSE 'FAILED' END END AS state FROM orders),
+  again AS (SELECT job, CASE WHEN state IN ('RUNNING', 'FAILED') THEN 'RUNNABLE' ELSE state END AS state FROM jobs)
+  SELECT 'before' AS what, state, count(*) AS n FROM jobs GROUP BY state UNION ALL SELECT 'resumed', state, count(*) FROM again GROUP BY state UNION ALL SELECT 'next', NULL, coalesce(max(job), 0) + 1 FROM jobs""")
+def g9_g10_job_states(spark, sf):
+    state = "CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'RUNNABLE' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'RUNNING' ELSE 'FAILED' END END AS state"
+    j = T.read(spark, sf, "orders").selectExpr("o_orderkey AS job", state)
+    parts = [jobs.count_by_state(d).select(F.lit(w).alias("what"), "state", "n") for w, d in (("before", j), ("resumed", jobs.resume(j)))]
+    return parts[0].union(parts[1]).union(jobs.next_id(j).select(F.lit("next"), F.lit(None).cast("string"), "job"))
+
+
+@query("SELECT DISTINCT l_suppkey AS component, 'f' || (p_size % 20) AS file FROM lineitem JOIN part ON l_partkey = p_partkey")
+def j14_files_of_components(spark, sf):
+    part_of = T.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("component"))
+    stored = T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), (F.col("p_size") % 20).cast("string")).alias("file"))
+    return GA.files_of_components(part_of, stored)
+
+
+@query(f"""WITH {T.SITES}, c AS (SELECT *, id % 4 AS class FROM sites), p AS (SELECT a.id, b.id AS neighbour, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM c a JOIN c b ON b.class = a.class + 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS k FROM p) SELECT id, neighbour, round(d,6)+0.0 AS distance FROM r WHERE k = 1""")
+def k14_nearest_in_next_class(spark, sf):
+    near = spatial_join.nearest_in_next_class(T.sites(spark, sf).withColumn("class", F.col("id") % 4))
+    return near.select("id", "neighbour", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH {T.PARCELS}, src AS (SELECT id AS source, x0+0.25 AS sx0, y0+0.25 AS sy0, x0+0.25+w/4 AS sx1, y0+0.25+h/4 AS sy1, w*h/16 AS a, id % 100 AS imp, id % 7 AS pop FROM parcels),
+  met AS (SELECT source, min(id) AS id, any_value(a) AS a, any_value(imp) AS imp, any_value(pop) AS pop FROM src JOIN parcels ON xmin <= sx0 AND sx1 <= xmax AND ymin <= sy0 AND sy1 <= ymax GROUP BY source),
+  sums AS (SELECT id, sum(imp*a)/sum(a) AS imp, sum(pop) AS pop FROM met GROUP BY id)
+  SELECT parcels.id, round(imp,6)+0.0 AS imp, cast(pop AS double) AS pop FROM parcels LEFT JOIN sums USING (id)""")
+def y1_attach_by_containment(spark, sf):
+    p = T.parcels(spark, sf)
+    shape = lambda x0, y0, x1, y1: A.polygon(F.array(V.point(x0, y1), V.point(x1, y1), V.point(x1, y0), V.point(x0, y0)))
+    x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    polygons = p.select("id", shape(x, y, x + w, y + h).alias("geom"))
+    sources = p.select(F.col("id").alias("source"), shape(x + 0.25, y + 0.25, x + 0.25 + w / 4, y + 0.25 + h / 4).alias("geom"), (w * h / 16).alias("area"), (F.col("id") % 100).cast("double").alias("imp"), (F.col("id") % 7).cast("double").alias("pop"))
+    return spatial_join.attach_by_containment(polygons, sources).select("id", r6(F.col("imp")).alias("imp"), "pop")
+
+
+@query(f"""WITH {T.LOTS}, seg AS (SELECT id, kind, x, y, s, x+0.1*s AS ax, y+0.1*s AS ay, x+(0.2+id%2*0.7)*s AS bx, y+0.1*s AS by_, y+0.9*s AS cy FROM lots WHERE kind IN (0, 3))
+  SELECT id, ax >= x AND bx <= x+s AND ay >= y AND ay <= y+s AS low, NOT (kind = 3 AND bx > x+0.25*s AND bx < x+0.75*s) AND bx <= x+s AND cy <= y+s AND NOT (kind = 3 AND ax < x+0.75*s AND (bx-ax)/(cy-ay) * 0.15*s + ax < x+0.75*s AND (bx-ax)/(cy-ay) * 0.65*s + ax > x+0.25*s) AS high FROM seg""")
+def a21_polygon_contains_segment(spark, sf):
+    """Segments along the lower side of a box, and up through it; the second one may cross the hole."""
+    p = T.lots(spark, sf).where("kind IN (0, 3)")
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    end = x + (F.lit(0.2) + F.col("id") % 2 * 0.7) * s
+    inside = kernels.pair_udf(kernels.polygon_contains_segment, "polygon", "segment")
+    a = V.point(x + 0.1 * s, y + 0.1 * s)
+    low, high = N.segment(a, V.point(end, y + 0.1 * s)), N.segment(a, V.point(end, y + 0.9 * s))
+    return p.select("id", inside(F.col("geom"), low).alias("low"), inside(F.col("geom"), high).alias("high"))
+
+
+@query()
+def a29_a30_swept_closest_points(spark, sf):
+    """Distances of rings of many vertices by the sweep and by brute force; SQL has no shape for this, tests compare the two."""
+    n = T.read(spark, sf, "nation").selectExpr("n_nationkey AS id")
+    def ring(c):
+        turn = lambda k: k * 0.02617993877991494
+        r = lambda k: 2 + F.sin(turn(k) * (3 + F.col("id") % 5))
+        return F.transform(F.sequence(F.lit(0), F.lit(239)), lambda k: F.struct((c * 7 + r(k) * F.cos(turn(k))).alias("x"), (c % 5 * 6 + r(k) * F.sin(turn(k))).alias("y")))
+
+    pairs = n.select("id", A.polygon(ring(F.col("id"))).alias("p"), A.polygon(ring(F.col("id") + 1)).alias("q"))
+    brute = kernels.pair_udf(lambda a, b: kernels.closest_points_of_all(a[0], b[0])[0], "polygon", "polygon", DoubleType())
+    swept = kernels.pair_udf(lambda a, b: kernels.closest_points_swept(a[0], b[0])[0], "polygon", "polygon", DoubleType())
+    return pairs.select("id", r6(swept(F.col("p"), F.col("q")), 9).alias("swept"), r6(brute(F.col("p"), F.col("q")), 9).alias("of_all"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey*3+1)%25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey+5)%25 FROM nation),
+  walk AS (SELECT 0 AS id, 0 AS hops UNION SELECT e.dst, hops+1 FROM walk JOIN e ON walk.id = e.src WHERE hops < 25), best AS (SELECT id, min(hops) AS h FROM walk GROUP BY id)
+  SELECT cast(n_nationkey AS bigint) AS id, CASE WHEN h < 3 THEN 'closed' WHEN h = 3 THEN 'open' ELSE 'unknown' END AS status, cast(CASE WHEN h <= 3 THEN h END AS bigint) AS hops FROM nation LEFT JOIN best ON id = n_nationkey""")
+def r19_r20_search_states(spark, sf):
+    """A search that is stopped when it opens nodes three hops away."""
+    n = T.read(spark, sf, "nation")
+    e = n.selectExpr("cast(n_nationkey AS bigint) AS src", "cast((n_nationkey*3+1)%25 AS bigint) AS dst").union(n.selectExpr("cast(n_nationkey AS bigint)", "cast((n_nationkey+5)%25 AS bigint)"))
+    found = GA.Search(stop=lambda new: not new.where("hops >= 3").isEmpty()).run(Graph.of_edges(e, directed=True), 0)
+    return found.select("id", "status", big(F.col("hops")).alias("hops"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS id, list(cast(l_quantity AS bigint)) AS q, range(0, count(*)) AS n FROM lineitem GROUP BY l_orderkey)
+  SELECT id, cast(len(q) AS bigint) AS size, len(q) = 0 AS empty, cast(list_sum(list_transform(q, lambda x: 2*x)) AS bigint) AS doubled, cast(len(list_filter(q, lambda x: x > 25)) AS bigint) AS large,
+  len(list_filter(q, lambda x: x > 49)) > 0 AS any_large, len(list_filter(q, lambda x: x > 5)) = len(q) AS all_five, cast(len(flatten([q, cast(n AS bigint[])])) AS bigint) AS joined,
+  cast(len(list_distinct(q)) AS bigint) AS inverse_keys, cast(list_max(n) AS bigint) AS last FROM o""")
+def f7_f9_collections(spark, sf):
+    """Ranges and maps of the lines of an order: place -> quantity, and turned around (of equal quantities the last place)."""
+    o = T.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(big(F.col("l_quantity")))).alias("q"))
+    o = o.select("id", F.transform("q", lambda x, i: F.struct(big(i).alias("n"), x.alias("q"))).alias("l"))
+    m = F.map_from_entries("l")
+    q = F.transform("l", lambda x: x["q"])
+    turned = F.map_from_entries(F.map_values(F.aggregate("l", F.create_map().cast("map<bigint,struct<k:bigint,v:bigint>>"), lambda a, x: F.map_zip_with(a, F.create_map(x["q"], F.struct(x["q"].alias("k"), x["n"].alias("v"))), lambda k, old, new: F.coalesce(new, old)))))
+    return o.select(
+        "id", big(F.size(m)).alias("size"), (F.size("l") == 0).alias("empty"), F.aggregate(F.transform(q, lambda x: 2 * x), F.lit(0).cast("long"), lambda a, x: a + x).alias("doubled"), big(F.size(F.filter(q, lambda x: x > 25))).alias("large"),
+        F.exists(q, lambda x: x > 49).alias("any_large"), F.forall(q, lambda x: x > 5).alias("all_five"), big(F.size(F.flatten(F.array(q, F.map_keys(m))))).alias("joined"),
+        big(F.size(turned)).alias("inverse_keys"), F.array_max(F.map_keys(m)).alias("last"),
+    )

@@ -45,10 +45,16 @@ class WorkflowConfig:
         return cls(**out)
 
 
+#: Fixed values of a preset: areas from 5,000 square metres on that are inside no other, links and merges up to 200 m, five neighbours.
+URBAN_CLUSTERS = """{
+  "unary-filters": [{"name": "ApproxAreaFilter", "requiredArea": 5000}],
+  "binary-filters": [{"name": "InsidePolygonFilter"}],
+  "maxDistanceMeters": 200, "maxNeighbours": 5,
+  "neighbouring-predicates": [{"name": "DistanceBiPredicate", "distance": 200}],
+  "contraction-predicates": [{"name": "DistanceBiPredicate", "distance": 200}],
+  "last-job-type": "MERGE"
+}"""
+
+
 def urban_clusters() -> WorkflowConfig:
-    """Settlement clusters: links and merges up to 200 m, five neighbours, areas from 5,000 square metres on."""
-    near = {"name": "DistanceBiPredicate", "maxDistanceMeters": 200.0}
-    return WorkflowConfig(
-        unary_filters=[{"name": "ApproxAreaFilter", "requiredArea": 5000.0}], max_distance_meters=200.0, max_neighbours=5,
-        neighbouring_predicates=[near], contraction_predicates=[near], last_job_type="MERGE",
-    )
+    return WorkflowConfig.from_json(URBAN_CLUSTERS)

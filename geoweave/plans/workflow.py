@@ -1,7 +1,7 @@
 """Settlement delineation and analysis as one chain of DataFrames.
 
-Stages: split, filter, neighbours, components, contraction, analysis, merge. Nothing is written between
-them but the edge list, which components, contraction and analysis read again.
+Stages: split, filter, neighbours, components, contraction, analysis, merge. What later stages read again is
+written to the shared folder; run_files() goes from shapefiles to shapefiles.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from geoweave.functions import areal as A
 from geoweave.functions import geodesy, kernels, predicates
@@ -21,6 +22,7 @@ from geoweave.operators.graph import Graph
 from geoweave.operators.graph_algorithms import connected_components, contract, id_sum
 from geoweave.operators.storage import cut
 from geoweave.plans.config import WorkflowConfig
+from geoweave.sources import files
 
 EDGE_WIDTH = 0.000001
 
@@ -29,6 +31,7 @@ EDGE_WIDTH = 0.000001
 class Result:
     """What each stage gave; None for stages that were not reached."""
 
+    split: DataFrame | None = None
     filtered: DataFrame | None = None
     edges: DataFrame | None = None
     components: DataFrame | None = None
@@ -129,12 +132,26 @@ def edge_layer(graph: Graph) -> DataFrame:
     return closest.select("src", "dst", edge_shape(F.col("closest")).alias("ring")).where("ring is not null").select("src", "dst", A.polygon(F.col("ring")).alias("geom"))
 
 
+def split_stage(polygons: DataFrame, config: WorkflowConfig) -> DataFrame:
+    """polygons with tx, ty: the tile of each one's centroid, (splits + 1) x (splits + 1) tiles over the common box."""
+    c = polygons.withColumn("__c", A.polygon_centroid(F.col("geom")))
+    box = c.agg(F.min("__c.x").alias("xmin"), F.min("__c.y").alias("ymin"), F.max("__c.x").alias("xmax"), F.max("__c.y").alias("ymax"))
+    return layers.split(c, config.splits, F.col("__c.x"), F.col("__c.y"), box).drop("__c")
+
+
+def merge_stage(folder: str, prefix: str, spark) -> DataFrame | None:
+    """The union of the layers in a folder whose names start with prefix; None if there is none."""
+    found = files.results_of(spark, folder, prefix)
+    return layers.merge(*[spark.read.format("shapefile").option("geometry", "multi").load(f) for f in found]) if found else None
+
+
 def run(layers_in: list[DataFrame], config: WorkflowConfig) -> Result:
     """All stages up to the one the configuration names. Layers need a polygon column geom."""
     out = Result()
+    out.split = cut(split_stage(layers.merge(*layers_in), config), "split")
     if not config.reaches("FILTER"):
         return out
-    out.filtered = cut(filter_stage(layers.merge(*layers_in), config), "filtered")
+    out.filtered = cut(filter_stage(out.split.drop("tx", "ty"), config), "filtered")
     if config.reaches("NEIGHBOURS"):
         out.edges = cut(neighbour_stage(out.filtered, config), "edges")
     if config.reaches("COMPONENTS"):
@@ -146,6 +163,29 @@ def run(layers_in: list[DataFrame], config: WorkflowConfig) -> Result:
     return out
 
 
+def run_files(spark, inputs: list[str], config: WorkflowConfig, folder: str) -> dict[str, str]:
+    """From shapefiles to shapefiles: the paths written under folder, by name of the layer.
+
+    split holds a layer for each tile (tile_X_Y), features the filtered polygons, clusters the merged ones with their
+    measures, edges the links between them. Each is a folder of one bundle for each partition.
+    """
+    out = run([spark.read.format("shapefile").load(x) for x in inputs], config)
+    written = {}
+
+    def keep(name: str, layer: DataFrame | None) -> None:
+        if layer is not None:
+            flat = layer.select(*[c for c in layer.columns if not isinstance(layer.schema[c].dataType, (ArrayType, StructType)) or c == "geom"])
+            written[name] = files.write(flat, f"{folder}/{name}")
+
+    if config.splits:
+        for r in out.split.select("tx", "ty").distinct().orderBy("tx", "ty").collect():  # as many as tiles
+            keep(f"tile_{r.tx}_{r.ty}", out.split.where((F.col("tx") == r.tx) & (F.col("ty") == r.ty)).drop("tx", "ty"))
+    keep("features", out.filtered)
+    keep("clusters", out.analysed if out.analysed is not None else out.contracted and out.contracted.nodes)
+    keep("edges", out.edge_shapes)
+    return written
+
+
 def settlement_outlines(nodes: DataFrame) -> DataFrame:
     """Convex outlines of merged settlements, with their attributes."""
     points = lambda m: kernels.convex_hull(reduce(lambda a, b: __import__("numpy").concatenate((a, b)), [r for p in m for r in p]))

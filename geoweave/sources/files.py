@@ -109,3 +109,10 @@ def write(layer: DataFrame, path: str) -> str:
     shapefile.register(layer.sparkSession)
     layer.write.format("shapefile").mode("append").save(at)
     return at
+
+
+def results_of(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Layers (bundles, or folders of them) in a folder whose names start with prefix, in order of name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*")
+    found = [str(x.getPath()) for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []]
+    return sorted(x for x in found if x.endswith(".shp") or "." not in x.rsplit("/", 1)[-1])

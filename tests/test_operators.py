@@ -185,3 +185,83 @@ def test_shortest_paths_do_not_end_silently_at_a_bound(spark):
         GA.shortest_paths(g, 1, max_hops=3)
     for most in (4, None):
         assert sorted((r.id, r.hops) for r in GA.shortest_paths(g, 1, max_hops=most).collect()) == [(i, i - 1) for i in range(1, 6)]
+
+
+def test_swept_closest_points_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for n, m in ((24, 28), (116, 570), (300, 900), (3, 4000)):
+        turn = lambda k: np.sort(rng.random(k)) * 2 * np.pi
+        ring = lambda k, at: at + (1 + 0.5 * rng.random((k, 1))) * np.stack((np.cos(t := turn(k)), np.sin(t)), axis=1)
+        for at in ((2.5, 0.3), (0.2, 9.0), (0.5, 0.5)):
+            a, b = ring(n, np.zeros(2)), ring(m, np.array(at))
+            swept, brute = kernels.closest_points_swept(a, b), kernels.closest_points_of_all(a, b)
+            assert swept[0] == pytest.approx(brute[0], abs=1e-12)
+            assert np.linalg.norm(swept[1] - swept[2]) == pytest.approx(swept[0], abs=1e-12)
+
+
+def test_segments_in_polygons_with_holes():
+    hole = np.array([(2.0, 8.0), (8.0, 8.0), (8.0, 2.0), (2.0, 2.0)])
+    p = [np.array([(0.0, 10.0), (10.0, 10.0), (10.0, 0.0), (0.0, 0.0)]), hole]
+    inside = lambda *s: kernels.polygon_contains_segment(p, np.array(s))
+    assert inside((1.0, 1.0), (9.0, 1.0)) and not inside((1.0, 1.0), (9.0, 9.0)) and not inside((1.0, 1.0), (11.0, 1.0))
+    assert kernels.multi_contains_segment([[hole], p], np.array([(1.0, 1.0), (1.0, 9.0)]))
+
+
+def test_search_tells_of_nodes_and_edges(spark):
+    g = Graph(spark.range(1, 8).select("id"), spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5)], "src long, dst long"), True)
+    told = []
+    hooks = {k: (lambda d, k=k: told.append((k, d.count()))) for k in ("on_open", "on_edge", "on_close")}
+    out = {r.id: (r.status, r.hops, r.parent) for r in GA.Search(**hooks, stop=lambda new: not new.where("id = 3").isEmpty()).run(g, 1).collect()}
+    assert out == {1: ("closed", 0, None), 2: ("closed", 1, 1), 5: ("closed", 1, 1), 3: ("open", 2, 2), **{k: ("unknown", None, None) for k in (4, 6, 7)}}
+    assert told == [("on_open", 1), ("on_edge", 2), ("on_close", 1), ("on_open", 2), ("on_edge", 1), ("on_close", 2), ("on_open", 1)]
+
+
+def test_contraction_to_a_fixed_point(spark):
+    g = Graph(spark.createDataFrame([(i, float(x)) for i, x in enumerate((0, 4, 7, 20, 40))], "id long, x double"), spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "src long, dst long"))
+
+    def distance(graph):
+        side = lambda e: graph.nodes.select(F.col("id").alias(e), F.col("x").alias(f"{e}_x"))
+        return graph.edges.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", F.abs(F.col("src_x") - F.col("dst_x")).alias("distance"))
+
+    out = GA.contract_to_fixed_point(g, distance, 17.0, [F.max("x").alias("x")])  # 20 is near enough only after the first merge
+    assert sorted((r.id, r.x) for r in out.nodes.collect()) == [(0, 20.0), (4, 40.0)]
+
+
+def test_jobs_run_in_order_and_can_be_resumed(spark):
+    from geoweave.plans import jobs
+
+    j, e = jobs.plan(spark, ["t_0_0", "t_0_1"], [("t_0_0", "t_0_1"), ("t_0_1", "t_0_0")], "COMPONENTS")
+    done, fail, rounds = [], {("NEIGHBOURS", "t_0_1")}, []
+
+    def work(kind, file):
+        if (kind, file) in fail:
+            raise RuntimeError("lost")
+        done.append((kind, file))
+
+    first = jobs.schedule(j, e, work, lambda d: rounds.append({r.state: r.n for r in jobs.count_by_state(d).collect()}))
+    assert done == [("FILTER", "t_0_0"), ("FILTER", "t_0_1"), ("NEIGHBOURS", "t_0_0")] and rounds[-1] == {"FINISHED": 3, "FAILED": 1, "RUNNABLE": 1}
+    fail.clear()
+    jobs.schedule(first, e, work)
+    assert done[3:] == [("NEIGHBOURS", "t_0_1"), ("COMPONENTS", "")] and jobs.next_id(j).first().job == 6
+
+
+def test_workflow_from_shapefiles_to_shapefiles(spark, tmp_path):
+    from geoweave.plans import workflow
+    from geoweave.plans.config import WorkflowConfig
+    from geoweave.sources import files
+
+    step = 0.001
+    named = {"a": box((10.0, 48.0 + step), (10.0 + step, 48.0)), "b": box((10.0 + 1.3 * step, 48.0 + step), (10.0 + 2.3 * step, 48.0)), "c": box((10.0 + 5 * step, 48.0 + step), (10.0 + 6 * step, 48.0))}
+    layer = polygons(spark, named)
+    files.overwrite(layer.where("id <> 'c'").coalesce(1), str(tmp_path / "in_0"))
+    files.overwrite(layer.where("id = 'c'").coalesce(1), str(tmp_path / "in_1"))
+    config = WorkflowConfig.from_json("""{
+      "unary-filters": [{"name": "ApproxAreaFilter", "requiredArea": 1000}], "binary-filters": [{"name": "InsidePolygonFilter"}], "maxDistanceMeters": 300, "maxNeighbours": 3, "splits": 1,
+      "neighbouring-predicates": [{"name": "DistanceBiPredicate", "distance": 300}], "contraction-predicates": [{"name": "DistanceBiPredicate", "distance": 50}],
+      "centrality-measures": ["DegreeCentralityMeasure"], "visualize-edges": true}""")
+    out = workflow.run_files(spark, [str(tmp_path / "in_0"), str(tmp_path / "in_1")], config, str(tmp_path / "out"))
+    assert {"features", "clusters", "edges"} < set(out) and sum(k.startswith("tile_") for k in out) == 2
+    clusters = spark.read.format("shapefile").option("geometry", "multi").load(out["clusters"])
+    assert sorted((r.parts, r.DegreeCent, r.n) for r in clusters.select("parts", "DegreeCent", F.size("geom").alias("n")).collect()) == [(1, 1, 1), (2, 1, 2)]
+    assert workflow.merge_stage(str(tmp_path / "out"), "tile_", spark).count() == 3
+    assert workflow.merge_stage(str(tmp_path / "out"), "none", spark) is None
