@@ -252,7 +252,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = PHRASE, m
     sent = sent.repartition(shuffle_partitions(texts), "gram").sortWithinPartitions("gram")
     of_class = sent.mapInArrow(_match_passages(window, gram), "high long, low long, first long, end long")
     if not one.where("many").isEmpty():
-        windows = materialize(texts.join(todo(one.where("many")), ROW_ID).mapInArrow(_count_windows(window), WINDOWS), "windows")
+        # in one query with what is sent, so that the texts are shuffled once for both
+        windows = texts.join(todo(one.where("many")), ROW_ID).mapInArrow(_count_windows(window), WINDOWS)
         again = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
         of_class = of_class.unionByName(windows.join(again, ["h1", "h2"]).select("high", "low", F.col("p").cast("long").alias("first"), (F.col("p") + window).cast("long").alias("end")))
     spans = found.select(ROW_ID, "s", "high", "low").join(of_class, ["high", "low"])

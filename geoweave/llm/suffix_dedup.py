@@ -379,9 +379,8 @@ def _count_windows(window: int):
 def repeated_windows(windows: DataFrame, window: int) -> DataFrame:
     """(row, first, end) of windows (columns high, low, row, p) whose content occurs at least twice. Counts are
     combined before the shuffle, and a join whose one side is a row a window can be split where a window is frequent."""
-    kept = materialize(windows, "windows")
-    twice = kept.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    return kept.join(twice, ["high", "low"]).select(ROW_ID, F.col("p").alias("first"), (F.col("p") + window).alias("end"))
+    twice = windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+    return windows.join(twice, ["high", "low"]).select(ROW_ID, F.col("p").alias("first"), (F.col("p") + window).alias("end"))
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY) -> DataFrame:
