@@ -7,6 +7,7 @@ scored by the longest character n-grams of it that are known: 4-grams first, and
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,12 +60,17 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int
     return build(kept, totals)
 
 
-def _table(names: list[str], langs: np.ndarray, weights: np.ndarray, n: int) -> tuple[dict[str, int], np.ndarray]:
-    """Row number of each name, and the weights summed by name and language."""
-    codes, known = pd.factorize(np.array(names, dtype=object))
-    sums = np.zeros((len(known), n))
-    np.add.at(sums, (codes, langs), weights)
-    return {x: i for i, x in enumerate(known)}, sums
+def _table(pieces: Iterator[Iterator[str]], langs: np.ndarray, weights: np.ndarray, n: int) -> tuple[dict[str, int], np.ndarray]:
+    """Row number of each distinct piece, and by row and language the sums of the weights of the words that the pieces are of."""
+    rows: dict[str, int] = {}
+    at, word = array("q"), array("q")
+    for k, found in enumerate(pieces):
+        for x in found:
+            at.append(rows.setdefault(x, len(rows)))
+            word.append(k)
+    at, word = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in (at, word))
+    sums = np.bincount(at * n + langs[word], weights=weights[word], minlength=len(rows) * n) if n else np.zeros(0)
+    return rows, sums.reshape(len(rows), n)
 
 
 def build(counts: pd.DataFrame, totals: dict[str, int]) -> Model:
@@ -73,13 +79,12 @@ def build(counts: pd.DataFrame, totals: dict[str, int]) -> Model:
     at = {x: i for i, x in enumerate(langs)}
     lang, weight = np.array([at[x] for x in counts["lang"]], np.int64), counts["n"].to_numpy(dtype=float)
     total = np.array([totals[x] for x in langs], float)
-    words, sums = _table(counts["w"].tolist(), lang, weight, len(langs))
+    words, sums = _table(([w] for w in counts["w"]), lang, weight, len(langs))
     model = Model(langs, words, np.log((sums + SMOOTH) / (total + SMOOTH * max(1, len(words)))))
     rows = []
     for size in range(1, GRAM + 1):
-        cut = [[p[i : i + size] for i in range(len(p) - size + 1)] for p in (f" {w} " for w in counts["w"])]
-        each = np.array([len(x) for x in cut], np.int64)
-        grams, sums = _table([g for x in cut for g in x], np.repeat(lang, each), np.repeat(1 + np.log(weight), each), len(langs))
+        pieces = ((p[i : i + size] for i in range(len(p) - size + 1)) for p in (f" {w} " for w in counts["w"]))
+        grams, sums = _table(pieces, lang, 1 + np.log(weight), len(langs))
         model.grams.update(zip(grams, range(len(model.grams), len(model.grams) + len(grams))))
         rows.append(np.log((sums + SMOOTH) / (sums.sum(axis=0) + SMOOTH * max(1, len(grams)))))
     model.gram_rows = np.concatenate(rows)
