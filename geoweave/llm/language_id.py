@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Rows that the model may see, at most about so many; a word of fewer training rows' texts is left to its n-grams.
 MAX_ROWS, MIN_COUNT = 20_000, 2
-GRAM, SMOOTH, CACHE, BATCH = 4, 0.5, 400_000, 1 << 20
+GRAM, SMOOTH, CACHE, BATCH = 4, 0.5, 250_000, 1 << 20
 LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from geoweave.llm.anchors import Rolling, find_anchors, merge_spans, runs, segments, word_codes, word_spans
 from geoweave.llm.common import ROW_ID, chunks_of, materialize, mix64, shuffle_partitions, text_bytes, whole_groups, with_row_id
-from geoweave.llm.suffix_dedup import CLASS, MANY, PLACE, alike, content_keys, packed, place_batches, place_schema, repeated_classes, sample_keys
+from geoweave.llm.suffix_dedup import CLASS, MANY, PLACE, alike, content_keys, packed, place_batches, place_schema, repeated_classes, sample_keys, slices, spans_of
 
 WINDOW, PHRASE = 35, 6
 KEYS = ["gram", *CLASS]
@@ -264,16 +264,12 @@ NEW = ["n_words", "n_removed", "kept_sha256", "spans", "kept_text"]
 NEW_TYPES = ["long", "long", "string", "array<long>", "string"]
 
 
-def _cut_words(keep: list[str], with_text: bool):
+def _cut_words(text: str, keep: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            spans, out = b["__gw_spans"], [[] for _ in range(5)]
-            flat, offs = spans.flatten(), np.concatenate(([0], np.cumsum(np.array(spans.value_lengths().fill_null(0)))))
-            first, end = flat.field("first").to_numpy(), flat.field("end").to_numpy()
-            for r, text in enumerate(b["__gw_text"]):
-                words = (text.as_py() or "").encode("utf-8").split()
+        for b in (x for whole in batches if whole.num_rows for x in slices(whole, text)):
+            (first, end, offs), out = spans_of(b), [[] for _ in range(5)]
+            for r, said in enumerate(b[text]):
+                words = (said.as_py() or "").encode("utf-8").split()
                 n, gone, cuts = len(words), 0, []
                 if offs[r] < offs[r + 1]:
                     f, e = merge_spans(first[offs[r] : offs[r + 1]], end[offs[r] : offs[r + 1]])
@@ -303,6 +299,6 @@ def remove_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, g
     rows = with_row_id(docs.select(*keep))
     texts = rows.where(F.octet_length(text) >= 2 * window - 1).select(ROW_ID, F.col(text).alias("text"))
     joined = rows.join(repeated_spans(texts, window, gram, many), ROW_ID, "left")
-    given = joined.select(*keep, F.col(text).alias("__gw_text"), F.col("spans").alias("__gw_spans"))
+    given = joined.select(*keep, F.col("spans").alias("__gw_spans"))
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in zip(NEW[: 4 + texts_out], NEW_TYPES))])
-    return given.mapInArrow(_cut_words(keep, texts_out), schema)
+    return given.mapInArrow(_cut_words(text, keep, texts_out), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm.anchors import BYTE_CODES, Rolling, find_anchors, merge_spans, multikey_quicksort, runs, segments
-from geoweave.llm.common import ROW_ID, materialize, mix64, shuffle_partitions, text_bytes, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, chunks_of, materialize, mix64, shuffle_partitions, text_bytes, whole_groups, with_row_id
 
 WINDOW, GRAM, TOKENS = 400, 64, 3
 #: An anchor with this many unlike stretches is not gathered.
@@ -396,20 +396,30 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, man
     return spans.groupBy(ROW_ID).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
-def _cut_spans(keep: list[str], with_text: bool):
+def slices(b: pa.RecordBatch, text: str, limit: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `limit` bytes of text, so that what is made of them leaves in small batches."""
+    _, starts, ends = text_bytes(b[text])
+    for i, j in chunks_of(starts, ends, limit):
+        yield b.slice(i, j - i)
+
+
+def spans_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end of the spans of all rows of a batch, and where each row's begin (null is none)."""
+    spans = b["__gw_spans"]
+    flat = spans.flatten()
+    return flat.field("first").to_numpy(), flat.field("end").to_numpy(), np.concatenate(([0], np.cumsum(np.array(spans.value_lengths().fill_null(0)))))
+
+
+def _cut_spans(text: str, keep: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            data, starts, ends = text_bytes(b["__gw_text"])
-            spans = b["__gw_spans"]
-            flat, offs = spans.flatten(), np.concatenate(([0], np.cumsum(np.array(spans.value_lengths().fill_null(0)))))
-            first, end = flat.field("first").to_numpy(), flat.field("end").to_numpy()
-            whole, out = b["__gw_text"].to_pylist() if with_text else None, [[] for _ in range(6)]
+        for b in (x for whole in batches if whole.num_rows for x in slices(whole, text)):
+            data, starts, ends = text_bytes(b[text])
+            first, end, offs = spans_of(b)
+            out = [[] for _ in range(6)]
             for r in range(b.num_rows):
                 part = data[starts[r] : ends[r]]
                 if offs[r] == offs[r + 1]:
-                    got = (len(part), 0, 0, hashlib.sha256(part).hexdigest(), [], whole[r] if with_text else None)
+                    got = (len(part), 0, 0, hashlib.sha256(part).hexdigest(), [], b[text][r].as_py() if with_text else None)
                 else:
                     f, e = merge_spans(first[offs[r] : offs[r + 1]], end[offs[r] : offs[r + 1]])
                     cuts = np.stack((f, e), axis=1).reshape(-1)
@@ -445,6 +455,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     texts = rows.where(F.octet_length(text) >= window).select(ROW_ID, F.col(text).alias("text"))
     keep = [c for c in docs.columns if c not in (*NEW, ROW_ID)]
     joined = rows.join(repeated_spans(texts, window, gram, many), ROW_ID, "left")
-    given = joined.select(*keep, F.col(text).alias("__gw_text"), F.col("spans").alias("__gw_spans"))
+    given = joined.select(*keep, F.col("spans").alias("__gw_spans"))
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in zip(NEW[: 5 + texts_out], NEW_TYPES))])
-    return given.mapInArrow(_cut_spans(keep, texts_out), schema)
+    return given.mapInArrow(_cut_spans(text, keep, texts_out), schema)
