@@ -33,7 +33,8 @@ QUOTES = "\"'“”‘’«»„`"
 MAX_ROWS = 20_000
 STEMS, MIN_DOCS, MIN_SHARE, NEAR, EDITS = (5, 6, 7), 8, 0.8, 6, 1
 #: Chance that a hit is meant before any row is seen, rows that this counts for, and the least strength that has a say.
-PRIOR, PRIOR_EDITED, PRIOR_ROWS, WEAK = 0.8, 0.6, 3, 0.5
+#: Edited forms of learnt entries need rows that speak for them.
+PRIOR, PRIOR_EDITED, PRIOR_LEARNT, PRIOR_ROWS, WEAK = 0.8, 0.65, 0.4, 3, 0.6
 #: Strength of a quoted hit against a plain one; entries of one automaton; letters that are scanned at once.
 QUOTED, ENTRIES, CHUNK = 0.2, 128, 1 << 20
 IN_WORD = re.compile(r"(?<=\w)['’](?=\w)")
@@ -260,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     t, n = np.zeros(1 + 2 * len(entries)), np.zeros(1 + 2 * len(entries))
     for r in held:
         t[r.kind], n[r.kind] = r.t, r.n
-    prior = np.where(np.arange(len(t)) % 2, PRIOR, PRIOR_EDITED)
+    prior = np.array([0.0] + [p for x, _ in entries for p in (PRIOR, PRIOR_EDITED if x in INSULTS else PRIOR_LEARNT)])
     strength = (t + PRIOR_ROWS * prior) / (n + PRIOR_ROWS)
     strength[0] = 0
     return Model(entries, strength, 0.5 / (rows + 1))
