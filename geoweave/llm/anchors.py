@@ -17,6 +17,8 @@ BASE = 0x9B1A4F0C6D2E5873
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Units that are handled at once; positions within them take POSITION bits.
 CHUNK, POSITION = 1 << 20, 24
+#: Bytes of words that are hashed at once.
+PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -127,9 +129,16 @@ def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def word_codes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each word, from its bytes and its length."""
-    r = Rolling(BYTE_CODES[data])
-    return mix64(r.at(first, end - first) + (end - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    """A 64-bit code for each word, from its bytes and its length. Hashed in pieces, as sums take 8 bytes and more for each byte."""
+    out = np.empty(len(first), np.uint64)
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(end, first[i] + PIECE, "right")))
+        low, size = int(first[i]), end[i:j] - first[i:j]
+        r = Rolling(BYTE_CODES[data[low : int(end[j - 1])]])
+        out[i:j] = mix64(r.at(first[i:j] - low, size) + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        i = j
+    return out
 
 
 def multikey_quicksort(word, lo: np.ndarray, hi: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoweave.llm import embedding_dedup, language_id, mixing, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
+from geoweave.llm import anchors, embedding_dedup, language_id, mixing, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
 from geoweave.llm.anchors import multikey_quicksort
 
 rng = np.random.default_rng(4)
@@ -109,6 +109,16 @@ def test_suffix_dedup_settles_what_its_sample_knows_to_repeat():
     assert suffix_dedup.repeated_classes(np.array([[1, 2], [1, 2], [1, 3]])) == {(1, 2)}
 
 
+def test_word_codes_do_not_depend_on_the_pieces(monkeypatch):
+    words = [b"ab", b"x" * 700, b"ab", b"c", b"ba", b"x" * 699] * 50
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    first, end, _, _ = anchors.word_spans(data, np.array([0]), np.array([len(data)]))
+    whole = anchors.word_codes(data, first, end)
+    monkeypatch.setattr(anchors, "PIECE", 64)
+    assert (anchors.word_codes(data, first, end) == whole).all()
+    assert len(set(whole.tolist())) == len(set(words))
+
+
 def test_multikey_quicksort_orders_like_tuples_and_counts_shared_words():
     k = rng.integers(0, 3, (5, 500)).astype(np.uint64)
     cuts = [0, 1, 250, 500]
