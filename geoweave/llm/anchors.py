@@ -16,7 +16,7 @@ from geoweave.llm.common import mix64
 BASE = 0x9B1A4F0C6D2E5873
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Units that are handled at once; positions within them take POSITION bits.
-CHUNK, POSITION = 1 << 20, 24
+CHUNK, POSITION = 1 << 18, 24
 #: Bytes of words that are hashed at once.
 PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
