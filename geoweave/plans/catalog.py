@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from geoweave.functions import areal as A
-from geoweave.functions import geodesy, kernels, predicates
+from geoweave.functions import geodesy, hulls, kernels, predicates
 from geoweave.functions import linear as N
 from geoweave.functions import vectors as V
 from geoweave.operators import centrality, layers, spatial_join
@@ -243,6 +243,16 @@ def a17_a38_validity_and_hull(spark, sf):
     return rows.select("id", big(F.size("hull")).alias("hull_points"), r6(A.ring_area(F.col("hull"))).alias("hull_area"), "valid", "multi_valid", "has_top", (F.col("kind") % 3 == 0).alias("box_like"))
 
 
+@query(f"""WITH {T.LOTS}, a AS (SELECT id, kind, round(CASE WHEN kind IN (1,2) THEN s*s/2 ELSE s*s END,6)+0.0 AS area FROM lots)
+  SELECT id, area AS hull_area, CASE WHEN kind <> 3 THEN area END AS outline_area FROM a""")
+def a39_concave_outlines(spark, sf):
+    """Concave outlines of the lots. Where all corners are on the border, every ratio gives the hull; lots with a hole have no closed form."""
+    lots = T.lots(spark, sf).withColumn("parts", F.array("geom"))
+    area = lambda shape: r6(A.polygon_area(shape))
+    rows = lots.select("id", "kind", hulls.outline_udf(1.0)(F.col("parts")).alias("hull"), hulls.outline_udf()(F.col("parts")).alias("outline"))
+    return rows.select("id", area(F.col("hull")).alias("hull_area"), F.when(F.col("kind") != 3, area(F.col("outline"))).alias("outline_area"))
+
+
 # --- spatial joins -----------------------------------------------------------------------------
 
 _SCALED = """scaled AS (SELECT id, xmin-w AS xmin, ymin-h AS ymin, xmax+w AS xmax, ymax+h AS ymax, xmin AS px0, ymin AS py0, xmax AS px1, ymax AS py1, area FROM parcels)"""

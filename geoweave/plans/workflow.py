@@ -7,14 +7,13 @@ written to the shared folder; run_files() goes from shapefiles to shapefiles.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from geoweave.functions import areal as A
-from geoweave.functions import geodesy, kernels, predicates
+from geoweave.functions import geodesy, hulls, kernels, predicates
 from geoweave.functions import linear as N
 from geoweave.functions import vectors as V
 from geoweave.operators import centrality, layers, spatial_join
@@ -187,6 +186,11 @@ def run_files(spark, inputs: list[str], config: WorkflowConfig, folder: str) ->
 
 
 def settlement_outlines(nodes: DataFrame) -> DataFrame:
-    """Convex outlines of merged settlements, with their attributes."""
-    points = lambda m: kernels.convex_hull(reduce(lambda a, b: __import__("numpy").concatenate((a, b)), [r for p in m for r in p]))
-    return nodes.withColumn("hull", kernels.points_udf(points, "multi")(F.col("geom")))
+    """Concave outlines of merged settlements in place of their parts, with their attributes."""
+    return nodes.withColumn("geom", hulls.outline_udf()(F.col("geom")))
+
+
+def outline_files(spark, path: str, target: str | None = None) -> str:
+    """The outlines of a layer of merged settlements, from shapefile to shapefile; returns where they are."""
+    nodes = spark.read.format("shapefile").option("geometry", "multi").load(path)
+    return files.write(settlement_outlines(nodes), target or files.append_to_name(path, "_concave_hull"))
