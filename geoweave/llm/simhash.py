@@ -343,23 +343,52 @@ def _link_sets(shingle: int, similarity: float):
 def link_sets(texts: DataFrame, bands: DataFrame, shingle: int, similarity: float, part: int = PART_SETS) -> DataFrame:
     """Edges (u, v) that connect the nodes whose shingle sets have at least the given Jaccard similarity.
 
-    texts: (node, text); bands: (node, key), a row per band. Nodes that share a key are connected to the
-    least of them; inside what that connects, all pairs are checked on their whole sets. A group of
-    more than `part` sets is split into parts, and each pair of parts is checked by itself.
+    texts: (node, text); bands: (node, key), a row per band. Nodes that share a key are connected to the least of them, and
+    all pairs inside what that connects count. First each node is checked against the least that it shares a key with,
+    which ties near copies into clusters and sends each set once, however large the group. Where clusters that share keys are
+    left, their pairs are checked on whole sets in parts: what is outside the largest cluster with itself and with the largest.
     """
     low = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    near = star_components(bands.join(low, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
-    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = near.join(sizes, "component").select("node", "component", F.ceil(F.col("n") / part).cast("int").alias("g"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    meets = materialize(bands.join(low, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "meets")
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle).tobytes() for t in texts])
 
-    sets = texts.join(dealt, "node").withColumn("hashes", hashes("text")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    keyed = sets.where("g = 1 OR mine <> other").select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "hashes")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
+    def linked(dealt: DataFrame) -> DataFrame:
+        sets = texts.join(materialize(dealt, "dealt"), "node").withColumn("hashes", hashes("text"))  # written, so the planner knows its size
+        keyed = sets.select(F.explode("keys").alias("key"), "node", "hashes")
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
+
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    homes = meets.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("hub"))
+    hubs = homes.groupBy("hub").agg(F.ceil(F.count("*") / part).cast("int").alias("g"))
+    members = homes.join(hubs, "hub").select("node", F.array(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))).alias("keys"))
+    heads = hubs.select(F.col("hub").alias("node"), F.transform(each(F.col("g")), lambda k: F.xxhash64("hub", k)).alias("keys"))
+    clusters = star_components(linked(members.unionByName(heads)))
+
+    named = meets.select(F.col("u").alias("node")).unionByName(meets.select(F.col("v").alias("node"))).distinct().join(clusters, "node", "left")
+    named = materialize(named.select("node", F.coalesce("component", "node").alias("cluster")), "clusters")
+    of = lambda end: named.select(F.col("node").alias(end), F.col("cluster").alias(f"{end}_cluster"))
+    apart = meets.join(of("u"), "u").join(of("v"), "v").where("u_cluster <> v_cluster").select(F.col("u_cluster").alias("u"), F.col("v_cluster").alias("v"))
+    near = named.join(star_components(apart).select(F.col("node").alias("cluster"), "component"), "cluster")
+    sizes = near.groupBy("component", "cluster").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("component").agg(F.max(F.struct("n", "cluster")).alias("top"), F.sum("n").alias("all"))
+    split = split.select(
+        "component", F.col("top.cluster").alias("main"), (F.col("all") <= part).alias("small"),
+        F.ceil(F.col("top.n") / part).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.n")) / part).cast("int").alias("h"),
+    )
+    name = lambda kind, i, j: F.xxhash64("component", F.lit(kind), i, j)
+    mine, other = F.col("mine"), F.col("other")
+    pairs = F.transform(F.filter(each(F.col("h")), lambda k: (k != mine) | (F.col("h") == 1)), lambda k: name("stray", F.least(k, mine), F.greatest(k, mine)))
+    keys = (
+        F.when(F.col("small"), F.array(F.xxhash64("component")))
+        .when(F.col("cluster") == F.col("main"), F.transform(each(F.col("h")), lambda k: name("main", k, other)))
+        .otherwise(F.concat(pairs, F.transform(each(F.col("g")), lambda k: name("main", mine, k))))
+    )
+    dealt = near.join(split, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("h")).cast("int"))
+    dealt = dealt.withColumn("other", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    return clusters.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked(dealt.select("node", keys.alias("keys"))))
 
 
 def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, part: int = PART_SETS) -> DataFrame:
