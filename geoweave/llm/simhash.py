@@ -29,7 +29,9 @@ BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
 SLICE, WALK = 1 << 15, 1 << 18
 #: A bucket above this many fingerprints is dealt out as pairs of its parts.
 PART = 4096
-#: Bands of min-hashes that propose pairs of shingle sets (of similarity 0.8, all but 6 in 100,000); a group of more sets is
+#: Bits by which fingerprints of shingle sets may differ and still propose a pair.
+PROPOSED = 8
+#: Bands of min-hashes that propose the pairs beyond these bits (of similarity 0.8, all but 6 in 100,000); a group of more sets is
 #: dealt out as pairs of its parts.
 BANDS, ROWS, PART_SETS = 32, 6, 1024
 
@@ -68,6 +70,14 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Majority of the bits of the hashes of a shingle set, as a signed integer."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), SLICE):
+        counts += np.unpackbits(hashes[k : k + SLICE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 @F.pandas_udf(LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
@@ -285,11 +295,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(shingle: int):
-    @F.pandas_udf("same binary, bands array<long>")
+    @F.pandas_udf("same binary, fp long, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in texts]
         same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-        return pd.DataFrame({"same": same, "bands": [band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]})
+        bands = [band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]
+        return pd.DataFrame({"same": same, "fp": pd.array([set_fingerprint(x) if len(x) else None for x in sets], "Int64"), "bands": bands})
 
     return run
 
@@ -340,16 +351,28 @@ def _link_sets(shingle: int, similarity: float):
     return run
 
 
-def link_sets(texts: DataFrame, bands: DataFrame, shingle: int, similarity: float, part: int = PART_SETS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, budget: int) -> DataFrame:
+    """(u, v): each node of fps (node, fp) whose fingerprint others are within the budget of, to the least node reached by such links."""
+    parts = star_components(link_fingerprints(fps.select("fp").distinct(), budget))
+    named = fps.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("node", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "fingerprints")
+    low = named.groupBy("component").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("component", "low")
+    return named.join(low, "component").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+
+
+def link_sets(texts: DataFrame, fps: DataFrame, bands: DataFrame, shingle: int, similarity: float, part: int = PART_SETS) -> DataFrame:
     """Edges (u, v) that connect the nodes whose shingle sets have at least the given Jaccard similarity.
 
-    texts: (node, text); bands: (node, key), a row per band. Nodes that share a key are connected to the least of them, and
-    all pairs inside what that connects count. First each node is checked against the least that it shares a key with,
-    which ties near copies into clusters and sends each set once, however large the group. Where clusters that share keys are
+    texts: (node, text); fps: (node, fp), the fingerprints; bands: (node, key), a row per band. Nodes whose fingerprints are linked, and
+    those that share a key, are connected to the least of them, and all pairs inside what that connects count. First each node is checked
+    against the least that its fingerprint reaches, or, if it reaches none, the least that it shares a key with: that ties near copies
+    into clusters and sends each set once, however large the group. Where clusters that links or keys connect are
     left, their pairs are checked on whole sets in parts: what is outside the largest cluster with itself and with the largest.
     """
     low = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    meets = materialize(bands.join(low, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(), "meets")
+    beyond = bands.join(low, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    meets = fingerprint_links(fps, PROPOSED).withColumn("band", F.lit(0)).unionByName(beyond.withColumn("band", F.lit(1)))
+    meets = materialize(meets, "meets")
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -361,7 +384,7 @@ def link_sets(texts: DataFrame, bands: DataFrame, shingle: int, similarity: floa
         return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
 
     each = lambda n: F.sequence(F.lit(0), n - 1)
-    homes = meets.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("hub"))
+    homes = meets.groupBy(F.col("u").alias("node")).agg(F.min(F.struct("band", "v")).alias("first")).select("node", F.col("first.v").alias("hub"))
     hubs = homes.groupBy("hub").agg(F.ceil(F.count("*") / part).cast("int").alias("g"))
     members = homes.join(hubs, "hub").select("node", F.array(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))).alias("keys"))
     heads = hubs.select(F.col("hub").alias("node"), F.transform(each(F.col("g")), lambda k: F.xxhash64("hub", k)).alias("keys"))
@@ -395,15 +418,16 @@ def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """docs without all but one row of each component of pairs with Jaccard similarity >= similarity.
 
     Similarity is that of the sets of word shingles (a shorter text is one shingle; texts without words are
-    alike). Pairs are proposed by bands of min-hashes and checked on their whole sets. The row that stays is chosen
-    as in keep_one.
+    alike). Pairs are proposed by the trie join of the sets' SimHash fingerprints, those beyond its bits by bands of min-hashes as
+    well, and checked on their whole sets. The row that stays is chosen as in keep_one.
     """
     rows = with_row_id(docs)
     me = F.struct(F.col(id_col).isNull().alias("low_null"), F.col(id_col).alias("low_id"), F.col(ROW_ID).alias("low_row"))
     marked = rows.select(_sketch(shingle)(F.col(text)).alias("s"), me.alias("me"))
-    sets = materialize(marked.groupBy("s.same").agg(F.min("me").alias("me"), F.first("s.bands").alias("bands")), "sets")
+    sets = materialize(marked.groupBy("s.same").agg(F.min("me").alias("me"), F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands")), "sets")
     bands = sets.select(F.col("me.low_row").alias("node"), F.explode("bands").alias("key"))
-    edges = link_sets(rows.select(F.col(ROW_ID).alias("node"), F.col(text).alias("text")), bands, shingle, similarity, part)
+    fps = sets.where("fp is not null").select(F.col("me.low_row").alias("node"), "fp")
+    edges = link_sets(rows.select(F.col(ROW_ID).alias("node"), F.col(text).alias("text")), fps, bands, shingle, similarity, part)
     named = sets.select("me", F.col("me.low_row").alias("node")).join(star_components(edges), "node", "left")
     winners = named.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("me").alias("me")).select(F.col("me.low_row").alias(ROW_ID))
     return rows.join(winners, ROW_ID, "left_semi").select(*docs.columns)

@@ -206,6 +206,18 @@ def test_near_duplicate_stage_equals_brute_force_on_shingle_sets(spark):
     assert sorted(r.doc_id for r in simhash.keep_one_similar(df, part=3).collect()) == sorted(want)
 
 
+def test_near_duplicate_stage_rests_on_fingerprints(spark, monkeypatch):
+    own = np.random.default_rng(5)  # the shared one would give the tests below other rows
+    base = [" ".join(own.choice(WORDS, 300)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(10 + i, t + " and more") for i, t in enumerate(base)] + [(30, None), (31, ""), (32, "one"), (33, "other")]
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    differ = [((simhash.set_fingerprint(sets[i]) ^ simhash.set_fingerprint(sets[6 + i])) & (2**64 - 1)).bit_count() for i in range(6)]
+    assert 0 < max(differ) <= simhash.PROPOSED
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.zeros(0, np.int64))  # no min-hash proposes anything
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(df).collect()) == [*range(6), 30, 32, 33]
+
+
 def test_trie_join_finds_all_pairs_in_split_buckets(spark, monkeypatch):
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(k)) ^ (np.uint64(1) << np.uint64(k // 2)) for k in range(3, 60)]))
