@@ -92,6 +92,20 @@ def test_suffix_dedup_of_shifted_contexts_at_the_registered_window(spark):
     assert check_repeats(got, suffix_dedup.WINDOW) > 80
 
 
+@pytest.mark.parametrize("many", [suffix_dedup.MANY, 50])
+def test_suffix_dedup_gathers_anchors_that_span_buckets(spark, monkeypatch, many):
+    own = np.random.default_rng(6)  # the shared one would give the tests below other rows
+    words = lambda n: " ".join(own.choice(WORDS, n))
+    passage = words(40)
+    df = spark.createDataFrame([(i, f"{words(30)} {passage} {words(30)}") for i in range(120)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_SHARE", 1.0)  # splitters that cut through the frequent anchors
+    found = suffix_dedup.find_repeats(df.select(F.col("doc_id").alias(suffix_dedup.ROW_ID), "text"), 100, 25, many).where("compare")
+    sizes = {r.anchor: (r.n, r.lots, r.few) for r in found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("many").alias("lots"), F.min("many").alias("few")).collect()}
+    assert max(n for n, _, _ in sizes.values()) > 100
+    assert all(lots == few == (n >= many) for n, lots, few in sizes.values())  # windows are counted singly only where there are many
+    assert check_repeats(suffix_dedup.remove_repeats(df, window=100, texts_out=True, many=many).collect(), 100) == 120
+
+
 def test_windows_shared_by_two_stretches_are_read_off_sorted_neighbours():
     texts = [b"xx" + b"abcdefgh" * 8 + b"yy", b"zx" + b"abcdefgh" * 8 + b"yz", b"xx" + b"abcdefgh" * 8 + b"zz"]
     size = np.array([len(t) for t in texts])
