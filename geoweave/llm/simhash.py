@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoweave.llm.common import ROW_ID, materialize, mix64, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, SLICE_BYTES, materialize, mix64, whole_groups, with_row_id
 from geoweave.llm.components import star_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
@@ -29,8 +29,8 @@ BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
 SLICE, WALK = 1 << 15, 1 << 18
 #: A bucket above this many fingerprints is dealt out as pairs of its parts.
 PART = 4096
-#: Bits by which fingerprints of shingle sets may differ and still propose a pair.
-PROPOSED = 8
+#: Bits by which fingerprints of shingle sets may differ and still propose a pair, and bytes of their buckets that are walked at once.
+PROPOSED, PROPOSED_BYTES = 6, 1 << 19
 #: Bands of min-hashes that propose the pairs beyond these bits (of similarity 0.8, all but 6 in 100,000); a group of more sets is
 #: dealt out as pairs of its parts.
 BANDS, ROWS, PART_SETS = 32, 6, 1024
@@ -179,9 +179,9 @@ def spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
-def _link_buckets(budget: int):
+def _link_buckets(budget: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "key"):
+        for t in whole_groups(batches, "key", most):
             yield link(t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["side"].to_numpy())
 
     def link(key: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
@@ -211,7 +211,7 @@ def _link_buckets(budget: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART) -> DataFrame:
+def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART, most: int = SLICE_BYTES) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that connect all within the budget.
 
     A bucket of more than `part` fingerprints is split into parts, and each pair of parts is walked
@@ -232,7 +232,7 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART) ->
             "fp",
         )
     )
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_buckets(budget), "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_buckets(budget, most), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", budget: int = BUDGET) -> DataFrame:
@@ -353,7 +353,7 @@ def _link_sets(shingle: int, similarity: float):
 
 def fingerprint_links(fps: DataFrame, budget: int) -> DataFrame:
     """(u, v): each node of fps (node, fp) whose fingerprint others are within the budget of, to the least node reached by such links."""
-    parts = star_components(link_fingerprints(fps.select("fp").distinct(), budget))
+    parts = star_components(link_fingerprints(fps.select("fp").distinct(), budget, most=PROPOSED_BYTES))
     named = fps.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("node", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "fingerprints")
     low = named.groupBy("component").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("component", "low")
