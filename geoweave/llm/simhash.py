@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoweave.llm.common import ROW_ID, SLICE_BYTES, materialize, mix64, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, SLICE_BYTES, chunks_of, materialize, mix64, text_bytes, whole_groups, with_row_id
 from geoweave.llm.components import star_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
@@ -297,10 +297,29 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def _sketch(shingle: int):
     @F.pandas_udf("same binary, fp long, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-        bands = [band_keys(x) if len(x) else np.zeros(0, np.int64) for x in sets]
-        return pd.DataFrame({"same": same, "fp": pd.array([set_fingerprint(x) if len(x) else None for x in sets], "Int64"), "bands": bands})
+        same, fps, bands = [], [], []
+        for t in texts:  # one set at a time
+            x = shingle_set(t, shingle)
+            same.append(xxhash.xxh3_128_digest(x.tobytes()))
+            fps.append(set_fingerprint(x) if len(x) else None)
+            bands.append(band_keys(x) if len(x) else np.zeros(0, np.int64))
+        return pd.DataFrame({"same": same, "fp": pd.array(fps, "Int64"), "bands": bands})
+
+    return run
+
+
+def _hash_sets(shingle: int):
+    """Rows of (node, keys, hashes), hashes the shingle set of the text, in batches of about SLICE_BYTES of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, starts, ends = text_bytes(b["text"])
+            for i, j in chunks_of(starts, ends, SLICE_BYTES):
+                x = b.slice(i, j - i)
+                hashes = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in x["text"]], pa.binary())
+                yield pa.RecordBatch.from_arrays([x["node"], x["keys"], hashes], names=["node", "keys", "hashes"])
 
     return run
 
@@ -374,12 +393,9 @@ def link_sets(texts: DataFrame, fps: DataFrame, bands: DataFrame, shingle: int,
     meets = fingerprint_links(fps, PROPOSED).withColumn("band", F.lit(0)).unionByName(beyond.withColumn("band", F.lit(1)))
     meets = materialize(meets, "meets")
 
-    @F.pandas_udf("binary")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).tobytes() for t in texts])
-
     def linked(dealt: DataFrame) -> DataFrame:
-        sets = texts.join(materialize(dealt, "dealt"), "node").withColumn("hashes", hashes("text"))  # written, so the planner knows its size
+        held = texts.join(materialize(dealt, "dealt"), "node")  # written, so the planner knows its size
+        sets = held.select("node", "keys", "text").mapInArrow(_hash_sets(shingle), "node long, keys array<long>, hashes binary")
         keyed = sets.select(F.explode("keys").alias("key"), "node", "hashes")
         return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
 
