@@ -10,16 +10,21 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoweave.llm.common import chunks_of, text_bytes
+
 #: Rows that the model may see, at most about so many; a word of fewer training rows' texts is left to its n-grams.
 MAX_ROWS, MIN_COUNT = 20_000, 2
-GRAM, SMOOTH, CACHE, BATCH = 4, 0.5, 250_000, 1 << 20
+#: BATCH: letters of texts that are split at once; STEP: words whose n-grams are counted at once.
+GRAM, SMOOTH, CACHE, BATCH, STEP = 4, 0.5, 250_000, 1 << 20, 1 << 14
 LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
@@ -55,7 +60,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int
     drawn = F.xxhash64(F.lit("language"), "text").bitwiseAND(F.lit(0xFFFFFF)) < int(max_rows / max(n, 1) * 0x1000000)
     words = (rows.where(drawn) if n > max_rows else rows).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
     counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
-    kept = counts.where(F.col("n") >= MIN_COUNT).orderBy("w", "lang").toPandas()
+    kept = counts.where(F.col("n") >= MIN_COUNT).orderBy("w", "lang").toArrow().to_pandas()
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return build(kept, totals)
 
@@ -63,13 +68,20 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_rows: int
 def _table(pieces: Iterator[Iterator[str]], langs: np.ndarray, weights: np.ndarray, n: int) -> tuple[dict[str, int], np.ndarray]:
     """Row number of each distinct piece, and by row and language the sums of the weights of the words that the pieces are of."""
     rows: dict[str, int] = {}
-    at, word = array("q"), array("q")
-    for k, found in enumerate(pieces):
-        for x in found:
-            at.append(rows.setdefault(x, len(rows)))
-            word.append(k)
-    at, word = (np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in (at, word))
-    sums = np.bincount(at * n + langs[word], weights=weights[word], minlength=len(rows) * n) if n else np.zeros(0)
+    sums, numbered = np.zeros(0), enumerate(pieces)
+    while n:
+        at, word, k = array("q"), array("q"), None
+        for k, found in islice(numbered, STEP):
+            for x in found:
+                at.append(rows.setdefault(x, len(rows)))
+                word.append(k)
+        if k is None:
+            break
+        if not word:
+            continue
+        sums = np.concatenate((sums, np.zeros(len(rows) * n - len(sums))))
+        word = np.frombuffer(word, np.int64)
+        np.add.at(sums, np.frombuffer(at, np.int64) * n + langs[word], weights[word])
     return rows, sums.reshape(len(rows), n)
 
 
@@ -148,6 +160,13 @@ def predict(model: Model, texts: list[str | None], known: _Known | None = None)
     return out
 
 
+def label(model: Model, texts: pa.Array, known: _Known) -> pa.StructArray:
+    """lang_pred and score of each text; about BATCH bytes of texts are Python strings at once."""
+    _, starts, ends = text_bytes(texts)
+    got = [x for i, j in chunks_of(starts, ends, BATCH) for x in predict(model, texts.slice(i, j - i).to_pylist(), known)]
+    return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["lang_pred", "score"])
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred and score.
 
@@ -159,10 +178,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "__gw_lang")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Known(shared.value)
         for texts in batches:
-            yield pd.DataFrame(predict(shared.value, texts.tolist(), known), columns=["lang_pred", "score"])
+            yield label(shared.value, texts, known)
 
     return docs.select(*keep, run(F.col(text)).alias("__gw_lang")).select(*keep, "__gw_lang.lang_pred", "__gw_lang.score")

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -485,6 +486,27 @@ def test_language_scores_equal_brute_force():
         assert (lang, score) == (["de", "en"][best], pytest.approx(min(1.0, share)))
 
 
+def test_language_model_and_texts_are_held_in_pieces(monkeypatch):
+    words = ["a", "b", *(f"{x}{y}{z}" for x in WORDS[:40] for y in WORDS[40:80] for z in WORDS[80:90])]
+    counts = pd.DataFrame({"lang": ["de", "en"] * (len(words) // 2), "w": words, "n": [2 + i % 7 for i in range(len(words))]})
+    whole = language_id.build(counts, {"de": 9, "en": 9})
+    monkeypatch.setattr(language_id, "STEP", 2)  # the first two words have no 4-gram
+    few = language_id.build(counts[:30], {"de": 9, "en": 9})
+    monkeypatch.undo()
+    once = language_id.build(counts[:30], {"de": 9, "en": 9})
+    assert few.grams == once.grams and few.words == once.words and (few.gram_rows == once.gram_rows).all()
+
+    texts = pa.array([" ".join(words[:20_000])[:100_000], None, "", "12"] * 200)
+    known = language_id._Known(whole)
+    language_id.label(whole, texts[:4], known)
+    tracemalloc.start()
+    got = language_id.label(whole, texts, known).to_pylist()
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [dict(zip(("lang_pred", "score"), x)) for x in language_id.predict(whole, texts[:4].to_pylist())] * 200
+    assert used < 16 << 20, used  # all texts as strings are 20 MB by themselves
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
