@@ -27,12 +27,12 @@ KEEP_SHARE, ROUNDS, TOLERANCE, SEED = 0.8, 40, 1e-3, 20
 def topic_of(text: Column, n_tokens: Column) -> Column:
     """Kind of text by its form: symbols, table, short, lines or prose."""
     t = F.coalesce(text, F.lit(""))
-    without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    count = lambda char: F.length(t) - F.length(F.replace(t, F.lit(char), F.lit("")))
     return (
         F.when(n_tokens < 40, "short")
-        .when(without("|") * 8 > n_tokens, "table")
-        .when(without(SYMBOLS) * 8 > n_tokens, "symbols")
-        .when(without("\n") * 25 > n_tokens, "lines")
+        .when(count("|") * 8 > n_tokens, "table")
+        .when(F.regexp_count(t, F.lit(f"[{SYMBOLS}]")) * 8 > n_tokens, "symbols")
+        .when(count("\n") * 25 > n_tokens, "lines")
         .otherwise("prose")
     )
 
@@ -143,19 +143,23 @@ def report(
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", id_col: str = "doc_id",
     shares: dict[str, dict[str, float]] | None = None, temperature: dict[str, float] = TEMPERATURE, keep_share: float = KEEP_SHARE, seed: int = SEED,
+    texts_out: bool = True,
 ) -> DataFrame:
-    """Every row of docs with topic, n_tokens, probability and kept.
+    """Every row of docs with topic, n_tokens, probability and kept; without its text if texts_out is false.
 
+    Texts are read once: what is told of each row is written to the shared folder before the cells are counted.
     shares: target shares by dimension and value, where the temperature should not decide. Null sources
     and languages are values of their own (NULL, apart from the empty string); texts of any length are counted whole; of equal
     rates no tie has to be broken; texts without words (null ones too) have no tokens and are kept with
     probability keep_share if their cell has none; rows that repeat in id and text share their fate; an
     empty table gives an empty result; columns of docs with the names of result columns are replaced.
     """
-    new = ("topic", "n_tokens", "probability", "kept")
+    new = ("topic", "n_tokens", "probability", "kept", "__gw_chance")
     words = F.size(words_of(F.coalesce(F.col(text), F.lit(""))))
     rows = docs.select(*[c for c in docs.columns if c not in new]).withColumn("n_tokens", words.cast("long"))
-    rows = rows.withColumn("topic", topic_of(F.col(text), F.col("n_tokens")))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)), 11) * F.lit(2.0**-53)
+    rows = rows.withColumns({"topic": topic_of(F.col(text), F.col("n_tokens")), "__gw_chance": chance})
+    rows = materialize(rows if texts_out else rows.drop(text), "measured")
     keys = {"source": F.coalesce(F.col(source).cast("string"), F.lit(NULL)), "lang": F.coalesce(F.col(lang).cast("string"), F.lit(NULL)), "topic": F.col("topic")}
     cells = materialize(rows.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.sum("n_tokens").cast("double").alias("t")), "cells")
     goals = {d: materialize(targets(cells, d, temperature.get(d, 1.0), (shares or {}).get(d)), "goals") for d in DIMENSIONS}
@@ -163,5 +167,4 @@ def mix(
     rates = materialize(calibrate(rake(cells, goals, keep_share=keep_share), keep_share), "rates")
     rates = rates.select(*[F.col(d).alias(f"__gw_{d}") for d in DIMENSIONS], F.col("p").alias("probability"))
     on = [keys[d] == F.col(f"__gw_{d}") for d in DIMENSIONS]
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)), 11) * F.lit(2.0**-53)
-    return rows.join(rates, on).withColumn("kept", chance < F.col("probability")).drop(*[f"__gw_{d}" for d in DIMENSIONS])
+    return rows.join(rates, on).withColumn("kept", F.col("__gw_chance") < F.col("probability")).drop("__gw_chance", *[f"__gw_{d}" for d in DIMENSIONS])

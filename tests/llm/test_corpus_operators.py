@@ -392,6 +392,24 @@ def test_mixing_meets_the_targets(docs, spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_reads_texts_once(spark):
+    text = [*["".join(rng.choice(list("ab #*$%&|<>\n\té"), 300)) for _ in range(60)], prose(60), "| " + prose(60), None, "", "a\n" * 50, "a" * 100 + " b" * 45 + "|" * 6]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(text)], "doc_id long, text string, lang string, source string")
+
+    def topic(t):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        if n < 40:
+            return "short"
+        found = (("table", 8 * t.count("|")), ("symbols", 8 * len(re.findall(r"[#*$%&|<>]", t))), ("lines", 25 * t.count("\n")))
+        return next((k for k, x in found if x > n), "prose")
+
+    out = mixing.mix(df, texts_out=False)
+    assert "text" not in out.columns and "split" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.doc_id: r for r in out.collect()}
+    assert [rows[i].topic for i in range(len(text))] == [topic(t or "") for t in text]
+    assert {"short", "table", "symbols", "lines", "prose"} >= {r.topic for r in rows.values()} > {"short", "prose"}
+
+
 def test_mixing_meets_all_targets_that_can_be_met_at_the_registered_share(spark):
     kinds = [(s, x) for s, n in (("a", 12), ("b", 4), ("c", 2)) for x in ["en"] * n + ["de"] * (n // 2) + ["es"] * max(1, n // 6)]
     rows = [(i, prose(30 + i % 60), *kinds[i % len(kinds)][::-1]) for i in range(900)]
