@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from geoweave.operators.storage import cut as materialize
 from geoweave.operators.storage import release  # noqa: F401  for the operators
@@ -16,14 +17,48 @@ from geoweave.operators.storage import release  # noqa: F401  for the operators
 ROW_ID = "__gw_row"
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    """The column of that very name, whatever signs are in it."""
+    return F.col(quoted(name))
+
+
+def kept_columns(docs: DataFrame, new: list[str]) -> list[str]:
+    """The columns of docs that no result column replaces; as in Spark, names that differ in case only are the same."""
+    taken = {x.lower() for x in (*new, ROW_ID)}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+def output_schema(docs: DataFrame, keep: list[str], new: str) -> StructType:
+    """The columns `keep` of docs, and new ones given as DDL."""
+    return StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(new)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """mapInArrow() for columns of any name, which it only takes without dots; run sees and gives the names as they are."""
+    given, made = df.columns, schema.names
+    safe = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(given) for x in batches):
+            yield b.rename_columns([f"c{i}" for i in range(len(made))])
+
+    return df.toDF(*[f"c{i}" for i in range(len(given))]).mapInArrow(renamed, safe).toDF(*made)
+
+
 #: Plan nodes over one table of files that leave its rows as they are, or fewer of them.
 NARROW = re.compile(r"(Project|Filter|Relation)\b")
 #: Bits of a row number that count the rows of a file.
 FILE_ROWS = 40
+#: So many file names (some 20 MB) are broadcast; more are joined as the planner likes.
+MOST_FILES = 1 << 17
 
 
 def counts_file_rows(df: DataFrame) -> bool:
@@ -45,12 +80,15 @@ def with_row_id(df: DataFrame) -> DataFrame:
     if not counts_file_rows(df):
         return materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "numbered")
     path, at = (df.metadataColumn("_metadata")[c] for c in ("file_path", "row_index"))
-    found = sorted(r[0] for r in df.select(path.alias("path")).distinct().collect())
-    if len(found) < 2:
+    paths = df.select(path.alias("__gw_path")).distinct()
+    if len(paths.limit(2).collect()) < 2:
         return df.withColumn(ROW_ID, at)
-    files = df.sparkSession.createDataFrame([(x, i << FILE_ROWS) for i, x in enumerate(found)], "__gw_path string, __gw_file long")
-    placed = df.select("*", path.alias("__gw_path"), at.alias("__gw_at")).join(F.broadcast(files), "__gw_path")
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__gw_file") + F.col("__gw_at")).alias(ROW_ID))
+    number = F.row_number().over(Window.orderBy("__gw_path")).cast("long")
+    files = materialize(paths.withColumn("__gw_file", F.shiftleft(number, FILE_ROWS)), "files")
+    if files.count() <= MOST_FILES:
+        files = F.broadcast(files)
+    placed = df.select("*", path.alias("__gw_path"), at.alias("__gw_at")).join(files, "__gw_path")
+    return placed.select(*[column(c) for c in df.columns], (F.col("__gw_file") + F.col("__gw_at")).alias(ROW_ID))
 
 
 #: Bytes of input for one shuffle partition, at most, and of one slice of a sorted partition.

@@ -108,7 +108,100 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM docs LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = rf"list_filter(regexp_split_to_array({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+IMPORTANCE_RESAMPLING = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {ALNUM_WORDS} AS w FROM documents
+), words AS MATERIALIZED (
+  SELECT r, unnest(w) AS word FROM docs
+), wanted AS MATERIALIZED (
+  SELECT unnest({ALNUM_WORDS}) AS word FROM benchmark
+), tables AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+), buckets AS MATERIALIZED (
+  SELECT word, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+    lambda x, y: xor(crc[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 10000 AS b
+  FROM (SELECT word FROM words UNION SELECT word FROM wanted), tables
+), source AS (
+  SELECT b, count(*) AS s FROM words JOIN buckets USING (word) GROUP BY b
+), target AS (
+  SELECT b, count(*) AS t FROM wanted JOIN buckets USING (word) GROUP BY b
+), gains AS MATERIALIZED (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM words) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM source FULL JOIN target USING (b)
+), weights AS (
+  SELECT r, sum(gain)::BIGINT AS weight FROM words JOIN buckets USING (word) JOIN gains USING (b) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM ranked) // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS MATERIALIZED (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), runs AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+), counts AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100
+), cuts AS (
+  SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, w FROM candidates
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, w, a, k, unnest(range(2, k)) AS m FROM candidates)) GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE around IS NULL OR 100 * around < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+DECONTAMINATION = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {ALNUM_WORDS} AS w FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item, w, least(len(w), 10) AS k FROM (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0
+), wanted AS MATERIALIZED (
+  SELECT DISTINCT item, k, md5_number(array_to_string(w[i:i + k - 1], ' ')) AS h FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)
+), places AS (
+  SELECT r, i, k, md5_number(array_to_string(w[i:i + k - 1], ' ')) AS h
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM wanted) WHERE len(w) >= k)
+), hits AS MATERIALIZED (
+  SELECT * FROM places SEMI JOIN wanted USING (k, h)
+), covered AS (
+  SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + k)) FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits JOIN wanted USING (k, h)) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
 SQL = {
     "op1_suffix_array_dedup": SUFFIX_ARRAY_DEDUP, "op5_quality_rules": QUALITY_RULES, "op7_warc": WARC,
-    "op8_embedding_near_dedup": EMBEDDING_NEAR_DEDUP, "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op8_embedding_near_dedup": EMBEDDING_NEAR_DEDUP, "op10_substring_dedup": SUBSTRING_DEDUP, "op11_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op12_collocations": COLLOCATIONS, "op13_decontamination": DECONTAMINATION,
 }

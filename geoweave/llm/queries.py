@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import embedding_dedup, language_id, mixing, oracles, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup, toxicity, warc_archive
+from geoweave.llm import (
+    collocations, embedding_dedup, fm_index, importance, language_id, mixing, oracles, phrase_dedup, quality_rules, sentencepiece_codec, simhash, suffix_dedup,
+    toxicity, warc_archive,
+)
 from geoweave.llm.common import table
 
 
@@ -68,6 +71,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.remove_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.mine(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    out = fm_index.decontaminate(docs, items)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))

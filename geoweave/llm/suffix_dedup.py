@@ -405,9 +405,9 @@ def slices(b: pa.RecordBatch, text: str, limit: int = FLUSH) -> Iterator[pa.Reco
         yield b.slice(i, j - i)
 
 
-def spans_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans_of(b: pa.RecordBatch, name: str = "__gw_spans") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end of the spans of all rows of a batch, and where each row's begin (null is none)."""
-    spans = b["__gw_spans"]
+    spans = b[name]
     flat = spans.flatten()
     return flat.field("first").to_numpy(), flat.field("end").to_numpy(), np.concatenate(([0], np.cumsum(np.array(spans.value_lengths().fill_null(0)))))
 
