@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,33 @@ def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(given))]).mapInArrow(renamed, safe).toDF(*made)
 
 
+def any_names(new: tuple[str, ...], *named: str):
+    """For an operator f(docs, ...) that adds the columns `new` and whose parameters `named` are names of columns of docs.
+
+    f sees the columns of docs under names of its own, so that no name can clash with one in it or have signs that Spark reads otherwise;
+    its result bears the names of docs again. Columns of docs with the name of a new one, in upper or lower case, are left out.
+    """
+
+    def wrap(f):
+        kinds = inspect.signature(f)
+
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            given = kinds.bind(docs, *args, **kwargs)
+            given.apply_defaults()
+            inner = {c: f"__gw_c{i}" for i, c in enumerate(kept_columns(docs, new))}
+            by_case = {c.lower(): v for c, v in inner.items()}
+            given.arguments[next(iter(kinds.parameters))] = docs.select(*[column(c).alias(v) for c, v in inner.items()])
+            for p in named:
+                given.arguments[p] = by_case[given.arguments[p].lower()]
+            out, outer = f(*given.args, **given.kwargs), {v: c for c, v in inner.items()}
+            return out.toDF(*[outer.get(c, c) for c in out.columns])
+
+        return run
+
+    return wrap
+
+
 #: Plan nodes over one table of files that leave its rows as they are, or fewer of them.
 NARROW = re.compile(r"(Project|Filter|Relation)\b")
 #: Bits of a row number that count the rows of a file.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import ROW_ID, materialize, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, any_names, materialize, whole_groups, with_row_id
 from geoweave.llm.components import star_components
 from geoweave.llm.simhash import spread
 
@@ -118,6 +118,7 @@ def _verify(cosine: float, shared: int):
     return run
 
 
+@any_names(("n_links", "component_id", "kept"), "vec", "label", "id_col")
 def near_duplicates(
     rows: DataFrame, vec: str = "embedding", label: str = "label", id_col: str = "vec_id",
     cosine: float = COSINE, nearest: int = NEAREST, shared: int = SHARED, part: int = 2048,
@@ -126,12 +127,11 @@ def near_duplicates(
 
     Only vectors with equal labels are compared. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without a label, link with nothing: n_links 0, component_id their own
-    id. Vectors of unlike lengths are never linked. Equal vectors (repeated rows too) are linked to each other
+    id. Vectors of unlike lengths are never linked. Equally near pivots go by their number. Equal vectors (repeated rows too) are linked to each other
     without search. Null ids never name a component unless it has no other. An empty table gives an
     empty result; columns of rows with the names of result columns are replaced.
     """
-    new = ("n_links", "component_id", "kept", ROW_ID)
-    base = with_row_id(rows.select(*[c for c in rows.columns if c not in new]))
+    base = with_row_id(rows)
     good = base.where(usable(vec, label)).select(ROW_ID, F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("vec"))
     groups = materialize(
         good.groupBy("label", "vec").agg(F.min(ROW_ID).alias("rep"), F.count("*").alias("mult"), F.min("id").alias("low")), "vectors"

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import chunks_of, text_bytes
+from geoweave.llm.common import any_names, chunks_of, text_bytes
 
 #: Rows that the model may see, at most about so many; a word of fewer training rows' texts is left to its n-grams.
 MAX_ROWS, MIN_COUNT = 20_000, 2
@@ -167,6 +167,7 @@ def label(model: Model, texts: pa.Array, known: _Known) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["lang_pred", "score"])
 
 
+@any_names(("lang_pred", "score"), "text")
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred and score.
 
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     form (½, Ⅷ, ①) are none. Whole texts and all n-grams of a word are scored, however long; repeated rows score alike; an
     empty table gives an empty result; columns of docs with the names of result columns are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "__gw_lang")]
+    keep = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import materialize, release
+from geoweave.llm.common import any_names, materialize, release
 from geoweave.llm.quality_rules import SYMBOLS, words_of
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -140,6 +140,7 @@ def report(
     return out
 
 
+@any_names(("topic", "n_tokens", "probability", "kept"), "text", "source", "lang", "id_col")
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", id_col: str = "doc_id",
     shares: dict[str, dict[str, float]] | None = None, temperature: dict[str, float] = TEMPERATURE, keep_share: float = KEEP_SHARE, seed: int = SEED,
@@ -154,9 +155,8 @@ def mix(
     probability keep_share if their cell has none; rows that repeat in id and text share their fate; an
     empty table gives an empty result; columns of docs with the names of result columns are replaced.
     """
-    new = ("topic", "n_tokens", "probability", "kept", "__gw_chance")
     words = F.size(words_of(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.select(*[c for c in docs.columns if c not in new]).withColumn("n_tokens", words.cast("long"))
+    rows = docs.withColumn("n_tokens", words.cast("long"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text)), 11) * F.lit(2.0**-53)
     rows = rows.withColumns({"topic": topic_of(F.col(text), F.col("n_tokens")), "__gw_chance": chance})
     rows = materialize(rows if texts_out else rows.drop(text), "measured")

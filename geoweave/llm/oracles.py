@@ -16,15 +16,18 @@ WITH docs AS MATERIALIZED (
     SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hits
   ) GROUP BY r, run
 ), gone AS (
-  SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+  SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(s || ',' || e, ',' ORDER BY s) AS spans FROM runs GROUP BY r
 ), pieces AS (
   SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS i, s AS j FROM runs
   UNION ALL SELECT r, max(e), octet_length(any_value(b)) FROM runs JOIN docs USING (r) GROUP BY r
 ), kept AS (
-  SELECT r, sha256(unhex(coalesce(string_agg(hex(b[i + 1:j]), '' ORDER BY i), ''))) AS sha FROM pieces JOIN docs USING (r) WHERE j > i GROUP BY r
+  SELECT r, sha256(unhex(coalesce(string_agg(h, '' ORDER BY i), ''))) AS sha,
+    decode(unhex(coalesce(string_agg(regexp_extract(regexp_replace(h, '^(?:[89AB].)+', ''), '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})?$', 1), '' ORDER BY i), ''))) AS t
+  FROM (SELECT r, i, hex(b[i + 1:j]) AS h FROM pieces JOIN docs USING (r) WHERE j > i) GROUP BY r
 )
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  CASE WHEN n_removed IS NULL THEN sha256(b) ELSE coalesce(sha, sha256(''::BLOB)) END AS kept_sha256
+  CASE WHEN n_removed IS NULL THEN sha256(b) ELSE coalesce(sha, sha256(''::BLOB)) END AS kept_sha256, coalesce(spans, '') AS spans,
+  CASE WHEN n_removed IS NULL THEN text ELSE coalesce(kept.t, '') END AS kept_text
 FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm.anchors import Rolling, find_anchors, merge_spans, runs, segments, word_codes, word_spans
-from geoweave.llm.common import ROW_ID, chunks_of, materialize, mix64, shuffle_partitions, text_bytes, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, any_names, chunks_of, materialize, mix64, output_schema, shuffle_partitions, text_bytes, whole_groups, with_row_id
 from geoweave.llm.suffix_dedup import CLASS, MANY, PLACE, alike, content_keys, packed, place_batches, place_schema, repeated_classes, sample_keys, slices, spans_of
 
 WINDOW, PHRASE = 35, 6
@@ -285,6 +285,7 @@ def _cut_words(text: str, keep: list[str], with_text: bool):
     return run
 
 
+@any_names(tuple(NEW), "text")
 def remove_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int | None = None, texts_out: bool = False, many: int = MANY) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256 and spans; with texts_out, kept_text too.
 
@@ -295,10 +296,10 @@ def remove_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, g
     names of result columns are replaced.
     """
     gram = gram or max(1, min(PHRASE, window // 3))
-    keep = [c for c in docs.columns if c not in (*NEW, ROW_ID)]
-    rows = with_row_id(docs.select(*keep))
+    keep = docs.columns
+    rows = with_row_id(docs)
     texts = rows.where(F.octet_length(text) >= 2 * window - 1).select(ROW_ID, F.col(text).alias("text"))
     joined = rows.join(repeated_spans(texts, window, gram, many), ROW_ID, "left")
     given = joined.select(*keep, F.col("spans").alias("__gw_spans"))
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in zip(NEW[: 4 + texts_out], NEW_TYPES))])
+    schema = output_schema(docs, keep, ", ".join(f"{c} {t}" for c, t in zip(NEW[: 4 + texts_out], NEW_TYPES)))
     return given.mapInArrow(_cut_words(text, keep, texts_out), schema)

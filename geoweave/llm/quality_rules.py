@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import ROW_ID, with_row_id
+from geoweave.llm.common import ROW_ID, any_names, with_row_id
 
 #: Fixed values of the word and symbol definitions.
 SPACE = " \t\n\x0b\f\r"
@@ -95,15 +95,15 @@ def frequent_lines(lines: DataFrame, min_docs: int = LINE_DOCS) -> DataFrame:
     return each.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
 
 
+@any_names(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars"), "text", "host")
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = LINE_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
     """Every row of docs with the base counts, removed_chars, base_failed and kept.
 
     A line counts once per document. Null texts count as empty (and fail the base rules), a null
-    host is a host of its own, repeated rows count as documents of their own, columns of docs with
+    host is a host of its own, texts of any length are read whole, repeated rows count as documents of their own, columns of docs with
     the names of result columns are replaced, and an empty table gives an empty result.
     """
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars", ROW_ID)
-    rows = with_row_id(docs.select(*[c for c in docs.columns if c not in new]))
+    rows = with_row_id(docs)
     lines = line_table(rows, text, host)
     frequent = frequent_lines(lines, min_docs)
     removed = (

@@ -16,7 +16,8 @@ from geoweave.llm.common import table
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix_dedup.remove_repeats(docs, texts_out=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.array_join("spans", ",").alias("spans"), "kept_text")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

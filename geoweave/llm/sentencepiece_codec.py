@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from geoweave.llm.common import any_names
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: piece types, the space mark, what an unknown letter costs below the least score.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -241,19 +243,20 @@ def _slices(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int
         i = j
 
 
+@any_names(("n_tokens", "n_byte_pieces", "ids_sha256", "round_trip", "token_ids"), "text")
 def encode(docs: DataFrame, vocab: Vocabulary, text: str = "text", with_ids: bool = True) -> DataFrame:
     """docs plus n_tokens, n_byte_pieces, ids_sha256 (of little-endian 32-bit ids), round_trip and, on demand, token_ids.
 
     round_trip says that decoding gave the text back. Null and empty texts have no tokens, and a null
     text's round_trip is true. Letters without a piece are spelled in byte pieces; without those the
     unknown piece is used and round_trip is false. Whole texts are encoded, however long; columns of docs
-    with the names of result columns are replaced; an empty table gives an empty result.
+    with the names of result columns are replaced; of segmentations of equal score that with the longest last piece is taken;
+    repeated rows give rows each; an empty table gives an empty result.
     """
     new = ["n_tokens", "n_byte_pieces", "ids_sha256", "round_trip", *["token_ids"] * with_ids]
-    keep = docs.select(*[c for c in docs.columns if c not in new])
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     kinds = [LongType(), LongType(), StringType(), BooleanType(), *[ArrayType(IntegerType())] * with_ids]
-    schema = StructType([*keep.schema.fields, *(StructField(n, k) for n, k in zip(new, kinds))])
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(new, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -271,7 +274,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, text: str = "text", with_ids: boo
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, *cols], names=[*b.schema.names, *new])
 
-    return keep.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, vocab: Vocabulary, ids: str = "token_ids") -> DataFrame:

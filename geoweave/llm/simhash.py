@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from geoweave.llm.common import ROW_ID, SLICE_BYTES, chunks_of, materialize, mix64, text_bytes, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, SLICE_BYTES, any_names, chunks_of, materialize, mix64, text_bytes, whole_groups, with_row_id
 from geoweave.llm.components import star_components
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
@@ -235,6 +235,7 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART, mo
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_buckets(budget, most), "u long, v long")
 
 
+@any_names(("fingerprint", "component_id", "n_in_component"), "text", "id_col")
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """Every row of docs with fingerprint (16 hex digits), component_id and n_in_component.
 
@@ -244,8 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     with null ids only gets null). Repeated rows are all returned. Columns of docs that bear the
     names of result columns are replaced. An empty table gives an empty result.
     """
-    keep = [c for c in docs.columns if c not in ("fingerprint", "component_id", "n_in_component", "__gw_fp")]
-    marked = docs.select(*keep, fingerprint_udf(F.col(text)).alias("__gw_fp"))
+    marked = docs.select("*", fingerprint_udf(F.col(text)).alias("__gw_fp"))
     return attach_components(marked, id_col, budget)
 
 
@@ -430,6 +430,7 @@ def link_sets(texts: DataFrame, fps: DataFrame, bands: DataFrame, shingle: int,
     return clusters.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked(dealt.select("node", keys.alias("keys"))))
 
 
+@any_names((), "text", "id_col")
 def keep_one_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, part: int = PART_SETS) -> DataFrame:
     """docs without all but one row of each component of pairs with Jaccard similarity >= similarity.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm.anchors import BYTE_CODES, Rolling, find_anchors, merge_spans, multikey_quicksort, runs, segments
-from geoweave.llm.common import ROW_ID, chunks_of, materialize, mix64, shuffle_partitions, text_bytes, whole_groups, with_row_id
+from geoweave.llm.common import ROW_ID, any_names, chunks_of, materialize, mix64, output_schema, shuffle_partitions, text_bytes, whole_groups, with_row_id
 
 WINDOW, GRAM, TOKENS = 400, 64, 3
 #: An anchor with this many unlike stretches is not gathered.
@@ -425,8 +425,8 @@ def _cut_spans(text: str, keep: list[str], with_text: bool):
                 else:
                     f, e = merge_spans(first[offs[r] : offs[r + 1]], end[offs[r] : offs[r + 1]])
                     cuts = np.stack((f, e), axis=1).reshape(-1)
-                    left = b"".join([part[i:j].tobytes() for i, j in np.concatenate(([0], cuts, [len(part)])).reshape(-1, 2).tolist()])
-                    got = (len(part), int((e - f).sum()), len(f), hashlib.sha256(left).hexdigest(), cuts, left.decode("utf-8", "ignore") if with_text else None)
+                    left = [part[i:j].tobytes() for i, j in np.concatenate(([0], cuts, [len(part)])).reshape(-1, 2).tolist()]
+                    got = (len(part), int((e - f).sum()), len(f), hashlib.sha256(b"".join(left)).hexdigest(), cuts, "".join([x.decode("utf-8", "ignore") for x in left]) if with_text else None)
                 for o, v in zip(out, got):
                     o.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
@@ -440,6 +440,7 @@ NEW = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
 NEW_TYPES = ["long", "long", "long", "string", "array<long>", "string"]
 
 
+@any_names(tuple(NEW), "text")
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int | None = None, texts_out: bool = False, many: int = MANY) -> DataFrame:
     """docs plus n_bytes, n_removed, n_spans, kept_sha256 and spans; with texts_out, kept_text too.
 
@@ -447,16 +448,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, gr
     is removed; strings are judged on the input. spans lists first and end byte of each removed run, flat.
     Null texts count as empty, texts shorter than the window lose nothing, texts of any length are read whole, repeated rows are
     repeats of each other, an empty table gives an empty result, and columns of docs with the names of result
-    columns are replaced. kept_text is the rest decoded as UTF-8, null for null: a cut inside a character drops its
-    broken bytes (kept_sha256 is over all remaining bytes).
+    columns are replaced. kept_text is the rest decoded as UTF-8, null for null: characters that are cut in two are
+    left out (kept_sha256 is over all remaining bytes).
     """
     gram = gram or max(2, min(GRAM, window // 4))
     if gram < 8 * TOKENS:
         raise ValueError("the window is too short for the leading tokens")
-    rows = with_row_id(docs.select(*[c for c in docs.columns if c not in (*NEW, ROW_ID)]))
+    rows = with_row_id(docs)
     texts = rows.where(F.octet_length(text) >= window).select(ROW_ID, F.col(text).alias("text"))
-    keep = [c for c in docs.columns if c not in (*NEW, ROW_ID)]
+    keep = docs.columns
     joined = rows.join(repeated_spans(texts, window, gram, many), ROW_ID, "left")
     given = joined.select(*keep, F.col("spans").alias("__gw_spans"))
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in zip(NEW[: 5 + texts_out], NEW_TYPES))])
+    schema = output_schema(docs, keep, ", ".join(f"{c} {t}" for c, t in zip(NEW[: 5 + texts_out], NEW_TYPES)))
     return given.mapInArrow(_cut_spans(text, keep, texts_out), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from geoweave.llm.common import materialize
+from geoweave.llm.common import any_names, materialize
 
 #: Insults that need no label to be known, words of reporting, and quotation marks.
 INSULTS = "idiot moron stupid scum trash loser clown pathetic worthless disgusting imbecile dumb filthy vermin retard bastard".split()
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     return Model(entries, strength, 0.5 / (rows + 1))
 
 
+@any_names(("score", "predicted"), "text")
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs plus score (0 to 1) and predicted (1 from the threshold on).
 
@@ -274,7 +275,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     scored, however long; repeated rows score alike; an empty table gives an empty result; columns of docs with the names
     of result columns are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
     packed = docs.sparkSession.sparkContext.broadcast((model, build_automata(model.entries)))
 
     @F.pandas_udf(DoubleType())
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for texts in batches:
             yield pd.Series(scores(*packed.value, texts.tolist()))
 
-    return docs.select(*keep, scored(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select("*", scored(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def fold(id_col: str, parts: int) -> Column:
