@@ -161,11 +161,11 @@ def test_outlines_of_merged_settlements(spark, tmp_path):
 
     box = lambda x, y, s: {"boundary": [{"x": x, "y": y}, {"x": x, "y": y + s}, {"x": x + s, "y": y + s}, {"x": x + s, "y": y}], "holes": []}
     ring = "array<struct<x:double,y:double>>"
-    layer = spark.createDataFrame([(7, [box(0.0, 0.0, 1.0), box(2.0, 0.0, 1.0), box(0.0, 2.0, 1.0)]), (8, [box(9.0, 9.0, 2.0)])], f"FISHNET_ID int, geom array<struct<boundary:{ring},holes:array<{ring}>>>")
+    layer = spark.createDataFrame([(7, [box(0.0, 0.0, 1.0), box(2.0, 0.0, 1.0), box(0.0, 2.0, 1.0)]), (8, [box(9.0, 9.0, 2.0)])], f"FEATURE_ID int, geom array<struct<boundary:{ring},holes:array<{ring}>>>")
     files.overwrite(layer, str(tmp_path / "clusters"))
     out = workflow.outline_files(spark, str(tmp_path / "clusters"))
     assert out.endswith("clusters_concave_hull")
-    got = {r.FISHNET_ID: r.geom["boundary"] for r in spark.read.format("shapefile").load(out).collect()}
+    got = {r.FEATURE_ID: r.geom["boundary"] for r in spark.read.format("shapefile").load(out).collect()}
     area = {k: abs(hulls._twice_area(np.array([(p["x"], p["y"]) for p in v]))) / 2 for k, v in got.items()}
     assert area[8] == 4.0 and 3.0 < area[7] <= 7.0
     nothing = layer.select(F.lit(None).cast(layer.schema["geom"].dataType).alias("geom"))
