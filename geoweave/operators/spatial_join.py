@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from geoweave.functions import areal as A
 from geoweave.functions import kernels
 from geoweave.functions import vectors as V
+from geoweave.functions.constants import EPSILON
+from geoweave.operators.nearest import nearest
 from geoweave.operators.storage import cut
 
 
@@ -29,38 +31,61 @@ def _cells(box: Column, level: Column) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def box_pairs(boxes: DataFrame, id_col: str = "id", box_col: str = "box") -> DataFrame:
-    """(a, b, a_box, b_box): each unordered pair of boxes that overlap or touch, once. Null boxes match nothing."""
-    extent = F.greatest(F.col("box")["xmax"] - F.col("box")["xmin"], F.col("box")["ymax"] - F.col("box")["ymin"], F.lit(1e-9))
-    filed = boxes.select(F.col(id_col).alias("id"), F.col(box_col).alias("box")).where("box is not null").withColumn("level", F.ceil(F.log2(extent)).cast("int"))
-    levels = [r[0] for r in filed.select("level").distinct().collect()]  # as many as the sizes have powers of two
-    home = filed.select("id", "box", "level", F.explode(_cells(F.col("box"), F.col("level"))).alias("cell"))
-    home = home.select(F.col("id").alias("a"), F.col("box").alias("a_box"), "level", "cell.cx", "cell.cy")
-    up = F.filter(F.array(*[F.lit(x) for x in sorted(levels)]), lambda x: x >= F.col("level"))
-    probe = filed.select("id", "box", F.col("level").alias("own"), F.explode(up if levels else F.array().cast("array<int>")).alias("level"))
-    probe = probe.select("id", "box", "own", "level", F.explode(_cells(F.col("box"), F.col("level"))).alias("cell"))
-    probe = probe.select(F.col("id").alias("b"), F.col("box").alias("b_box"), "own", "level", "cell.cx", "cell.cy")
+#: Probing boxes that one key of a sparse level should see at most, and the salts that deal them out.
+PROBES_A_KEY, MOST_SALTS = 50_000, 4096
+
+
+def _salts(sizes: dict[int, int]) -> dict[int, int]:
+    """Salts of each level: a level of few large boxes is probed by all smaller ones, in as many keys as it has boxes."""
+    out, below = {}, 0
+    for level in sorted(sizes):
+        below += sizes[level]
+        out[level] = max(1, min(MOST_SALTS, below // (sizes[level] * PROBES_A_KEY)))
+    return out
+
+
+def box_pairs(boxes: DataFrame, id_col: str = "id", box_col: str = "box", by: tuple[str, ...] = (), carry: tuple[str, ...] = (), apart: str | None = None, least: float = 1e-9) -> DataFrame:
+    """(a, b, a_box, b_box): each unordered pair of boxes that overlap or touch, once. Null boxes match nothing.
+
+    by: only boxes that are equal in these columns are paired, and the columns come with the pair; carry: columns that come
+    with either box, as a_<name> and b_<name>; apart: a column in which the two must differ; least: no cell is narrower. Levels with few boxes are probed with salts, so that a box as large as the
+    layer does not draw all others to one task.
+    """
+    extent = F.greatest(F.col("box")["xmax"] - F.col("box")["xmin"], F.col("box")["ymax"] - F.col("box")["ymin"], F.lit(least))
+    rest = F.struct((F.col(apart) if apart else F.lit(0)).alias("__"), *carry)
+    filed = boxes.select(F.col(id_col).alias("id"), F.col(box_col).alias("box"), rest.alias("rest"), *by)
+    filed = filed.where("box is not null").withColumn("level", F.ceil(F.log2(extent)).cast("int"))
+    salts = _salts({r[0]: r[1] for r in filed.groupBy("level").count().collect()})  # as many as the sizes have powers of two
+    of_level = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]) if salts else F.create_map(F.lit(0), F.lit(1))
+    home = filed.select("*", F.explode(_cells(F.col("box"), F.col("level"))).alias("cell")).withColumn("salt", F.explode(F.sequence(F.lit(0), of_level[F.col("level")] - 1)))
+    home = home.select(F.col("id").alias("a"), F.col("box").alias("a_box"), F.col("rest").alias("a_rest"), *by, "level", "salt", "cell.cx", "cell.cy")
+    up = F.filter(F.array(*[F.lit(x) for x in sorted(salts)]), lambda x: x >= F.col("level"))
+    probe = filed.select("id", "box", "rest", *by, F.col("level").alias("own"), F.explode(up if salts else F.array().cast("array<int>")).alias("level"))
+    probe = probe.withColumn("salt", F.pmod(F.xxhash64("id", "box"), of_level[F.col("level")].cast("long")).cast("int")).select("*", F.explode(_cells(F.col("box"), F.col("level"))).alias("cell"))
+    probe = probe.select(F.col("id").alias("b"), F.col("box").alias("b_box"), F.col("rest").alias("b_rest"), *by, "own", "level", "salt", "cell.cx", "cell.cy")
     corner = lambda side: _cell(F.greatest(F.col("a_box")[side], F.col("b_box")[side]), F.col("level"))
-    met = home.join(probe, ["level", "cx", "cy"]).where(
+    met = home.join(probe, [*by, "level", "salt", "cx", "cy"]).where(
         ((F.col("own") < F.col("level")) | (F.col("a") < F.col("b")))
         & A.overlap(F.col("a_box"), F.col("b_box"))
         & (F.col("cx") == corner("xmin"))
         & (F.col("cy") == corner("ymin"))
     )
-    return met.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("a_box")).otherwise(F.col("b_box")).alias("a_box"),
-        F.when(F.col("a") < F.col("b"), F.col("b_box")).otherwise(F.col("a_box")).alias("b_box"),
-    )
+    if apart:
+        met = met.where(F.col("a_rest")["__"] != F.col("b_rest")["__"])
+    first = F.col("a") < F.col("b")
+    pick = lambda c: (F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")))
+    (a_box, b_box), (a_rest, b_rest) = pick("box"), pick("rest")
+    carried = [x for c in carry for x in (a_rest[c].alias(f"a_{c}"), b_rest[c].alias(f"b_{c}"))]
+    return met.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), a_box.alias("a_box"), b_box.alias("b_box"), *carried)
 
 
-def sweep_candidates(boxes: DataFrame, id_col: str = "id", box_col: str = "box") -> DataFrame:
+def sweep_candidates(boxes: DataFrame, id_col: str = "id", box_col: str = "box", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs as a sweep from the top offers them: a has the higher bottom edge, ties by id, and meets b by more than a horizontal edge."""
-    p = box_pairs(boxes, id_col, box_col)
+    p = box_pairs(boxes, id_col, box_col, carry=carry)
     ab, bb = F.col("a_box")["ymin"], F.col("b_box")["ymin"]
     swap = (ab < bb) | ((ab == bb) & (F.col("a") > F.col("b")))
     pick = lambda yes, no: F.when(swap, F.col(yes)).otherwise(F.col(no))
-    turned = p.select(pick("b", "a").alias("a"), pick("a", "b").alias("b"), pick("b_box", "a_box").alias("a_box"), pick("a_box", "b_box").alias("b_box"))
+    turned = p.select(pick("b", "a").alias("a"), pick("a", "b").alias("b"), pick("b_box", "a_box").alias("a_box"), pick("a_box", "b_box").alias("b_box"), *[x for c in carry for x in (pick(f"b_{c}", f"a_{c}").alias(f"a_{c}"), pick(f"a_{c}", f"b_{c}").alias(f"b_{c}"))])
     return turned.where(F.col("a_box")["ymin"] < F.col("b_box")["ymax"])
 
 
@@ -78,10 +103,8 @@ def neighbours_by_box(boxes: DataFrame, multiplier: float, k: int, id_col: str =
     """
     if multiplier <= 1:
         raise ValueError("the multiplier must be above one")
-    scaled = boxes.select(F.col(id_col).alias("id"), A.scale_rectangle(F.col(box_col), multiplier).alias("box"))
-    plain = boxes.select(F.col(id_col).alias("id"), F.col(box_col).alias("plain"))
-    pairs = sweep_candidates(scaled)
-    pairs = pairs.join(plain.select(F.col("id").alias("a"), F.col("plain").alias("a_plain")), "a").join(plain.select(F.col("id").alias("b"), F.col("plain").alias("b_plain")), "b")
+    scaled = boxes.select(F.col(id_col).alias("id"), F.col(box_col).alias("plain"), A.scale_rectangle(F.col(box_col), multiplier).alias("box"))
+    pairs = sweep_candidates(scaled, carry=("plain",))
     gap = distance(F.col("a_plain"), F.col("b_plain")) if distance else rectangle_gap(F.col("a_plain"), F.col("b_plain"))
     ranked = top_k(pairs.select("a", "b", gap.alias("distance")), ["a"], [F.col("distance"), F.col("b")], k)
     return ranked.select("a", "b", "distance", "rank")
@@ -132,42 +155,31 @@ def A_area(box: Column) -> Column:
 
 
 def all_nearest(points: DataFrame, k: int, id_col: str = "id", point_col: str = "p") -> DataFrame:
-    """(id, neighbour, distance, rank): the k nearest other points of each point; equal points count once.
+    """(id, neighbour, distance, rank): the k nearest other points of each point; equal points count once, by their least id.
 
-    Points are looked for in the 3 x 3 cells around; who has k of them within one cell width is
-    done, the others go on with cells of twice the width, until all are done.
+    Points are dealt out by the leaves of a k-d tree; see nearest(). A single point has no neighbours.
     """
     pts = points.groupBy(F.col(point_col).alias("p")).agg(F.min(id_col).alias("id"))
     pts = cut(pts.select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "points")
-    s = pts.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    k = min(k, s.n - 1)
-    if k < 1:
-        return pts.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-    reach = max(s.x1 - s.x0, s.y1 - s.y0, 1e-9)
-    width, todo, done = reach / max(1.0, (s.n / (2.0 * k)) ** 0.5), pts, None
-    near = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (-1, 0, 1)]) for i in (-1, 0, 1)])))
-    while True:
-        last = width > reach
-        at = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
-        asks = todo.select("id", "x", "y", near.alias("o"), at("x").alias("cx"), at("y").alias("cy")).select("id", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        has = pts.select(F.col("id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
-        d = F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
-        met = asks.join(has, ["cx", "cy"]).where("id <> neighbour").select("id", "neighbour", d.alias("distance"))
-        best = cut(top_k(met, ["id"], [F.col("distance"), F.col("neighbour")], k), "nearest")
-        sure = best.where((F.col("rank") == k) & ((F.col("distance") <= width) | F.lit(last))).select("id")
-        part = best.join(sure, "id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        todo = cut(todo.join(sure, "id", "left_anti"), "todo")
-        if last or todo.isEmpty():
-            return done
-        width *= 2
+    kind = pts.schema["id"].dataType
+    found = nearest(pts.select(F.col("id").alias("qid"), "x", "y"), pts, k)
+    return found.select(F.col("qid").cast(kind).alias("id"), F.col("id").cast(kind).alias("neighbour"), "distance", "rank")
+
+
+#: Query points up to which each task compares all of them with its points.
+FEW_QUERIES = 1 << 12
 
 
-def nearest_of(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
-    """k nearest points (id, x, y) of few query points (qid, qx, qy); equal points do not count as neighbours.
+def nearest_of(queries: DataFrame, points: DataFrame, k: int = 1, few: int = FEW_QUERIES) -> DataFrame:
+    """k nearest points (id, x, y) of query points (qid, qx, qy); equal points do not count as neighbours.
 
-    Each task keeps the k best of its points for a query before the shuffle.
+    Up to `few` query points are sent to all tasks, which keep the k best of their points for each before the shuffle; more of
+    them are dealt out with the points by the leaves of a k-d tree.
     """
+    if queries.limit(few + 1).count() > few:
+        kinds = queries.schema["qid"].dataType, points.schema["id"].dataType
+        found = nearest(queries.select("qid", F.col("qx").alias("x"), F.col("qy").alias("y")), points, k, EPSILON)
+        return found.select(F.col("qid").cast(kinds[0]).alias("qid"), F.col("id").cast(kinds[1]).alias("id"), "distance", "rank")
     d = F.sqrt((F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")) + (F.col("qy") - F.col("y")) * (F.col("qy") - F.col("y")))
     met = points.join(F.broadcast(queries)).where(~(V.close(F.col("qx"), F.col("x")) & V.close(F.col("qy"), F.col("y"))))
     return top_k(met.select("qid", "id", d.alias("distance")), ["qid"], [F.col("distance"), F.col("id")], k)
@@ -176,19 +188,18 @@ def nearest_of(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
 def nearest_in_next_class(points: DataFrame, k: int = 1) -> DataFrame:
     """(id, neighbour, distance, rank): for points (id, class, x, y) the k nearest ones of the next greater class that there is.
 
-    Classes are paired by a small table; points of a pair of classes meet in grid cells around the asking one, and who has not
+    Each class is paired with the one after it; points of a pair of classes meet in grid cells around the asking one, and who has not
     found k within a cell's width goes on with cells of twice the width.
     """
     pts = cut(points.select("id", F.col("class").alias("c"), "x", "y"), "classed")
-    have = pts.select("c").distinct()
-    after = have.join(have.select(F.col("c").alias("n")), F.col("n") > F.col("c")).groupBy("c").agg(F.min("n").alias("n"))
-    todo = cut(pts.join(F.broadcast(after), "c").select("id", "x", "y", "n"), "asking")  # a row for each class
+    after = pts.select("c").distinct().withColumn("n", F.lead("c").over(Window.orderBy("c"))).where("n is not null")  # a row for each class
+    todo = cut(pts.join(after, "c").select("id", "x", "y", "n"), "asking")
     targets = cut(pts.groupBy(F.col("c").alias("n")).agg(F.count("*").alias("most")), "targets")
     s = pts.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     reach = max((s.x1 or 0) - (s.x0 or 0), (s.y1 or 0) - (s.y0 or 0), 1e-9) if s.n else 1.0
     width, done = reach / max(1.0, (s.n / (2.0 * k)) ** 0.5), None
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    todo = todo.join(F.broadcast(targets), "n").withColumn("most", F.least("most", F.lit(k)))
+    todo = todo.join(targets, "n").withColumn("most", F.least("most", F.lit(k)))
     while True:
         last = width > reach
         at = lambda c, w=width: F.floor(F.col(c) / w).cast("long")

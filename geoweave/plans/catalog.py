@@ -12,9 +12,10 @@ from geoweave.functions import areal as A
 from geoweave.functions import geodesy, hulls, kernels, predicates
 from geoweave.functions import linear as N
 from geoweave.functions import vectors as V
-from geoweave.operators import centrality, layers, spatial_join
+from geoweave.operators import centrality, layers, ordered, spatial_join
 from geoweave.operators import graph_algorithms as GA
 from geoweave.operators.graph import Graph, edge_text
+from geoweave.operators.storage import cut
 from geoweave.plans import jobs
 from geoweave.plans import layers_from_tables as T
 
@@ -34,10 +35,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from geoweave.plans import catalog_arrangements  # noqa: F401  registers its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_oracles)
 
 
@@ -346,9 +350,11 @@ def r25_contraction_nodes(spark, sf):
     """One node for each component, with the sum of its ids and a fold of them in order."""
     g = supply_graph(spark, sf)
     g = Graph(g.nodes.withColumn("n", F.abs("id")).withColumn("s", F.col("id").cast("string")), g.edges)
-    joined = GA.fold("id", "s", F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit(","), x)))
-    out = GA.contract(g, None, [GA.id_sum("n").alias("id_sum"), F.count("*").alias("parts"), joined.alias("members")])
-    return out.nodes.select("id", "id_sum", "parts", "members")
+    labels = cut(GA.connected_components(g), "components")
+    out = GA.contract(g, None, [GA.id_sum("n").alias("id_sum"), F.count("*").alias("parts")], labels)
+    named = g.nodes.join(labels, "id").select("component", "id", "s")
+    members = ordered.fold_in_order(named, "component", "id", "s", lambda a, b: F.concat(a, F.lit(","), b))
+    return out.nodes.join(members.select(F.col("component").alias("id"), F.col("s").alias("members")), "id").select("id", "id_sum", "parts", "members")
 
 
 @query(f"""WITH {T.PARCELS}, {_SCALED}, {_NEAR}, e AS (SELECT DISTINCT least(a,b) AS src, greatest(a,b) AS dst FROM near), lab AS (SELECT id, id//4 AS c FROM parcels)
@@ -455,13 +461,7 @@ def l1_l10_layer_edits(spark, sf):
 def g14_area_classes(spark, sf):
     """Areas by the bounds at 1/2, 3/4, 15/16, 255/256 and all of their order; the greatest area has no class."""
     p = T.parcels(spark, sf).select("id", "area")
-    sizes = p.groupBy("area").agg(F.count("*").alias("k"))  # bounds come from the counts of each area, not of each row
-    from pyspark.sql import Window
-
-    run = F.sum("k").over(Window.orderBy("area"))
-    ranked = sizes.withColumn("upto", run).withColumn("all", F.sum("k").over(Window.partitionBy()))
-    at = lambda f: F.min(F.when(F.col("upto") >= F.floor(F.col("all") * f), F.col("area")))
-    b = ranked.agg(*[at(f).alias(f"b{i}") for i, f in enumerate((0.5, 0.75, 0.9375, 0.99609375, 1.0))])
+    b = ordered.order_statistics(p, "area", [0.5, 0.75, 0.9375, 0.99609375, 1.0])
     label = F.coalesce(*[F.when(F.col("area") < F.col(f"b{i}"), i) for i in range(5)])
     return p.join(F.broadcast(b)).withColumn("class", big(label)).where("class is not null").groupBy("class").agg(F.count("*").alias("n"))
 
