@@ -1,22 +1,27 @@
 """Shapefiles as a Spark data source: spark.read.format("shapefile").load(path), df.write.format("shapefile").
 
-A file is one bundle (.shp, .shx, .dbf, .prj). Reading takes a file or a folder of files, one
-partition each, and skips features whose geometry is missing or invalid; single polygons are read as
-multi-polygons of one part where the option `geometry` is `multi`. Writing puts one bundle for each task into
-the folder.
+A layer is a bundle (.shp, .shx, .dbf, .prj) or a folder of bundles, on any file system that pyarrow opens by its URI (file, hdfs, s3, gs); paths
+without a scheme are local. Reading deals each bundle out by ranges of records, which the .shx places, so a large file is read by many tasks, and
+each reads its own bytes only. Features whose geometry is missing or invalid are skipped; single polygons are read as multi-polygons of one part
+where the option `geometry` is `multi`. With the option `boxes` a row has its box too (xmin, ymin, xmax, ymax): filters on these are pushed to the records'
+boxes, so what is outside is not decoded.
+
+Writing stages bundles of bounded size under a hidden folder of the target, and the driver moves them in place when all tasks are done; what a
+layer had before goes then, if it is overwritten, and a failed job leaves it as it was. Names of fields are cut to 10 bytes and made unlike, texts to 254 bytes,
+never inside a character. An empty layer is a bundle without records.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, LongType, Row, ShortType, StringType, StructField, StructType
 
 from geoweave.functions import kernels
@@ -52,23 +57,58 @@ class Field:
         return text
 
 
-def read_table(path: str) -> tuple[list[Field], list[list]]:
-    """Fields (numbers and texts only) and records of a .dbf file."""
-    with open(path, "rb") as f:
-        data = f.read()
-    n, head, size = struct.unpack_from("<IHH", data, 4)
-    fields, at = [], 32
-    while data[at] != 0x0D:
-        name = data[at : at + 11].split(b"\0")[0].decode("ascii", "replace")
-        fields.append(Field(name, chr(data[at + 11]), data[at + 16], data[at + 17]))
-        at += 32
-    offsets = np.concatenate(([1], 1 + np.cumsum([f.size for f in fields]))).astype(int)
-    keep = [i for i, f in enumerate(fields) if f.kind in "NFC"]
-    rows = []
-    for i in range(n):
-        record = data[head + i * size : head + (i + 1) * size]
-        rows.append([fields[k].value(record[offsets[k] : offsets[k] + fields[k].size]) for k in keep])
-    return [fields[k] for k in keep], rows
+#: Records of one input partition, bytes that a task reads at once, and bytes of one bundle that a task writes.
+RECORDS, CHUNK, BUNDLE_BYTES = 1 << 15, 8 << 20, 64 << 20
+
+
+def resolve(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path on it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def read_bytes(path: str, start: int = 0, size: int | None = None) -> bytes:
+    store, at = resolve(path)
+    with store.open_input_file(at) as f:
+        return f.read_at(f.size() - start if size is None else size, start)
+
+
+def size_of(path: str) -> int:
+    """Bytes of a file, -1 if there is none."""
+    store, at = resolve(path)
+    info = store.get_file_info(at)
+    return info.size if info.type == fs.FileType.File else -1
+
+
+@dataclass
+class Table:
+    """The layout of a .dbf file: its fields (numbers and texts only), where they are in a record, and where records are."""
+
+    fields: list[Field]
+    offsets: list[int]
+    count: int
+    head: int
+    size: int
+
+    @staticmethod
+    def of(path: str) -> Table:
+        n, head, size = struct.unpack_from("<IHH", read_bytes(path, 0, 32), 4)
+        data, fields, at = read_bytes(path, 0, head), [], 32
+        while data[at] != 0x0D:
+            name = data[at : at + 11].split(b"\0")[0].decode("utf-8", "replace")
+            fields.append(Field(name, chr(data[at + 11]), data[at + 16], data[at + 17]))
+            at += 32
+        offsets = np.concatenate(([1], 1 + np.cumsum([f.size for f in fields]))).astype(int)
+        keep = [i for i, f in enumerate(fields) if f.kind in "NFC"]
+        return Table([fields[k] for k in keep], [int(offsets[k]) for k in keep], n, head, size)
+
+    def rows(self, path: str, first: int, end: int) -> Iterator[list]:
+        step = max(1, CHUNK // self.size)
+        for i in range(first, end, step):
+            data = read_bytes(path, self.head + i * self.size, (min(end, i + step) - i) * self.size)
+            for at in range(0, len(data) - self.size + 1, self.size):
+                yield [f.value(data[at + o : at + o + f.size]) for f, o in zip(self.fields, self.offsets)]
 
 
 def signed(ring: np.ndarray) -> float:
@@ -86,25 +126,55 @@ def group_rings(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     return outer
 
 
-def read_shapes(path: str) -> Iterator[list[list[np.ndarray]] | None]:
-    """Polygons of each record of a .shp file; None for null shapes and other types."""
-    with open(path, "rb") as f:
-        data = f.read()
-    if struct.unpack_from(">i", data)[0] != FILE_CODE:
-        raise ValueError(f"{path} is not a shapefile")
-    at = 100
+def shape_of(body: bytes) -> list[list[np.ndarray]] | None:
+    """Polygons of a record; None for null shapes and other types."""
+    if struct.unpack_from("<i", body)[0] % 10 != POLYGON_TYPE:
+        return None
+    parts, points = struct.unpack_from("<ii", body, 36)
+    starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
+    xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
+    rings = [xy[a:b] for a, b in zip(starts, starts[1:])]
+    return group_rings([r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings])
+
+
+def index_of(path: str, first: int, end: int) -> np.ndarray:
+    """Start and size in bytes of the records first to end of a .shp file, from its .shx; without one the file is walked through."""
+    shx = path[:-4] + ".shx"
+    if size_of(shx) >= 0:
+        return np.frombuffer(read_bytes(shx, 100 + 8 * first, 8 * (end - first)), ">i4").reshape(-1, 2).astype(np.int64) * 2
+    data, at, found = read_bytes(path), 100, []
     while at + 8 <= len(data):
         size = 2 * struct.unpack_from(">ii", data, at)[1]
-        body = data[at + 8 : at + 8 + size]
+        found.append((at, size))
         at += 8 + size
-        if struct.unpack_from("<i", body)[0] % 10 != POLYGON_TYPE:
-            yield None
-            continue
-        parts, points = struct.unpack_from("<ii", body, 36)
-        starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
-        xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
-        rings = [xy[a:b] for a, b in zip(starts, starts[1:])]
-        yield group_rings([r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings])
+    return np.array(found[first:end], np.int64).reshape(-1, 2)
+
+
+def read_records(path: str, first: int, end: int) -> Iterator[bytes]:
+    """The bodies of records first to end, read in runs of about CHUNK bytes."""
+    index, i = index_of(path, first, end), 0
+    while i < len(index):
+        start, j = int(index[i, 0]), i + 1
+        while j < len(index) and start <= index[j, 0] and index[j].sum() + 8 - start <= CHUNK:
+            j += 1
+        data = read_bytes(path, start, int(index[i:j].sum(axis=1).max()) + 8 - start)
+        for at, size in (index[i:j] - [start, 0]).tolist():
+            yield data[at + 8 : at + 8 + size]
+        i = j
+
+
+def field_names(names: list[str]) -> list[str]:
+    """Names of at most ten bytes, cut between characters; those that would be alike get numbers."""
+    out: list[str] = []
+    for name in names:
+        short = name.encode()[:10].decode("utf-8", "ignore")
+        for k in range(1, 1000):
+            if short not in out:
+                break
+            end = f"_{k}"
+            short = name.encode()[: 10 - len(end)].decode("utf-8", "ignore") + end
+        out.append(short)
+    return out
 
 
 def write_bundle(stem: str, fields: list[StructField], rows: list[tuple[list[list[np.ndarray]], list]], prj: str = WGS84_PRJ) -> None:
@@ -126,81 +196,126 @@ def write_bundle(stem: str, fields: list[StructField], rows: list[tuple[list[lis
     b = np.array(boxes) if boxes else np.zeros((1, 4))
     bounds = (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0))
     head = lambda words: struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", VERSION, POLYGON_TYPE, *bounds, 0, 0, 0, 0)
-    specs = []
-    for f in fields:
+    specs, names = [], field_names([f.name for f in fields])
+    for f, name in zip(fields, names):
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            specs.append((f.name, "N", 32, 17))
+            specs.append((name, "N", 32, 17))
         elif isinstance(f.dataType, (IntegerType, ShortType)):
-            specs.append((f.name, "N", 9, 0))
+            specs.append((name, "N", 9, 0))
         elif isinstance(f.dataType, LongType):
-            specs.append((f.name, "N", 20, 0))
+            specs.append((name, "N", 20, 0))
         else:
-            specs.append((f.name, "C", 254, 0))
+            specs.append((name, "C", 254, 0))
     size = 1 + sum(s[2] for s in specs)
     dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(specs), size)
     for name, kind, width, dec in specs:
-        dbf += name.encode()[:10].ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([width, dec]) + bytes(14)
-    dbf += b"\r"
+        dbf += name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([width, dec]) + bytes(14)
+    lines = [dbf + b"\r"]
     for _, values in rows:
-        dbf += b" "
+        lines.append(b" ")
         for v, (_, kind, width, dec) in zip(values, specs):
             text = "" if v is None else (f"{v:.{dec}f}" if dec else str(v))
-            raw = text.encode()[:width]
-            dbf += raw.rjust(width) if kind == "N" else raw.ljust(width)
+            raw = text.encode()[:width].decode("utf-8", "ignore").encode()
+            lines.append(raw.rjust(width) if kind == "N" else raw.ljust(width))
     for ext, data in (
-        (".shp", head(offset) + b"".join(records)), (".shx", head(50 + 4 * len(rows)) + b"".join(index)), (".dbf", dbf + b"\x1a"), (".prj", prj.encode()),
+        (".shp", head(offset) + b"".join(records)), (".shx", head(50 + 4 * len(rows)) + b"".join(index)), (".dbf", b"".join(lines) + b"\x1a"), (".prj", prj.encode()),
     ):
-        with open(stem + ext, "wb") as f:
+        store, at = resolve(stem + ext)
+        with store.open_output_stream(at) as f:
             f.write(data)
 
 
 def list_files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    found = sorted(glob.glob(os.path.join(path, "*.shp"))) if os.path.isdir(path) else [path]
-    if not found or not all(map(os.path.exists, found)):
+    """The .shp files of a layer, hidden ones left out, as paths like the given one."""
+    store, at = resolve(path)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [path]
+    found = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(at)) if x.base_name.endswith(".shp")) if info.type == fs.FileType.Directory else []
+    if not found:
         raise FileNotFoundError(f"no shapefile at {path}")
-    return found
+    return [f"{path.rstrip('/')}/{x}" for x in found if x[0] not in "._"]
+
 
+BOX = ["xmin", "ymin", "xmax", "ymax"]
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+
+class _Range(InputPartition):
+    def __init__(self, path: str, first: int, end: int):
+        self.path, self.first, self.end = path, first, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.schema, self.multi = schema, options.get("geometry") == "multi"
-        self.files = list_files(options["path"])
+        self.schema, self.multi, self.boxed = schema, options.get("geometry") == "multi", options.get("boxes", "false").lower() == "true"
+        self.files, self.records = list_files(options["path"]), int(options.get("records", RECORDS))
+        self.limits: list[tuple[int, float, bool, bool]] = []
 
     def partitions(self):
-        return [_File(f) for f in self.files]
+        out = []
+        for f in self.files:
+            if read_bytes(f, 0, 4) != struct.pack(">i", FILE_CODE):
+                raise ValueError(f"{f} is not a shapefile")
+            n = Table.of(f[:-4] + ".dbf").count
+            step = self.records if size_of(f[:-4] + ".shx") >= 0 else max(n, 1)  # without an index a file is walked through by one task
+            out += [_Range(f, i, min(n, i + step)) for i in range(0, n, step)]
+        return out or [_Range(self.files[0], 0, 0)]
+
+    def _passes(self, body: bytes) -> bool:
+        if not self.limits:
+            return True
+        if len(body) < 36:
+            return False
+        box = struct.unpack_from("<4d", body, 4)
+        for side, value, above, equal in self.limits:
+            v = box[side]
+            if not (v > value if above else v < value) and not (equal and v == value):
+                return False
+        return True
 
     def read(self, partition):
-        fields, rows = read_table(partition.path[:-4] + ".dbf")
-        at = {f.name: i for i, f in enumerate(fields)}
-        names = [f.name for f in self.schema.fields if f.name != "geom"]
-        for polygons, values in zip(read_shapes(partition.path), rows):
-            parts = [c for c in map(clean_polygon, polygons or []) if c]
+        table = Table.of(partition.path[:-4] + ".dbf")
+        at = {f.name: i for i, f in enumerate(table.fields)}
+        names = [f.name for f in self.schema.fields if f.name != "geom" and not (self.boxed and f.name in BOX)]
+        rows = table.rows(partition.path[:-4] + ".dbf", partition.first, partition.end)
+        for body, values in zip(read_records(partition.path, partition.first, partition.end), rows):
+            if not self._passes(body):
+                continue
+            parts = [c for c in map(clean_polygon, shape_of(body) or []) if c]
             if not parts or (not self.multi and len(parts) != 1):
                 continue
             shapes = [as_struct(p) for p in parts]
-            yield Row(*[values[at[n]] if n in at else None for n in names], shapes if self.multi else shapes[0])
+            box = struct.unpack_from("<4d", body, 4) if self.boxed else ()
+            yield Row(*[values[at[n]] if n in at else None for n in names], *box, shapes if self.multi else shapes[0])
+
 
+class _BoxReader(_Reader):
+    def pushFilters(self, filters: list[Filter]):
+        """Bounds of the box's sides stay here, all else is Spark's."""
+        for f in filters:
+            side = BOX.index(f.attribute[0]) if isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute[0] in BOX else None
+            if side is None:
+                yield f
+            else:
+                self.limits.append((side, float(f.value), isinstance(f, (GreaterThan, GreaterThanOrEqual)), isinstance(f, (GreaterThanOrEqual, LessThanOrEqual))))
 
-class _Message(WriterCommitMessage):
-    pass
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
+PARTS = (".shp", ".shx", ".dbf", ".prj")
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
-        self.schema = schema
-        self.folder = options["path"].removeprefix("file://").removeprefix("file:")
-        self.prj = options.get("prj", WGS84_PRJ)
-        os.makedirs(self.folder, exist_ok=True)
-        if overwrite:
-            for f in glob.glob(os.path.join(glob.escape(self.folder), "*.*")):
-                if os.path.splitext(f)[1] in (".shp", ".shx", ".dbf", ".prj"):
-                    os.remove(f)
+        self.schema, self.path, self.overwrite = schema, options["path"].rstrip("/"), overwrite
+        self.prj, self.limit = options.get("prj", WGS84_PRJ), int(options.get("bundleBytes", BUNDLE_BYTES))
+        self.job = uuid.uuid4().hex
+        self.staging = f"{self.path}/_staging-{self.job}"
+        store, at = resolve(self.staging)
+        store.create_dir(at, recursive=True)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -208,14 +323,47 @@ class _Writer(DataSourceWriter):
         fields = [f for f in self.schema.fields if f.name != "geom"]
         array = lambda r: np.array([(p["x"], p["y"]) for p in r])
         rings = lambda p: [array(p["boundary"]), *(array(h) for h in p["holes"])]
-        rows = []
+        task, rows, size, names = TaskContext.get(), [], 0, []
+        stem = f"part-{task.partitionId():05d}-{self.job[:8]}-{task.taskAttemptId()}"
+
+        def flush():
+            names.append(f"{stem}-{len(names):04d}")
+            write_bundle(f"{self.staging}/{names[-1]}", fields, rows, self.prj)
+            rows.clear()
+
         for row in iterator:
             g = row["geom"]
             if g is not None:
-                rows.append(([rings(p) for p in g] if isinstance(g, list) else [rings(g)], [row[f.name] for f in fields]))
+                shape = [rings(p) for p in g] if isinstance(g, list) else [rings(g)]
+                rows.append((shape, [row[f.name] for f in fields]))
+                size += sum(r.nbytes for p in shape for r in p) + 64 * len(fields)
+                if size >= self.limit:
+                    flush()
+                    size = 0
         if rows:
-            write_bundle(os.path.join(self.folder, f"part-{TaskContext.get().partitionId():05d}"), fields, rows, self.prj)
-        return _Message()
+            flush()
+        return _Written(names)
+
+    def commit(self, messages):
+        """Old bundles go, if so wanted, and those of the tasks that succeeded come."""
+        store, folder = resolve(self.path)
+        staging = resolve(self.staging)[1]
+        names = [n for m in messages if m is not None for n in m.names]
+        if not names:
+            names = [f"part-00000-{self.job[:8]}-0-0000"]
+            write_bundle(f"{self.staging}/{names[0]}", [f for f in self.schema.fields if f.name != "geom"], [], self.prj)
+        old = [x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.File and x.path.endswith(PARTS)] if self.overwrite else []
+        for n in names:  # the .shp makes a bundle visible, so it comes last
+            for ext in (*PARTS[1:], PARTS[0]):
+                store.move(f"{staging}/{n}{ext}", f"{folder}/{n}{ext}")
+        for x in sorted(old, key=lambda x: not x.endswith(".shp")):
+            store.delete_file(x)
+        store.delete_dir(staging)
+
+    def abort(self, messages):
+        store, at = resolve(self.staging)
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            store.delete_dir(at)
 
 
 class ShapefileSource(DataSource):
@@ -224,17 +372,20 @@ class ShapefileSource(DataSource):
         return "shapefile"
 
     def schema(self) -> StructType:
-        """Fields of the first file, and geom."""
-        fields, _ = read_table(list_files(self.options["path"])[0][:-4] + ".dbf")
+        """Fields of the first file, the box on demand, and geom."""
+        fields = Table.of(list_files(self.options["path"])[0][:-4] + ".dbf").fields
         geom = ArrayType(POLYGON_TYPE_SQL) if self.options.get("geometry") == "multi" else POLYGON_TYPE_SQL
-        return StructType([StructField(f.name, f.type) for f in fields] + [StructField("geom", geom)])
+        box = [StructField(c, DoubleType()) for c in BOX] if self.options.get("boxes", "false").lower() == "true" else []
+        return StructType([StructField(f.name, f.type) for f in fields] + box + [StructField("geom", geom)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, self.options)
+        return (_BoxReader if self.options.get("boxes", "false").lower() == "true" else _Reader)(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(schema, self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and let it push filters to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ShapefileSource)
