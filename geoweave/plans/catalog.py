@@ -105,47 +105,64 @@ def v3_v16_relations(spark, sf):
 # --- lines, rays, segments ---------------------------------------------------------------------
 
 
-@query(f"""WITH {T.PARCELS}, q AS (SELECT id, xmin AS px, ymin AS py, xmax AS qx, ymax AS qy, (xmin+xmax)/2 AS mx, (ymin+ymax)/2 AS my FROM parcels)
-  SELECT id, round((qy-py)/(qx-px),6)+0.0 AS slope, round(py-(qy-py)/(qx-px)*px,6)+0.0 AS intercept, false AS vertical, 1.7976931348623157e308 AS v_slope,
-  true AS has_middle, false AS has_corner, (qx-px)*(py+1-py)-(qy-py)*(px-px)>0 AS is_left, true AS ray_has_end, false AS ray_has_back, true AS same_line FROM q""")
+#: Twice the area of the triangle of three points, in SQL.
+_TURN = "(({b}x-{a}x)*({c}y-{a}y)-({b}y-{a}y)*({c}x-{a}x))"
+
+
+@query(f"""WITH {T.PARCELS}, q AS (SELECT id, xmin AS px, ymin AS py, xmax AS qx, ymax AS qy, xmin+w*(id%3) AS tx, ymax AS ty, (xmin+xmax)/2+id%2 AS mx, (ymin+ymax)/2 AS my, xmin+w*(id%2) AS cx, ymax AS cy,
+    xmin+w*(id%3-1) AS rx, ymin+h*(id%3-1) AS ry FROM parcels)
+  SELECT id, round((qy-py)/(qx-px),6)+0.0 AS slope, round(py-(qy-py)/(qx-px)*px,6)+0.0 AS intercept, tx = px AS vertical, CASE WHEN tx = px THEN 1.7976931348623157e308 ELSE round((ty-py)/(tx-px),6)+0.0 END AS v_slope,
+  {_TURN.format(a='p', b='q', c='m')} = 0 AS has_middle, {_TURN.format(a='p', b='q', c='c')} = 0 AS has_corner, (qx-px)*(py+1-py)-(qy-py)*(px-px)>0 AS is_left,
+  {_TURN.format(a='p', b='q', c='r')} = 0 AND (rx-px)*(qx-px)+(ry-py)*(qy-py) >= 0 AS ray_has_end, {_TURN.format(a='p', b='q', c='r')} = 0 AND (rx-px)*(qx-px)+(ry-py)*(qy-py) <= 0 AS ray_has_back,
+  {_TURN.format(a='p', b='q', c='m')} = 0 AS same_line FROM q""")
 def n1_n8_lines_and_rays(spark, sf):
-    b = F.col("box")
+    """Lines through the corners of parcels, and others that are moved off them for some ids."""
+    b, i = F.col("box"), F.col("id")
     p, q = V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymax"])
-    ln, mid = N.line(p, q), V.point((b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2)
-    r = N.ray(p, V.subtract(q, p))
+    ln, mid = N.line(p, q), V.point((b["xmin"] + b["xmax"]) / 2 + i % 2, (b["ymin"] + b["ymax"]) / 2)
+    tilted = N.line(p, V.point(b["xmin"] + F.col("w") * (i % 3), b["ymax"]))
+    r, at = N.ray(p, V.subtract(q, p)), V.point(b["xmin"] + F.col("w") * (i % 3 - 1), b["ymin"] + F.col("h") * (i % 3 - 1))
     return T.parcels(spark, sf).select(
-        "id", r6(N.slope(ln)).alias("slope"), r6(N.y_intercept(ln)).alias("intercept"), N.is_vertical(ln).alias("vertical"), N.slope(N.vertical_line(3.0)).alias("v_slope"),
-        N.line_contains(ln, mid).alias("has_middle"), N.line_contains(ln, V.point(b["xmin"], b["ymax"])).alias("has_corner"), N.is_left(ln, V.point(b["xmin"], b["ymin"] + 1)).alias("is_left"),
-        N.ray_contains(r, q).alias("ray_has_end"), N.ray_contains(N.ray_opposite(r), q).alias("ray_has_back"), N.lines_equal(ln, N.line(q, mid)).alias("same_line"),
+        "id", r6(N.slope(ln)).alias("slope"), r6(N.y_intercept(ln)).alias("intercept"), N.is_vertical(tilted).alias("vertical"),
+        F.when(N.is_vertical(tilted), N.slope(tilted)).otherwise(r6(N.slope(tilted))).alias("v_slope"),
+        N.line_contains(ln, mid).alias("has_middle"), N.line_contains(ln, V.point(b["xmin"] + F.col("w") * (i % 2), b["ymax"])).alias("has_corner"), N.is_left(ln, V.point(b["xmin"], b["ymin"] + 1)).alias("is_left"),
+        N.ray_contains(r, at).alias("ray_has_end"), N.ray_contains(N.ray_opposite(r), at).alias("ray_has_back"), N.lines_equal(ln, N.line(q, mid)).alias("same_line"),
     )
 
 
-@query(f"""WITH {T.PARCELS} SELECT id, round(sqrt(w*w+h*h),6)+0.0 AS len, xmax AS upper_x, xmin AS left_x, true AS has_middle, true AS flipped_equal, true AS touches_side,
-  round(abs(w*h)/sqrt(w*w+h*h),6)+0.0 AS corner_dist, round(sqrt(9+16),6)+0.0 AS beyond, round(least(w,h)/2,6)+0.0 AS cross_dist, true AS overlay FROM parcels""")
+@query(f"""WITH {T.PARCELS} SELECT id, round(sqrt(w*w+h*h),6)+0.0 AS len, xmax AS upper_x, xmin AS left_x, w*(h/2+id%2)-h*(w/2) = 0 AS has_middle, xmax+id%2 = xmax AS flipped_equal,
+  {_TURN.format(a='p', b='q', c='t')} = 0 AND tx BETWEEN px AND qx AS touches_side,
+  round(abs(w*h)/sqrt(w*w+h*h),6)+0.0 AS corner_dist, round(sqrt(9+16),6)+0.0 AS beyond, round(least(w,h)/2,6)+0.0 AS cross_dist, w*(h+id%2)-h*w = 0 AS overlay
+  FROM (SELECT *, xmin AS px, ymin AS py, xmax AS qx, ymax AS qy, xmax+3*(id%2) AS tx, ymax AS ty FROM parcels)""")
 def n9_n15_segments(spark, sf):
     b = F.col("box")
     p, q = V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymax"])
-    s = N.segment(p, q)
+    s, odd = N.segment(p, q), F.col("id") % 2
     mx, my = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
     flat, steep = N.segment(V.point(b["xmin"], my), V.point(b["xmax"], my)), N.segment(V.point(mx, b["ymin"]), V.point(mx, b["ymax"]))
     return T.parcels(spark, sf).select(
-        "id", r6(N.segment_length(s)).alias("len"), N.endpoint(s, "upper")["x"].alias("upper_x"), N.endpoint(s, "left")["x"].alias("left_x"), N.contains(s, V.point(mx, my)).alias("has_middle"),
-        N.segments_equal(s, N.flip(s)).alias("flipped_equal"), N.touches(s, N.segment(q, V.point(b["xmin"], b["ymax"]))).alias("touches_side"), r6(N.point_distance(s, V.point(b["xmin"], b["ymax"]))).alias("corner_dist"),
-        r6(N.point_distance(flat, V.point(b["xmax"] + 3, my + 4))).alias("beyond"), r6(N.segment_distance(flat, steep)).alias("cross_dist"), N.has_overlay(s, N.segment(V.point(mx, my), q)).alias("overlay"),
+        "id", r6(N.segment_length(s)).alias("len"), N.endpoint(s, "upper")["x"].alias("upper_x"), N.endpoint(s, "left")["x"].alias("left_x"), N.contains(s, V.point(mx, my + odd)).alias("has_middle"),
+        N.segments_equal(s, N.flip(N.segment(p, V.point(b["xmax"] + odd, b["ymax"])))).alias("flipped_equal"), N.touches(s, N.segment(V.point(b["xmax"] + 3 * odd, b["ymax"]), V.point(b["xmax"] + 9, b["ymax"] + 1))).alias("touches_side"), r6(N.point_distance(s, V.point(b["xmin"], b["ymax"]))).alias("corner_dist"),
+        r6(N.point_distance(flat, V.point(b["xmax"] + 3, my + 4))).alias("beyond"), r6(N.segment_distance(flat, steep)).alias("cross_dist"), N.has_overlay(s, N.segment(V.point(mx, my), V.point(b["xmax"], b["ymax"] + odd))).alias("overlay"),
     )
 
 
-@query(f"""WITH {T.PARCELS} SELECT id, round((xmin+xmax)/2,6)+0.0 AS ix, round((ymin+ymax)/2,6)+0.0 AS iy, CAST(NULL AS double) AS par_x, true AS crossing, false AS apart,
-  round(xmin+w/2,6)+0.0 AS ray_x, round(h/2,6)+0.0 AS close_d FROM parcels""")
+@query(f"""WITH {T.PARCELS} SELECT id, round((xmin+xmax)/2,6)+0.0 AS ix, round((ymin+ymax)/2,6)+0.0 AS iy, CASE WHEN uy = ty THEN NULL ELSE round(tx-(ty-low)*(ux-tx)/(uy-ty),6)+0.0 END AS par_x,
+  {_TURN.format(a='a', b='c', c='t')} * {_TURN.format(a='a', b='c', c='e')} <= 0 AS crossing, (ty-low)*(uy-low) <= 0 AS apart,
+  round(xmin+w/2,6)+0.0 AS ray_x, round(h/2,6)+0.0 AS close_d
+  FROM (SELECT *, xmin AS ax, ymin AS ay, xmax AS cx, ymax AS cy, xmin AS tx, ymax AS ty, xmin+w*(1-0.75*(id%2)) AS ex, ymax-h*(1-0.75*(id%2)) AS ey, xmax AS ux, ymax-(id%3)*(h+1)/2 AS uy, ymin AS low FROM parcels)""")
 def n16_n19_intersections(spark, sf):
     b = F.col("box")
     mx = (b["xmin"] + b["xmax"]) / 2
     d1, d2 = N.segment(V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymax"])), N.segment(V.point(b["xmin"], b["ymax"]), V.point(b["xmax"], b["ymin"]))
     bottom, top = N.segment(V.point(b["xmin"], b["ymin"]), V.point(b["xmax"], b["ymin"])), N.segment(V.point(b["xmin"], b["ymax"]), V.point(b["xmax"], b["ymax"]))
     centre = V.point(mx, (b["ymin"] + b["ymax"]) / 2)
+    share = 1 - 0.75 * (F.col("id") % 2)  # of the second diagonal, which ends before the first one for odd ids
+    part = N.segment(V.point(b["xmin"], b["ymax"]), V.point(b["xmin"] + F.col("w") * share, b["ymax"] - F.col("h") * share))
+    falling = N.segment(V.point(b["xmin"], b["ymax"]), V.point(b["xmax"], b["ymax"] - (F.col("id") % 3) * (F.col("h") + 1) / 2))
     return T.parcels(spark, sf).select(
-        "id", r6(N.segment_intersection(d1, d2)["x"]).alias("ix"), r6(N.segment_intersection(d1, d2)["y"]).alias("iy"), N.line_intersection(bottom, top)["x"].alias("par_x"),
-        N.intersects(d1, d2).alias("crossing"), N.intersects(bottom, top).alias("apart"), r6(N.ray_segment_intersection(N.ray_towards(centre, "up"), top)["x"]).alias("ray_x"),
+        "id", r6(N.segment_intersection(d1, d2)["x"]).alias("ix"), r6(N.segment_intersection(d1, d2)["y"]).alias("iy"), r6(N.line_intersection(bottom, falling)["x"]).alias("par_x"),
+        N.intersects(d1, part).alias("crossing"), N.intersects(bottom, falling).alias("apart"), r6(N.ray_segment_intersection(N.ray_towards(centre, "up"), top)["x"]).alias("ray_x"),
         r6(N.closest_points(N.segment(centre, centre), top)["d"]).alias("close_d"),
     )
 
@@ -156,23 +173,31 @@ _SHOELACE = "0.5*abs(list_sum(list_transform(range(1,len({r})+1), lambda i: {r}[
 _MEAN = "list_sum(list_transform({r}, lambda p: p.{c}))/len({r})"
 
 
-@query(f"""WITH {T.LOTS}, m AS (SELECT *, {_SHOELACE.format(r='ring')} AS ra, coalesce({_SHOELACE.format(r='hole')},0) AS ha, {_MEAN.format(r='ring', c='x')} AS cx, {_MEAN.format(r='ring', c='y')} AS cy,
+_BENT = "CASE WHEN id%8 >= 4 AND len(ring) = 4 THEN [ring[1],ring[3],ring[2],ring[4]] ELSE ring END"
+_SIDE = "((bent[{b}].x-bent[{a}].x)*(bent[{c}].y-bent[{a}].y)-(bent[{b}].y-bent[{a}].y)*(bent[{c}].x-bent[{a}].x))"
+_PAIR = lambda a, b, c, d: f"({_SIDE.format(a=a, b=b, c=c)}*{_SIDE.format(a=a, b=b, c=d)} < 0 AND {_SIDE.format(a=c, b=d, c=a)}*{_SIDE.format(a=c, b=d, c=b)} < 0)"
+_UNCROSSED = f"(len(bent) < 4 OR NOT ({_PAIR(1, 2, 3, 4)} OR {_PAIR(2, 3, 4, 1)}))"
+
+
+@query(f"""WITH {T.LOTS}, m AS (SELECT *, {_BENT} AS bent, {_SHOELACE.format(r='ring')} AS ra, coalesce({_SHOELACE.format(r='hole')},0) AS ha, {_MEAN.format(r='ring', c='x')} AS cx, {_MEAN.format(r='ring', c='y')} AS cy,
     coalesce({_MEAN.format(r='hole', c='x')},0) AS hx, list_min(list_transform(ring, lambda p: p.x)) AS xmin, list_max(list_transform(ring, lambda p: p.x)) AS xmax,
     list_min(list_transform(ring, lambda p: p.y)) AS ymin, list_max(list_transform(ring, lambda p: p.y)) AS ymax FROM lots)
   SELECT id, round(ra,6)+0.0 AS ring_area, round(ra-ha,6)+0.0 AS area, round(cx,6)+0.0 AS ring_cx, round((cx*ra-hx*ha)/(ra-ha),6)+0.0 AS cx, xmin, ymin, xmax, ymax,
   round(xmin-(xmax-xmin)*0.5,6)+0.0 AS scaled_xmin, round(ymax+(ymax-ymin)*0.5,6)+0.0 AS scaled_ymax, xmin AS kept_xmin, round(2*(ra-ha),6)+0.0 AS multi_area,
-  round((cx*ra-hx*ha)/(ra-ha)+50,6)+0.0 AS multi_cx, hole IS NULL AS simple, true AS valid, cast(len(ring) AS bigint) AS n_segments FROM m""")
+  round((cx*ra-hx*ha)/(ra-ha)+50,6)+0.0 AS multi_cx, hole IS NULL AS simple, {_UNCROSSED} AS valid, cast(len(ring) AS bigint) AS n_segments FROM m""")
 def a1_a12_measures(spark, sf):
     g = F.col("geom")
     b = A.ring_box(g["boundary"])
     moved = F.transform(g["boundary"], lambda p: V.point(p["x"] + 100, p["y"]))
     moved_holes = F.transform(g["holes"], lambda r: F.transform(r, lambda p: V.point(p["x"] + 100, p["y"])))
     both = F.array(g, F.struct(moved.alias("boundary"), moved_holes.alias("holes")))
+    corner = lambda i: F.get(g["boundary"], F.lit(i))
+    bent = F.when((F.col("id") % 8 >= 4) & (F.size(g["boundary"]) == 4), F.array(*[corner(i) for i in (0, 2, 1, 3)])).otherwise(g["boundary"])
     return T.lots(spark, sf).select(
         "id", r6(A.ring_area(g["boundary"])).alias("ring_area"), r6(A.polygon_area(g)).alias("area"), r6(A.ring_centroid(g["boundary"])["x"]).alias("ring_cx"),
         r6(A.polygon_centroid(g)["x"]).alias("cx"), b["xmin"].alias("xmin"), b["ymin"].alias("ymin"), b["xmax"].alias("xmax"), b["ymax"].alias("ymax"),
         r6(A.scale_rectangle(b, 1.5)["xmin"]).alias("scaled_xmin"), r6(A.scale_rectangle(b, 1.5)["ymax"]).alias("scaled_ymax"), A.scale_rectangle(b, -1)["xmin"].alias("kept_xmin"),
-        r6(A.multi_area(both)).alias("multi_area"), r6(A.multi_centroid(both)["x"]).alias("multi_cx"), A.is_simple(g).alias("simple"), A.is_valid_ring(g["boundary"]).alias("valid"),
+        r6(A.multi_area(both)).alias("multi_area"), r6(A.multi_centroid(both)["x"]).alias("multi_cx"), A.is_simple(g).alias("simple"), A.is_valid_ring(bent).alias("valid"),
         big(F.size(A.segments(g["boundary"]))).alias("n_segments"),
     )
 
@@ -191,17 +216,20 @@ def a13_a18_point_location(spark, sf):
     )
 
 
-@query(f"""WITH {T.LOTS} SELECT id, true AS turned_equal, true AS reversed_equal, true AS same_id, cast(len(ring) AS bigint) AS n_clean,
-  '[' || array_to_string(list_transform(ring, lambda p: printf('(%f,%f)', p.x, p.y)), ',') || ']' AS txt, cast(1 AS bigint) AS parts, cast(0 AS bigint) AS left_parts FROM lots""")
+@query(f"""WITH {T.LOTS} SELECT id, list_sort(moved) = list_sort(ring) AS turned_equal, list_sort(list_reverse(moved)) = list_sort(ring) AS reversed_equal, list_sort(moved) = list_sort(ring) AS same_id, cast(len(ring) AS bigint) AS n_clean,
+  '[' || array_to_string(list_transform(ring, lambda p: printf('(%f,%f)', p.x, p.y)), ',') || ']' AS txt, cast(len([ring, moved]) AS bigint) AS parts,
+  cast(len(list_filter([ring, moved], lambda r: list_sort(r) <> list_sort(ring))) AS bigint) AS left_parts
+  FROM (SELECT *, list_concat([{{'x':ring[1].x+(id//4)%2,'y':ring[1].y}}], ring[2:]) AS moved FROM lots)""")
 def a2_a37_canonical_forms(spark, sf):
     r = F.col("geom.boundary")
-    turned = F.concat(F.slice(r, 2, 10), F.slice(r, 1, 1))
+    moved = F.transform(r, lambda p, i: F.when(i == 0, V.point(p["x"] + F.floor(F.col("id") / 4) % 2, p["y"])).otherwise(p))  # another ring for some ids
+    turned = F.concat(F.slice(moved, 2, 10), F.slice(moved, 1, 1))
     closed = F.concat(r, F.slice(r, 1, 1), F.slice(r, 1, 1))
-    multi = A.promote(F.col("geom"))
+    multi = A.add_part(A.promote(A.polygon(r)), A.polygon(moved), F.lit(True))
     return T.lots(spark, sf).select(
-        "id", (A.canonical_ring(turned) == A.canonical_ring(r)).alias("turned_equal"), (A.canonical_ring(F.reverse(r)) == A.canonical_ring(r)).alias("reversed_equal"),
+        "id", (A.canonical_ring(turned) == A.canonical_ring(r)).alias("turned_equal"), (A.canonical_ring(F.reverse(moved)) == A.canonical_ring(r)).alias("reversed_equal"),
         (A.geometry_id(A.canonical_ring(turned)) == A.geometry_id(A.canonical_ring(r))).alias("same_id"), big(F.size(A.ring_from_points(closed))).alias("n_clean"), A.ring_text(r).alias("txt"),
-        big(F.size(multi)).alias("parts"), big(F.size(A.remove_part(multi, F.col("geom")))).alias("left_parts"),
+        big(F.size(multi)).alias("parts"), big(F.size(A.remove_part(multi, A.polygon(r)))).alias("left_parts"),
     )
 
 
@@ -234,16 +262,20 @@ def a28_a31_shape_distance(spark, sf):
     return apart.select("a", "b", r6(kernels.closest_udf()(F.col("a_geom"), F.col("b_geom"))["d"]).alias("d"))
 
 
-@query(f"""WITH {T.LOTS} SELECT id, cast(CASE kind WHEN 1 THEN 3 ELSE 4 END AS bigint) AS hull_points, round(CASE kind WHEN 1 THEN s*s/2 WHEN 2 THEN s*s/2 ELSE s*s END,6)+0.0 AS hull_area, true AS valid,
-  true AS multi_valid, kind IN (0,3) AS has_top, kind IN (0,3) AS box_like FROM lots""")
+@query(f"""WITH {T.LOTS} SELECT id, cast(CASE kind WHEN 1 THEN 3 ELSE 4 END AS bigint) AS hull_points, round(CASE kind WHEN 1 THEN s*s/2 WHEN 2 THEN s*s/2 ELSE s*s END,6)+0.0 AS hull_area,
+  hole IS NULL OR (id//4)%2*s + list_max(list_transform(hole, lambda p: p.x)) <= list_max(list_transform(ring, lambda p: p.x)) AS valid,
+  list_max(list_transform(ring, lambda p: p.x)) < list_min(list_transform(ring, lambda p: p.x)) + 2*s*((id//4)%2) AS multi_valid, kind IN (0,3) AS has_top, kind IN (0,3) AS box_like FROM lots""")
 def a17_a38_validity_and_hull(spark, sf):
     import numpy as np
 
     g = F.col("geom")
     hull = kernels.points_udf(lambda p: kernels.convex_hull(np.concatenate(p)), "polygon")(g)
     top = kernels.unary_udf(lambda p: kernels.ring_contains_segment(p[0], np.array([[p[0][:, 0].min(), p[0][:, 1].max()], p[0].max(axis=0)])), "polygon")
-    rows = T.lots(spark, sf).withColumn("hull", hull).withColumn("valid", kernels.unary_udf(kernels.polygon_valid, "polygon")(g))
-    rows = rows.withColumn("multi_valid", kernels.unary_udf(kernels.multi_valid, "multi")(F.array(g))).withColumn("has_top", top(g))
+    by = lambda r, k: F.transform(r, lambda p: V.point(p["x"] + k * F.col("s") * (F.floor(F.col("id") / 4) % 2), p["y"]))
+    loose = F.struct(g["boundary"].alias("boundary"), F.transform(g["holes"], lambda h: by(h, 1)).alias("holes"))  # holes outside for some ids
+    beside = F.struct(by(g["boundary"], 2).alias("boundary"), F.transform(g["holes"], lambda h: by(h, 2)).alias("holes"))  # or the same again
+    rows = T.lots(spark, sf).withColumn("hull", hull).withColumn("valid", kernels.unary_udf(kernels.polygon_valid, "polygon")(loose))
+    rows = rows.withColumn("multi_valid", kernels.unary_udf(kernels.multi_valid, "multi")(F.array(g, beside))).withColumn("has_top", top(g))
     return rows.select("id", big(F.size("hull")).alias("hull_points"), r6(A.ring_area(F.col("hull"))).alias("hull_area"), "valid", "multi_valid", "has_top", (F.col("kind") % 3 == 0).alias("box_like"))
 
 
@@ -482,13 +514,13 @@ def p1_geodesic_distance(spark, sf):
     return T.sites(spark, sf).select("id", r6(geodesy.wgs84_distance(p, q, False), 3).alias("plain"), r6(geodesy.wgs84_distance(p, q), 3).alias("exact"))
 
 
-@query(f"""WITH {T.PARCELS} SELECT id, w*h >= 20 AND h < 5 AS both_, w*h >= 20 OR h < 2 AS either, true AS none_and, false AS none_or, w*h >= 12 AS large FROM parcels""")
+@query(f"""WITH {T.PARCELS} SELECT id, w*h >= 20 AND h < 5 AS both_, w*h >= 20 OR h < 2 AS either, w*h >= 12 AS none_and, h < 3 AS none_or, w*h >= 12 AS large FROM parcels""")
 def p8_p12_composed_filters(spark, sf):
     large, flat = lambda r: F.col("w") * F.col("h") >= r, lambda r: F.col("h") < r
     x = F.lit(0)
     return T.parcels(spark, sf).select(
         "id", predicates.all_of(lambda _: large(20), lambda _: flat(5))(x).alias("both_"), predicates.any_of(lambda _: large(20), lambda _: flat(2))(x).alias("either"),
-        predicates.all_of()(x).alias("none_and"), predicates.any_of()(x).alias("none_or"), large(12).alias("large"),
+        predicates.all_of(predicates.all_of(), lambda _: large(12))(x).alias("none_and"), predicates.any_of(predicates.any_of(), lambda _: flat(3))(x).alias("none_or"), large(12).alias("large"),
     )
 
 
