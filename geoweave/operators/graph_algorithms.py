@@ -126,15 +126,16 @@ def closes_cycle(graph: Graph, src, dst) -> bool:
 
 
 def add_acyclic(graph: Graph, pairs: list[tuple]) -> tuple[Graph, list[bool]]:
-    """Insert edges one by one in the order given; those that would close a cycle are rejected."""
-    spark, taken = graph.edges.sparkSession, []
-    for src, dst in pairs:
-        ok = not closes_cycle(graph, src, dst)
-        if ok:
-            graph = graph.add_edges(spark.createDataFrame([(src, dst)], graph.edges.select("src", "dst").schema))
-            graph = replace(graph, nodes=cut(graph.nodes, "nodes"), edges=cut(graph.edges, "edges"))
-        taken.append(ok)
-    return graph, taken
+    """Insert edges in the order given; those that would close a cycle are rejected. For edges in a table see acyclic.insert_in_order()."""
+    from geoweave.operators.acyclic import insert_in_order
+
+    spark, n = graph.edges.sparkSession, len(pairs)
+    new = spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(pairs)], "step long, src long, dst long")
+    old = graph.edges.select((-1 - F.monotonically_increasing_id()).alias("step"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    done = cut(insert_in_order(old.unionByName(new)).where("step >= 0"), "inserted")
+    taken = {r.step: r.taken for r in done.collect()}
+    graph = graph.add_edges(done.where("taken").select("src", "dst"))
+    return replace(graph, nodes=cut(graph.nodes, "nodes"), edges=cut(graph.edges, "edges")), [taken[i] for i in range(n)]
 
 
 def contract(graph: Graph, predicate: Column | None, reduce: list[Column], components: DataFrame | None = None) -> Graph:

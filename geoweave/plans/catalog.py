@@ -440,14 +440,6 @@ def r18_r22_shortest_paths(spark, sf):
     return paths.select("id", big(F.col("hops")).alias("hops"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), big(F.size("edges")).alias("n_edges"))
 
 
-@query("SELECT * FROM (VALUES (0::bigint,1::bigint,2::bigint,true),(1,2,3,true),(2,3,1,false),(3,4,4,false),(4,3,4,true),(5,4,1,false)) AS t(step, src, dst, taken)")
-def r15_acyclic_insertion(spark, sf):
-    pairs = [(1, 2), (2, 3), (3, 1), (4, 4), (3, 4), (4, 1)]
-    g = Graph.of_edges(spark.createDataFrame([], "src long, dst long"), directed=True)
-    _, taken = GA.add_acyclic(g, pairs)
-    return spark.createDataFrame([(i, s, d, t) for i, ((s, d), t) in enumerate(zip(pairs, taken))], "step long, src long, dst long, taken boolean")
-
-
 @query(f"""{_COMPONENTS}, f AS (SELECT id, component, 'f' || (abs(id)%3) AS file FROM comp WHERE id > 0), per AS (SELECT component, count(DISTINCT file) AS nf, count(DISTINCT id) AS nodes, min(file) AS file FROM f GROUP BY component),
   single AS (SELECT *, count(*) OVER (PARTITION BY file) AS n, row_number() OVER (PARTITION BY file ORDER BY component)-1 AS k FROM per WHERE nf = 1), pl AS (SELECT *, ceil(n/4.0) AS parts FROM single)
   SELECT file || '#' || cast(least(floor(k/floor(n/parts)), parts-1) AS int) AS workload, count(*) AS components, cast(sum(nodes) AS bigint) AS nodes FROM pl GROUP BY 1
