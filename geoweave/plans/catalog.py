@@ -580,13 +580,23 @@ def t1_windowed_events(spark, sf):
 # --- sources and workflows ---------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE cells AS MATERIALIZED (SELECT p_partkey//40 AS r, p_partkey%40 AS c, p_size%3 AS val, (p_partkey//40)*2147483648 + p_partkey%40 AS id FROM part WHERE p_size%3 <> 0),
+  n8 AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, abs(a.r-b.r) + abs(a.c-b.c) AS steps FROM cells a JOIN cells b ON a.val = b.val AND abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 AND a.id <> b.id),
+  reach8 AS (SELECT id, id AS seen FROM cells UNION SELECT x.id, n.dst FROM reach8 x JOIN n8 n ON x.seen = n.src), region8 AS MATERIALIZED (SELECT id, min(seen) AS region FROM reach8 GROUP BY id),
+  reach4 AS (SELECT id, id AS seen FROM cells UNION SELECT x.id, n.dst FROM reach4 x JOIN n8 n ON x.seen = n.src AND n.steps = 1), piece AS MATERIALIZED (SELECT id, min(seen) AS p FROM reach4 GROUP BY id),
+  m AS MATERIALIZED (SELECT c.*, region FROM cells c JOIN region8 USING (id)),
+  pieces AS (SELECT region, count(DISTINCT p) AS pieces, count(*) AS n FROM region8 JOIN piece USING (id) GROUP BY region),
+  sides AS (SELECT region, count(*) AS n FROM m JOIN n8 ON n8.src = m.id AND n8.steps = 1 AND n8.src < n8.dst GROUP BY region),
+  blocks AS (SELECT a.region, count(*) AS n FROM m a JOIN m b ON b.region = a.region AND b.r = a.r AND b.c = a.c+1 JOIN m d ON d.region = a.region AND d.r = a.r+1 AND d.c = a.c JOIN m e ON e.region = a.region AND e.r = a.r+1 AND e.c = a.c+1 GROUP BY a.region)
+  SELECT cast(val AS integer) AS pixel_val, region, 2*pieces - (p.n - coalesce(s.n,0) + coalesce(b.n,0)) AS n_rings, cast(p.n AS double) AS area
+  FROM pieces p LEFT JOIN sides s USING (region) LEFT JOIN blocks b USING (region) JOIN (SELECT DISTINCT region, val FROM m) USING (region)""")
 def s7_raster_regions(spark, sf):
-    """A raster from the parts, polygonised: regions of equal value with their outlines."""
+    """A raster from the parts, polygonised: how many rings each region of equal value has, and their area. (SQL: pieces less holes are cells less shared sides plus full blocks.)"""
     from geoweave.sources.raster import polygonise
 
     cells = T.read(spark, sf, "part").selectExpr("cast(p_partkey div 40 AS int) AS row", "cast(p_partkey % 40 AS int) AS col", "cast(p_size % 3 AS int) AS val")
-    return polygonise(cells).select("pixel_val", "region", big(F.size("rings")).alias("n_rings"), r6(A.ring_area(F.get("rings", F.lit(0)))).alias("outer_area"))
+    area = F.aggregate("rings", F.lit(0.0), lambda a, r: a + A.signed_area(r))
+    return polygonise(cells).select("pixel_val", "region", big(F.size("rings")).alias("n_rings"), r6(area).alias("area"))
 
 
 @query(f"""WITH {T.LOTS} SELECT id, round(CASE kind WHEN 0 THEN s*s WHEN 3 THEN s*s*0.75 ELSE s*s/2 END,6)+0.0 AS area FROM lots""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoweave.functions import vectors as V
+from geoweave.operators.arrangement import chain_rings
 from geoweave.operators.graph import Graph
 from geoweave.operators.graph_algorithms import connected_components
+from geoweave.operators.storage import cut
 
 
 def regions(cells: DataFrame, mask_zero: bool = True) -> DataFrame:
@@ -21,47 +23,18 @@ def regions(cells: DataFrame, mask_zero: bool = True) -> DataFrame:
     return used.join(parts, "id").withColumnRenamed("component", "region").drop("id")
 
 
-def outline(rows: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed outlines of a set of unit cells (row, col): corner walks with the cells on the right."""
-    cells = set(rows)
-    ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in cells:
-        for (dr, dc), a, b in (((-1, 0), (c, r), (c + 1, r)), ((0, 1), (c + 1, r), (c + 1, r + 1)), ((1, 0), (c + 1, r + 1), (c, r + 1)), ((0, -1), (c, r + 1), (c, r))):
-            if (r + dr, c + dc) not in cells:
-                ahead.setdefault(a, []).append(b)
-    out = []
-    while ahead:
-        start = min(ahead)
-        at, came, ring = start, (0, 0), []
-        while True:
-            options = ahead[at]
-            turn = lambda b: came[0] * (b[1] - at[1]) - came[1] * (b[0] - at[0])  # noqa: E731, B023
-            b = options[0] if len(options) == 1 else max(options, key=turn)  # cells that touch at a corner keep rings of their own
-            options.remove(b)
-            if not options:
-                del ahead[at]
-            step = (b[0] - at[0], b[1] - at[1])
-            if step != came:
-                ring.append(at)
-            came, at = step, b
-            if at == start:
-                break
-        if len(ring) > 1 and (ring[0][0] - ring[-1][0]) * came[1] == (ring[0][1] - ring[-1][1]) * came[0] and (ring[1][0] - ring[0][0]) * came[1] == (ring[1][1] - ring[0][1]) * came[0]:
-            ring = ring[1:]
-        out.append(ring)
-    return out
-
-
 def polygonise(cells: DataFrame, mask_zero: bool = True) -> DataFrame:
-    """(pixel_val, region, rings): outlines of each region in cell corners; the first ring is the outer one.
+    """(pixel_val, region, rings): outlines of each region in cell corners, from their least corners on; the first ring is the outer one.
 
-    A region is traced by one task: its cells have to fit there.
+    The sides between a region's cells and others are rows, which are chained by pointer doubling, so a region as large as the raster is traced by all
+    tasks. Cells that touch at a corner keep rings of their own; outer rings are counter-clockwise, with rows upwards, holes clockwise.
     """
-
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        rings = outline(list(zip(group["row"].tolist(), group["col"].tolist())))
-        rings.sort(key=lambda r: min(r))
-        shaped = [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
-        return pd.DataFrame({"pixel_val": [int(group["val"].iloc[0])], "region": [int(group["region"].iloc[0])], "rings": [shaped]})
-
-    return regions(cells, mask_zero).groupBy("region").applyInPandas(trace, "pixel_val int, region long, rings array<array<struct<x:double,y:double>>>")
+    placed = cut(regions(cells, mask_zero).select(F.struct("region", F.col("val").alias("val")).alias("group"), "row", "col"), "regions")
+    corner = lambda dx, dy: F.struct((F.col("col") + dx).cast("long").alias("x"), (F.col("row") + dy).cast("long").alias("y"))
+    side = lambda dr, dc, a, b: F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), corner(*a).alias("u"), corner(*b).alias("v"))
+    sides = F.array(side(-1, 0, (0, 0), (1, 0)), side(0, 1, (1, 0), (1, 1)), side(1, 0, (1, 1), (0, 1)), side(0, -1, (0, 1), (0, 0)))
+    border = placed.select("group", F.explode(sides).alias("s")).select("group", "s.*").join(placed, ["group", "row", "col"], "left_anti")
+    rings = chain_rings(border.select("group", "u", "v"), 1.0)
+    at = V.bound(lambda r, k: F.concat(F.slice(r, k, F.size(r)), F.slice(r, F.lit(1), k - 1)))
+    turned = V.bound(lambda r: at(r, F.array_position(r, F.array_min(r)).cast("int")))
+    return rings.groupBy("group").agg(F.sort_array(F.collect_list(turned(F.col("ring")))).alias("rings")).select(F.col("group.val").alias("pixel_val"), F.col("group.region").alias("region"), "rings")
