@@ -9,9 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructField, StructType
 
 from geoweave.operators.storage import cut
 
@@ -109,23 +112,25 @@ def k_best(qx: np.ndarray, qy: np.ndarray, limit: np.ndarray, px: np.ndarray, py
     return np.concatenate(rows), np.concatenate(found), np.concatenate(away)
 
 
-FIRST = pa.schema([("qid", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("limit", pa.float64()), ("found", pa.list_(pa.int64())), ("away", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int32()))])
-FIRST_DDL = "qid long, x double, y double, limit double, found array<long>, away array<double>, leaves array<int>"
-LATER_DDL = "qid long, id long, distance double"
+def _schemas(qid: DataType, id_: DataType) -> tuple[StructType, StructType]:
+    """What the first comparison tells of an asking point, and what the later ones find."""
+    d, many = DoubleType(), ArrayType
+    first = [("qid", qid), ("x", d), ("y", d), ("limit", d), ("found", many(id_)), ("away", many(d)), ("leaves", many(IntegerType()))]
+    return StructType([StructField(*f) for f in first]), StructType([StructField("qid", qid), StructField("id", id_), StructField("distance", d)])
 
 
 def _arrays(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t[c].to_numpy() for c in names]
 
 
-def _own_leaf(tree: Tree, k: int, near: float):
+def _own_leaf(tree: Tree, k: int, near: float, schema: pa.Schema):
     def run(asks: pa.Table, points: pa.Table) -> pa.Table:
         if not asks.num_rows:
-            return FIRST.empty_table()
-        qid, x, y = _arrays(asks, "qid", "x", "y")
+            return schema.empty_table()
+        x, y = _arrays(asks, "x", "y")
         px, py, ids = _arrays(points, "x", "y", "id")
-        n = len(qid)
-        r, found, away = k_best(x, y, np.full(n, np.inf), px, py, ids, k, near) if len(px) else (np.zeros(0, np.int64),) * 3
+        n = len(x)
+        r, found, away = k_best(x, y, np.full(n, np.inf), px, py, ids, k, near) if len(px) else (np.zeros(0, np.int64), ids[:0], np.zeros(0))
         size = np.bincount(r, minlength=n)
         ends = np.cumsum(size)
         limit = np.full(n, np.inf)
@@ -137,23 +142,25 @@ def _own_leaf(tree: Tree, k: int, near: float):
         order = np.argsort(who, kind="stable")
         offsets = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=n)))).astype(np.int32)
         lists = np.concatenate(([0], ends)).astype(np.int32)
-        columns = [pa.array(qid), pa.array(x), pa.array(y), pa.array(limit), pa.ListArray.from_arrays(lists, pa.array(found, pa.int64())), pa.ListArray.from_arrays(lists, pa.array(away, pa.float64()))]
-        return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(leaves[order].astype(np.int32)))], schema=FIRST)
+        columns = [asks["qid"].combine_chunks(), pa.array(x), pa.array(y), pa.array(limit), pa.ListArray.from_arrays(lists, pa.array(found, schema.field("found").type.value_type)), pa.ListArray.from_arrays(lists, pa.array(away, pa.float64()))]
+        columns.append(pa.ListArray.from_arrays(offsets, pa.array(leaves[order].astype(np.int32))))
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _other_leaf(k: int, near: float):
+def _other_leaf(k: int, near: float, schema: pa.Schema):
     def run(asks: pa.Table, points: pa.Table) -> pa.Table:
-        qid, x, y, limit = _arrays(asks, "qid", "x", "y", "limit")
+        x, y, limit = _arrays(asks, "x", "y", "limit")
         px, py, ids = _arrays(points, "x", "y", "id")
-        r, found, away = k_best(x, y, limit, px, py, ids, k, near) if len(qid) and len(px) else (np.zeros(0, np.int64),) * 3
-        return pa.Table.from_arrays([pa.array(qid[r], pa.int64()), pa.array(found, pa.int64()), pa.array(away, pa.float64())], names=["qid", "id", "distance"])
+        r, found, away = k_best(x, y, limit, px, py, ids, k, near) if len(x) and len(px) else (np.zeros(0, np.int64), ids[:0], np.zeros(0))
+        columns = [asks["qid"].combine_chunks().take(pa.array(r, pa.int64())), pa.array(found, schema.field("id").type), pa.array(away, pa.float64())]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _dealt(asks: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
+def _dealt(asks: DataFrame, points: DataFrame, run, schema: StructType) -> DataFrame:
     """Asks and points of a leaf together; the asks of a leaf that very many reach are dealt to several tasks, each with the leaf's points."""
     parts = {r.leaf: -(-r.n // ASKS) for r in asks.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > ASKS).collect()}  # leaves are bounded
     of = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else None
@@ -164,14 +171,15 @@ def _dealt(asks: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
 
 
 def nearest(asks: DataFrame, points: DataFrame, k: int, near: float = 0.0, leaf: int = LEAF) -> DataFrame:
-    """(qid, id, distance, rank): the k nearest of points (id, x, y) for each of asks (qid, x, y), ties by id.
+    """(qid, id, distance, rank): the k nearest of points (id, x, y) for each of asks (qid, x, y), ties by id; ids are numbers or texts.
 
     Points in the very place of an asking one, or nearer than `near` on both axes, are not its neighbours. Rows with a null coordinate or id ask and answer nothing; where there are
     fewer than k other points, all are given; without points or asks the result is empty. The leaves' splits come from a sample
     of SAMPLED points a leaf; there are MOST_LEAVES at most, beyond which leaves grow and are compared in blocks.
     """
-    good = lambda df, c: df.select(F.col(c).cast("long").alias(c), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    good = lambda df, c: df.select(c, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
     points, asks = good(points, "id"), good(asks, "qid")
+    first_schema, later_schema = _schemas(asks.schema["qid"].dataType, points.schema["id"].dataType)
     n = points.count()
     leaves = min(MOST_LEAVES, max(1, n // leaf))
     sample = points.select("x", "y").sample(min(1.0, SAMPLED * leaves / max(1, n)), seed=3).toPandas().to_numpy(dtype=float).reshape(-1, 2)
@@ -179,14 +187,14 @@ def nearest(asks: DataFrame, points: DataFrame, k: int, near: float = 0.0, leaf:
 
     @F.pandas_udf("int")
     def leaf_of(x, y):
-        return __import__("pandas").Series(tree.leaf_of(x.to_numpy(), y.to_numpy()).astype(np.int32))
+        return pd.Series(tree.leaf_of(x.to_numpy(), y.to_numpy()).astype(np.int32))
 
     points = cut(points.withColumn("leaf", leaf_of("x", "y")), "leaves")
     extent = points.groupBy("leaf").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).toPandas().to_numpy(dtype=float).reshape(-1, 5)
     tree = tree.with_boxes(extent[:, 0].astype(int), extent[:, 1:])
-    first = cut(_dealt(asks.withColumn("leaf", leaf_of("x", "y")), points, _own_leaf(tree, k, near), FIRST_DDL), "first")
+    first = cut(_dealt(asks.withColumn("leaf", leaf_of("x", "y")), points, _own_leaf(tree, k, near, to_arrow_schema(first_schema)), first_schema), "first")
     later = first.select("qid", "x", "y", "limit", F.explode("leaves").alias("leaf"))
-    later = _dealt(later, points, _other_leaf(k, near), LATER_DDL)
+    later = _dealt(later, points, _other_leaf(k, near, to_arrow_schema(later_schema)), later_schema)
     own = first.select("qid", F.explode(F.arrays_zip("found", "away")).alias("z")).select("qid", F.col("z.found").alias("id"), F.col("z.away").alias("distance"))
     return _top(own.unionByName(later), k)
 

@@ -161,9 +161,8 @@ def all_nearest(points: DataFrame, k: int, id_col: str = "id", point_col: str =
     """
     pts = points.groupBy(F.col(point_col).alias("p")).agg(F.min(id_col).alias("id"))
     pts = cut(pts.select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "points")
-    kind = pts.schema["id"].dataType
     found = nearest(pts.select(F.col("id").alias("qid"), "x", "y"), pts, k)
-    return found.select(F.col("qid").cast(kind).alias("id"), F.col("id").cast(kind).alias("neighbour"), "distance", "rank")
+    return found.select(F.col("qid").alias("id"), F.col("id").alias("neighbour"), "distance", "rank")
 
 
 #: Query points up to which each task compares all of them with its points.
@@ -177,9 +176,7 @@ def nearest_of(queries: DataFrame, points: DataFrame, k: int = 1, few: int = FEW
     them are dealt out with the points by the leaves of a k-d tree.
     """
     if queries.limit(few + 1).count() > few:
-        kinds = queries.schema["qid"].dataType, points.schema["id"].dataType
-        found = nearest(queries.select("qid", F.col("qx").alias("x"), F.col("qy").alias("y")), points, k, EPSILON)
-        return found.select(F.col("qid").cast(kinds[0]).alias("qid"), F.col("id").cast(kinds[1]).alias("id"), "distance", "rank")
+        return nearest(queries.select("qid", F.col("qx").alias("x"), F.col("qy").alias("y")), points, k, EPSILON)
     d = F.sqrt((F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")) + (F.col("qy") - F.col("y")) * (F.col("qy") - F.col("y")))
     met = points.join(F.broadcast(queries)).where(~(V.close(F.col("qx"), F.col("x")) & V.close(F.col("qy"), F.col("y"))))
     return top_k(met.select("qid", "id", d.alias("distance")), ["qid"], [F.col("distance"), F.col("id")], k)
