@@ -524,7 +524,18 @@ def geographic_lots(spark, sf) -> DataFrame:
     return T.lots(spark, sf).select("id", g.alias("geom"))
 
 
-@query()
+@query(f"""WITH {T.LOTS}, geo AS (SELECT id, list_transform(ring, lambda p: {{'x':10+p.x/10000,'y':48+p.y/10000}}) AS ring, list_transform(hole, lambda p: {{'x':10+p.x/10000,'y':48+p.y/10000}}) AS hole FROM lots),
+  d AS (SELECT id, {_SHOELACE.format(r='ring')} - coalesce({_SHOELACE.format(r='hole')},0) AS degrees, sqrt(power(ring[1].x-ring[2].x,2)+power(ring[1].y-ring[2].y,2)) AS len,
+    radians((ring[1].y+ring[2].y)/2) AS f, radians((ring[1].y-ring[2].y)/2) AS g, radians((ring[1].x-ring[2].x)/2) AS l FROM geo),
+  e AS (SELECT *, power(sin(g),2)*power(cos(l),2)+power(cos(f),2)*power(sin(l),2) AS s, power(cos(g),2)*power(cos(l),2)+power(sin(f),2)*power(sin(l),2) AS c FROM d),
+  h AS (SELECT *, atan(sqrt(s/c)) AS w, sqrt(s*c)/atan(sqrt(s/c)) AS t FROM e),
+  metres AS (SELECT id, degrees*power(2*w*6378137*(1+(1/298.257223563)*((3*t-1)/(2*c))*power(sin(f),2)*power(cos(g),2)-(1/298.257223563)*((3*t+1)/(2*s))*power(cos(f),2)*power(sin(g),2))/len,2) AS approx FROM h),
+  rings AS (SELECT id, 1 AS sign, ring AS r FROM geo UNION ALL SELECT id, -1, hole FROM geo WHERE hole IS NOT NULL),
+  angles AS (SELECT id, sign, list_transform(r, lambda p: {{'lam':radians(p.x-list_avg(list_transform(r, lambda q: q.x))),
+    'theta':list_reduce(list_prepend(radians(p.y)/2, list_transform(range(30), lambda z: 0.0::double)), lambda t, z: t-(t+sin(t)*cos(t)+2*sin(t)-(2+pi()/2)*sin(radians(p.y)))/(2*cos(t)*(1+cos(t))))}}) AS a FROM rings),
+  flat AS (SELECT id, sign, list_transform(a, lambda v: {{'x':6378137*2/sqrt(pi()*(4+pi()))*v.lam*(1+cos(v.theta)),'y':6378137*2*sqrt(pi()/(4+pi()))*sin(v.theta)}}) AS r FROM angles),
+  projected AS (SELECT id, sum(sign*{_SHOELACE.format(r='r')}) AS projected FROM flat GROUP BY id)
+  SELECT id, round(approx,1)+0.0 AS approx, round(projected,1)+0.0 AS projected, approx >= 5000 AS large FROM metres JOIN projected USING (id)""")
 def p2_p6_metric_areas(spark, sf):
     """Approximate and projected square metres of geographic polygons."""
     from pyspark.sql.types import DoubleType
