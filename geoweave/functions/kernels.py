@@ -302,16 +302,27 @@ def flat_multi(m: Column) -> Column:
     return F.transform(m, flat_polygon)
 
 
-def _rings(value: list) -> list[np.ndarray]:
-    return [np.array(r, np.float64).reshape(-1, 2) for r in value]
+def _lists(a: pa.Array) -> tuple[list[int], pa.Array, list[bool]]:
+    """Where the lists of an array begin and end in its values, the values, and which lists there are."""
+    return a.offsets.to_numpy().tolist(), a.values, a.is_valid().to_pylist()
 
 
+def _rings(a: pa.Array) -> list[np.ndarray | None]:
+    offsets, values, there = _lists(a)
+    flat = values.to_numpy(zero_copy_only=False)
+    return [flat[i:j].reshape(-1, 2) if ok else None for i, j, ok in zip(offsets, offsets[1:], there)]
+
+
+def _grouped(a: pa.Array, read: Callable) -> list[list | None]:
+    offsets, values, there = _lists(a)
+    inner = read(values)
+    return [inner[i:j] if ok else None for i, j, ok in zip(offsets, offsets[1:], there)]
+
+
+#: Shapes of a column as views of its numbers: no Python object is made for a coordinate.
 _READ: dict[str, Callable] = {
-    "segment": lambda v: np.array(v, np.float64).reshape(-1, 2),
-    "ring": lambda v: np.array(v, np.float64).reshape(-1, 2),
-    "polygon": _rings,
-    "multi": lambda v: [_rings(p) for p in v],
-}
+    "segment": _rings, "ring": _rings, "polygon": lambda a: _grouped(a, _rings), "multi": lambda a: _grouped(a, lambda b: _grouped(b, _rings)),
+}
 _FLAT = {"segment": lambda s: F.array(s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"]), "ring": flat_ring, "polygon": flat_polygon, "multi": flat_multi}
 
 
@@ -321,7 +332,7 @@ def pair_udf(kernel: Callable, left: str, right: str, kind=None) -> Callable[[Co
 
     @F.arrow_udf(kind)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = [None if x is None or y is None else kernel(_READ[left](x), _READ[right](y)) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        out = [None if x is None or y is None else kernel(x, y) for x, y in zip(_READ[left](a), _READ[right](b))]
         return pa.array(out, pa.float64() if isinstance(kind, DoubleType) else pa.bool_())
 
     return lambda a, b: run(_FLAT[left](a), _FLAT[right](b))
@@ -332,7 +343,7 @@ def unary_udf(kernel: Callable, left: str, kind=None) -> Callable[[Column], Colu
 
     @F.arrow_udf(kind)
     def run(a: pa.Array) -> pa.Array:
-        out = [None if x is None else kernel(_READ[left](x)) for x in a.to_pylist()]
+        out = [None if x is None else kernel(x) for x in _READ[left](a)]
         return pa.array(out, pa.float64() if isinstance(kind, DoubleType) else pa.bool_())
 
     return lambda a: run(_FLAT[left](a))
@@ -364,7 +375,7 @@ def closest_udf(left: str = "polygon", right: str = "polygon") -> Callable[[Colu
 
     @F.arrow_udf(kind)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else pack(_READ[left](x), _READ[right](y)) for x, y in zip(a.to_pylist(), b.to_pylist())], _CLOSEST_ARROW)
+        return pa.array([None if x is None or y is None else pack(x, y) for x, y in zip(_READ[left](a), _READ[right](b))], _CLOSEST_ARROW)
 
     return lambda a, b: run(_FLAT[left](a), _FLAT[right](b))
 
@@ -377,7 +388,7 @@ def points_udf(kernel: Callable, left: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf(kind)
     def run(a: pa.Array) -> pa.Array:
-        out = [None if v is None else [{"x": float(x), "y": float(y)} for x, y in kernel(_READ[left](v))] for v in a.to_pylist()]
+        out = [None if v is None else [{"x": float(x), "y": float(y)} for x, y in kernel(v)] for v in _READ[left](a)]
         return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
     return lambda a: run(_FLAT[left](a))
