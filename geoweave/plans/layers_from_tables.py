@@ -82,9 +82,9 @@ VECTORS = """vecs AS (
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between parts and suppliers (as negative ids) of large orders."""
-    li = read(spark, sf_dir, "lineitem").where("l_quantity > 49")
+    """Edges between parts and suppliers (as negative ids) of all order lines."""
+    li = read(spark, sf_dir, "lineitem")
     return li.select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
-SUPPLY = "supply AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity > 49)"
+SUPPLY = "supply AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem)"
