@@ -16,9 +16,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows in two tasks for each core: a table's file may be one group of rows, which is one task, and each row is much work."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles: id, box, area."""
-    p = read(spark, sf_dir, "part").selectExpr(
+    p = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr(
         "p_partkey AS id", "cast((p_partkey*7919)%1000 AS double) AS x0", "cast((p_partkey*104729)%1000 AS double) AS y0",
         "cast(1+p_size%10 AS double) AS w", "cast(1+p_partkey%5 AS double) AS h",
     )
@@ -36,7 +41,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points: id, x, y, weight."""
     s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_suppkey AS id", "s_acctbal AS weight")
     c = read(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "10000000 + c_custkey AS id", "c_acctbal AS weight")
-    return s.union(c).selectExpr("id", "cast((k*37)%503 AS double) AS x", "cast((k*91)%509 AS double) AS y", "weight")
+    return dealt(s.union(c), "id").selectExpr("id", "cast((k*37)%503 AS double) AS x", "cast((k*91)%509 AS double) AS y", "weight")
 
 
 SITES = """sites AS (
@@ -47,7 +52,7 @@ SITES = """sites AS (
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons by p_partkey % 4: box, triangle, rhombus, box with a box hole. Sides are 4 to 16."""
-    p = read(spark, sf_dir, "part").selectExpr(
+    p = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr(
         "p_partkey AS id", "p_partkey%4 AS kind", "cast((p_partkey*7919)%1000 AS double) AS x", "cast((p_partkey*104729)%1000 AS double) AS y",
         "cast(4+4*(p_size%4) AS double) AS s",
     )
