@@ -1,7 +1,9 @@
-"""Layers are dealt to many tasks."""
+"""Layers are dealt to many tasks, and what only a shape decides is told once for its copies."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from geoweave.functions import hulls, kernels
 from geoweave.plans import layers_from_tables as T
 
 
@@ -11,3 +13,16 @@ def test_a_table_of_one_file_is_many_tasks(spark, tmp_path):
     for layer in (T.parcels, T.lots):
         rows = layer(spark, at)
         assert rows.select(F.spark_partition_id().alias("t")).distinct().count() > 1 and rows.count() == 200
+
+
+def test_equal_shapes_are_told_once():
+    asked = []
+    kernel = kernels.told_once(lambda v: asked.append(v) or len(v))
+    a, b = np.arange(6.0).reshape(3, 2), np.arange(2.0).reshape(1, 2)
+    assert [kernel([a]), kernel([a.copy()]), kernel([a[:1], a[1:]]), kernel([a, b])] == [1, 1, 2, 2] and len(asked) == 3
+
+
+def test_corners_only_are_not_triangulated(monkeypatch):
+    monkeypatch.setattr(hulls, "delaunay", lambda p: 1 / 0)
+    square = np.array([[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]])
+    assert hulls.concave_hull(square[::-1], 0.3)[0].tolist() == square.tolist()
