@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geoweave.functions import hulls, kernels
-from geoweave.operators import spatial_join
+from geoweave.operators import arrangement, spatial_join
 from geoweave.plans import layers_from_tables as T
 from geoweave.plans.tiles import TileNeighbours
 
@@ -45,3 +45,12 @@ def test_equal_boxes_of_a_tile_are_paired_once(spark, tmp_path, monkeypatch):
     assert paired == [1, 2]
     rows = [(r.a, r.b) for r in work.pairs().collect()]
     assert len(rows) == 100 * 99 // 2 and set(rows) == {(a, b) for a in range(100) for b in range(a + 1, 100)}
+
+
+def test_equal_segments_are_crossed_once(spark, monkeypatch):
+    paired = _counting(monkeypatch, arrangement)
+    point = "struct<x:double,y:double>"
+    lines = [(i, (0.0, 0.0), (2.0, 2.0)) if i % 2 else (i, (0.0, 1.0), (2.0, 1.0)) for i in range(40)]
+    got = arrangement.crossings(spark.createDataFrame(lines, f"id long, p {point}, q {point}")).collect()
+    assert paired == [2] and {(r.a, r.b) for r in got} == {(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 2} and len(got) == 400
+    assert all(abs(r.x - 1) < 1e-6 and abs(r.y - 1) < 1e-6 for r in got)
