@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from geoweave.functions import areal as A
 from geoweave.functions import hulls, kernels
 from geoweave.operators import arrangement, spatial_join
 from geoweave.plans import layers_from_tables as T
@@ -54,3 +55,24 @@ def test_equal_segments_are_crossed_once(spark, monkeypatch):
     got = arrangement.crossings(spark.createDataFrame(lines, f"id long, p {point}, q {point}")).collect()
     assert paired == [2] and {(r.a, r.b) for r in got} == {(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 2} and len(got) == 400
     assert all(abs(r.x - 1) < 1e-6 and abs(r.y - 1) < 1e-6 for r in got)
+
+
+def _squares(spark, rows):
+    """(group, part, x, y, side) as polygons."""
+    df = spark.createDataFrame(rows, "group long, part long, x double, y double, s double")
+    x, y, s = F.col("x"), F.col("y"), F.col("s")
+    return df.select("group", "part", A.polygon(A.box_ring(x, y, x + s, y + s)).alias("geom"))
+
+
+def _split(monkeypatch):
+    """How many shapes had their edges taken."""
+    taken, keep = [], arrangement.directed_edges
+    monkeypatch.setattr(arrangement, "directed_edges", lambda shapes, *a, **b: taken.append(shapes.count()) or keep(shapes, *a, **b))
+    return taken
+
+
+def test_equal_polygons_are_split_once_and_counted_all(spark, monkeypatch):
+    taken = _split(monkeypatch)
+    layer = _squares(spark, [(1, i, 0.0, 0.0, 4.0) for i in range(3)] + [(1, 3 + i, 2.0, 2.0, 4.0) for i in range(2)])
+    covered = arrangement.covered_pieces(layer).collect()
+    assert taken == [2] and {frozenset((r.left, r.right)) for r in covered} == {frozenset(p) for p in ((0, 3), (0, 2), (3, 5), (2, 5))}
