@@ -76,3 +76,10 @@ def test_equal_polygons_are_split_once_and_counted_all(spark, monkeypatch):
     layer = _squares(spark, [(1, i, 0.0, 0.0, 4.0) for i in range(3)] + [(1, 3 + i, 2.0, 2.0, 4.0) for i in range(2)])
     covered = arrangement.covered_pieces(layer).collect()
     assert taken == [2] and {frozenset((r.left, r.right)) for r in covered} == {frozenset(p) for p in ((0, 3), (0, 2), (3, 5), (2, 5))}
+
+
+def test_outlines_of_copies_are_those_of_one(spark, monkeypatch):
+    taken = _split(monkeypatch)
+    one = [(1, 0, 0.0, 0.0, 2.0), (1, 1, 5.0, 1.0, 2.0), (2, 2, 0.0, 0.0, 1.0)]
+    rows = lambda layer: sorted((r.group, r.place, round(r.area, 6), len(r.ring)) for r in arrangement.extended_outlines(layer).collect())
+    assert rows(_squares(spark, one + [(g, p + 10 * k, x, y, s) for k in (1, 2) for g, p, x, y, s in one])) == rows(_squares(spark, one)) and taken == [3, 3]
