@@ -1,15 +1,30 @@
-"""Spanning forests and depth-first orders of graphs in rounds that grow with the logarithm of their size."""
+"""Spanning forests and depth-first orders of graphs in rounds that grow with the logarithm of their size.
+
+Components of a bounded size are walked in tasks, many at once; a larger one is walked by the whole cluster.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
 from geoweave.operators.arrangement import number_cycles
 from geoweave.operators.graph import Graph, canonical
 from geoweave.operators.graph_algorithms import connected_components
 from geoweave.operators.storage import cut, release
 
+#: Edges of a component that one task walks.
+MOST = 1 << 18
+
+
+def _pairs(graph: Graph, weight: Column | None) -> DataFrame:
+    """(src, dst, w), src < dst: unlike ends, each pair once with its least weight."""
+    e = graph.edges.withColumn("w", weight if weight is not None else F.lit(0))
+    return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
+
 
 def spanning_forest(graph: Graph, weight: Column | None = None) -> DataFrame:
     """(src, dst), src < dst: the edges of the least spanning forest; edges go by weight, then by their ends. Directions do not matter.
@@ -17,8 +32,7 @@ def spanning_forest(graph: Graph, weight: Column | None = None) -> DataFrame:
     In each round every part of the forest takes its least edge to another part, and parts that are joined so become one, so parts are
     halved at least. Loops and repeated edges are ignored; a graph without edges has no forest.
     """
-    e = graph.edges.withColumn("w", weight if weight is not None else F.lit(0))
-    pairs = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
+    pairs = _pairs(graph, weight)
     left = cut(pairs.select("src", "dst", "w", F.col("src").alias("p"), F.col("dst").alias("q")), "left")
     forest = None
     while not left.isEmpty():
@@ -54,13 +68,70 @@ def _tour(arcs: DataFrame) -> DataFrame:
     return number_cycles(links)
 
 
-def depth_first(graph: Graph, weight: Column | None = None) -> DataFrame:
+def _walk_in_task(t: pa.Table) -> pa.Table:
+    """The walk of one component from its edges."""
+    w = t["w"].combine_chunks()
+    missing = w.is_null().to_numpy(zero_copy_only=False)
+    order = np.lexsort((t["dst"].to_numpy(), t["src"].to_numpy(), w.fill_null(0).to_numpy(zero_copy_only=False), ~missing))  # nulls first, NaN last, as Spark has them
+    ids, at = np.unique(np.concatenate((t["src"].to_numpy()[order], t["dst"].to_numpy()[order])), return_inverse=True)
+    n, m = len(ids), len(order)
+    top, near = list(range(n)), [[] for _ in range(n)]
+    for u, v in zip(at[:m].tolist(), at[m:].tolist()):
+        a, b = u, v
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        while top[b] != b:
+            top[b] = b = top[top[b]]
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            near[u].append(v)
+            near[v].append(u)
+    above, depth, entry, leave = [-1] * n, [0] * n, [0] * n, [0] * n
+    todo, entered, left = [0], 0, 0
+    while todo:
+        u = todo.pop()
+        if u < 0:
+            leave[~u], left = left, left + 1
+            continue
+        entry[u], entered = entered, entered + 1
+        todo.append(~u)
+        for v in sorted(near[u], reverse=True):
+            if v != above[u]:
+                above[v], depth[v] = u, depth[u] + 1
+                todo.append(v)
+    parents = pa.array(ids[np.array(above)], mask=np.array(above) < 0)
+    return pa.table({"id": ids, "root": np.full(n, ids[0]), "parent": parents, "depth": depth, "entry": entry, "exit": leave})
+
+
+def depth_first(graph: Graph, weight: Column | None = None, most: int = MOST) -> DataFrame:
     """(id, root, parent, depth, entry, exit): a depth-first walk of the least spanning forest from the least node of each tree, lesser children first.
 
     entry counts the nodes entered before it in its tree, exit those left before it; so a node lies below another if it is entered later and left
-    earlier. The walk is a list of arcs that is numbered by pointer doubling; no tree is ever in one task. Nodes without
-    edges are trees of their own.
+    earlier. Components of at most `most` edges are walked in tasks. The walk of larger ones, and of nodes or weights that are no numbers, is a list of
+    arcs that is numbered by pointer doubling. So no tree of more than `most` edges is ever in one task. Nodes without edges are trees of their own.
     """
+    pairs = _pairs(graph, weight)
+    kind = graph.nodes.schema["id"].dataType
+    if not (isinstance(kind, IntegralType) and isinstance(pairs.schema["src"].dataType, IntegralType) and isinstance(pairs.schema["w"].dataType, (IntegralType, FloatType, DoubleType))):
+        return _by_cluster(graph, weight)
+    pairs = cut(pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w"), "pairs")
+    labels = cut(connected_components(Graph.of_edges(pairs.select("src", "dst"))), "labels")
+    placed = pairs.join(labels.select(F.col("id").alias("src"), "component"), "src")
+    sizes = cut(placed.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > most).select("component")
+    walked = placed.join(large, "component", "left_anti").groupBy("component").applyInArrow(_walk_in_task, "id long, root long, parent long, depth long, entry long, exit long")
+    zero = F.lit(0).cast("long")
+    alone = graph.nodes.join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(None).cast(kind).alias("parent"), zero.alias("depth"), zero.alias("entry"), zero.alias("exit"))
+    out = walked.select(*[F.col(c).cast(kind).alias(c) for c in ("id", "root", "parent")], "depth", "entry", "exit").unionByName(alone)
+    if large.isEmpty():
+        return out
+    rest = labels.join(large, "component").select(F.col("id").cast(kind).alias("id"))
+    edges = cut(placed.join(large, "component").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "w"), "large")
+    return out.unionByName(_by_cluster(Graph(rest, edges), F.col("w")))
+
+
+def _by_cluster(graph: Graph, weight: Column | None) -> DataFrame:
+    """The walk as a list of arcs."""
     parents = rooted(spanning_forest(graph, weight))
     # the walk: down to the least child; from the last of its children, or without any, up again
     kids = Window.partitionBy("parent").orderBy("id")

@@ -300,8 +300,8 @@ _NEAR = """near AS (SELECT a, b, d, rk FROM (SELECT a.id AS a, b.id AS b, sqrt(p
 
 def polygon_graph(spark, sf) -> Graph:
     p = T.parcels(spark, sf)
-    near = spatial_join.neighbours_by_box(p, 2.0, 5)
-    return Graph.of_edges(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes=p.select("id", "area", F.col("x0").alias("x"), F.col("y0").alias("y")))
+    near = cut(spatial_join.neighbours_by_box(p, 2.0, 5).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near")  # nodes and edges read it
+    return Graph.of_edges(near, nodes=p.select("id", "area", F.col("x0").alias("x"), F.col("y0").alias("y")))
 
 
 @query(f"WITH {T.PARCELS}, {_SCALED}, {_NEAR} SELECT a, b, round(d,6)+0.0 AS distance, cast(rk AS bigint) AS rank FROM near")
