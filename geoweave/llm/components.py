@@ -2,61 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm.common import materialize, release
-
+from geoweave.operators.ties import tie_slices
 
 #: Edges that a task ties together at once.
 SLICE_EDGES = 1 << 20
 
 
-def _tied(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node that these edges connect to a lesser one, and the least that it reaches by them."""
-    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-    i, j = at[: len(u)], at[len(u) :]
-    label = np.arange(len(ids))
-    while True:
-        a, b = label[i], label[j]
-        low, new = np.minimum(a, b), label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(ids))
-    return ids[moved], ids[label[moved]]
-
-
-def _tie_slices(most: int):
-    """The edges of a task as stars, slice by slice; slice says which edges were seen together."""
-
-    def out(held: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
-        u, v = _tied(*(np.concatenate([b[c].to_numpy() for b in held]) for c in ("u", "v")))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), name))], names=["u", "v", "slice"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= most:
-                yield out(held, name)
-                name, held, size = name + 1, [], 0
-        if size:
-            yield out(held, name)
-
-    return run
-
-
 def star_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """Alternate large-star and small-star rounds until every edge points at its smallest node.
 
@@ -70,7 +25,7 @@ def star_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds
     is needed. The driver keeps a thread for each shuffle of the last minute, so rounds cost it memory.
     """
     pairs = edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).where("u <> v").distinct()
-    tied = materialize(pairs.mapInArrow(_tie_slices(SLICE_EDGES), "u long, v long, slice long"), "edges")
+    tied = materialize(pairs.mapInArrow(tie_slices(SLICE_EDGES), "u long, v long, slice long"), "edges")
     seen = tied.agg(F.min("slice").alias("first"), F.max("slice").alias("last")).first()
     cur, whole = tied.select("u", "v"), seen.first == seen.last
     cur._gw_path = tied._gw_path

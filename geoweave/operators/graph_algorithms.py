@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from geoweave.functions.constants import ID_MODULUS
 from geoweave.operators.graph import Graph, canonical
 from geoweave.operators.storage import cut
+from geoweave.operators.ties import tie_slices
+
+#: Edges that a task ties together at once.
+SLICE_EDGES = 1 << 20
 
 
 def connected_components(graph: Graph, predicate: Callable[[Column, Column], Column] | Column | None = None, max_rounds: int = 100) -> DataFrame:
@@ -19,11 +23,19 @@ def connected_components(graph: Graph, predicate: Callable[[Column, Column], Col
 
     Edges are rewired in rounds of two steps: each node's greater neighbours are tied to its least neighbour,
     then its lesser ones are. Stars are left after a number of rounds that grows with the logarithm of the
-    size. Directions do not matter. Minima are combined before the shuffle.
+    size. Directions do not matter. Minima are combined before the shuffle. Ids that are longs are first tied in the tasks that have
+    their edges, slice by slice, so that about a row a node of each slice goes on; if one slice had them all, no round is needed.
     """
     e = graph.edges if predicate is None else graph.edges.where(predicate)
-    pairs = cut(canonical(e.select("src", "dst")).where("src <> dst").distinct(), "pairs")
-    state = _state(pairs)
+    pairs, whole = canonical(e.select("src", "dst")).where("src <> dst"), False
+    if {t for _, t in pairs.dtypes} == {"bigint"}:
+        tied = cut(pairs.select(F.col("dst").alias("u"), F.col("src").alias("v")).mapInArrow(tie_slices(SLICE_EDGES), "u long, v long, slice long"), "tied")
+        pairs = tied.select(F.col("v").alias("src"), F.col("u").alias("dst"))
+        first, last = tied.agg(F.min("slice"), F.max("slice")).first()
+        whole = first == last  # none too
+    if not whole:
+        pairs = cut(pairs.distinct(), "pairs")
+    state = (0,) if whole else _state(pairs)
     for _ in range(max_rounds):
         if not state[0]:
             break

@@ -375,15 +375,15 @@ _COMPONENTS = f"""WITH RECURSIVE {T.SUPPLY}, both_ AS (SELECT src, dst FROM supp
 
 @query(f"{_COMPONENTS} SELECT id, component FROM comp")
 def r23_connected_components(spark, sf):
-    return GA.connected_components(supply_graph(spark, sf))
+    return GA.connected_components(Graph.of_edges(T.supply_lines(spark, sf), keep_multi=True))
 
 
 @query(f"""{_COMPONENTS} SELECT component AS id, cast(sum(abs(id)) AS bigint) AS id_sum, count(*) AS parts, string_agg(cast(id AS varchar), ',' ORDER BY id) AS members FROM comp GROUP BY component""")
 def r25_contraction_nodes(spark, sf):
     """One node for each component, with the sum of its ids and a fold of them in order."""
-    g = supply_graph(spark, sf)
-    g = Graph(g.nodes.withColumn("n", F.abs("id")).withColumn("s", F.col("id").cast("string")), g.edges)
-    labels = cut(GA.connected_components(g), "components")
+    g = Graph.of_edges(T.supply_lines(spark, sf), keep_multi=True)  # repeated edges tie no more
+    labels = cut(GA.connected_components(g), "components")  # of all nodes, so what follows need not look for them among the edges again
+    g = Graph(labels.select("id", F.abs("id").alias("n"), F.col("id").cast("string").alias("s")), g.edges)
     out = GA.contract(g, None, [GA.id_sum("n").alias("id_sum"), F.count("*").alias("parts")], labels)
     named = g.nodes.join(labels, "id").select("component", "id", "s")
     members = ordered.fold_in_order(named, "component", "id", "s", lambda a, b: F.concat(a, F.lit(","), b))

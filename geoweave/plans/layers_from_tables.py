@@ -86,10 +86,14 @@ VECTORS = """vecs AS (
   SELECT vec_id AS id, embedding[1]::double AS ax, embedding[2]::double AS ay, embedding[3]::double AS bx, embedding[4]::double AS by_ FROM embeddings)"""
 
 
+def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between parts and suppliers (as negative ids), one for each order line."""
+    return read(spark, sf_dir, "lineitem").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
+
+
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between parts and suppliers (as negative ids) of all order lines."""
-    li = read(spark, sf_dir, "lineitem")
-    return li.select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    """The edges of all order lines, each once."""
+    return supply_lines(spark, sf_dir).distinct()
 
 
 SUPPLY = "supply AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem)"

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from geoweave.operators import forest
+from geoweave.operators import graph_algorithms as GA
 from geoweave.operators.graph import Graph
 from geoweave.operators.storage import cut
 
@@ -24,3 +25,20 @@ def test_walks_of_small_components_need_no_rounds(spark, monkeypatch):
     want = rows(9)  # the first component by the cluster, the others in tasks
     monkeypatch.setattr(forest, "number_cycles", lambda links: 1 / 0)
     assert rows(1000) == want and len(want) == g.nodes.count()
+
+
+def test_edges_are_tied_in_tasks_before_rounds(spark, monkeypatch):
+    rng, n = random.Random(3), 300
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000)]
+    label = {v: v for e in edges for v in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    g = Graph.of_edges(spark.createDataFrame(edges * 3, "src long, dst long"), keep_multi=True)
+    got = lambda: {(r.id, r.component) for r in GA.connected_components(g).collect()}
+    monkeypatch.setattr(GA, "SLICE_EDGES", 50)
+    assert got() == set(label.items())
+    one = Graph(g.nodes, g.edges.coalesce(1))
+    monkeypatch.setattr(GA, "SLICE_EDGES", 1 << 20)
+    monkeypatch.setattr(GA, "_tie_greater", lambda pairs: 1 / 0)
+    assert {(r.id, r.component) for r in GA.connected_components(one).collect()} == set(label.items())
