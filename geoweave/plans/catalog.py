@@ -192,14 +192,16 @@ def a1_a12_measures(spark, sf):
     moved_holes = F.transform(g["holes"], lambda r: F.transform(r, lambda p: V.point(p["x"] + 100, p["y"])))
     both = F.array(g, F.struct(moved.alias("boundary"), moved_holes.alias("holes")))
     corner = lambda i: F.get(g["boundary"], F.lit(i))
-    bent = F.when((F.col("id") % 8 >= 4) & (F.size(g["boundary"]) == 4), F.array(*[corner(i) for i in (0, 2, 1, 3)])).otherwise(g["boundary"])
-    return T.lots(spark, sf).select(
-        "id", r6(A.ring_area(g["boundary"])).alias("ring_area"), r6(A.polygon_area(g)).alias("area"), r6(A.ring_centroid(g["boundary"])["x"]).alias("ring_cx"),
+    bent = F.when(F.col("bend") & (F.size(g["boundary"]) == 4), F.array(*[corner(i) for i in (0, 2, 1, 3)])).otherwise(g["boundary"])
+    measures = lambda kinds: T.shaped(kinds).select(
+        *T.FRAME, "bend", r6(A.ring_area(g["boundary"])).alias("ring_area"), r6(A.polygon_area(g)).alias("area"), r6(A.ring_centroid(g["boundary"])["x"]).alias("ring_cx"),
         r6(A.polygon_centroid(g)["x"]).alias("cx"), b["xmin"].alias("xmin"), b["ymin"].alias("ymin"), b["xmax"].alias("xmax"), b["ymax"].alias("ymax"),
         r6(A.scale_rectangle(b, 1.5)["xmin"]).alias("scaled_xmin"), r6(A.scale_rectangle(b, 1.5)["ymax"]).alias("scaled_ymax"), A.scale_rectangle(b, -1)["xmin"].alias("kept_xmin"),
         r6(A.multi_area(both)).alias("multi_area"), r6(A.multi_centroid(both)["x"]).alias("multi_cx"), A.is_simple(g).alias("simple"), A.is_valid_ring(bent).alias("valid"),
         big(F.size(A.segments(g["boundary"]))).alias("n_segments"),
     )
+    frames = T.lot_frames(spark, sf).withColumn("bend", F.col("id") % 8 >= 4)
+    return T.told_by_kind(frames, [*T.FRAME, "bend"], measures).drop(*T.FRAME, "bend")
 
 
 @query(f"""WITH {T.LOTS} SELECT id, CASE WHEN kind=3 THEN 'OUTSIDE' WHEN kind=1 THEN 'BOUNDARY' ELSE 'INSIDE' END AS centre, CASE WHEN kind=2 THEN 'OUTSIDE' ELSE 'BOUNDARY' END AS corner,
@@ -209,11 +211,12 @@ def a13_a18_point_location(spark, sf):
     g, x, y, s = F.col("geom"), F.col("x"), F.col("y"), F.col("s")
     at = lambda dx, dy: V.point(x + dx * s, y + dy * s)
     cut = N.segment(V.point(x - 1, y + s * 0.375), V.point(x + s + 1, y + s * 0.375))
-    return T.lots(spark, sf).select(
-        "id", A.polygon_location(g, at(0.5, 0.5)).alias("centre"), A.polygon_location(g, at(0, 0)).alias("corner"), A.polygon_location(g, at(3, 3)).alias("far"),
+    places = lambda kinds: T.shaped(kinds).select(
+        *T.FRAME, A.polygon_location(g, at(0.5, 0.5)).alias("centre"), A.polygon_location(g, at(0, 0)).alias("corner"), A.polygon_location(g, at(3, 3)).alias("far"),
         A.polygon_location(g, at(0.25, 0.375)).alias("hole_edge"), A.multi_contains_point(F.array(g), at(0.5, 0.5)).alias("multi_has_centre"),
         A.multi_outside(F.array(g), at(3, 3)).alias("multi_far_out"), big(F.size(A.polygon_intersections(g, cut))).alias("n_cuts"),
     )
+    return T.told_by_kind(T.lot_frames(spark, sf), T.FRAME, places).drop(*T.FRAME)
 
 
 @query(f"""WITH {T.LOTS} SELECT id, list_sort(moved) = list_sort(ring) AS turned_equal, list_sort(list_reverse(moved)) = list_sort(ring) AS reversed_equal, list_sort(moved) = list_sort(ring) AS same_id, cast(len(ring) AS bigint) AS n_clean,
@@ -517,12 +520,15 @@ def p8_p12_composed_filters(spark, sf):
     )
 
 
-def geographic_lots(spark, sf) -> DataFrame:
-    """Lots as polygons of some hundred metres around 10 degrees east, 48 north."""
+def _geographic():
     lon, lat = lambda p: 10 + p["x"] / 10000, lambda p: 48 + p["y"] / 10000
     turn = lambda r: F.transform(r, lambda p: V.point(lon(p), lat(p)))
-    g = F.struct(turn(F.col("geom.boundary")).alias("boundary"), F.transform(F.col("geom.holes"), turn).alias("holes"))
-    return T.lots(spark, sf).select("id", g.alias("geom"))
+    return F.struct(turn(F.col("geom.boundary")).alias("boundary"), F.transform(F.col("geom.holes"), turn).alias("holes"))
+
+
+def geographic_lots(spark, sf) -> DataFrame:
+    """Lots as polygons of some hundred metres around 10 degrees east, 48 north."""
+    return T.lots(spark, sf).select("id", _geographic().alias("geom"))
 
 
 @query(f"""WITH {T.LOTS}, geo AS (SELECT id, list_transform(ring, lambda p: {{'x':10+p.x/10000,'y':48+p.y/10000}}) AS ring, list_transform(hole, lambda p: {{'x':10+p.x/10000,'y':48+p.y/10000}}) AS hole FROM lots),
@@ -542,8 +548,12 @@ def p2_p6_metric_areas(spark, sf):
     from pyspark.sql.types import DoubleType
 
     g = F.col("geom")
-    rows = geographic_lots(spark, sf).withColumn("projected", kernels.unary_udf(geodesy.projected_area, "polygon", DoubleType())(g))
-    return rows.select("id", r6(predicates.approx_area(g), 1).alias("approx"), r6(F.col("projected"), 1).alias("projected"), predicates.approx_area_filter(5000.0)(g).alias("large"))
+
+    def areas(kinds):
+        rows = T.shaped(kinds).select(*T.FRAME, _geographic().alias("geom")).withColumn("projected", kernels.unary_udf(geodesy.projected_area, "polygon", DoubleType())(g))
+        return rows.select(*T.FRAME, r6(predicates.approx_area(g), 1).alias("approx"), r6(F.col("projected"), 1).alias("projected"), predicates.approx_area_filter(5000.0)(g).alias("large"))
+
+    return T.told_by_kind(T.lot_frames(spark, sf), T.FRAME, areas).drop(*T.FRAME)
 
 
 # --- attribute rules ---------------------------------------------------------------------------
@@ -616,7 +626,8 @@ def s15_wkb_round_trip(spark, sf):
     from geoweave.sources import wkb
 
     back = wkb.polygon_from_wkb(wkb.polygon_to_wkb(F.col("geom")))
-    return T.lots(spark, sf).withColumn("back", back).select("id", r6(A.polygon_area(F.col("back"))).alias("area"))
+    areas = lambda kinds: T.shaped(kinds).withColumn("back", back).select(*T.FRAME, r6(A.polygon_area(F.col("back"))).alias("area"))
+    return T.told_by_kind(T.lot_frames(spark, sf), T.FRAME, areas).drop(*T.FRAME)
 
 
 @query()

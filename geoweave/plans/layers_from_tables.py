@@ -5,20 +5,25 @@ Coordinates are small integers cast to double, so sums and products are exact in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweave.functions import areal as A
 from geoweave.functions import vectors as V
+from geoweave.operators.storage import cut
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
     """The rows in two tasks for each core: a table's file may be one group of rows, which is one task, and each row is much work."""
-    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +55,36 @@ SITES = """sites AS (
     UNION ALL SELECT c_custkey, 10000000 + c_custkey, c_acctbal FROM customer))"""
 
 
-def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygons by p_partkey % 4: box, triangle, rhombus, box with a box hole. Sides are 4 to 16."""
-    p = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr(
+def told_by_kind(rows: DataFrame, of: list[str], tell: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that tell(kinds) adds to the columns `of`: what only these decide is told once for rows that are equal in them.
+
+    kinds has a row for each; nulls are equal here. All kinds are told, in two tasks for each core, and each row gets what its kind has.
+    """
+    kinds = dealt(rows.select(*of).distinct(), *of)
+    told = cut(tell(kinds), "kinds")
+    same = reduce(and_, [rows[c].eqNullSafe(told[c]) for c in of])
+    return rows.join(told, same).select(*[rows[c] for c in rows.columns], *[told[c] for c in told.columns if c not in of])
+
+
+def lot_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decides a lot's shape: id, kind, x, y, s."""
+    return read(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id", "p_partkey%4 AS kind", "cast((p_partkey*7919)%1000 AS double) AS x", "cast((p_partkey*104729)%1000 AS double) AS y",
         "cast(4+4*(p_size%4) AS double) AS s",
     )
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons by p_partkey % 4: box, triangle, rhombus, box with a box hole. Sides are 4 to 16."""
+    return shaped(dealt(lot_frames(spark, sf_dir), "id"))
+
+
+#: The columns of lot_frames() that decide the shape.
+FRAME = ["kind", "x", "y", "s"]
+
+
+def shaped(p: DataFrame) -> DataFrame:
+    """Frames of lots with their polygons."""
     x, y, s = F.col("x"), F.col("y"), F.col("s")
     at = lambda dx, dy: V.point(x + dx * s, y + dy * s)
     box = F.array(at(0, 1), at(1, 1), at(1, 0), at(0, 0))

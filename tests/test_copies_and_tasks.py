@@ -97,3 +97,10 @@ def test_only_near_points_of_a_query_are_sorted(spark, monkeypatch):
         best = sorted((((px - x) ** 2 + y * y) ** 0.5, i) for i, px in sites if (px, y) != (x, 0.0))[:2]
         want |= {(q, n + 1): b for n, b in enumerate(best)}
     assert got == want and ranked[0] < 200
+
+
+def test_what_a_kind_decides_is_told_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3, 0.5) for i in range(60)], "id long, k long, x double")
+    told = []
+    got = T.told_by_kind(rows, ["k", "x"], lambda kinds: told.append(kinds.count()) or kinds.select("k", "x", (F.coalesce("k", F.lit(9)) + F.col("x")).alias("y"))).collect()
+    assert told == [3] and sorted((r.id, r.k, r.y) for r in got) == [(i, None if i % 3 == 0 else i % 3, (i % 3 or 9) + 0.5) for i in range(60)]
