@@ -2,7 +2,7 @@
 
 A layer is a bundle (.shp, .shx, .dbf, .prj) or a folder of bundles, on any file system that pyarrow opens by its URI (file, hdfs, s3, gs); paths
 without a scheme are local. Reading deals each bundle out by ranges of records, which the .shx places, so a large file is read by many tasks, and
-each reads its own bytes only. Features whose geometry is missing or invalid are skipped; single polygons are read as multi-polygons of one part
+each reads its own bytes only; the records of a run of bytes are decoded, checked and grouped together, into one Arrow batch. Features whose geometry is missing or invalid are skipped; single polygons are read as multi-polygons of one part
 where the option `geometry` is `multi`. With the option `boxes` a row has its box too (xmin, ymin, xmax, ymax): filters on these are pushed to the records'
 boxes, so what is outside is not decoded.
 
@@ -19,13 +19,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, LongType, Row, ShortType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
 from geoweave.functions import kernels
-from geoweave.sources.wkb import as_struct, clean_polygon
+from geoweave.sources.wkb import RING_ARROW
 
 #: Fixed values of the format: magic number, version, polygon shape type, WGS 84 description.
 FILE_CODE, VERSION, POLYGON_TYPE = 9994, 1000, 5
@@ -50,12 +52,25 @@ class Field:
     def value(self, raw: bytes):
         text = raw.decode("utf-8", "replace").strip("\0 ")
         if self.kind in "NF":  # a missing number reads as zero
-            try:
-                return (float(text) if self.decimals or self.kind == "F" else int(float(text))) if text else (0.0 if self.decimals or self.kind == "F" else 0)
-            except ValueError:
-                return 0
+            for read in (int, lambda x: int(float(x))) if self.kind == "N" and not self.decimals else (float,):
+                try:
+                    return read(text or 0)
+                except ValueError:
+                    pass
+            return 0
         return text
 
+    def column(self, cells: np.ndarray) -> pa.Array:
+        """The values of many records, of which cells has the bytes (records, size)."""
+        raw = np.ascontiguousarray(cells).view(f"S{self.size}")[:, 0] if self.size else np.full(len(cells), b"", "S1")
+        if self.kind in "NF":
+            try:
+                numbers = np.where(np.isin(cells, (0, 32)).all(axis=1), b"0", raw).astype(np.float64 if self.type == DoubleType() else np.int64)
+                return pa.array(numbers).cast(to_arrow_type(self.type))
+            except (ValueError, OverflowError):  # some are no numbers
+                pass
+        return pa.array([self.value(x) for x in raw.tolist()], to_arrow_type(self.type))
+
 
 #: Records of one input partition, bytes that a task reads at once, and bytes of one bundle that a task writes.
 RECORDS, CHUNK, BUNDLE_BYTES = 1 << 15, 8 << 20, 64 << 20
@@ -103,17 +118,22 @@ class Table:
         keep = [i for i, f in enumerate(fields) if f.kind in "NFC"]
         return Table([fields[k] for k in keep], [int(offsets[k]) for k in keep], n, head, size)
 
-    def rows(self, path: str, first: int, end: int) -> Iterator[list]:
-        step = max(1, CHUNK // self.size)
-        for i in range(first, end, step):
-            data = read_bytes(path, self.head + i * self.size, (min(end, i + step) - i) * self.size)
-            for at in range(0, len(data) - self.size + 1, self.size):
-                yield [f.value(data[at + o : at + o + f.size]) for f, o in zip(self.fields, self.offsets)]
+    def rows(self, path: str, first: int, end: int) -> np.ndarray:
+        """The bytes of records first to end, a row each."""
+        data = read_bytes(path, self.head + first * self.size, (end - first) * self.size)
+        n = len(data) // self.size
+        return np.frombuffer(data, np.uint8, n * self.size).reshape(n, self.size)
 
+    def column(self, rows: np.ndarray, name: str) -> pa.Array | None:
+        """The values of a field, of the last one if several have the name."""
+        k = max((i for i, f in enumerate(self.fields) if f.name == name), default=None)
+        return None if k is None else self.fields[k].column(rows[:, self.offsets[k] : self.offsets[k] + self.fields[k].size])
 
-def signed(ring: np.ndarray) -> float:
-    q = np.roll(ring, -1, axis=0)
-    return float((ring[:, 0] * q[:, 1] - ring[:, 1] * q[:, 0]).sum()) / 2
+
+def signed(ring: np.ndarray):
+    """Area of a ring, below zero if it is clockwise; of each ring of a block (k, n, 2)."""
+    q = np.roll(ring, -1, axis=-2)
+    return (ring[..., 0] * q[..., 1] - ring[..., 1] * q[..., 0]).sum(axis=-1) / 2
 
 
 def group_rings(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
@@ -126,15 +146,103 @@ def group_rings(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     return outer
 
 
-def shape_of(body: bytes) -> list[list[np.ndarray]] | None:
-    """Polygons of a record; None for null shapes and other types."""
-    if struct.unpack_from("<i", body)[0] % 10 != POLYGON_TYPE:
-        return None
-    parts, points = struct.unpack_from("<ii", body, 36)
-    starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
-    xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
-    rings = [xy[a:b] for a, b in zip(starts, starts[1:])]
-    return group_rings([r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings])
+def alike(*keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places with equal keys, those of each key together."""
+    order = np.lexsort(keys)
+    cut = np.flatnonzero(np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)) + 1
+    yield from (np.split(order, cut) if len(order) else [])
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The integers of ranges of n from first on, one range after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def offsets(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+
+
+HEAD = np.dtype([("type", "<i4"), ("box", "<f8", 4), ("parts", "<i4"), ("points", "<i4")])
+
+
+def heads_of(data: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fixed parts of polygons among records whose bodies are at those places, and which these are; null shapes and other types are left out."""
+    fit = np.flatnonzero(size >= HEAD.itemsize)
+    heads = np.frombuffer(b"".join([data[i : i + HEAD.itemsize] for i in at[fit].tolist()]), HEAD)
+    which = heads["type"] % 10 == POLYGON_TYPE
+    return heads[which], fit[which]
+
+
+class Rings:
+    """The rings of many records: xy has all points, ring i the n[i] points from first[i] on (open), and is of record of[i].
+
+    The records' clockwise rings are boundaries; each other ring is a hole of the first boundary that contains it. Rings of
+    equal length are looked at together.
+    """
+
+    def __init__(self, data: bytes, at: np.ndarray, heads: np.ndarray):
+        parts, points = (heads[c].astype(np.int64) for c in ("parts", "points"))
+        lists = at + HEAD.itemsize
+        starts = np.frombuffer(b"".join([data[i : i + 4 * k] for i, k in zip(lists.tolist(), parts.tolist())]), "<i4").astype(np.int64)
+        self.xy = np.frombuffer(b"".join([data[i : i + 16 * k] for i, k in zip((lists + 4 * parts).tolist(), points.tolist())]), "<f8").reshape(-1, 2)
+        self.records, self.of = len(heads), np.repeat(np.arange(len(heads)), parts)
+        self.head = (np.cumsum(parts) - parts)[parts > 0]  # the first ring of each record
+        ends = np.append(starts[1:], 0)[: len(starts)]
+        ends[np.cumsum(parts)[parts > 0] - 1] = points[parts > 0]
+        base, most = (np.cumsum(points) - points)[self.of], points[self.of]
+        self.first = base + np.clip(starts, 0, most)
+        self.n = np.maximum(base + np.clip(ends, 0, most) - self.first, 0)
+        some = np.flatnonzero(self.n > 1)
+        self.n[some] -= (self.xy[self.first[some]] == self.xy[self.first[some] + self.n[some] - 1]).all(axis=1)
+
+    def block(self, which: np.ndarray) -> np.ndarray:
+        """Rings of one length."""
+        return self.xy[self.first[which][:, None] + np.arange(self.n[which[0]])]
+
+    def home_of(self, holes: np.ndarray, outer: np.ndarray) -> np.ndarray:
+        """For each of the holes the first boundary of its record that contains it, -1 if none does."""
+        per = np.bincount(self.of[outer], minlength=self.records)
+        begin, home, left, k = np.cumsum(per) - per, np.full(len(holes), -1), np.arange(len(holes)), 0
+        while len(left := left[per[self.of[holes[left]]] > k]):
+            asked = outer[begin[self.of[holes[left]]] + k]
+            inside = np.zeros(len(left), bool)
+            for i in alike(self.n[asked], self.n[holes[left]]):
+                inside[i] = kernels.rings_contain(self.block(asked[i]), self.block(holes[left[i]]))
+            home[left[inside]] = asked[inside]
+            left, k = left[~inside], k + 1
+        return home
+
+    def polygons(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Boundaries of valid polygons by record, how many valid holes each has, and these one after the other."""
+        area, valid = np.zeros(len(self.n)), np.zeros(len(self.n), bool)
+        for i in alike(self.n):
+            block = self.block(i)
+            area[i], valid[i] = signed(block), kernels.rings_valid(block)
+        outer = area <= 0
+        none = np.bincount(self.of[outer], minlength=self.records) == 0
+        outer[self.head[none[self.of[self.head]]]] = True
+        holes, outer = np.flatnonzero((area > 0) & ~outer & valid), np.flatnonzero(outer)
+        home = self.home_of(holes, outer)
+        kept = np.flatnonzero((home >= 0) & valid[home])
+        kept = kept[np.argsort(home[kept], kind="stable")]
+        held = np.bincount(home[kept], minlength=len(self.n))
+        outer = outer[valid[outer]]
+        return outer, held[outer], holes[kept]
+
+    def lists(self, which: np.ndarray) -> pa.Array:
+        """Rings as lists of points."""
+        x, y = np.ascontiguousarray(self.xy[ranges(self.first[which], self.n[which])].T)
+        return pa.ListArray.from_arrays(offsets(self.n[which]), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], fields=list(RING_ARROW.value_type)))
+
+    def geometry(self, multi: bool) -> tuple[np.ndarray, pa.Array]:
+        """Records with polygons (with a single one, unless multi), and their geometry."""
+        outer, held, holes = self.polygons()
+        per = np.bincount(self.of[outer], minlength=self.records)
+        keep = per > 0 if multi else per == 1
+        mine = keep[self.of[outer]]
+        holes, outer, held = holes[np.repeat(mine, held)], outer[mine], held[mine]
+        shapes = pa.StructArray.from_arrays([self.lists(outer), pa.ListArray.from_arrays(offsets(held), self.lists(holes))], ["boundary", "holes"])
+        return np.flatnonzero(keep), pa.ListArray.from_arrays(offsets(per[keep]), shapes) if multi else shapes
 
 
 def index_of(path: str, first: int, end: int) -> np.ndarray:
@@ -150,16 +258,19 @@ def index_of(path: str, first: int, end: int) -> np.ndarray:
     return np.array(found[first:end], np.int64).reshape(-1, 2)
 
 
-def read_records(path: str, first: int, end: int) -> Iterator[bytes]:
-    """The bodies of records first to end, read in runs of about CHUNK bytes."""
+def read_runs(path: str, first: int, end: int, most: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """Records first to end in runs of about CHUNK bytes and of `most` records at most: number of the first one, bytes, and where bodies are in these and their sizes."""
     index, i = index_of(path, first, end), 0
+    starts, ends = index[:, 0].tolist(), (index.sum(axis=1) + 8).tolist()
     while i < len(index):
-        start, j = int(index[i, 0]), i + 1
-        while j < len(index) and start <= index[j, 0] and index[j].sum() + 8 - start <= CHUNK:
+        start, j = starts[i], i + 1
+        while j < min(len(index), i + most) and start <= starts[j] and ends[j] - start <= CHUNK:
             j += 1
-        data = read_bytes(path, start, int(index[i:j].sum(axis=1).max()) + 8 - start)
-        for at, size in (index[i:j] - [start, 0]).tolist():
-            yield data[at + 8 : at + 8 + size]
+        data = read_bytes(path, start, max(ends[i:j]) - start)
+        at, size = index[i:j, 0] + 8 - start, index[i:j, 1]
+        if (at + size).max() > len(data):
+            raise ValueError(f"{path} ends within a record")
+        yield first + i, data, at, size
         i = j
 
 
@@ -261,32 +372,39 @@ class _Reader(DataSourceReader):
             out += [_Range(f, i, min(n, i + step)) for i in range(0, n, step)]
         return out or [_Range(self.files[0], 0, 0)]
 
-    def _passes(self, body: bytes) -> bool:
-        if not self.limits:
-            return True
-        if len(body) < 36:
-            return False
-        box = struct.unpack_from("<4d", body, 4)
+    def _passing(self, boxes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(boxes), bool)
         for side, value, above, equal in self.limits:
-            v = box[side]
-            if not (v > value if above else v < value) and not (equal and v == value):
-                return False
-        return True
+            v = boxes[:, side]
+            out &= (v > value if above else v < value) | (equal & (v == value))
+        return out
 
     def read(self, partition):
-        table = Table.of(partition.path[:-4] + ".dbf")
-        at = {f.name: i for i, f in enumerate(table.fields)}
-        names = [f.name for f in self.schema.fields if f.name != "geom" and not (self.boxed and f.name in BOX)]
-        rows = table.rows(partition.path[:-4] + ".dbf", partition.first, partition.end)
-        for body, values in zip(read_records(partition.path, partition.first, partition.end), rows):
-            if not self._passes(body):
-                continue
-            parts = [c for c in map(clean_polygon, shape_of(body) or []) if c]
-            if not parts or (not self.multi and len(parts) != 1):
-                continue
-            shapes = [as_struct(p) for p in parts]
-            box = struct.unpack_from("<4d", body, 4) if self.boxed else ()
-            yield Row(*[values[at[n]] if n in at else None for n in names], *box, shapes if self.multi else shapes[0])
+        """Rows, as a caller of its own would have them; Spark gets whole batches (see _Batches)."""
+        for b in self.batches(partition):
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    def batches(self, partition) -> Iterator[pa.RecordBatch]:
+        path, table = partition.path[:-4] + ".dbf", Table.of(partition.path[:-4] + ".dbf")
+        for first, data, at, size in read_runs(partition.path, partition.first, partition.end, max(1, CHUNK // table.size)):
+            rows = table.rows(path, first, first + len(at))
+            heads, which = heads_of(data, at[: len(rows)], size[: len(rows)])
+            if (HEAD.itemsize + 4 * heads["parts"].astype(np.int64) + 16 * heads["points"].astype(np.int64) > size[which]).any():
+                raise ValueError(f"{partition.path} has a record that is longer than its place")
+            passing = self._passing(heads["box"])
+            heads, which = heads[passing], which[passing]
+            kept, geom = Rings(data, at[which], heads).geometry(self.multi)
+            rows, heads, columns = rows[which[kept]], heads[kept], []
+            for f in self.schema.fields:
+                if f.name == "geom":
+                    columns.append(geom)
+                elif self.boxed and f.name in BOX:
+                    columns.append(pa.array(np.ascontiguousarray(heads["box"][:, BOX.index(f.name)])))
+                else:
+                    values, kind = table.column(rows, f.name), to_arrow_type(f.dataType)
+                    columns.append(pa.nulls(len(rows), kind) if values is None else values if values.type == kind else values.cast(kind))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(columns, self.schema.names)
 
 
 class _BoxReader(_Reader):
@@ -300,6 +418,21 @@ class _BoxReader(_Reader):
                 self.limits.append((side, float(f.value), isinstance(f, (GreaterThan, GreaterThanOrEqual)), isinstance(f, (GreaterThanOrEqual, LessThanOrEqual))))
 
 
+class _Batches:
+    """A reader whose batches go on to Spark as they are, without rows between."""
+
+    def read(self, partition):
+        return self.batches(partition)
+
+
+class _BatchReader(_Batches, _Reader):
+    pass
+
+
+class _BatchBoxReader(_Batches, _BoxReader):
+    pass
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
@@ -379,7 +512,7 @@ class ShapefileSource(DataSource):
         return StructType([StructField(f.name, f.type) for f in fields] + box + [StructField("geom", geom)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return (_BoxReader if self.options.get("boxes", "false").lower() == "true" else _Reader)(schema, self.options)
+        return (_BatchBoxReader if self.options.get("boxes", "false").lower() == "true" else _BatchReader)(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(schema, self.options, overwrite)

@@ -3,10 +3,12 @@
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from geoweave.functions import areal as A
+from geoweave.functions import kernels
 from geoweave.sources import files, shapefile
 
 
@@ -78,3 +80,54 @@ def test_names_and_texts_are_cut_between_characters(spark, source, tmp_path):
     text = r["größenma"]
     assert (r.measured_v, r.measured_1) == (1, 2)
     assert text == "é" * 127
+
+
+def test_records_of_a_run_are_decoded_together(spark, source, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "layer"), []
+    squares(spark, 300, 1).write.format("shapefile").mode("overwrite").save(path)
+    for kernel in ("ring_valid", "rings_valid"):
+        monkeypatch.setattr(kernels, kernel, lambda x, f=getattr(kernels, kernel): asked.append(len(x)) or f(x))
+    given = shapefile.ShapefileSource({"path": path})
+    reader = given.reader(given.schema())
+    (batch,) = [b for p in reader.partitions() for b in reader.read(p)]
+    assert batch.num_rows == 300 and batch.schema.names == ["id", "name", "geom"] and asked == [300]
+
+
+def test_blocks_of_rings_answer_as_single_ones():
+    rng, seen = np.random.default_rng(5), set()
+    for n, m, wide in rng.integers(3, 7, (60, 3)).tolist():
+        a, b = rng.integers(0, wide, (30, n, 2)).astype(float), rng.integers(0, wide, (30, m, 2)) / 2
+        valid, inside = kernels.rings_valid(a), kernels.rings_contain(a, b)
+        assert inside.tolist() == [not (kernels.sides(y, x) == kernels.OUT).any() for x, y in zip(a, b)]
+        # valid: no edges meet but neighbours in their common end, and neighbours are not folded
+        for x, ok in zip(a, valid.tolist()):
+            p, q = kernels.edges(x)
+            apart = [(i, j) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)]
+            met = any(kernels.closest_points_of_all(np.array([p[i], q[i]]), np.array([p[j], q[j]]))[0] < 1e-9 or _crossed(p[i], q[i], p[j], q[j]) for i, j in apart)
+            folded = any(abs(kernels.cross2(q[i] - p[i], q[(i + 1) % n] - q[i])) < 1e-9 and (q[i] - p[i]) @ (q[(i + 1) % n] - q[i]) < 0 for i in range(n))
+            assert ok == (not met and not folded and not (p == q).all(axis=1).any())
+        seen |= set(valid.tolist()) | {(x,) for x in inside.tolist()}
+    assert seen == {True, False, (True,), (False,)}
+
+
+def _crossed(a, b, c, d):
+    return kernels.cross2(b - a, c - a) * kernels.cross2(b - a, d - a) < 0 and kernels.cross2(d - c, a - c) * kernels.cross2(d - c, b - c) < 0
+
+
+def test_holes_go_to_the_first_boundary_around_them(spark, source, tmp_path):
+    ring = lambda *points: [(float(x), float(y)) for x, y in points]
+    box = lambda x, y, s: ring((x, y + s), (x + s, y + s), (x + s, y), (x, y))
+    rows = [
+        (2**53 + 1, "two parts, three holes", [(box(0, 0, 9), [box(1, 1, 2)[::-1], box(5, 5, 2)[::-1]]), (box(20, 0, 5), [box(21, 1, 1)[::-1]])]),
+        (2, "a hole outside", [(box(0, 0, 3), [box(7, 7, 1)[::-1]])]),
+        (3, "a bad boundary and a good one", [(ring((0, 0), (2, 2), (2, 0), (0, 2.5)), []), (box(5, 5, 1), [])]),
+        (4, "bad only", [(ring((0, 0), (2, 2), (2, 0), (0, 2.5)), [])]),
+        (5, None, [(box(0, 0, 9), [ring((1, 1), (2, 2), (2, 1), (1, 2.5)), box(4, 4, 1)[::-1]])]),
+    ]
+    df = spark.createDataFrame(rows, "id long, name string, geom array<struct<boundary:array<struct<x:double,y:double>>,holes:array<array<struct<x:double,y:double>>>>>")
+    df.coalesce(1).write.format("shapefile").mode("overwrite").save(str(tmp_path / "layer"))
+    multi = {r.id: (r.name, [(len(p.boundary), sorted(min(q.x for q in h) for h in p.holes)) for p in r.geom]) for r in source(str(tmp_path / "layer"), geometry="multi").collect()}
+    assert multi == {
+        2**53 + 1: ("two parts, three holes", [(4, [1, 5]), (4, [21])]), 2: ("a hole outside", [(4, [])]), 3: ("a bad boundary and a good one", [(4, [])]), 5: ("", [(4, [4])]),
+    }
+    assert sorted(r.id for r in source(str(tmp_path / "layer")).collect()) == [2, 3, 5]
