@@ -1,7 +1,7 @@
 """Shapefiles as a Spark data source: spark.read.format("shapefile").load(path), df.write.format("shapefile").
 
 A layer is a bundle (.shp, .shx, .dbf, .prj) or a folder of bundles, on any file system that pyarrow opens by its URI (file, hdfs, s3, gs); paths
-without a scheme are local. Reading deals each bundle out by ranges of records, which the .shx places, so a large file is read by many tasks, and
+without a scheme are local. Reading deals each bundle out by ranges of records (`records` is the least that a task gets), which the .shx places, so a large file is read by many tasks, and
 each reads its own bytes only; the records of a run of bytes are decoded, checked and grouped together, into one Arrow batch. Features whose geometry is missing or invalid are skipped; single polygons are read as multi-polygons of one part
 where the option `geometry` is `multi`. With the option `boxes` a row has its box too (xmin, ymin, xmax, ymax): filters on these are pushed to the records'
 boxes, so what is outside is not decoded.
@@ -13,6 +13,7 @@ never inside a character. An empty layer is a bundle without records.
 
 from __future__ import annotations
 
+import datetime
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
@@ -74,6 +75,8 @@ class Field:
 
 #: Records of one input partition, bytes that a task reads at once, and bytes of one bundle that a task writes.
 RECORDS, CHUNK, BUNDLE_BYTES = 1 << 15, 8 << 20, 64 << 20
+#: A layer is read by about so many tasks at most, as long as none gets more than RECORDS: each starts a Python worker.
+TASKS = 256
 
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
@@ -288,52 +291,130 @@ def field_names(names: list[str]) -> list[str]:
     return out
 
 
-def write_bundle(stem: str, fields: list[StructField], rows: list[tuple[list[list[np.ndarray]], list]], prj: str = WGS84_PRJ) -> None:
-    """Write .shp, .shx, .dbf and .prj of rows of (polygons, values); an existing bundle is replaced."""
-    records, index, offset, boxes = [], [], 50, []
-    for k, (polygons, _) in enumerate(rows):
-        rings = []
-        for p in polygons:
-            rings += [r if (signed(r) <= 0) == (i == 0) else r[::-1] for i, r in enumerate(p)]
-        closed = [np.concatenate((r, r[:1])) for r in rings]
-        xy = np.concatenate(closed)
-        box = (*xy.min(axis=0), *xy.max(axis=0))
-        boxes.append(box)
-        starts = np.cumsum([0, *(len(r) for r in closed[:-1])])
-        body = struct.pack("<i4d2i", POLYGON_TYPE, *box, len(closed), len(xy)) + starts.astype("<i4").tobytes() + xy.astype("<f8").tobytes()
-        records.append(struct.pack(">ii", k + 1, len(body) // 2) + body)
-        index.append(struct.pack(">ii", offset, len(body) // 2))
-        offset += 4 + len(body) // 2
-    b = np.array(boxes) if boxes else np.zeros((1, 4))
-    bounds = (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0))
-    head = lambda words: struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", VERSION, POLYGON_TYPE, *bounds, 0, 0, 0, 0)
-    specs, names = [], field_names([f.name for f in fields])
-    for f, name in zip(fields, names):
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            specs.append((name, "N", 32, 17))
-        elif isinstance(f.dataType, (IntegerType, ShortType)):
-            specs.append((name, "N", 9, 0))
-        elif isinstance(f.dataType, LongType):
-            specs.append((name, "N", 20, 0))
-        else:
-            specs.append((name, "C", 254, 0))
-    size = 1 + sum(s[2] for s in specs)
-    dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(specs), size)
-    for name, kind, width, dec in specs:
-        dbf += name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([width, dec]) + bytes(14)
-    lines = [dbf + b"\r"]
-    for _, values in rows:
-        lines.append(b" ")
-        for v, (_, kind, width, dec) in zip(values, specs):
-            text = "" if v is None else (f"{v:.{dec}f}" if dec else str(v))
-            raw = text.encode()[:width].decode("utf-8", "ignore").encode()
-            lines.append(raw.rjust(width) if kind == "N" else raw.ljust(width))
-    for ext, data in (
-        (".shp", head(offset) + b"".join(records)), (".shx", head(50 + 4 * len(rows)) + b"".join(index)), (".dbf", b"".join(lines) + b"\x1a"), (".prj", prj.encode()),
-    ):
-        store, at = resolve(stem + ext)
-        with store.open_output_stream(at) as f:
-            f.write(data)
+def points_of(a: pa.Array) -> np.ndarray:
+    """The points of lists of points, one list after the other."""
+    flat = a.flatten()
+    x, y = flat.field("x"), flat.field("y")
+    if a.null_count or flat.null_count or x.null_count or y.null_count:
+        raise ValueError("a ring or a coordinate is null")
+    return np.stack((x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)), axis=1)
+
+
+def lengths(a: pa.Array) -> np.ndarray:
+    return a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Outlines:
+    """The rings of a column of polygons or multi-polygons, closed and turned as the format wants them: boundaries clockwise, holes not.
+
+    Ring i has n[i] points from first[i] of xy on; record k has the rings from rings[k] to rings[k + 1].
+    """
+
+    def __init__(self, geom: pa.Array):
+        multi = pa.types.is_list(geom.type) or pa.types.is_large_list(geom.type)
+        parts, shapes = (lengths(geom), geom.flatten()) if multi else (np.ones(len(geom), np.int64), geom)
+        boundary, holes = shapes.field("boundary"), shapes.field("holes")
+        if shapes.null_count or holes.null_count or not parts.all():
+            raise ValueError("a polygon or its list of holes is null, or a multi-polygon has no part")
+        inner, held = holes.flatten(), lengths(holes)
+        n = np.concatenate((lengths(boundary), lengths(inner)))
+        given = np.concatenate((points_of(boundary), points_of(inner)))
+        if not n.all():
+            raise ValueError("a ring has no points")
+        # the rings in the order of the file: each boundary and then its holes
+        order = np.empty(len(n), np.int64)
+        place = np.arange(len(held)) + np.cumsum(held) - held
+        outer = np.zeros(len(n), bool)
+        outer[place] = True
+        order[place], order[~outer] = np.arange(len(held)), np.arange(len(held), len(n))
+        first, n = (np.cumsum(n) - n)[order], n[order]
+        turn = np.zeros(len(n), bool)
+        for i in alike(n):
+            turn[i] = (signed(given[first[i][:, None] + np.arange(n[i[0]])]) <= 0) != outer[i]
+        self.n = n + 1
+        self.first = np.cumsum(self.n) - self.n
+        at = ranges(np.zeros(len(n), np.int64), self.n) % np.repeat(n, self.n)
+        self.xy = given[np.repeat(first, self.n) + np.where(np.repeat(turn, self.n), np.repeat(n, self.n) - 1 - at, at)]
+        self.rings = np.concatenate(([0], np.cumsum(1 + held)))[np.concatenate(([0], np.cumsum(parts)))]
+        self.points = np.add.reduceat(self.n, self.rings[:-1]) if len(geom) else np.zeros(0, np.int64)
+
+    def records(self, i: int, j: int, number: int) -> tuple[list[bytes], np.ndarray]:
+        """The records i to j, of which the first gets the number, and their boxes."""
+        lo, hi = self.rings[i], self.rings[j]
+        n, at = self.n[lo:hi], self.rings[i:j] - lo
+        xy = self.xy[self.first[lo] : self.first[lo] + n.sum()]
+        ring = np.cumsum(n) - n
+        begin, heads = ring[at], np.zeros(j - i, HEAD)
+        heads["type"], heads["parts"], heads["points"] = POLYGON_TYPE, np.diff(self.rings[i : j + 1]), self.points[i:j]
+        heads["box"] = np.concatenate((np.minimum.reduceat(xy, begin), np.maximum.reduceat(xy, begin)), axis=1)
+        sizes = HEAD.itemsize + 4 * heads["parts"].astype(np.int64) + 16 * self.points[i:j]
+        tops = np.stack((np.arange(number, number + j - i), sizes // 2), axis=1).astype(">i4").tobytes()
+        starts, points, fixed = (ring - np.repeat(begin, heads["parts"])).astype("<i4").tobytes(), xy.astype("<f8").tobytes(), heads.tobytes()
+        out, h = [], HEAD.itemsize
+        for k, (r, parts, p, count) in enumerate(zip(at.tolist(), heads["parts"].tolist(), begin.tolist(), heads["points"].tolist())):
+            out.append(tops[8 * k : 8 * k + 8] + fixed[h * k : h * k + h] + starts[4 * r : 4 * (r + parts)] + points[16 * p : 16 * (p + count)])
+        return out, heads["box"]
+
+
+class Bundle:
+    """Records that are written as one bundle: .shp, .shx, .dbf and .prj."""
+
+    def __init__(self, fields: list[StructField]):
+        self.fields, self.specs = fields, []
+        for f, name in zip(fields, field_names([f.name for f in fields])):
+            if isinstance(f.dataType, (DoubleType, FloatType)):
+                self.specs.append((name, "N", 32, 17))
+            elif isinstance(f.dataType, (IntegerType, ShortType)):
+                self.specs.append((name, "N", 9, 0))
+            elif isinstance(f.dataType, LongType):
+                self.specs.append((name, "N", 20, 0))
+            else:
+                self.specs.append((name, "C", 254, 0))
+        self.records: list[bytes] = []
+        self.lines: list[bytes] = []
+        self.boxes: list[np.ndarray] = []
+
+    def add(self, shapes: Outlines, i: int, j: int, columns: list[list]) -> None:
+        """The records i to j of shapes, and their values by field."""
+        records, boxes = shapes.records(i, j, len(self.records) + 1)
+        self.records += records
+        self.boxes.append(boxes)
+        cells = [np.full((j - i, 1), 32, np.uint8)]
+        for values, (_, kind, width, dec) in zip(columns, self.specs):
+            texts = (text_of(v, dec).encode()[:width] for v in values)
+            if kind == "N":
+                joined = b"".join([x.rjust(width) for x in texts])
+            else:
+                joined = b"".join([x.decode("utf-8", "ignore").encode().ljust(width) for x in texts])
+            cells.append(np.frombuffer(joined, np.uint8).reshape(j - i, width))
+        self.lines.append(np.hstack(cells).tobytes())
+
+    def save(self, stem: str, prj: str = WGS84_PRJ) -> None:
+        """Write the bundle; an existing one is replaced."""
+        words = np.array([len(r) // 2 for r in self.records], np.int64)
+        places = 50 + np.cumsum(words) - words
+        b = np.concatenate(self.boxes) if self.boxes else np.zeros((1, 4))
+        bounds = (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0))
+        head = lambda words: struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", VERSION, POLYGON_TYPE, *bounds, 0, 0, 0, 0)
+        index = np.stack((places, words - 4), axis=1).astype(">i4").tobytes()
+        dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(self.records), 33 + 32 * len(self.specs), 1 + sum(s[2] for s in self.specs))
+        for name, kind, width, dec in self.specs:
+            dbf += name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([width, dec]) + bytes(14)
+        for ext, data in (
+            (".shp", head(50 + int(words.sum())) + b"".join(self.records)), (".shx", head(50 + 4 * len(words)) + index),
+            (".dbf", dbf + b"\r" + b"".join(self.lines) + b"\x1a"), (".prj", prj.encode()),
+        ):
+            store, at = resolve(stem + ext)
+            with store.open_output_stream(at) as f:
+                f.write(data)
+
+
+def text_of(value, decimals: int) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, datetime.datetime) and value.tzinfo:
+        value = value.astimezone().replace(tzinfo=None)
+    return f"{value:.{decimals}f}" if decimals else str(value)
 
 
 def list_files(path: str) -> list[str]:
@@ -363,12 +444,13 @@ class _Reader(DataSourceReader):
         self.limits: list[tuple[int, float, bool, bool]] = []
 
     def partitions(self):
-        out = []
         for f in self.files:
             if read_bytes(f, 0, 4) != struct.pack(">i", FILE_CODE):
                 raise ValueError(f"{f} is not a shapefile")
-            n = Table.of(f[:-4] + ".dbf").count
-            step = self.records if size_of(f[:-4] + ".shx") >= 0 else max(n, 1)  # without an index a file is walked through by one task
+        counts = [Table.of(f[:-4] + ".dbf").count for f in self.files]
+        out, records = [], max(self.records, min(RECORDS, -(-sum(counts) // TASKS)))
+        for f, n in zip(self.files, counts):
+            step = records if size_of(f[:-4] + ".shx") >= 0 else max(n, 1)  # without an index a file is walked through by one task
             out += [_Range(f, i, min(n, i + step)) for i in range(0, n, step)]
         return out or [_Range(self.files[0], 0, 0)]
 
@@ -441,7 +523,7 @@ class _Written(WriterCommitMessage):
 PARTS = (".shp", ".shx", ".dbf", ".prj")
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
         self.schema, self.path, self.overwrite = schema, options["path"].rstrip("/"), overwrite
         self.prj, self.limit = options.get("prj", WGS84_PRJ), int(options.get("bundleBytes", BUNDLE_BYTES))
@@ -454,26 +536,28 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         fields = [f for f in self.schema.fields if f.name != "geom"]
-        array = lambda r: np.array([(p["x"], p["y"]) for p in r])
-        rings = lambda p: [array(p["boundary"]), *(array(h) for h in p["holes"])]
-        task, rows, size, names = TaskContext.get(), [], 0, []
+        task, bundle, size, names = TaskContext.get(), Bundle(fields), 0, []
         stem = f"part-{task.partitionId():05d}-{self.job[:8]}-{task.taskAttemptId()}"
 
         def flush():
             names.append(f"{stem}-{len(names):04d}")
-            write_bundle(f"{self.staging}/{names[-1]}", fields, rows, self.prj)
-            rows.clear()
-
-        for row in iterator:
-            g = row["geom"]
-            if g is not None:
-                shape = [rings(p) for p in g] if isinstance(g, list) else [rings(g)]
-                rows.append((shape, [row[f.name] for f in fields]))
-                size += sum(r.nbytes for p in shape for r in p) + 64 * len(fields)
+            bundle.save(f"{self.staging}/{names[-1]}", self.prj)
+
+        for b in iterator:
+            b = b.filter(b["geom"].is_valid())
+            shapes = Outlines(b["geom"])
+            columns, i = [b[f.name].to_pylist() for f in fields], 0
+            sizes = np.cumsum(16 * (shapes.points - np.diff(shapes.rings)) + 64 * len(fields))
+            while i < b.num_rows:
+                before = int(sizes[i - 1]) if i else 0
+                j = min(b.num_rows, int(np.searchsorted(sizes, before + self.limit - size)) + 1)  # up to the record that fills the bundle
+                bundle.add(shapes, i, j, [c[i:j] for c in columns])
+                size += int(sizes[j - 1]) - before
                 if size >= self.limit:
                     flush()
-                    size = 0
-        if rows:
+                    bundle, size = Bundle(fields), 0
+                i = j
+        if bundle.records:
             flush()
         return _Written(names)
 
@@ -484,7 +568,7 @@ class _Writer(DataSourceWriter):
         names = [n for m in messages if m is not None for n in m.names]
         if not names:
             names = [f"part-00000-{self.job[:8]}-0-0000"]
-            write_bundle(f"{self.staging}/{names[0]}", [f for f in self.schema.fields if f.name != "geom"], [], self.prj)
+            Bundle([f for f in self.schema.fields if f.name != "geom"]).save(f"{self.staging}/{names[0]}", self.prj)
         old = [x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.File and x.path.endswith(PARTS)] if self.overwrite else []
         for n in names:  # the .shp makes a bundle visible, so it comes last
             for ext in (*PARTS[1:], PARTS[0]):

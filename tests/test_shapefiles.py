@@ -131,3 +131,41 @@ def test_holes_go_to_the_first_boundary_around_them(spark, source, tmp_path):
         2**53 + 1: ("two parts, three holes", [(4, [1, 5]), (4, [21])]), 2: ("a hole outside", [(4, [])]), 3: ("a bad boundary and a good one", [(4, [])]), 5: ("", [(4, [4])]),
     }
     assert sorted(r.id for r in source(str(tmp_path / "layer")).collect()) == [2, 3, 5]
+
+
+def test_tasks_get_more_records_before_they_are_very_many(spark, source, tmp_path, monkeypatch):
+    path = str(tmp_path / "layer")
+    squares(spark, 500, 1).write.format("shapefile").mode("overwrite").save(path)
+    given = shapefile.ShapefileSource({"path": path, "records": "2"})
+    ranges = lambda: [(p.first, p.end) for p in given.reader(given.schema()).partitions()]
+    assert ranges() == [(i, i + 2) for i in range(0, 500, 2)]
+    monkeypatch.setattr(shapefile, "TASKS", 50)
+    assert ranges() == [(i, i + 10) for i in range(0, 500, 10)]
+    monkeypatch.setattr(shapefile, "RECORDS", 5)  # but never more than this, if not asked for
+    assert ranges() == [(i, i + 5) for i in range(0, 500, 5)]
+
+
+def test_what_is_written_does_not_depend_on_the_batches(spark, source, tmp_path):
+    x = F.col("id").cast("double")
+    ring, hole = A.box_ring(x, x, x + 4, x + 4), A.box_ring(x + 1, x + 1, x + 2, x + 2)
+    df = spark.range(60).select(
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("é"), "id")).alias("name"),
+        F.when(F.col("id") % 3 > 0, F.struct(F.when(F.col("id") % 2 > 0, F.reverse(ring)).otherwise(ring).alias("boundary"), F.array(hole).alias("holes"))).alias("geom"),
+    ).coalesce(1)
+    found = []
+    for size in (3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        df.write.format("shapefile").mode("overwrite").save(str(tmp_path / f"by{size}"))
+        found.append([open(glob.glob(f"{tmp_path}/by{size}/*{ext}")[0], "rb").read() for ext in (".shp", ".shx", ".dbf")])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    got = {r.name: (r.id, len(r.geom.boundary), len(r.geom.holes), r.area) for r in source(str(tmp_path / "by3")).withColumn("area", A.polygon_area(F.col("geom"))).collect()}
+    assert len(got) == 33 and got["é1"] == (1, 4, 1, 15.0) and got["é7"] == (0, 4, 1, 15.0) and got[""][1:] == (4, 1, 15.0)
+    # records of the file: numbered from 1, boundaries clockwise, rings closed
+    index = np.frombuffer(found[0][1][100:], ">i4").reshape(-1, 2) * 2
+    for k, (at, size) in enumerate(index.tolist()):
+        body = found[0][0][at + 8 : at + 8 + size]
+        assert np.frombuffer(found[0][0][at : at + 4], ">i4")[0] == k + 1 and np.frombuffer(body[36:52], "<i4").tolist() == [2, 10, 0, 5]
+        xy = np.frombuffer(body[52:], "<f8").reshape(-1, 2)
+        assert (xy[[0, 5]] == xy[[4, 9]]).all() and shapefile.signed(xy[:4]) == -16 and shapefile.signed(xy[5:9]) == 1
+        assert np.frombuffer(body[4:36], "<f8").tolist() == [*xy.min(axis=0), *xy.max(axis=0)]
