@@ -222,7 +222,7 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, part: int = PART, mo
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     n_parts = F.ceil(F.col("n") / part).cast("int")
     dealt = (
-        keyed.join(sizes, "key")
+        keyed.join(sizes.hint("merge"), "key")  # keyed is sized as fps is, without the keys that each row becomes, and must not be broadcast
         .withColumn("g", n_parts)
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -387,14 +387,16 @@ def link_sets(texts: DataFrame, fps: DataFrame, bands: DataFrame, shingle: int,
     against the least that its fingerprint reaches, or, if it reaches none, the least that it shares a key with: that ties near copies
     into clusters and sends each set once, however large the group. Where clusters that links or keys connect are
     left, their pairs are checked on whole sets in parts: what is outside the largest cluster with itself and with the largest.
+
+    Joins with texts and with exploded bands are merged, as the planner takes these tables for much smaller than they are and would broadcast them.
     """
     low = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    beyond = bands.join(low, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    beyond = bands.join(low.hint("merge"), "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     meets = fingerprint_links(fps, PROPOSED).withColumn("band", F.lit(0)).unionByName(beyond.withColumn("band", F.lit(1)))
     meets = materialize(meets, "meets")
 
     def linked(dealt: DataFrame) -> DataFrame:
-        held = texts.join(materialize(dealt, "dealt"), "node")  # written, so the planner knows its size
+        held = texts.hint("merge").join(materialize(dealt, "dealt"), "node")
         sets = held.select("node", "keys", "text").mapInArrow(_hash_sets(shingle), "node long, keys array<long>, hashes binary")
         keyed = sets.select(F.explode("keys").alias("key"), "node", "hashes")
         return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sets(shingle, similarity), "u long, v long")
